@@ -117,3 +117,192 @@ def q_nan_fill(spark, sf):
     raw = src.nli_raw(spark, sf)
     feats = text_stats(raw, ["label"])
     return clean.fill_feature_nans(feats, T.TEXT_STAT_NAMES)
+
+
+# ---- step 2: dictionary + joins -----------------------------------------
+from inferna.functions import parse as P  # noqa: E402
+from inferna.operators import annotate, dictionary, features  # noqa: E402
+
+
+@register("unique_sentences", with_ctes(["sentences_all"], "SELECT id, text, role FROM sentences_all"))
+def q_unique_sentences(spark, sf):
+    return dictionary.unique_sentences(src.nli_raw(spark, sf))
+
+
+@register("hypothesis_only", with_ctes(["nli_raw"], """
+SELECT DISTINCT md5(hypothesis_text) AS id, hypothesis_text AS text FROM nli_raw
+WHERE hypothesis_text IS NOT NULL AND trim(hypothesis_text) <> ''
+  AND md5(hypothesis_text) NOT IN (SELECT md5(premise_text) FROM nli_raw
+                                   WHERE premise_text IS NOT NULL AND trim(premise_text) <> '')"""))
+def q_hypothesis_only(spark, sf):
+    return dictionary.hypothesis_only(src.nli_raw(spark, sf))
+
+
+@register("build_pairs", with_ctes(["vpairs"], """
+SELECT pair_id AS id, dataset, split, premise_id, hypothesis_id, label FROM vpairs"""))
+def q_build_pairs(spark, sf):
+    return dictionary.build_pairs(src.nli_raw(spark, sf))
+
+
+@register("pair_filter_report", with_ctes(["nli_raw"], """
+SELECT dataset, split, count(*) AS n_pairs,
+  count_if(NOT nt AND NOT ni AND NOT bl) AS kept, count_if(nt) AS dropped_null_text,
+  count_if(ni) AS dropped_no_id, count_if(NOT nt AND NOT ni AND bl) AS dropped_label
+FROM (SELECT dataset, split,
+        premise_text IS NULL OR hypothesis_text IS NULL AS nt,
+        premise_text IS NOT NULL AND hypothesis_text IS NOT NULL
+          AND (trim(premise_text) = '' OR trim(hypothesis_text) = '') AS ni,
+        label IS NULL OR label < 0 AS bl FROM nli_raw) t
+GROUP BY dataset, split"""))
+def q_pair_filter_report(spark, sf):
+    return dictionary.pair_filter_report(src.nli_raw(spark, sf))
+
+
+@register("join_pair_text", with_ctes(["vpairs", "sentences_all"], """
+SELECT p.pair_id, p.dataset, p.split, p.label, coalesce(a.text, '') AS premise_text,
+       coalesce(b.text, '') AS hypothesis_text, p.premise_id, p.hypothesis_id
+FROM vpairs p LEFT JOIN sentences_all a ON a.id = p.premise_id
+LEFT JOIN sentences_all b ON b.id = p.hypothesis_id"""))
+def q_join_pair_text(spark, sf):
+    raw = src.nli_raw(spark, sf)
+    return dictionary.join_pair_text(dictionary.build_pairs(raw), dictionary.unique_sentences(raw))
+
+
+# ---- step 4: annotation + parse features --------------------------------
+
+def _pairs(spark, sf):
+    return features.valid_pairs_with_ids(src.nli_raw(spark, sf))
+
+
+def _parses(spark, sf):
+    return annotate.annotate_rules(features.pair_sentences(_pairs(spark, sf)))
+
+
+def _sentence_feats(spark, sf):
+    return features.sentence_features(_parses(spark, sf))
+
+
+def _pair_features(spark, sf):
+    return features.pair_features(src.nli_raw(spark, sf))
+
+
+@register("parse_trees", with_ctes(["const_str"], "SELECT sid AS sentence_id, constituency FROM const_str"))
+def q_parse_trees(spark, sf):
+    return _parses(spark, sf).select("sentence_id", "constituency")
+
+
+@register("dep_edges", with_ctes(["dep_edges"], """
+SELECT sid AS sentence_id, CAST(id AS BIGINT) AS id, text, lemma, pos, CAST(head AS BIGINT) AS head, deprel
+FROM dep_edges"""))
+def q_dep_edges(spark, sf):
+    e = _parses(spark, sf).select("sentence_id", F.explode("dependency").alias("e"))
+    return e.select("sentence_id", F.col("e.id").cast("long").alias("id"), "e.text", "e.lemma", "e.pos",
+                    F.col("e.head").cast("long").alias("head"), "e.deprel")
+
+
+_CONST_KEYS = ["tree_depth"] + [f"count_{p}" for p in P.PHRASES]
+
+
+@register("const_counts", with_ctes(["sfeat"], "SELECT sid AS sentence_id, "
+          + ", ".join(f"max(CASE WHEN k = '{k}' THEN v END) AS {k}" for k in _CONST_KEYS)
+          + " FROM sfeat WHERE kind = 'const' GROUP BY sid"))
+def q_const_counts(spark, sf):
+    s = _sentence_feats(spark, sf).where(F.size("const") > 0)
+    return s.select("sentence_id", *[F.col("const")[k].alias(k) for k in _CONST_KEYS])
+
+
+def _dep_counts(spark, sf, prefix, name):
+    s = _sentence_feats(spark, sf).select("sentence_id", F.explode("dep").alias("k", "v"))
+    s = s.where(F.col("k").startswith(prefix))
+    return s.select("sentence_id", F.substring("k", len(prefix) + 1, 1000).alias(name),
+                    F.col("v").cast("long").alias("n"))
+
+
+@register("dep_pos_counts", with_ctes(["dep_edges"],
+          "SELECT sid AS sentence_id, pos, count(*) AS n FROM dep_edges GROUP BY sid, pos"))
+def q_dep_pos_counts(spark, sf):
+    return _dep_counts(spark, sf, "pos_", "pos")
+
+
+@register("dep_deprel_counts", with_ctes(["dep_edges"],
+          "SELECT sid AS sentence_id, deprel, count(*) AS n FROM dep_edges GROUP BY sid, deprel"))
+def q_dep_deprel_counts(spark, sf):
+    return _dep_counts(spark, sf, "deprel_", "deprel")
+
+
+@register("dep_distances", with_ctes(["dstats"], """
+SELECT sid AS sentence_id, dep_tree_depth_proxy, round(avg_dep_dist, 6) AS avg_dep_dist,
+       max_dep_dist, root_children_count FROM dstats"""))
+def q_dep_distances(spark, sf):
+    s = _sentence_feats(spark, sf)
+    return s.select("sentence_id", F.col("dep")["dep_tree_depth_proxy"].alias("dep_tree_depth_proxy"),
+                    r6(F.col("dep")["avg_dep_dist"]).alias("avg_dep_dist"),
+                    F.col("dep")["max_dep_dist"].alias("max_dep_dist"),
+                    F.col("dep")["root_children_count"].alias("root_children_count"))
+
+
+@register("syntactic_diff", with_ctes(["pfeat"], """
+SELECT pair_id, feature, round(value, 6) AS value FROM pfeat WHERE feature LIKE 'diff\\_%' ESCAPE '\\'"""))
+def q_syntactic_diff(spark, sf):
+    long = features.syn_long(_pair_features(spark, sf))
+    return long.where(F.col("feature").startswith("diff_")).withColumn("value", r6("value"))
+
+
+# Fixed feature list used to check schema padding (P17): present and absent keys.
+WIDE_FEATURES = ["premise_const_count_NP", "hypothesis_const_count_NP", "diff_const_count_PP",
+                 "premise_dep_pos_VERB", "hypothesis_dep_pos_NUM", "diff_dep_deprel_nsubj",
+                 "diff_dep_avg_dep_dist", "premise_dep_root_children_count",
+                 "hypothesis_const_count_SQ", "diff_dep_pos_X"]
+
+
+@register("syntactic_wide", with_ctes(["vpairs", "pfeat"], "SELECT p.pair_id, "
+          + ", ".join(f"round(coalesce(max(CASE WHEN f.feature = '{n}' THEN f.value END), 0), 6) AS {n}"
+                      for n in WIDE_FEATURES)
+          + " FROM vpairs p LEFT JOIN pfeat f ON f.pair_id = p.pair_id GROUP BY p.pair_id"))
+def q_syntactic_wide(spark, sf):
+    w = features.syn_wide(_pair_features(spark, sf), WIDE_FEATURES)
+    return w.select("pair_id", *[r6(n).alias(n) for n in WIDE_FEATURES])
+
+
+def _group_flags(name):
+    return [P.in_group(name, P.SYNTACTIC_MARKS).alias("is_syntactic"),
+            P.in_group(name, P.LEXICAL_MARKS).alias("is_lexical"),
+            P.in_group(name, P.DEPENDENCY_MARKS).alias("is_dependency"),
+            P.in_group(name, P.CONSTITUENCY_MARKS).alias("is_constituency")]
+
+
+def _group_flags_sql(col):
+    def any_of(marks):
+        return "(" + " OR ".join(f"contains({col}, '{m}')" for m in marks) + ")"
+    return (f"{any_of(P.SYNTACTIC_MARKS)} AS is_syntactic, {any_of(P.LEXICAL_MARKS)} AS is_lexical, "
+            f"{any_of(P.DEPENDENCY_MARKS)} AS is_dependency, {any_of(P.CONSTITUENCY_MARKS)} AS is_constituency")
+
+
+@register("feature_groups", with_ctes(["pfeat"], f"""
+SELECT feature, {_group_flags_sql('feature')} FROM (
+  SELECT DISTINCT feature FROM pfeat
+  UNION SELECT unnest(['premise_length', 'hypothesis_length', 'length_diff', 'length_ratio',
+                       'word_overlap_count', 'word_overlap_ratio'])) t"""))
+def q_feature_groups(spark, sf):
+    names = features.feature_list(_pair_features(spark, sf)).select("feature")
+    stats = spark.createDataFrame([(n,) for n in T.TEXT_STAT_NAMES], "feature string")
+    allf = names.unionByName(stats).distinct()
+    return allf.select("feature", *_group_flags(F.col("feature")))
+
+
+@register("feature_align", with_ctes(["vpairs", "pfeat"], """
+, flist AS (SELECT feature, row_number() OVER (ORDER BY feature) AS pos FROM (
+    SELECT DISTINCT f.feature FROM pfeat f JOIN vpairs p ON f.pair_id = p.pair_id WHERE p.split = 'train') t)
+SELECT p.pair_id, n.nf AS n_features, coalesce(a.nnz, 0) AS n_nonzero, round(coalesce(a.cs, 0), 6) AS checksum
+FROM vpairs p CROSS JOIN (SELECT count(*) AS nf FROM flist) n
+LEFT JOIN (SELECT f.pair_id, count_if(f.value <> 0) AS nnz, sum(f.value * l.pos) AS cs
+           FROM pfeat f JOIN flist l ON f.feature = l.feature GROUP BY f.pair_id) a ON p.pair_id = a.pair_id"""))
+def q_feature_align(spark, sf):
+    feats = _pair_features(spark, sf)
+    names = features.collect_feature_list(feats.where(F.col("split") == "train"))
+    arr = P.align(F.col("syn"), names)
+    return feats.select(
+        "pair_id", F.lit(len(names)).cast("long").alias("n_features"),
+        F.size(F.filter(arr, lambda x: x != 0)).cast("long").alias("n_nonzero"),
+        r6(F.aggregate(F.transform(arr, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, b: a + b))
+        .alias("checksum"))

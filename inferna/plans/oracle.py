@@ -83,3 +83,103 @@ SELECT pair_id, {extra}
     AS word_overlap_ratio
 FROM (SELECT {id_col} AS pair_id, {extra} {ws_tok('premise_text')} AS pt,
              {ws_tok('hypothesis_text')} AS ht FROM {src}) z"""
+
+
+# ---- dictionary, pairs ----------------------------------------------------
+cte("sentences_all", """
+SELECT md5(t) AS id, any_value(t) AS text, min(role) AS role
+FROM (SELECT premise_text AS t, 0 AS role FROM nli_raw UNION ALL SELECT hypothesis_text, 1 FROM nli_raw) u
+WHERE t IS NOT NULL AND trim(t) <> '' GROUP BY md5(t)""", ["nli_raw"])
+
+cte("vpairs", """
+SELECT id AS pair_id, dataset, split, label, premise_text, hypothesis_text,
+       md5(premise_text) AS premise_id, md5(hypothesis_text) AS hypothesis_id
+FROM nli_raw
+WHERE premise_text IS NOT NULL AND trim(premise_text) <> '' AND hypothesis_text IS NOT NULL
+  AND trim(hypothesis_text) <> '' AND label IS NOT NULL AND label >= 0""", ["nli_raw"])
+
+cte("psent", """
+SELECT id, any_value(text) AS text FROM (
+  SELECT premise_id AS id, premise_text AS text FROM vpairs
+  UNION ALL SELECT hypothesis_id, hypothesis_text FROM vpairs) u GROUP BY id""", ["vpairs"])
+
+# ---- rule annotator (U4) ---------------------------------------------------
+cte("tok", r"""
+SELECT sid, i, a[i] AS tok FROM (
+  SELECT sid, a, unnest(generate_series(1, len(a))) AS i
+  FROM (SELECT id AS sid, regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+') AS a FROM psent) x
+  WHERE len(a) > 0) y""", ["psent"])
+
+cte("tagged", """
+SELECT sid, i, tok, CASE WHEN tok >= '0' AND tok < ':' THEN 'NUM' WHEN length(tok) <= 2 THEN 'ADP'
+  WHEN length(tok) = 3 THEN 'DET' WHEN length(tok) % 3 = 0 THEN 'VERB' ELSE 'NOUN' END AS pos
+FROM tok""", ["tok"])
+
+cte("sroot", """
+SELECT sid, max(i) AS n, coalesce(min(CASE WHEN pos = 'VERB' THEN i END), 1) AS root
+FROM tagged GROUP BY sid""", ["tagged"])
+
+cte("dep_edges", """
+SELECT t.sid, CAST(t.i AS INTEGER) AS id, t.tok AS text, lower(t.tok) AS lemma, t.pos,
+  CAST(CASE WHEN t.i = r.root THEN 0 WHEN t.pos IN ('DET', 'ADP') AND t.i < r.n THEN t.i + 1
+       WHEN t.i < r.root THEN r.root ELSE t.i - 1 END AS INTEGER) AS head,
+  CASE WHEN t.i = r.root THEN 'root' WHEN t.pos = 'DET' THEN 'det' WHEN t.pos = 'ADP' THEN 'case'
+       WHEN t.pos = 'NUM' THEN 'nummod' WHEN t.pos = 'VERB' THEN 'conj' WHEN t.i < r.root THEN 'nsubj'
+       ELSE 'obj' END AS deprel
+FROM tagged t JOIN sroot r ON t.sid = r.sid""", ["tagged", "sroot"])
+
+LEAF = "CASE WHEN e.pos = 'ADP' THEN ' (PP (ADP ' || e.text || '))' ELSE ' (' || e.pos || ' ' || e.text || ')' END"
+
+cte("const_str", f"""
+SELECT s.id AS sid, coalesce(c.tree, '') AS constituency FROM psent s LEFT JOIN (
+  SELECT e.sid, '(ROOT (S'
+    || CASE WHEN max(r.root) > 1
+            THEN ' (NP' || string_agg({LEAF}, '' ORDER BY e.id) FILTER (WHERE e.id < r.root) || ')'
+            ELSE '' END
+    || ' (VP' || string_agg({LEAF}, '' ORDER BY e.id) FILTER (WHERE e.id >= r.root) || ')))' AS tree
+  FROM dep_edges e JOIN sroot r ON e.sid = r.sid GROUP BY e.sid) c ON s.id = c.sid""",
+    ["psent", "dep_edges", "sroot"])
+
+
+def count_sql(s: str, needle: str) -> str:
+    return f"CAST((length({s}) - length(replace({s}, '{needle}', ''))) / {len(needle)} AS DOUBLE)"
+
+
+PHRASES_SQL = ["NP", "VP", "PP", "ADJP", "ADVP", "S", "SBAR", "SBARQ", "SINV", "SQ"]
+
+cte("dstats", """
+SELECT s.id AS sid,
+  CAST(greatest(coalesce(a.mh, 0), 0) AS DOUBLE) AS dep_tree_depth_proxy,
+  CASE WHEN coalesce(a.ne, 0) - coalesce(a.nr, 0) > 0 THEN a.td / (a.ne - a.nr) ELSE 0.0 END AS avg_dep_dist,
+  CAST(coalesce(a.md, 0) AS DOUBLE) AS max_dep_dist,
+  CAST(coalesce(a.nr, 0) AS DOUBLE) AS root_children_count
+FROM psent s LEFT JOIN (
+  SELECT sid, max(head) AS mh, count(*) AS ne, count_if(head = 0) AS nr,
+    coalesce(sum(abs(id - head)) FILTER (WHERE id > 0 AND head > 0), 0) AS td,
+    max(abs(id - head)) FILTER (WHERE id > 0 AND head > 0) AS md
+  FROM dep_edges GROUP BY sid) a ON s.id = a.sid""", ["psent", "dep_edges"])
+
+_const_rows = [f"SELECT sid, 'const' AS kind, 'tree_depth' AS k, "
+               f"{count_sql('constituency', '(')} - {count_sql('constituency', ')')} AS v "
+               f"FROM const_str WHERE trim(constituency) <> ''"]
+_const_rows += [f"SELECT sid, 'const', 'count_{p}', {count_sql('constituency', '(' + p + ' ')} "
+                f"FROM const_str WHERE trim(constituency) <> ''" for p in PHRASES_SQL]
+cte("sfeat", "\nUNION ALL ".join(_const_rows + [
+    "SELECT sid, 'dep', 'pos_' || pos, CAST(count(*) AS DOUBLE) FROM dep_edges GROUP BY sid, pos",
+    "SELECT sid, 'dep', 'deprel_' || deprel, CAST(count(*) AS DOUBLE) FROM dep_edges GROUP BY sid, deprel",
+    "SELECT sid, 'dep', 'dep_tree_depth_proxy', dep_tree_depth_proxy FROM dstats",
+    "SELECT sid, 'dep', 'avg_dep_dist', avg_dep_dist FROM dstats",
+    "SELECT sid, 'dep', 'max_dep_dist', max_dep_dist FROM dstats",
+    "SELECT sid, 'dep', 'root_children_count', root_children_count FROM dstats",
+]), ["const_str", "dep_edges", "dstats"])
+
+cte("pk", "SELECT p.pair_id, f.kind, f.k, f.v FROM vpairs p JOIN sfeat f ON f.sid = p.premise_id",
+    ["vpairs", "sfeat"])
+cte("hk", "SELECT p.pair_id, f.kind, f.k, f.v FROM vpairs p JOIN sfeat f ON f.sid = p.hypothesis_id",
+    ["vpairs", "sfeat"])
+cte("pfeat", """
+SELECT pair_id, 'premise_' || kind || '_' || k AS feature, v AS value FROM pk
+UNION ALL SELECT pair_id, 'hypothesis_' || kind || '_' || k, v FROM hk
+UNION ALL SELECT coalesce(pk.pair_id, hk.pair_id), 'diff_' || coalesce(pk.kind, hk.kind) || '_' || coalesce(pk.k, hk.k),
+                 abs(coalesce(pk.v, 0) - coalesce(hk.v, 0))
+FROM pk FULL OUTER JOIN hk ON pk.pair_id = hk.pair_id AND pk.kind = hk.kind AND pk.k = hk.k""", ["pk", "hk"])

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inferna.operators.partitioning import spread
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -47,7 +49,7 @@ def label_of(quality: Column, toxic: Column) -> Column:
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents ⟕ labels on doc_id (equi join; AQE broadcasts labels when
     its runtime size is under the threshold, otherwise sort-merge)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     return docs.join(labels, "doc_id", "left")
 
