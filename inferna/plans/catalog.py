@@ -306,3 +306,83 @@ def q_feature_align(spark, sf):
         F.size(F.filter(arr, lambda x: x != 0)).cast("long").alias("n_nonzero"),
         r6(F.aggregate(F.transform(arr, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, b: a + b))
         .alias("checksum"))
+
+
+# ---- step 5: sampling & splits ------------------------------------------
+from inferna.operators import sample as S  # noqa: E402
+
+SAMPLE_TOTAL = 10_000   # the reference's preprocessing sample size (8000/1000/1000)
+
+
+@register("split_sizes", with_ctes(["vpairs"], """
+SELECT dataset, t AS total, CAST(floor(t * CAST(0.8 AS DOUBLE)) AS BIGINT) AS train_n,
+  CAST(floor(t * CAST(0.1 AS DOUBLE)) AS BIGINT) AS val_n,
+  t - CAST(floor(t * CAST(0.8 AS DOUBLE)) AS BIGINT) - CAST(floor(t * CAST(0.1 AS DOUBLE)) AS BIGINT) AS test_n,
+  ut AS u_train_n, uv AS u_val_n, t - ut - uv AS u_test_n
+FROM (SELECT *, least(CASE WHEN floor(t * CAST(0.1 AS DOUBLE)) = 0 AND t - ut > 0 THEN 1
+                           ELSE CAST(floor(t * CAST(0.1 AS DOUBLE)) AS BIGINT) END, t - ut) AS uv
+  FROM (SELECT *, CASE WHEN floor(t * CAST(0.8 AS DOUBLE)) = 0 AND t >= 1 THEN 1
+                       ELSE CAST(floor(t * CAST(0.8 AS DOUBLE)) AS BIGINT) END AS ut
+    FROM (SELECT dataset, count(*) AS t FROM vpairs GROUP BY dataset) a) b) c"""))
+def q_split_sizes(spark, sf):
+    totals = _pairs(spark, sf).groupBy("dataset").agg(F.count(F.lit(1)).alias("total"))
+    return totals.select("dataset", "total", *S.split_sizes_cols(F.col("total")))
+
+
+def _targets(spark):
+    return spark.createDataFrame(list(S.split_targets(SAMPLE_TOTAL).items()), "split string, t long")
+
+
+@register("strata_sizes", with_ctes(["strata"], "SELECT dataset, split, label, c, n, n_labels FROM strata"))
+def q_strata_sizes(spark, sf):
+    return S.strata_sizes(_pairs(spark, sf), ["dataset", "split"], _targets(spark))
+
+
+@register("stratified_sample", with_ctes(["strata"], """
+SELECT p.pair_id, p.dataset, p.split, p.label, 'sample' || CAST(z.t AS VARCHAR) AS sample_id
+FROM (SELECT pair_id, dataset, split, label,
+        row_number() OVER (PARTITION BY dataset, split, label ORDER BY md5('42:' || pair_id)) AS rk
+      FROM vpairs) p
+JOIN strata z ON z.dataset = p.dataset AND z.split = p.split AND z.label = p.label
+WHERE p.rk <= z.n"""))
+def q_stratified_sample(spark, sf):
+    s = S.stratified_sample(_pairs(spark, sf), SAMPLE_TOTAL)
+    return s.select("pair_id", "dataset", "split", "label", "sample_id")
+
+
+@register("simple_sample", with_ctes(["vpairs", "tg"], """
+SELECT pair_id, dataset, split FROM (
+  SELECT v.pair_id, v.dataset, v.split, tg.t,
+         row_number() OVER (PARTITION BY v.dataset, v.split ORDER BY md5('42:' || v.pair_id)) AS rk
+  FROM vpairs v JOIN tg ON tg.split = v.split) x WHERE rk <= t"""))
+def q_simple_sample(spark, sf):
+    p = _pairs(spark, sf).withColumn("_ok", S.order_key(F.col("pair_id")))
+    quotas = _targets(spark).withColumnRenamed("t", "n")
+    quotas = p.select("dataset", "split").distinct().join(quotas, "split")
+    return S.take_first_n(p, ["dataset", "split"], quotas, "_ok").select("pair_id", "dataset", "split")
+
+
+@register("train_val_split", with_ctes(["vpairs"], """
+SELECT pair_id, dataset, label, CASE WHEN rk <= q THEN 'validation' ELSE 'train' END AS part FROM (
+  SELECT pair_id, dataset, label,
+    row_number() OVER (PARTITION BY dataset, label ORDER BY md5('42:' || pair_id)) AS rk,
+    CAST(round_even(count(*) OVER (PARTITION BY dataset, label) * CAST(0.2 AS DOUBLE), 0) AS BIGINT) AS q
+  FROM vpairs WHERE split = 'train') x"""))
+def q_train_val_split(spark, sf):
+    tr = _pairs(spark, sf).where(F.col("split") == "train").select("pair_id", "dataset", "label")
+    return S.train_val_split(tr, 0.2, group_cols=["dataset"]).select("pair_id", "dataset", "label", "part")
+
+
+@register("kfold_assign", with_ctes(["vpairs"], """
+SELECT pair_id, dataset, label,
+  CAST((row_number() OVER (PARTITION BY dataset, label ORDER BY md5('42:' || pair_id)) - 1) % 5 AS INTEGER) AS fold
+FROM vpairs WHERE split = 'train'"""))
+def q_kfold_assign(spark, sf):
+    tr = _pairs(spark, sf).where(F.col("split") == "train").select("pair_id", "dataset", "label")
+    return S.kfold(tr, 5, group_cols=["dataset"]).select("pair_id", "dataset", "label", "fold")
+
+
+@register("limit_rows", with_ctes(["vpairs"],
+          "SELECT pair_id, label FROM vpairs ORDER BY pair_id LIMIT 100"))
+def q_limit_rows(spark, sf):
+    return S.limit_rows(_pairs(spark, sf).select("pair_id", "label"), 100)

@@ -183,3 +183,16 @@ UNION ALL SELECT pair_id, 'hypothesis_' || kind || '_' || k, v FROM hk
 UNION ALL SELECT coalesce(pk.pair_id, hk.pair_id), 'diff_' || coalesce(pk.kind, hk.kind) || '_' || coalesce(pk.k, hk.k),
                  abs(coalesce(pk.v, 0) - coalesce(hk.v, 0))
 FROM pk FULL OUTER JOIN hk ON pk.pair_id = hk.pair_id AND pk.kind = hk.kind AND pk.k = hk.k""", ["pk", "hk"])
+
+
+# ---- sampling ---------------------------------------------------------------
+cte("tg", "SELECT * FROM (VALUES ('train', 8000), ('validation', 1000), ('test', 1000)) v(split, t)")
+cte("strata", """
+SELECT dataset, split, label, c, CASE WHEN t <= 0 THEN 0 WHEN t >= N THEN c ELSE least(c, greatest(q, 0)) END AS n,
+       n_labels, t
+FROM (SELECT *, q0 + CASE WHEN big = 1 THEN t - sum(q0) OVER (PARTITION BY dataset, split) ELSE 0 END AS q
+  FROM (SELECT c.dataset, c.split, c.label, c.c, tg.t, sum(c.c) OVER g AS N, count(*) OVER g AS n_labels,
+          CAST(round_even((c.c / sum(c.c) OVER g) * tg.t, 0) AS BIGINT) AS q0,
+          row_number() OVER (PARTITION BY c.dataset, c.split ORDER BY c.c DESC, c.label) AS big
+        FROM (SELECT dataset, split, label, count(*) AS c FROM vpairs GROUP BY dataset, split, label) c
+        JOIN tg ON tg.split = c.split WINDOW g AS (PARTITION BY c.dataset, c.split)) s) s2""", ["vpairs", "tg"])

@@ -21,6 +21,7 @@ def get_spark(app: str = "inferna", cpus: int | None = None,
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("INFERNA_DRIVER_MEMORY", "16g"))
         .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
