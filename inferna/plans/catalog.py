@@ -386,3 +386,104 @@ def q_kfold_assign(spark, sf):
           "SELECT pair_id, label FROM vpairs ORDER BY pair_id LIMIT 100"))
 def q_limit_rows(spark, sf):
     return S.limit_rows(_pairs(spark, sf).select("pair_id", "label"), 100)
+
+
+# ---- steps 6-8: vectorisers, naive Bayes, metrics, grid ----------------
+from inferna.operators import metrics as M  # noqa: E402
+from inferna.operators import nb as NB  # noqa: E402
+from inferna.operators import vectorize as V  # noqa: E402
+from inferna.plans import grid  # noqa: E402
+from inferna.plans.oracle import metrics_sql  # noqa: E402
+
+_BOW = V.TermSpec(max_features=10_000)
+
+
+def _train_vocabs(spark, sf):
+    train, test = grid.train_test(spark, sf)
+    dsets = grid.datasets_of(train)
+    vocabs = grid.fit_vocabs(train, dsets, _BOW, T.pair_text(F.col("premise_text"), F.col("hypothesis_text")))
+    return train, test, dsets, vocabs
+
+
+@register("vocab_topk", with_ctes(["vocab_bow"], "SELECT model, term, idx FROM vocab_bow"))
+def q_vocab_topk(spark, sf):
+    return _train_vocabs(spark, sf)[3]
+
+
+@register("bow_counts", with_ctes(["te_feat"], "SELECT model, doc_id, CAST(f AS INTEGER) AS f, x FROM te_feat"))
+def q_bow_counts(spark, sf):
+    _, test, _, vocabs = _train_vocabs(spark, sf)
+    return grid.side_features(test, vocabs, _BOW, own_model=False).select(
+        "model", "doc_id", F.col("f").cast("int").alias("f"), "x")
+
+
+def _nb_model(spark, sf):
+    train, test, dsets, vocabs = _train_vocabs(spark, sf)
+    n_features = vocabs.groupBy("model").agg((F.count(F.lit(1)) * 2).alias("n_features"))
+    tr_feats = grid.side_features(train, vocabs, _BOW, own_model=True, keep=["label"])
+    tr_docs = train.select(F.col("dataset").alias("model"), F.col("pair_id").alias("doc_id"), "label")
+    return NB.fit(tr_feats, tr_docs, n_features, ["model"])
+
+
+@register("mnb_params", with_ctes(["nb_cls"], """
+SELECT model, label, n_c, round(log_prior, 6) AS log_prior, round(total_count, 6) AS total_count, round(base, 6) AS base
+FROM nb_cls"""))
+def q_mnb_params(spark, sf):
+    classes, _ = _nb_model(spark, sf)
+    return classes.select("model", "label", "n_c", r6("log_prior").alias("log_prior"),
+                          r6("total_count").alias("total_count"), r6("base").alias("base"))
+
+
+@register("mnb_feature_logprob", with_ctes(["nb_feat"], """
+SELECT model, CAST(f AS INTEGER) AS f, round(d0, 6) AS d0, round(d1, 6) AS d1, round(d2, 6) AS d2 FROM nb_feat"""))
+def q_mnb_feature_logprob(spark, sf):
+    _, fmodel = _nb_model(spark, sf)
+    return fmodel.select("model", F.col("f").cast("int").alias("f"), *[r6(f"d{c}").alias(f"d{c}") for c in M.CLASSES])
+
+
+@register("mnb_predict", with_ctes(["nb_pred"], "SELECT model, doc_id, dataset, y, pred FROM nb_pred"))
+def q_mnb_predict(spark, sf):
+    return grid.nb_bow_grid(spark, sf)
+
+
+@register("cross_dataset_matrix", with_ctes(["nb_pred"], metrics_sql(
+    "(SELECT 'baseline-3' AS experiment, dataset AS predict_dataset, model AS trained_dataset, y, pred "
+    "FROM nb_pred) g", ["experiment", "predict_dataset", "trained_dataset"])))
+def q_cross_dataset_matrix(spark, sf):
+    return grid.cross_dataset_matrix(grid.nb_bow_grid(spark, sf), "baseline-3")
+
+
+# synthetic predictions over every valid pair (FIXTURES: predictions for metric ops)
+_SYN_PRED_SQL = ("(SELECT dataset, label AS y, CAST((label + length(premise_text) % 4 % 3) % 3 AS INTEGER) AS pred "
+                 "FROM vpairs) s")
+
+
+def _syn_pred(spark, sf):
+    p = _pairs(spark, sf)
+    return p.select("dataset", F.col("label").alias("y"),
+                    ((F.col("label") + F.length("premise_text") % 4 % 3) % 3).cast("int").alias("pred"))
+
+
+@register("confusion", with_ctes(["vpairs"],
+          f"SELECT dataset, y, pred, count(*) AS n FROM {_SYN_PRED_SQL} GROUP BY dataset, y, pred"))
+def q_confusion(spark, sf):
+    return M.confusion(_syn_pred(spark, sf), ["dataset"])
+
+
+@register("full_metrics", with_ctes(["vpairs"], metrics_sql(_SYN_PRED_SQL, ["dataset"])))
+def q_full_metrics(spark, sf):
+    return M.evaluate(_syn_pred(spark, sf), ["dataset"])
+
+
+@register("weighted_prf", with_ctes(["vpairs"],
+          "SELECT dataset, n, accuracy, weighted_precision, weighted_recall, weighted_f1 FROM ("
+          + metrics_sql(_SYN_PRED_SQL, ["dataset"]) + ") m"))
+def q_weighted_prf(spark, sf):
+    return M.evaluate(_syn_pred(spark, sf), ["dataset"]).select(
+        "dataset", "n", "accuracy", "weighted_precision", "weighted_recall", "weighted_f1")
+
+
+@register("auc_ovr_hard", with_ctes(["vpairs"],
+          "SELECT dataset, roc_auc FROM (" + metrics_sql(_SYN_PRED_SQL, ["dataset"]) + ") m"))
+def q_auc_ovr_hard(spark, sf):
+    return M.evaluate(_syn_pred(spark, sf), ["dataset"]).select("dataset", "roc_auc")

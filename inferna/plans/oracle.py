@@ -196,3 +196,137 @@ FROM (SELECT *, q0 + CASE WHEN big = 1 THEN t - sum(q0) OVER (PARTITION BY datas
           row_number() OVER (PARTITION BY c.dataset, c.split ORDER BY c.c DESC, c.label) AS big
         FROM (SELECT dataset, split, label, count(*) AS c FROM vpairs GROUP BY dataset, split, label) c
         JOIN tg ON tg.split = c.split WINDOW g AS (PARTITION BY c.dataset, c.split)) s) s2""", ["vpairs", "tg"])
+
+
+# ---- vectorisers + naive Bayes grid -------------------------------------------
+W2 = r"'[\p{L}\p{N}_]{2,}'"
+
+cte("train_s", """
+SELECT p.pair_id, p.dataset, p.split, p.label, p.premise_text, p.hypothesis_text FROM (
+  SELECT v.*, row_number() OVER (PARTITION BY dataset, split, label ORDER BY md5('42:' || pair_id)) AS rk
+  FROM vpairs v WHERE split = 'train') p
+JOIN strata z ON z.dataset = p.dataset AND z.split = p.split AND z.label = p.label
+WHERE p.rk <= z.n""", ["vpairs", "strata"])
+cte("test_s", "SELECT * FROM vpairs WHERE split = 'test'", ["vpairs"])
+
+
+def vocab_sql(src: str, text: str, k: int, stop: bool = False, bigrams: bool = False) -> str:
+    toks = f"regexp_extract_all(lower({text}), {W2})"
+    if stop:
+        toks = f"list_filter({toks}, lambda x: NOT list_contains(stop_list(), x))"
+    tt = (f"list_concat(tk, CASE WHEN len(tk) >= 2 THEN list_transform(generate_series(1, len(tk) - 1), "
+          f"lambda i: tk[i] || ' ' || tk[i + 1]) ELSE [] END)") if bigrams else "tk"
+    return f"""
+SELECT model, term, tf_total, CAST(row_number() OVER (PARTITION BY model ORDER BY term) - 1 AS INTEGER) AS idx
+FROM (SELECT model, term, tf_total, row_number() OVER (PARTITION BY model ORDER BY tf_total DESC, term) AS r
+  FROM (SELECT dataset AS model, term, count(*) AS tf_total FROM (
+          SELECT dataset, unnest({tt}) AS term FROM (SELECT dataset, {toks} AS tk FROM {src}) a) t
+        GROUP BY dataset, term) b) c
+WHERE r <= {k}"""
+
+
+cte("vocab_bow", vocab_sql("train_s", "coalesce(premise_text, '') || ' ' || coalesce(hypothesis_text, '')", 10000),
+    ["train_s"])
+
+
+def side_terms_sql(src: str, extra: str) -> str:
+    return f"""
+SELECT pair_id, dataset, {extra} side, term, count(*) AS tf FROM (
+  SELECT pair_id, dataset, {extra} 0 AS side,
+         unnest(regexp_extract_all(lower(coalesce(premise_text, '')), {W2})) AS term FROM {src}
+  UNION ALL
+  SELECT pair_id, dataset, {extra} 1, unnest(regexp_extract_all(lower(coalesce(hypothesis_text, '')), {W2}))
+  FROM {src}) t
+GROUP BY ALL"""
+
+
+cte("tr_side", side_terms_sql("train_s", "label,"), ["train_s"])
+cte("te_side", side_terms_sql("test_s", ""), ["test_s"])
+cte("tr_feat", """
+SELECT v.model, s.pair_id AS doc_id, s.label, 2 * v.idx + s.side AS f, CAST(s.tf AS DOUBLE) AS x
+FROM tr_side s JOIN vocab_bow v ON v.model = s.dataset AND v.term = s.term""", ["tr_side", "vocab_bow"])
+cte("te_feat", """
+SELECT v.model, s.pair_id AS doc_id, 2 * v.idx + s.side AS f, CAST(s.tf AS DOUBLE) AS x
+FROM te_side s JOIN vocab_bow v ON v.term = s.term""", ["te_side", "vocab_bow"])
+cte("nb_cls", """
+SELECT c.model, c.label, c.n_c, ln(c.n_c / sum(c.n_c) OVER (PARTITION BY c.model)) AS log_prior,
+  CAST(coalesce(n.total_count, 0) AS DOUBLE) AS total_count,
+  ln(1.0 / (coalesce(n.total_count, 0) + 1.0 * nf.n_features)) AS base
+FROM (SELECT dataset AS model, label, count(*) AS n_c FROM train_s GROUP BY dataset, label) c
+LEFT JOIN (SELECT model, label, sum(x) AS total_count FROM tr_feat GROUP BY model, label) n
+  ON n.model = c.model AND n.label = c.label
+JOIN (SELECT model, 2 * count(*) AS n_features FROM vocab_bow GROUP BY model) nf ON nf.model = c.model""",
+    ["train_s", "tr_feat", "vocab_bow"])
+cte("nb_feat", """
+SELECT model, f, sum(CASE WHEN label = 0 THEN d ELSE 0 END) AS d0, sum(CASE WHEN label = 1 THEN d ELSE 0 END) AS d1,
+       sum(CASE WHEN label = 2 THEN d ELSE 0 END) AS d2
+FROM (SELECT model, label, f, ln(sum(x) + 1.0) - ln(1.0) AS d FROM tr_feat GROUP BY model, label, f) t
+GROUP BY model, f""", ["tr_feat"])
+cte("nb_pred", """
+SELECT model, doc_id, dataset, y,
+  CASE WHEN sc0 = best THEN 0 WHEN sc1 = best THEN 1 WHEN sc2 = best THEN 2 END AS pred
+FROM (SELECT *, greatest(sc0, sc1, sc2) AS best FROM (
+  SELECT d.model, d.doc_id, d.dataset, d.y,
+    c.prior0 + coalesce(s.S, 0) * c.base0 + coalesce(s.s0, 0) AS sc0,
+    c.prior1 + coalesce(s.S, 0) * c.base1 + coalesce(s.s1, 0) AS sc1,
+    c.prior2 + coalesce(s.S, 0) * c.base2 + coalesce(s.s2, 0) AS sc2
+  FROM (SELECT m.model, t.pair_id AS doc_id, t.dataset, t.label AS y
+        FROM test_s t CROSS JOIN (SELECT DISTINCT dataset AS model FROM train_s) m) d
+  LEFT JOIN (SELECT f.model, f.doc_id, sum(f.x) AS S, sum(f.x * coalesce(m.d0, 0)) AS s0,
+                    sum(f.x * coalesce(m.d1, 0)) AS s1, sum(f.x * coalesce(m.d2, 0)) AS s2
+             FROM te_feat f LEFT JOIN nb_feat m ON m.model = f.model AND m.f = f.f
+             GROUP BY f.model, f.doc_id) s ON s.model = d.model AND s.doc_id = d.doc_id
+  JOIN (SELECT model, max(CASE WHEN label = 0 THEN log_prior END) AS prior0,
+               max(CASE WHEN label = 1 THEN log_prior END) AS prior1,
+               max(CASE WHEN label = 2 THEN log_prior END) AS prior2,
+               max(CASE WHEN label = 0 THEN base END) AS base0, max(CASE WHEN label = 1 THEN base END) AS base1,
+               max(CASE WHEN label = 2 THEN base END) AS base2
+        FROM nb_cls GROUP BY model) c ON c.model = d.model) a) b""",
+    ["test_s", "train_s", "te_feat", "nb_feat", "nb_cls"])
+
+NAMES = {0: "entailment", 1: "neutral", 2: "contradiction"}
+
+
+def metrics_sql(src: str, cells: list[str]) -> str:
+    """A10-A12 closed forms over (cells, y, pred) rows of ``src``."""
+    cl = ", ".join(cells)
+    aggs = ["sum(n) AS n_total", "sum(CASE WHEN y = pred THEN n ELSE 0 END) AS n_correct"]
+    for c in (0, 1, 2):
+        aggs += [f"sum(CASE WHEN y = {c} AND pred = {c} THEN n ELSE 0 END) AS tp{c}",
+                 f"sum(CASE WHEN y = {c} THEN n ELSE 0 END) AS t{c}",
+                 f"sum(CASE WHEN pred = {c} THEN n ELSE 0 END) AS p{c}"]
+
+    def div(a, b):
+        return f"(CASE WHEN ({b}) > 0 THEN ({a}) / ({b}) ELSE 0.0 END)"
+    P = {c: div(f"CAST(tp{c} AS DOUBLE)", f"p{c}") for c in (0, 1, 2)}
+    R = {c: div(f"CAST(tp{c} AS DOUBLE)", f"t{c}") for c in (0, 1, 2)}
+    F1 = {c: f"(CASE WHEN {P[c]} + {R[c]} > 0 THEN 2 * {P[c]} * {R[c]} / ({P[c]} + {R[c]}) ELSE 0.0 END)"
+          for c in (0, 1, 2)}
+    pres = {c: f"(CASE WHEN t{c} + p{c} > 0 THEN 1.0 ELSE 0.0 END)" for c in (0, 1, 2)}
+    npres = " + ".join(pres.values())
+    acc = div("CAST(n_correct AS DOUBLE)", "n_total")
+    out = {"accuracy": acc}
+    for nm, m in (("precision", P), ("recall", R), ("f1", F1)):
+        for c in (0, 1, 2):
+            out[f"{nm}_{NAMES[c]}"] = m[c]
+    for nm, m in (("precision", P), ("recall", R), ("f1", F1)):
+        out[f"macro_{nm}"] = div(" + ".join(f"{pres[c]} * {m[c]}" for c in (0, 1, 2)), npres)
+    for nm in ("precision", "recall", "f1"):
+        out[f"micro_{nm}"] = acc
+    for nm, m in (("precision", P), ("recall", R), ("f1", F1)):
+        out[f"weighted_{nm}"] = div(" + ".join(f"t{c} * {m[c]}" for c in (0, 1, 2)), "n_total")
+    spec = {c: div(f"CAST(n_total - t{c} - p{c} + tp{c} AS DOUBLE)", f"n_total - t{c}") for c in (0, 1, 2)}
+    auc = "(" + " + ".join(f"({R[c]} + {spec[c]}) / 2" for c in (0, 1, 2)) + ") / 3"
+    ntrue = " + ".join(f"(CASE WHEN t{c} > 0 THEN 1 ELSE 0 END)" for c in (0, 1, 2))
+    npred = " + ".join(f"(CASE WHEN p{c} > 0 THEN 1 ELSE 0 END)" for c in (0, 1, 2))
+    out["roc_auc"] = f"CASE WHEN {ntrue} = 3 AND {npred} = 3 THEN {auc} END"
+    order = (["accuracy"] + [f"precision_{NAMES[c]}" for c in (0, 1, 2)] + [f"recall_{NAMES[c]}" for c in (0, 1, 2)]
+             + [f"f1_{NAMES[c]}" for c in (0, 1, 2)]
+             + [f"{a}_{b}" for a in ("macro", "micro", "weighted") for b in ("precision", "recall", "f1")]
+             + ["roc_auc"])
+    sel = ", ".join(f"round({out[m]}, 6) AS {m}" for m in order)
+    return f"""
+SELECT {cl}, n_total AS n, {sel} FROM (
+  SELECT {cl}, {', '.join(aggs)} FROM (
+    SELECT {cl}, y, pred, count(*) AS n FROM {src} GROUP BY {cl}, y, pred) conf
+  GROUP BY {cl}) a"""

@@ -59,3 +59,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written stage tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def materialize(df, eager: bool = True):
+    """Cut the lineage of a table that several jobs reuse: a reliable
+    checkpoint into the shared ``spark.checkpoint.dir`` (survives the loss
+    of executors, unlike a cache or a local checkpoint)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=eager)
