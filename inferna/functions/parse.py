@@ -38,15 +38,23 @@ def _count_map(values: Column, prefix: str) -> Column:
                            F.size(F.filter(values, lambda x: x == v)).cast("double"))))
 
 
-def dep_features(edges: Column) -> Column:
+def dep_tags(edges: Column) -> tuple[Column, Column]:
+    """POS and relation arrays of an edge list (missing -> UNK_POS / UNK_DEP)."""
+    return (F.transform(edges, lambda e: F.coalesce(e["pos"], F.lit("UNK_POS"))),
+            F.transform(edges, lambda e: F.coalesce(e["deprel"], F.lit("UNK_DEP"))))
+
+
+def dep_features(edges: Column, pos: Column | None = None, rel: Column | None = None) -> Column:
     """F9-F14/F17 over an array<struct<id,pos,head,deprel,...>>.
 
     pos_TAG / deprel_REL counts; dep_tree_depth_proxy = max head (>= 0);
     avg/max of |id - head| over edges with id > 0 and head > 0 (avg divides
     by edges - roots, 0 when that is 0); root_children_count = heads = 0.
-    NULL edge list (sentence never annotated) -> no keys."""
-    pos = F.transform(edges, lambda e: F.coalesce(e["pos"], F.lit("UNK_POS")))
-    rel = F.transform(edges, lambda e: F.coalesce(e["deprel"], F.lit("UNK_DEP")))
+    NULL edge list (sentence never annotated) -> no keys.  Pass ``pos`` /
+    ``rel`` as already-projected columns (see ``dep_tags``) so the lambdas
+    below read them instead of re-deriving them per element."""
+    if pos is None or rel is None:
+        pos, rel = dep_tags(edges)
     heads = F.transform(edges, lambda e: F.coalesce(e["head"], F.lit(0)))
     dists = F.transform(
         F.filter(edges, lambda e: (F.coalesce(e["id"], F.lit(0)) > 0) & (F.coalesce(e["head"], F.lit(0)) > 0)),

@@ -34,17 +34,23 @@ def _pos(t):
 
 
 def annotate_rules(sentences: DataFrame, text_col: str = "text", id_col: str = "id") -> DataFrame:
-    """(id, text) -> (sentence_id, constituency, dependency)."""
+    """(id, text) -> (sentence_id, constituency, dependency).
+
+    Every lambda reads only its own element (tokens and tags are zipped), so
+    the optimizer cannot inline a whole-array expression into a per-element
+    body; the per-row scalars root / n are referenced several times and
+    therefore stay computed once per row."""
     toks = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD1), 0)
     a = sentences.select(F.col(id_col).alias("sentence_id"), toks.alias("toks"))
-    a = a.withColumn("tags", F.transform("toks", _pos))
-    a = a.withColumn("n", F.size("toks"))
-    first_verb = F.array_position(F.col("tags"), "VERB").cast("int")
-    a = a.withColumn("root", F.when(first_verb > 0, first_verb).otherwise(F.lit(1)))
+    a = a.select("sentence_id", F.arrays_zip(F.col("toks").alias("t"),
+                                             F.transform("toks", _pos).alias("g")).alias("z"))
+    first_verb = F.array_position(F.transform("z", lambda e: e["g"]), "VERB").cast("int")
+    a = a.select("sentence_id", "z", F.size("z").alias("n"),
+                 F.when(first_verb > 0, first_verb).otherwise(F.lit(1)).alias("root"))
 
-    def edge(t, i):
+    def edge(e, i):
         idx = i + 1
-        tag = F.get(F.col("tags"), i)
+        t, tag = e["t"], e["g"]
         head = (F.when(idx == F.col("root"), F.lit(0))
                 .when(tag.isin("DET", "ADP") & (idx < F.col("n")), idx + 1)
                 .when(idx < F.col("root"), F.col("root"))
@@ -59,12 +65,12 @@ def annotate_rules(sentences: DataFrame, text_col: str = "text", id_col: str = "
         return F.struct(idx.cast("int").alias("id"), t.alias("text"), F.lower(t).alias("lemma"),
                         tag.alias("pos"), head.cast("int").alias("head"), rel.alias("deprel"))
 
-    def leaf(t, i):
-        tag = F.get(F.col("tags"), i)
+    def leaf(e):
+        t, tag = e["t"], e["g"]
         return F.when(tag == "ADP", F.concat(F.lit(" (PP (ADP "), t, F.lit("))"))) \
                 .otherwise(F.concat(F.lit(" ("), tag, F.lit(" "), t, F.lit(")")))
 
-    a = a.withColumn("leaves", F.transform("toks", leaf))
+    a = a.select("sentence_id", "z", "n", "root", F.transform("z", leaf).alias("leaves"))
     np_part = F.when(F.col("root") > 1, F.concat(
         F.lit(" (NP"), F.array_join(F.slice("leaves", F.lit(1), F.col("root") - 1), ""), F.lit(")"))
     ).otherwise(F.lit(""))
@@ -74,7 +80,7 @@ def annotate_rules(sentences: DataFrame, text_col: str = "text", id_col: str = "
     tree = F.when(F.col("n") == 0, F.lit("")).otherwise(
         F.concat(F.lit("(ROOT (S"), np_part, vp_part, F.lit("))")))
     return a.select("sentence_id", tree.alias("constituency"),
-                    F.transform("toks", edge).alias("dependency"))
+                    F.transform("z", edge).alias("dependency"))
 
 
 def annotate_with(sentences: DataFrame,

@@ -33,9 +33,11 @@ def valid_pairs_with_ids(raw: DataFrame) -> DataFrame:
 
 def sentence_features(parses: DataFrame) -> DataFrame:
     """(sentence_id, const map, dep map) from annotated sentences."""
-    return parses.select("sentence_id",
+    pos, rel = P.dep_tags(F.col("dependency"))
+    staged = parses.select("sentence_id", "constituency", "dependency", pos.alias("_pos"), rel.alias("_rel"))
+    return staged.select("sentence_id",
                          P.const_features(F.col("constituency")).alias("const"),
-                         P.dep_features(F.col("dependency")).alias("dep"))
+                         P.dep_features(F.col("dependency"), F.col("_pos"), F.col("_rel")).alias("dep"))
 
 
 def pair_sentences(pairs: DataFrame) -> DataFrame:
@@ -63,8 +65,8 @@ def pair_features(raw: DataFrame, parses: DataFrame | None = None) -> DataFrame:
 def feature_list(features: DataFrame, col: str = "syn") -> DataFrame:
     """P15 fit: the sorted distinct feature names seen in ``col`` (a small
     DataFrame: its size is bounded by the annotator's tag vocabulary)."""
-    return (features.select(F.explode(F.map_keys(col)).alias("feature"))
-            .distinct().orderBy("feature"))
+    return (features.select(F.explode_outer(F.map_keys(col)).alias("feature"))
+            .where(F.col("feature").isNotNull()).distinct().orderBy("feature"))
 
 
 def collect_feature_list(features: DataFrame, col: str = "syn", limit: int = 100_000) -> list[str]:
@@ -77,7 +79,8 @@ def collect_feature_list(features: DataFrame, col: str = "syn", limit: int = 100
 
 def syn_long(features: DataFrame, col: str = "syn") -> DataFrame:
     """F20 long form: (pair_id, feature, value)."""
-    return features.select("pair_id", F.explode(col).alias("feature", "value"))
+    out = features.select("pair_id", F.explode_outer(col).alias("feature", "value"))
+    return out.where(F.col("feature").isNotNull())
 
 
 def syn_wide(features: DataFrame, names: list[str], col: str = "syn") -> DataFrame:

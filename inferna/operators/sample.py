@@ -44,52 +44,62 @@ def _check_groups(n: int) -> None:
         raise ValueError(f"{n} groups exceed the broadcast bound {MAX_GROUPS}")
 
 
-def group_rank(df: DataFrame, group_cols: list[str], ok_col: str, rank_col: str = "rank") -> DataFrame:
-    """Exact 1-based rank by ``ok_col`` (an md5 hex column) within each group."""
-    spark = df.sparkSession
-    sizes = df.groupBy(*group_cols).count()
-    stats = sizes.agg(F.max("count").alias("mx"), F.count(F.lit(1)).alias("g")).first()
-    if stats is None or stats["mx"] is None:
-        return df.withColumn(rank_col, F.lit(None).cast("long"))
-    _check_groups(stats["g"])
-    bits = max(0, min(40, math.ceil(math.log2(max(1, stats["mx"]) / BUCKET_ROWS)) + 1))
-    b = df.withColumn("_bucket", F.shiftright(_h60(F.col(ok_col)), HASH_BITS - bits)
-                      if bits else F.lit(0).cast("long"))
+def group_rank(df: DataFrame, group_cols: list[str], ok_col: str, rank_col: str = "rank",
+               max_group: int | None = None) -> DataFrame:
+    """Exact 1-based rank by ``ok_col`` (an md5 hex column) within each group.
+
+    ``max_group`` (largest group size) is measured when not given."""
+    if max_group is None:
+        stats = df.groupBy(*group_cols).count() \
+            .agg(F.max("count").alias("mx"), F.count(F.lit(1)).alias("g")).first()
+        if stats is None or stats["mx"] is None:
+            return df.withColumn(rank_col, F.lit(None).cast("long"))
+        _check_groups(stats["g"])
+        max_group = stats["mx"]
+    bits = max(0, min(40, math.ceil(math.log2(max(1, max_group) / BUCKET_ROWS)) + 1))
+    if bits == 0:
+        # every group fits one task: a plain window is exact and cheapest
+        return df.withColumn(rank_col, F.row_number().over(
+            Window.partitionBy(*group_cols).orderBy(ok_col)).cast("long"))
+    b = df.withColumn("_bucket", F.shiftright(_h60(F.col(ok_col)), HASH_BITS - bits))
     hist = b.groupBy(*group_cols, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = hist.select(*group_cols, "_bucket", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    if bits == 0:
-        offsets = F.broadcast(offsets)  # one row per group: bounded by the check above
     joined = b.join(offsets, [*group_cols, "_bucket"])
     local = F.row_number().over(Window.partitionBy(*group_cols, "_bucket").orderBy(ok_col))
-    del spark
-    return joined.withColumn(rank_col, F.col("_off") + local).drop("_bucket", "_off")
+    return joined.withColumn(rank_col, (F.col("_off") + local).cast("long")).drop("_bucket", "_off")
 
 
 def take_first_n(df: DataFrame, group_cols: list[str], quotas: DataFrame, ok_col: str,
-                 slack: float = 1.2) -> DataFrame:
+                 slack: float = 1.2, counts: DataFrame | None = None) -> DataFrame:
     """Rows whose rank by ``ok_col`` inside their group is <= quota ``n``.
 
-    ``quotas`` has group_cols + n (one row per group: a small table)."""
-    counts = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_N"))
-    q = quotas.join(counts, group_cols).where(F.col("n") > 0)
-    ng = q.count()
-    _check_groups(ng)
-    # threshold on the hash fraction: expected n*slack rows plus 6 sigma
-    tau = F.least(F.lit(1.0), (F.col("n") * slack + 6 * F.sqrt(F.col("n")) + 16) / F.col("_N"))
-    q = q.withColumn("_tau", tau)
+    ``quotas``: group_cols + n; ``counts`` (optional): group_cols + _size, the
+    group sizes when already known.  Both are one row per group (small);
+    they are collected once (bounded by MAX_GROUPS) and broadcast back."""
+    spark = df.sparkSession
+    if counts is None:
+        counts = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_size"))
+    rows = quotas.join(counts, group_cols).where(F.col("n") > 0).limit(MAX_GROUPS + 1).collect()
+    _check_groups(len(rows))
+    schema = quotas.join(counts, group_cols).select(*group_cols).schema
+    table = {tuple(r[g] for g in group_cols): [int(r["n"]), int(r["_size"])] for r in rows}
+    # hash-fraction threshold: expected n*slack rows plus 6 sigma
+    tau = {k: min(1.0, (n * slack + 6 * math.sqrt(n) + 16) / N) for k, (n, N) in table.items()}
     for _ in range(8):
-        cand = df.join(F.broadcast(q.select(*group_cols, "n", "_N", "_tau")), group_cols) \
-                 .where(_frac(F.col(ok_col)) <= F.col("_tau"))
-        got = cand.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_c"))
-        short = (q.join(got, group_cols, "left")
-                 .where(F.coalesce("_c", F.lit(0)) < F.least(F.col("n"), F.col("_N"))))
-        if short.limit(1).count() == 0:
+        qdf = spark.createDataFrame(
+            [(*k, n, tau[k]) for k, (n, N) in table.items()],
+            schema.add("n", "long").add("_tau", "double"))
+        cand = df.join(F.broadcast(qdf), group_cols).where(_frac(F.col(ok_col)) <= F.col("_tau"))
+        got = {tuple(r[g] for g in group_cols): r["_c"]
+               for r in cand.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_c")).collect()}
+        short = [k for k, (n, N) in table.items() if got.get(k, 0) < min(n, N)]
+        if not short:
             break
-        q = (q.join(short.select(*group_cols, F.lit(True).alias("_short")), group_cols, "left")
-             .withColumn("_tau", F.when(F.col("_short"), F.least(F.lit(1.0), F.col("_tau") * 4))
-                         .otherwise(F.col("_tau"))).drop("_short"))
-    ranked = group_rank(cand.drop("_tau", "_N"), group_cols, ok_col, "_rank")
+        for k in short:
+            tau[k] = min(1.0, tau[k] * 4)
+    biggest = max(got.values()) if got else 0
+    ranked = group_rank(cand.drop("_tau"), group_cols, ok_col, "_rank", max_group=biggest)
     return ranked.where(F.col("_rank") <= F.col("n")).drop("_rank", "n")
 
 
@@ -153,7 +163,8 @@ def stratified_sample(df: DataFrame, total_sample: int, key_col: str = "pair_id"
     groups = ["dataset", "split"]
     sizes = strata_sizes(df, groups, targets, label_col)
     keyed = df.withColumn("_ok", order_key(F.col(key_col), seed))
-    out = take_first_n(keyed, [*groups, label_col], sizes.select(*groups, label_col, "n"), "_ok")
+    out = take_first_n(keyed, [*groups, label_col], sizes.select(*groups, label_col, "n"), "_ok",
+                       counts=sizes.select(*groups, label_col, F.col("c").alias("_size")))
     sid = F.concat(F.lit("sample"), F.element_at(
         F.create_map(*[x for k, v in tg.items() for x in (F.lit(k), F.lit(str(v)))]), F.col("split")))
     return out.drop("_ok").withColumn("sample_id", sid)

@@ -46,14 +46,17 @@ class TermSpec:
     stop_words: bool = False
 
 
-def terms(text: Column, spec: TermSpec) -> Column:
-    """F21 + stop words + (1,2)-grams: the term array of one document."""
+def unigrams(text: Column, spec: TermSpec) -> Column:
+    """F21 tokens with optional stop-word removal."""
     toks = word_tokens(text)
     if spec.stop_words:
         stop = F.array(*[F.lit(w) for w in STOP_WORDS])
         toks = F.filter(toks, lambda t: ~F.array_contains(stop, t))
-    if not spec.bigrams:
-        return toks
+    return toks
+
+
+def with_bigrams(toks: Column) -> Column:
+    """(1,2)-grams of a token-array *column* (bigrams after stop removal)."""
     bi = F.when(F.size(toks) >= 2, F.transform(
         F.sequence(F.lit(1), F.size(toks) - 1),
         lambda i: F.concat(F.get(toks, i - 1), F.lit(" "), F.get(toks, i)))
@@ -62,7 +65,7 @@ def terms(text: Column, spec: TermSpec) -> Column:
 
 
 def term_counts(arr: Column) -> Column:
-    """term -> count map of one document (narrow: no shuffle)."""
+    """term -> count map of a term-array *column* (narrow: no shuffle)."""
     return F.map_from_entries(F.transform(
         F.array_distinct(arr),
         lambda t: F.struct(t.alias("term"), F.size(F.filter(arr, lambda x: x == t)).cast("long").alias("tf"))))
@@ -70,9 +73,19 @@ def term_counts(arr: Column) -> Column:
 
 def doc_terms(df: DataFrame, id_col: str, text: Column, spec: TermSpec,
               keep: list[str] | None = None) -> DataFrame:
-    """(doc, term, tf) long table; one explode, no shuffle."""
-    return df.select(id_col, *(keep or []),
-                     F.explode(term_counts(terms(text, spec))).alias("term", "tf"))
+    """(doc, term, tf) long table; one explode, no shuffle.
+
+    Token arrays are projected as columns before any lambda uses them, so
+    the regex runs once per document (a lambda re-evaluates an inlined
+    expression for every element)."""
+    cols = [id_col, *(keep or [])]
+    t = df.select(*cols, unigrams(text, spec).alias("_u"))
+    if spec.bigrams:
+        t = t.select(*cols, with_bigrams(F.col("_u")).alias("_u"))
+    # explode_outer: a plain explode makes the optimizer infer size(x) > 0
+    # and push it below the projection, re-deriving the whole array there
+    out = t.select(*cols, F.explode_outer(term_counts(F.col("_u"))).alias("term", "tf"))
+    return out.where(F.col("term").isNotNull())
 
 
 def fit_vocab(dterms: DataFrame, k: int) -> DataFrame:

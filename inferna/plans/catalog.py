@@ -195,7 +195,8 @@ def q_parse_trees(spark, sf):
 SELECT sid AS sentence_id, CAST(id AS BIGINT) AS id, text, lemma, pos, CAST(head AS BIGINT) AS head, deprel
 FROM dep_edges"""))
 def q_dep_edges(spark, sf):
-    e = _parses(spark, sf).select("sentence_id", F.explode("dependency").alias("e"))
+    e = _parses(spark, sf).select("sentence_id", F.explode_outer("dependency").alias("e")) \
+        .where(F.col("e").isNotNull())
     return e.select("sentence_id", F.col("e.id").cast("long").alias("id"), "e.text", "e.lemma", "e.pos",
                     F.col("e.head").cast("long").alias("head"), "e.deprel")
 
@@ -207,13 +208,14 @@ _CONST_KEYS = ["tree_depth"] + [f"count_{p}" for p in P.PHRASES]
           + ", ".join(f"max(CASE WHEN k = '{k}' THEN v END) AS {k}" for k in _CONST_KEYS)
           + " FROM sfeat WHERE kind = 'const' GROUP BY sid"))
 def q_const_counts(spark, sf):
-    s = _sentence_feats(spark, sf).where(F.size("const") > 0)
+    parses = _parses(spark, sf).where(F.trim("constituency") != "")   # F17: blank tree -> no keys
+    s = features.sentence_features(parses)
     return s.select("sentence_id", *[F.col("const")[k].alias(k) for k in _CONST_KEYS])
 
 
 def _dep_counts(spark, sf, prefix, name):
-    s = _sentence_feats(spark, sf).select("sentence_id", F.explode("dep").alias("k", "v"))
-    s = s.where(F.col("k").startswith(prefix))
+    s = _sentence_feats(spark, sf).select("sentence_id", F.explode_outer("dep").alias("k", "v"))
+    s = s.where(F.col("k").isNotNull() & F.col("k").startswith(prefix))
     return s.select("sentence_id", F.substring("k", len(prefix) + 1, 1000).alias(name),
                     F.col("v").cast("long").alias("n"))
 
@@ -487,3 +489,51 @@ def q_weighted_prf(spark, sf):
           "SELECT dataset, roc_auc FROM (" + metrics_sql(_SYN_PRED_SQL, ["dataset"]) + ") m"))
 def q_auc_ovr_hard(spark, sf):
     return M.evaluate(_syn_pred(spark, sf), ["dataset"]).select("dataset", "roc_auc")
+
+
+# ---- TF-IDF (V3-V5) -------------------------------------------------------
+from inferna.plans.oracle import tfidf_sql  # noqa: E402
+
+_TFIDF_SIDE = V.TermSpec(max_features=5_000, bigrams=True, stop_words=True)     # V5: k/2 per side
+_TFIDF_SHARED = V.TermSpec(max_features=10_000, bigrams=True, stop_words=True)  # V4: shared
+
+
+def _tt(spark, sf):
+    train, test = grid.train_test(spark, sf)
+    return train, test, grid.datasets_of(train)
+
+
+@register("bigram_vocab", with_ctes(["vocab_prem"], "SELECT model, term, idx FROM vocab_prem"))
+def q_bigram_vocab(spark, sf):
+    train, _, dsets = _tt(spark, sf)
+    return grid.fit_vocabs(train, dsets, _TFIDF_SIDE, F.col("premise_text"))
+
+
+@register("tfidf_idf", with_ctes(["idf_prem"],
+          "SELECT model, term, idx, df, round(idf, 6) AS idf FROM idf_prem"))
+def q_tfidf_idf(spark, sf):
+    train, _, dsets = _tt(spark, sf)
+    idf = grid.fit_tfidf(train, dsets, _TFIDF_SIDE, F.col("premise_text"))
+    return idf.select("model", "term", "idx", F.col("df").cast("long").alias("df"), r6("idf").alias("idf"))
+
+
+@register("tfidf_l2", with_ctes(["idf_prem", "test_s"],
+          "SELECT model, doc_id, f, round(x, 6) AS x FROM ("
+          + tfidf_sql("idf_prem", "test_s", "premise_text", True, True, None) + ") q"))
+def q_tfidf_l2(spark, sf):
+    train, test, dsets = _tt(spark, sf)
+    idf = grid.fit_tfidf(train, dsets, _TFIDF_SIDE, F.col("premise_text"))
+    out = grid.tfidf_side(test, idf, _TFIDF_SIDE, "premise_text", None, own_model=False)
+    return out.withColumn("x", r6("x"))
+
+
+@register("shared_vocab_sides", with_ctes(["idf_shared", "test_s"],
+          "SELECT model, doc_id, f, round(x, 6) AS x FROM ("
+          + tfidf_sql("idf_shared", "test_s", "premise_text", True, True, 0) + " UNION ALL "
+          + tfidf_sql("idf_shared", "test_s", "hypothesis_text", True, True, 1) + ") q"))
+def q_shared_vocab_sides(spark, sf):
+    train, test, dsets = _tt(spark, sf)
+    idf = grid.fit_tfidf(train, dsets, _TFIDF_SHARED, T.pair_text(F.col("premise_text"), F.col("hypothesis_text")))
+    p = grid.tfidf_side(test, idf, _TFIDF_SHARED, "premise_text", 0, own_model=False)
+    h = grid.tfidf_side(test, idf, _TFIDF_SHARED, "hypothesis_text", 1, own_model=False)
+    return p.unionByName(h).withColumn("x", r6("x"))

@@ -9,7 +9,7 @@ is a handful of jobs whatever its size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inferna.functions.text import pair_text
@@ -93,3 +93,35 @@ def cross_dataset_matrix(pred: DataFrame, experiment: str) -> DataFrame:
     cells = pred.select(F.lit(experiment).alias("experiment"), F.col("dataset").alias("predict_dataset"),
                         F.col("model").alias("trained_dataset"), "y", "pred")
     return metrics.evaluate(cells, ["experiment", "predict_dataset", "trained_dataset"])
+
+
+def fit_tfidf(train: DataFrame, dsets: list[str], spec: V.TermSpec, text) -> DataFrame:
+    """V3 fit per training dataset: (model, term, idx, df, idf) with
+    idf = ln((1 + n_docs) / (1 + df)) + 1 over that dataset's sample."""
+    vocabs = fit_vocabs(train, dsets, spec, text)
+    n = vocabs.count()
+    if n > MAX_VOCAB_ROWS:
+        raise ValueError(f"{n} vocabulary rows exceed the broadcast bound")
+    dt = V.doc_terms(train, "pair_id", text, spec, keep=["dataset"])
+    dfreq = (dt.join(F.broadcast(vocabs), (dt.term == vocabs.term) & (dt.dataset == vocabs.model))
+             .groupBy("model", vocabs.term).agg(F.count(F.lit(1)).alias("df")))
+    ndocs = train.groupBy(F.col("dataset").alias("model")).agg(F.count(F.lit(1)).alias("n_docs"))
+    return (vocabs.join(dfreq, ["model", "term"], "left").join(F.broadcast(ndocs), "model")
+            .select("model", "term", "idx", F.coalesce("df", F.lit(0)).alias("df"),
+                    (F.log((F.col("n_docs") + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0).alias("idf")))
+
+
+def tfidf_side(df: DataFrame, idf: DataFrame, spec: V.TermSpec, text_col: str, side: int | None,
+               own_model: bool) -> DataFrame:
+    """V3 transform of one text column under every model (or the row's own
+    model): (model, doc_id, f, x) with x = tf*idf / ||tf*idf||_2 per doc.
+
+    f = idx when ``side`` is None, else 2 * idx + side (V4 blocks)."""
+    dt = V.doc_terms(df, "pair_id", F.col(text_col), spec, keep=["dataset"])
+    w = F.broadcast(idf.select("model", "term", "idx", "idf"))
+    j = (dt.join(w, (dt.term == w.term) & (dt.dataset == w.model)) if own_model
+         else dt.join(w, "term"))
+    val = F.col("tf") * F.col("idf")
+    norm = F.sqrt(F.sum(val * val).over(Window.partitionBy("model", "pair_id")))
+    f = F.col("idx") if side is None else F.col("idx") * 2 + side
+    return j.select("model", F.col("pair_id").alias("doc_id"), f.cast("int").alias("f"), (val / norm).alias("x"))

@@ -210,17 +210,34 @@ WHERE p.rk <= z.n""", ["vpairs", "strata"])
 cte("test_s", "SELECT * FROM vpairs WHERE split = 'test'", ["vpairs"])
 
 
-def vocab_sql(src: str, text: str, k: int, stop: bool = False, bigrams: bool = False) -> str:
-    toks = f"regexp_extract_all(lower({text}), {W2})"
+def stop_list_sql() -> str:
+    from inferna.operators.vectorize import STOP_WORDS
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS) + "]"
+
+
+def tok_sql(text: str, stop: bool = False) -> str:
+    """F21 tokens (+ stop filter) as a DuckDB list expression."""
+    toks = f"regexp_extract_all(lower(coalesce({text}, '')), {W2})"
     if stop:
-        toks = f"list_filter({toks}, lambda x: NOT list_contains(stop_list(), x))"
-    tt = (f"list_concat(tk, CASE WHEN len(tk) >= 2 THEN list_transform(generate_series(1, len(tk) - 1), "
-          f"lambda i: tk[i] || ' ' || tk[i + 1]) ELSE [] END)") if bigrams else "tk"
+        toks = f"list_filter({toks}, lambda x: NOT list_contains({stop_list_sql()}, x))"
+    return toks
+
+
+def grams_sql(tk: str, bigrams: bool) -> str:
+    """Unigrams (+ bigrams) of the token-list column ``tk``."""
+    if not bigrams:
+        return tk
+    return (f"list_concat({tk}, CASE WHEN len({tk}) >= 2 THEN list_transform(generate_series(1, len({tk}) - 1), "
+            f"lambda i: {tk}[i] || ' ' || {tk}[i + 1]) ELSE [] END)")
+
+
+def vocab_sql(src: str, text: str, k: int, stop: bool = False, bigrams: bool = False) -> str:
     return f"""
 SELECT model, term, tf_total, CAST(row_number() OVER (PARTITION BY model ORDER BY term) - 1 AS INTEGER) AS idx
 FROM (SELECT model, term, tf_total, row_number() OVER (PARTITION BY model ORDER BY tf_total DESC, term) AS r
   FROM (SELECT dataset AS model, term, count(*) AS tf_total FROM (
-          SELECT dataset, unnest({tt}) AS term FROM (SELECT dataset, {toks} AS tk FROM {src}) a) t
+          SELECT dataset, unnest({grams_sql('tk', bigrams)}) AS term
+          FROM (SELECT dataset, {tok_sql(text, stop)} AS tk FROM {src}) a) t
         GROUP BY dataset, term) b) c
 WHERE r <= {k}"""
 
@@ -330,3 +347,35 @@ SELECT {cl}, n_total AS n, {sel} FROM (
   SELECT {cl}, {', '.join(aggs)} FROM (
     SELECT {cl}, y, pred, count(*) AS n FROM {src} GROUP BY {cl}, y, pred) conf
   GROUP BY {cl}) a"""
+
+
+def idf_sql(vocab: str, src: str, text: str, stop: bool, bigrams: bool) -> str:
+    """V3 fit over ``src`` (one model per dataset) for vocabulary CTE ``vocab``."""
+    return f"""
+SELECT v.model, v.term, v.idx, CAST(coalesce(d.df, 0) AS BIGINT) AS df,
+       ln((n.n_docs + 1.0) / (coalesce(d.df, 0) + 1.0)) + 1.0 AS idf
+FROM {vocab} v
+LEFT JOIN (SELECT t.dataset AS model, t.term, count(*) AS df FROM (
+    SELECT DISTINCT pair_id, dataset, unnest({grams_sql('tk', bigrams)}) AS term
+    FROM (SELECT pair_id, dataset, {tok_sql(text, stop)} AS tk FROM {src}) a) t
+  GROUP BY t.dataset, t.term) d ON d.model = v.model AND d.term = v.term
+JOIN (SELECT dataset AS model, count(*) AS n_docs FROM {src} GROUP BY dataset) n ON n.model = v.model"""
+
+
+def tfidf_sql(idf: str, src: str, text: str, stop: bool, bigrams: bool, side: int | None) -> str:
+    f = "w.idx" if side is None else f"2 * w.idx + {side}"
+    return f"""
+SELECT model, doc_id, f, x / sqrt(sum(x * x) OVER (PARTITION BY model, doc_id)) AS x FROM (
+  SELECT w.model, t.pair_id AS doc_id, CAST({f} AS INTEGER) AS f, t.tf * w.idf AS x
+  FROM (SELECT pair_id, term, count(*) AS tf FROM (
+          SELECT pair_id, unnest({grams_sql('tk', bigrams)}) AS term
+          FROM (SELECT pair_id, {tok_sql(text, stop)} AS tk FROM {src}) a) u
+        GROUP BY pair_id, term) t
+  JOIN {idf} w ON w.term = t.term) z"""
+
+
+JOINED = "coalesce(premise_text, '') || ' ' || coalesce(hypothesis_text, '')"
+cte("vocab_prem", vocab_sql("train_s", "premise_text", 5000, True, True), ["train_s"])
+cte("idf_prem", idf_sql("vocab_prem", "train_s", "premise_text", True, True), ["vocab_prem", "train_s"])
+cte("vocab_shared", vocab_sql("train_s", JOINED, 10000, True, True), ["train_s"])
+cte("idf_shared", idf_sql("vocab_shared", "train_s", JOINED, True, True), ["vocab_shared", "train_s"])

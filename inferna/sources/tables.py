@@ -65,23 +65,23 @@ def nli_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     d = labelled_documents(spark, sf_dir)
     sents = F.split(F.col("text"), SENTENCE_SPLIT)
+    # (s[i], s[i+1]) pairs built inside the row, so an exploded row carries
+    # only its own two sentences (not the document's whole sentence array)
+    pairs = F.arrays_zip(sents.alias("p"), F.slice(sents, 2, F.greatest(F.size(sents) - 1, F.lit(1))).alias("h"))
+    pairs = F.slice(pairs, 1, F.greatest(F.size(sents) - 1, F.lit(1)))
     exploded = d.select(
         "doc_id",
         F.col("lang").alias("dataset"),
         split_of(F.col("doc_id")).alias("split"),
         (F.pmod(F.col("doc_id"), F.lit(3)) + 1).cast("int").alias("round"),
         label_of(F.col("quality"), F.col("toxic")).alias("label"),
-        sents.alias("s"),
-        F.posexplode(sents).alias("pos", "premise_text"),
-    )
-    return (exploded
-            .where(F.col("pos") < F.greatest(F.size("s") - 1, F.lit(1)))
-            .select(
-                F.concat_ws("_", "dataset", "split", F.col("doc_id").cast("string"),
-                            F.col("pos").cast("string")).alias("id"),
-                "dataset", "split", "round", "premise_text",
-                F.get(F.col("s"), F.col("pos") + 1).alias("hypothesis_text"),
-                "label"))
+        F.posexplode_outer(pairs).alias("pos", "ph"),
+    ).where(F.col("pos").isNotNull())
+    return exploded.select(
+        F.concat_ws("_", "dataset", "split", F.col("doc_id").cast("string"),
+                    F.col("pos").cast("string")).alias("id"),
+        "dataset", "split", "round", F.col("ph.p").alias("premise_text"),
+        F.col("ph.h").alias("hypothesis_text"), "label")
 
 
 def nli_raw_str(spark: SparkSession, sf_dir: str) -> DataFrame:
