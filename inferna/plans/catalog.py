@@ -537,3 +537,17 @@ def q_shared_vocab_sides(spark, sf):
     p = grid.tfidf_side(test, idf, _TFIDF_SHARED, "premise_text", 0, own_model=False)
     h = grid.tfidf_side(test, idf, _TFIDF_SHARED, "hypothesis_text", 1, own_model=False)
     return p.unionByName(h).withColumn("x", r6("x"))
+
+
+# ---- KNN (M5, M10) --------------------------------------------------------
+from inferna.plans.oracle import knn_sql  # noqa: E402
+
+
+@register("knn_cosine", knn_sql("cosine"))
+def q_knn_cosine(spark, sf):
+    return grid.knn_syntactic_grid(spark, sf, 5, "cosine")
+
+
+@register("knn_euclid", knn_sql("euclidean"))
+def q_knn_euclid(spark, sf):
+    return grid.knn_syntactic_grid(spark, sf, 5, "euclidean")

@@ -125,3 +125,56 @@ def tfidf_side(df: DataFrame, idf: DataFrame, spec: V.TermSpec, text_col: str, s
     norm = F.sqrt(F.sum(val * val).over(Window.partitionBy("model", "pair_id")))
     f = F.col("idx") if side is None else F.col("idx") * 2 + side
     return j.select("model", F.col("pair_id").alias("doc_id"), f.cast("int").alias("f"), (val / norm).alias("x"))
+
+
+def feature_train_test(spark: SparkSession, sf_dir: str, total_sample: int = 10_000):
+    """Feature table (text stats + syntactic map) of the valid pairs, the
+    stratified training sample of it, and the full test split."""
+    from inferna.operators.features import pair_features
+    feats = materialize(pair_features(src.nli_raw(spark, sf_dir)))
+    train = materialize(sample.stratified_sample(feats.where(F.col("split") == "train"), total_sample))
+    test = feats.where(F.col("split") == "test")
+    return train, test
+
+
+def syntactic_vectors(train: DataFrame, test: DataFrame, dsets: list[str], scale: str = "standard",
+                      marks: list[str] | None = None):
+    """P15 + V6/V8 per model: align the syntactic map to the model's fitted
+    feature list (missing -> 0) and scale with the model's training stats.
+    -> (train rows: model, train_id, label, vec; test rows: model, doc_id,
+    dataset, y, vec).  ``marks`` keeps only features of a group (P12)."""
+    from inferna.functions import parse as P
+    from inferna.operators.features import collect_feature_list
+    tr_parts, te_parts = [], []
+    for m in dsets:
+        tm = train.where(F.col("dataset") == m)
+        names = collect_feature_list(tm)
+        if marks is not None:
+            names = [n for n in names if P.group_of(n, marks)]
+        arr = P.align(F.col("syn"), names)
+        st = V.fit_scaler(tm.select(arr.alias("a")), "a", len(names))
+        if scale == "standard":
+            z = V.standard_scale(F.col("a"), st)
+        elif scale == "minmax":
+            z = V.minmax_scale(F.col("a"), st)
+        else:
+            z = F.col("a")
+        tr_parts.append(tm.select(F.lit(m).alias("model"), F.col("pair_id").alias("train_id"), "label",
+                                  arr.alias("a")).select("model", "train_id", "label", z.alias("vec")))
+        te_parts.append(test.select(F.lit(m).alias("model"), F.col("pair_id").alias("doc_id"), "dataset",
+                                    F.col("label").alias("y"), arr.alias("a"))
+                        .select("model", "doc_id", "dataset", "y", z.alias("vec")))
+    tr, te = tr_parts[0], te_parts[0]
+    for a, b in zip(tr_parts[1:], te_parts[1:]):
+        tr, te = tr.unionByName(a), te.unionByName(b)
+    return tr, te
+
+
+def knn_syntactic_grid(spark: SparkSession, sf_dir: str, k: int = 5, metric: str = "cosine",
+                       total_sample: int = 10_000, marks: list[str] | None = None) -> DataFrame:
+    """experiment-2: z-scored syntactic features -> exact KNN (k=5, cosine)."""
+    from inferna.operators.knn import knn_predict
+    train, test = feature_train_test(spark, sf_dir, total_sample)
+    dsets = datasets_of(train)
+    tr, te = syntactic_vectors(train, test, dsets, "standard", marks)
+    return knn_predict(tr, te, "vec", k, metric)

@@ -379,3 +379,46 @@ cte("vocab_prem", vocab_sql("train_s", "premise_text", 5000, True, True), ["trai
 cte("idf_prem", idf_sql("vocab_prem", "train_s", "premise_text", True, True), ["vocab_prem", "train_s"])
 cte("vocab_shared", vocab_sql("train_s", JOINED, 10000, True, True), ["train_s"])
 cte("idf_shared", idf_sql("vocab_shared", "train_s", JOINED, True, True), ["vocab_shared", "train_s"])
+
+
+# ---- KNN on z-scored syntactic features (M5) --------------------------------
+cte("knn_flist", """
+SELECT model, feature, row_number() OVER (PARTITION BY model ORDER BY feature) AS pos FROM (
+  SELECT DISTINCT t.dataset AS model, f.feature FROM train_s t JOIN pfeat f ON f.pair_id = t.pair_id) x""",
+    ["train_s", "pfeat"])
+cte("knn_trd", """
+SELECT l.model, t.pair_id, t.label, l.feature, l.pos, coalesce(f.value, 0) AS v
+FROM train_s t JOIN knn_flist l ON l.model = t.dataset
+LEFT JOIN pfeat f ON f.pair_id = t.pair_id AND f.feature = l.feature""", ["train_s", "knn_flist", "pfeat"])
+cte("knn_st", "SELECT model, feature, avg(v) AS mu, stddev_pop(v) AS sd FROM knn_trd GROUP BY model, feature",
+    ["knn_trd"])
+cte("knn_trv", """
+SELECT d.model, d.pair_id AS train_id, d.label,
+       list((d.v - s.mu) / CASE WHEN s.sd > 0 THEN s.sd ELSE 1 END ORDER BY d.pos) AS vec
+FROM knn_trd d JOIN knn_st s ON s.model = d.model AND s.feature = d.feature
+GROUP BY d.model, d.pair_id, d.label""", ["knn_trd", "knn_st"])
+cte("knn_tev", """
+SELECT l.model, t.pair_id AS doc_id, t.dataset, t.label AS y,
+       list((coalesce(f.value, 0) - s.mu) / CASE WHEN s.sd > 0 THEN s.sd ELSE 1 END ORDER BY l.pos) AS vec
+FROM test_s t CROSS JOIN knn_flist l
+JOIN knn_st s ON s.model = l.model AND s.feature = l.feature
+LEFT JOIN pfeat f ON f.pair_id = t.pair_id AND f.feature = l.feature
+GROUP BY l.model, t.pair_id, t.dataset, t.label""", ["test_s", "knn_flist", "knn_st", "pfeat"])
+
+
+def knn_sql(metric: str, k: int = 5) -> str:
+    if metric == "cosine":
+        d = ("CASE WHEN sqrt(list_dot_product(q.vec, q.vec)) * sqrt(list_dot_product(r.vec, r.vec)) > 0 "
+             "THEN 1 - list_dot_product(q.vec, r.vec) / (sqrt(list_dot_product(q.vec, q.vec)) "
+             "* sqrt(list_dot_product(r.vec, r.vec))) ELSE 1 END")
+    else:
+        d = "list_distance(q.vec, r.vec)"
+    return with_ctes(["knn_trv", "knn_tev"], f"""
+SELECT model, doc_id, dataset, y,
+  CASE WHEN c0 >= c1 AND c0 >= c2 THEN 0 WHEN c1 >= c2 THEN 1 ELSE 2 END AS pred
+FROM (SELECT model, doc_id, dataset, y, count_if(label = 0) AS c0, count_if(label = 1) AS c1,
+             count_if(label = 2) AS c2
+  FROM (SELECT q.model, q.doc_id, q.dataset, q.y, r.label,
+          row_number() OVER (PARTITION BY q.model, q.doc_id ORDER BY round({d}, 9), r.train_id) AS rk
+        FROM knn_tev q JOIN knn_trv r ON r.model = q.model) n
+  WHERE rk <= {k} GROUP BY model, doc_id, dataset, y) v""")
