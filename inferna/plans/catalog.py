@@ -551,3 +551,73 @@ def q_knn_cosine(spark, sf):
 @register("knn_euclid", knn_sql("euclidean"))
 def q_knn_euclid(spark, sf):
     return grid.knn_syntactic_grid(spark, sf, 5, "euclidean")
+
+
+# ---- embeddings (F19, P9, U5) and scalers (V6-V8, V12) ---------------------
+from inferna.functions import embed as E  # noqa: E402
+from inferna.plans.oracle import emb_sql, scaled_sql, checksum_sql  # noqa: E402
+
+
+@register("embedding_pair_features", emb_sql())
+def q_embedding_pair_features(spark, sf):
+    ep = src.embedding_pairs(spark, sf)
+    cols = E.embedding_pair_cols(F.col("premise_emb"), F.col("hypothesis_emb"))
+    return ep.select("pair_id", "label", *[F.round(c, 6).alias(c._jc.toString().split(" AS ")[-1].strip("`"))
+                                           for c in cols])
+
+
+@register("feature_blocks", with_ctes(["emb_pairs"], f"""
+SELECT pair_id, label, CAST(len(premise_emb) AS BIGINT) AS n_premise, CAST(len(hypothesis_emb) AS BIGINT) AS n_hypothesis,
+  round({checksum_sql('list_transform(premise_emb, lambda x: coalesce(CAST(x AS DOUBLE), 0))')}, 5) AS premise_checksum,
+  round({checksum_sql('list_transform(hypothesis_emb, lambda x: coalesce(CAST(x AS DOUBLE), 0))')}, 5) AS hypothesis_checksum
+FROM emb_pairs"""))
+def q_feature_blocks(spark, sf):
+    # Premise / hypothesis embedding blocks packed as array<double> + label
+    ep = src.embedding_pairs(spark, sf)
+    p = F.transform("premise_emb", lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
+    h = F.transform("hypothesis_emb", lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
+    blocks = ep.select("pair_id", "label", p.alias("pb"), h.alias("hb"))
+    return blocks.select("pair_id", "label", F.size("pb").cast("long").alias("n_premise"),
+                         F.size("hb").cast("long").alias("n_hypothesis"),
+                         F.round(E.positional_checksum(F.col("pb")), 5).alias("premise_checksum"),
+                         F.round(E.positional_checksum(F.col("hb")), 5).alias("hypothesis_checksum"))
+
+
+def _scaled(spark, sf, kind):
+    train, test = grid.feature_train_test(spark, sf)
+    dsets = grid.datasets_of(train)
+    scale = {"standard": "standard", "minmax": "minmax"}.get(kind, "none")
+    if kind == "nomean":
+        # V7: divide by the population std only
+        from inferna.functions import parse as P
+        from inferna.operators.features import collect_feature_list
+        parts = []
+        for m in dsets:
+            tm = train.where(F.col("dataset") == m)
+            names = collect_feature_list(tm)
+            arr = P.align(F.col("syn"), names)
+            st = V.fit_scaler(tm.select(arr.alias("a")), "a", len(names))
+            parts.append(test.select(F.lit(m).alias("model"), F.col("pair_id").alias("doc_id"), arr.alias("a"))
+                         .select("model", "doc_id", V.standard_scale(F.col("a"), st, with_mean=False).alias("vec")))
+        te = parts[0]
+        for p in parts[1:]:
+            te = te.unionByName(p)
+    else:
+        _, te = grid.syntactic_vectors(train, test, dsets, scale)
+    return te.select("model", "doc_id", F.round(E.positional_checksum(F.col("vec")), 5).alias("checksum"),
+                     F.size("vec").cast("long").alias("n_features"))
+
+
+@register("standard_scale", scaled_sql("standard"))
+def q_standard_scale(spark, sf):
+    return _scaled(spark, sf, "standard")
+
+
+@register("std_no_mean", scaled_sql("nomean"))
+def q_std_no_mean(spark, sf):
+    return _scaled(spark, sf, "nomean")
+
+
+@register("minmax_scale", scaled_sql("minmax"))
+def q_minmax_scale(spark, sf):
+    return _scaled(spark, sf, "minmax")

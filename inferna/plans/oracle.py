@@ -422,3 +422,42 @@ FROM (SELECT model, doc_id, dataset, y, count_if(label = 0) AS c0, count_if(labe
           row_number() OVER (PARTITION BY q.model, q.doc_id ORDER BY round({d}, 9), r.train_id) AS rk
         FROM knn_tev q JOIN knn_trv r ON r.model = q.model) n
   WHERE rk <= {k} GROUP BY model, doc_id, dataset, y) v""")
+
+
+# ---- embeddings (F19, P9) ------------------------------------------------------
+cte("emb_pairs", """
+SELECT a.vec_id AS pair_id, a.embedding AS premise_emb, b.embedding AS hypothesis_emb, a.label
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+
+
+def emb_sql() -> str:
+    cols = []
+    for j in range(10):
+        p, h = f"coalesce(CAST(premise_emb[{j + 1}] AS DOUBLE), 0)", f"coalesce(CAST(hypothesis_emb[{j + 1}] AS DOUBLE), 0)"
+        cols += [f"round({p}, 6) AS premise_cls_bert_{j}", f"round({h}, 6) AS hypothesis_cls_bert_{j}",
+                 f"round({p} - {h}, 6) AS diff_bert_{j}", f"round({p} * {h}, 6) AS prod_bert_{j}"]
+    return with_ctes(["emb_pairs"], "SELECT pair_id, label, " + ", ".join(cols) + " FROM emb_pairs")
+
+
+def checksum_sql(vec: str) -> str:
+    return f"list_sum(list_transform({vec}, lambda x, i: x * i))"
+
+
+def scaled_sql(kind: str) -> str:
+    """V6 (standard), V7 (no mean), V8 (min-max) of the test split with the
+    training sample's per-model statistics; one checksum per (model, doc)."""
+    if kind == "standard":
+        z = "(coalesce(f.value, 0) - s.mu) / CASE WHEN s.sd > 0 THEN s.sd ELSE 1 END"
+    elif kind == "nomean":
+        z = "coalesce(f.value, 0) / CASE WHEN s.sd > 0 THEN s.sd ELSE 1 END"
+    else:
+        z = "CASE WHEN s.hi - s.lo > 0 THEN (coalesce(f.value, 0) - s.lo) / (s.hi - s.lo) ELSE 0.0 END"
+    return with_ctes(["knn_trd", "knn_flist", "test_s", "pfeat"], f"""
+, st AS (SELECT model, feature, avg(v) AS mu, stddev_pop(v) AS sd, min(v) AS lo, max(v) AS hi
+         FROM knn_trd GROUP BY model, feature)
+SELECT model, doc_id, round({checksum_sql('vec')}, 5) AS checksum, CAST(len(vec) AS BIGINT) AS n_features FROM (
+  SELECT l.model, t.pair_id AS doc_id, list({z} ORDER BY l.pos) AS vec
+  FROM test_s t CROSS JOIN knn_flist l
+  JOIN st s ON s.model = l.model AND s.feature = l.feature
+  LEFT JOIN pfeat f ON f.pair_id = t.pair_id AND f.feature = l.feature
+  GROUP BY l.model, t.pair_id) q""")
