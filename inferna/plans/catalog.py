@@ -585,25 +585,7 @@ def q_feature_blocks(spark, sf):
 
 def _scaled(spark, sf, kind):
     train, test = grid.feature_train_test(spark, sf)
-    dsets = grid.datasets_of(train)
-    scale = {"standard": "standard", "minmax": "minmax"}.get(kind, "none")
-    if kind == "nomean":
-        # V7: divide by the population std only
-        from inferna.functions import parse as P
-        from inferna.operators.features import collect_feature_list
-        parts = []
-        for m in dsets:
-            tm = train.where(F.col("dataset") == m)
-            names = collect_feature_list(tm)
-            arr = P.align(F.col("syn"), names)
-            st = V.fit_scaler(tm.select(arr.alias("a")), "a", len(names))
-            parts.append(test.select(F.lit(m).alias("model"), F.col("pair_id").alias("doc_id"), arr.alias("a"))
-                         .select("model", "doc_id", V.standard_scale(F.col("a"), st, with_mean=False).alias("vec")))
-        te = parts[0]
-        for p in parts[1:]:
-            te = te.unionByName(p)
-    else:
-        _, te = grid.syntactic_vectors(train, test, dsets, scale)
+    _, te = grid.syntactic_vectors(train, test, grid.datasets_of(train), kind)
     return te.select("model", "doc_id", F.round(E.positional_checksum(F.col("vec")), 5).alias("checksum"),
                      F.size("vec").cast("long").alias("n_features"))
 

@@ -137,37 +137,74 @@ def feature_train_test(spark: SparkSession, sf_dir: str, total_sample: int = 10_
     return train, test
 
 
+def fit_feature_lists(train: DataFrame, marks: list[str] | None = None,
+                      limit: int = 1_000_000) -> dict[str, list[str]]:
+    """P15 fit for every model at once: model -> sorted feature names seen in
+    its training rows (one job; bounded by models x tag vocabulary)."""
+    from inferna.functions import parse as P
+    rows = (train.select(F.col("dataset").alias("model"), F.explode_outer(F.map_keys("syn")).alias("feature"))
+            .where(F.col("feature").isNotNull()).distinct().limit(limit + 1).collect())
+    if len(rows) > limit:
+        raise ValueError("too many distinct features to collect")
+    out: dict[str, list[str]] = {}
+    for r in rows:
+        if marks is None or P.group_of(r.feature, marks):
+            out.setdefault(r.model, []).append(r.feature)
+    return {m: sorted(v) for m, v in out.items()}
+
+
+def fit_scalers(aligned: DataFrame) -> dict[str, dict[str, list[float]]]:
+    """V6-V8 fit for every model at once: per (model, position) mean,
+    population std, min and max of ``a`` (one aggregation job)."""
+    rows = (aligned.select("model", F.posexplode_outer("a").alias("pos", "v")).where(F.col("pos").isNotNull())
+            .groupBy("model", "pos").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"),
+                                         F.min("v").alias("lo"), F.max("v").alias("hi")).collect())
+    out: dict[str, dict[str, list[float]]] = {}
+    for r in sorted(rows, key=lambda r: (r.model, r.pos)):
+        d = out.setdefault(r.model, {"mean": [], "std": [], "min": [], "max": []})
+        d["mean"].append(float(r.m or 0.0))
+        d["std"].append(float(r.s or 0.0))
+        d["min"].append(float(r.lo or 0.0))
+        d["max"].append(float(r.hi or 0.0))
+    return out
+
+
 def syntactic_vectors(train: DataFrame, test: DataFrame, dsets: list[str], scale: str = "standard",
                       marks: list[str] | None = None):
-    """P15 + V6/V8 per model: align the syntactic map to the model's fitted
-    feature list (missing -> 0) and scale with the model's training stats.
-    -> (train rows: model, train_id, label, vec; test rows: model, doc_id,
-    dataset, y, vec).  ``marks`` keeps only features of a group (P12)."""
+    """P15 + V6/V7/V8 per model: align the syntactic map to the model's
+    fitted feature list (missing -> 0) and scale with the model's training
+    statistics.  -> (train rows: model, train_id, label, vec; test rows:
+    model, doc_id, dataset, y, vec).  ``marks`` keeps one feature group (P12).
+    scale: standard | nomean | minmax | none."""
     from inferna.functions import parse as P
-    from inferna.operators.features import collect_feature_list
-    tr_parts, te_parts = [], []
+    lists = fit_feature_lists(train, marks)
+    tr_al = te_al = None
     for m in dsets:
-        tm = train.where(F.col("dataset") == m)
-        names = collect_feature_list(tm)
-        if marks is not None:
-            names = [n for n in names if P.group_of(n, marks)]
-        arr = P.align(F.col("syn"), names)
-        st = V.fit_scaler(tm.select(arr.alias("a")), "a", len(names))
-        if scale == "standard":
-            z = V.standard_scale(F.col("a"), st)
-        elif scale == "minmax":
-            z = V.minmax_scale(F.col("a"), st)
-        else:
-            z = F.col("a")
-        tr_parts.append(tm.select(F.lit(m).alias("model"), F.col("pair_id").alias("train_id"), "label",
-                                  arr.alias("a")).select("model", "train_id", "label", z.alias("vec")))
-        te_parts.append(test.select(F.lit(m).alias("model"), F.col("pair_id").alias("doc_id"), "dataset",
-                                    F.col("label").alias("y"), arr.alias("a"))
-                        .select("model", "doc_id", "dataset", "y", z.alias("vec")))
-    tr, te = tr_parts[0], te_parts[0]
-    for a, b in zip(tr_parts[1:], te_parts[1:]):
-        tr, te = tr.unionByName(a), te.unionByName(b)
-    return tr, te
+        arr = P.align(F.col("syn"), lists.get(m, []))
+        t = train.where(F.col("dataset") == m).select(
+            F.lit(m).alias("model"), F.col("pair_id").alias("train_id"), "label", arr.alias("a"))
+        q = test.select(F.lit(m).alias("model"), F.col("pair_id").alias("doc_id"), "dataset",
+                        F.col("label").alias("y"), arr.alias("a"))
+        tr_al = t if tr_al is None else tr_al.unionByName(t)
+        te_al = q if te_al is None else te_al.unionByName(q)
+    stats = fit_scalers(tr_al) if scale != "none" else {}
+
+    def scaled(df: DataFrame) -> DataFrame:
+        parts = None
+        for m in dsets:
+            st = stats.get(m, {"mean": [], "std": [], "min": [], "max": []})
+            if scale == "standard":
+                z = V.standard_scale(F.col("a"), st)
+            elif scale == "nomean":
+                z = V.standard_scale(F.col("a"), st, with_mean=False)
+            elif scale == "minmax":
+                z = V.minmax_scale(F.col("a"), st)
+            else:
+                z = F.col("a")
+            p = df.where(F.col("model") == m).withColumn("vec", z).drop("a")
+            parts = p if parts is None else parts.unionByName(p)
+        return parts
+    return scaled(tr_al), scaled(te_al)
 
 
 def knn_syntactic_grid(spark: SparkSession, sf_dir: str, k: int = 5, metric: str = "cosine",
