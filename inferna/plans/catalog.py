@@ -603,3 +603,13 @@ def q_std_no_mean(spark, sf):
 @register("minmax_scale", scaled_sql("minmax"))
 def q_minmax_scale(spark, sf):
     return _scaled(spark, sf, "minmax")
+
+
+# ---- experiment-4 (M7) ------------------------------------------------------
+from inferna.plans.oracle import nb_pred_sql  # noqa: E402
+
+
+@register("mnb_syntactic", with_ctes(["m7_tr", "m7_te", "m7_nf", "test_s", "train_s"],
+                                     nb_pred_sql("m7_tr", "m7_te", "m7_nf")))
+def q_mnb_syntactic(spark, sf):
+    return grid.nb_bow_syntactic_grid(spark, sf)

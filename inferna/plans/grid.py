@@ -215,3 +215,57 @@ def knn_syntactic_grid(spark: SparkSession, sf_dir: str, k: int = 5, metric: str
     dsets = datasets_of(train)
     tr, te = syntactic_vectors(train, test, dsets, "standard", marks)
     return knn_predict(tr, te, "vec", k, metric)
+
+
+def _bow_block(df: DataFrame, vocabs: DataFrame, spec: V.TermSpec, text_col: str, offset: int,
+               own_model: bool, keep: list[str]) -> DataFrame:
+    dt = V.doc_terms(df, "pair_id", F.col(text_col), spec, keep=["dataset", *keep])
+    v = F.broadcast(vocabs)
+    j = (dt.join(v, (dt.term == v.term) & (dt.dataset == v.model)) if own_model else dt.join(v, "term"))
+    return j.select("model", F.col("pair_id").alias("doc_id"), *keep,
+                    (F.col("idx") + offset).cast("int").alias("f"), F.col("tf").cast("double").alias("x"))
+
+
+SYN_OFFSET = 1 << 24   # feature-id offsets of the blocks (NB is order-free)
+HYP_OFFSET = 1 << 23
+
+
+def nb_bow_syntactic_grid(spark: SparkSession, sf_dir: str, max_features: int = 10_000, alpha: float = 1.0,
+                          total_sample: int = 10_000) -> DataFrame:
+    """experiment-4: premise BoW (k/2, English stop words) + hypothesis BoW
+    (k/2, own vocabulary) + min-max scaled syntactic features (V5+V8+V9)
+    -> multinomial NB per training dataset, scored on every test split."""
+    train, test = feature_train_test(spark, sf_dir, total_sample)
+    dsets = datasets_of(train)
+    spec = V.TermSpec(max_features=max_features // 2, stop_words=True)
+    vp = fit_vocabs(train, dsets, spec, F.col("premise_text"))
+    vh = fit_vocabs(train, dsets, spec, F.col("hypothesis_text"))
+    for v in (vp, vh):
+        if v.count() > MAX_VOCAB_ROWS:
+            raise ValueError("vocabulary rows exceed the broadcast bound")
+    tr_syn, te_syn = syntactic_vectors(train, test, dsets, "minmax")
+
+    def syn_long(df: DataFrame, keep: list[str]) -> DataFrame:
+        e = df.select("model", F.col(keep[0]).alias("doc_id"), *keep[1:],
+                      F.posexplode_outer("vec").alias("pos", "x"))
+        return e.where(F.col("pos").isNotNull() & (F.col("x") != 0)).select(
+            "model", "doc_id", *keep[1:], (F.col("pos") + SYN_OFFSET).cast("int").alias("f"), "x")
+
+    tr_feats = (_bow_block(train, vp, spec, "premise_text", 0, True, ["label"])
+                .unionByName(_bow_block(train, vh, spec, "hypothesis_text", HYP_OFFSET, True, ["label"]))
+                .unionByName(syn_long(tr_syn, ["train_id", "label"])))
+    te_feats = (_bow_block(test, vp, spec, "premise_text", 0, False, [])
+                .unionByName(_bow_block(test, vh, spec, "hypothesis_text", HYP_OFFSET, False, []))
+                .unionByName(syn_long(te_syn, ["doc_id"])))
+    n_syn = tr_syn.groupBy("model").agg(F.max(F.size("vec")).alias("n_syn"))
+    n_features = (vp.groupBy("model").agg(F.count(F.lit(1)).alias("np_"))
+                  .join(vh.groupBy("model").agg(F.count(F.lit(1)).alias("nh_")), "model", "full")
+                  .join(n_syn, "model", "full")
+                  .select("model", (F.coalesce("np_", F.lit(0)) + F.coalesce("nh_", F.lit(0))
+                                    + F.coalesce("n_syn", F.lit(0))).alias("n_features")))
+    tr_docs = train.select(F.col("dataset").alias("model"), F.col("pair_id").alias("doc_id"), "label")
+    classes, fmodel = nb.fit(tr_feats, tr_docs, n_features, ["model"], alpha)
+    models = F.array(*[F.lit(d) for d in dsets])
+    te_docs = test.select(F.explode(models).alias("model"), F.col("pair_id").alias("doc_id"),
+                          "dataset", F.col("label").alias("y"))
+    return nb.predict(te_feats, te_docs, classes, fmodel, ["model"], ["doc_id", "dataset", "y"])

@@ -461,3 +461,82 @@ SELECT model, doc_id, round({checksum_sql('vec')}, 5) AS checksum, CAST(len(vec)
   JOIN st s ON s.model = l.model AND s.feature = l.feature
   LEFT JOIN pfeat f ON f.pair_id = t.pair_id AND f.feature = l.feature
   GROUP BY l.model, t.pair_id) q""")
+
+
+# ---- experiment-4: BoW per side + min-max syntactic -> NB -----------------------
+cte("vocab_p5", vocab_sql("train_s", "premise_text", 5000, True, False), ["train_s"])
+cte("vocab_h5", vocab_sql("train_s", "hypothesis_text", 5000, True, False), ["train_s"])
+cte("mm_st", "SELECT model, feature, min(v) AS lo, max(v) AS hi FROM knn_trd GROUP BY model, feature", ["knn_trd"])
+
+
+def _bow_side_sql(src: str, vocab: str, text: str, offset: int, own: bool, extra: str) -> str:
+    on = "v.term = s.term AND v.model = s.dataset" if own else "v.term = s.term"
+    return f"""
+SELECT v.model, s.pair_id AS doc_id, {extra} CAST(v.idx + {offset} AS INTEGER) AS f, CAST(s.tf AS DOUBLE) AS x
+FROM (SELECT pair_id, dataset, {extra} term, count(*) AS tf FROM (
+        SELECT pair_id, dataset, {extra} unnest({tok_sql(text, True)}) AS term FROM {src}) u
+      GROUP BY ALL) s
+JOIN {vocab} v ON {on}"""
+
+
+def _syn_mm_sql(src: str, own: bool, extra: str) -> str:
+    on = "l.model = t.dataset" if own else "TRUE"
+    z = "CASE WHEN s.hi - s.lo > 0 THEN (coalesce(f.value, 0) - s.lo) / (s.hi - s.lo) ELSE 0.0 END"
+    return f"""
+SELECT * FROM (
+  SELECT l.model, t.pair_id AS doc_id, {extra} CAST(l.pos - 1 + {1 << 24} AS INTEGER) AS f, {z} AS x
+  FROM {src} t JOIN knn_flist l ON {on}
+  JOIN mm_st s ON s.model = l.model AND s.feature = l.feature
+  LEFT JOIN pfeat f ON f.pair_id = t.pair_id AND f.feature = l.feature) q WHERE x <> 0"""
+
+
+cte("m7_tr", " UNION ALL ".join([
+    _bow_side_sql("train_s", "vocab_p5", "premise_text", 0, True, "label,"),
+    _bow_side_sql("train_s", "vocab_h5", "hypothesis_text", 1 << 23, True, "label,"),
+    _syn_mm_sql("train_s", True, "t.label,")]), ["train_s", "vocab_p5", "vocab_h5", "knn_flist", "mm_st", "pfeat"])
+cte("m7_te", " UNION ALL ".join([
+    _bow_side_sql("test_s", "vocab_p5", "premise_text", 0, False, ""),
+    _bow_side_sql("test_s", "vocab_h5", "hypothesis_text", 1 << 23, False, ""),
+    _syn_mm_sql("test_s", False, "")]), ["test_s", "vocab_p5", "vocab_h5", "knn_flist", "mm_st", "pfeat"])
+cte("m7_nf", """
+SELECT m.model, coalesce(a.n, 0) + coalesce(b.n, 0) + coalesce(c.n, 0) AS n_features
+FROM (SELECT DISTINCT dataset AS model FROM train_s) m
+LEFT JOIN (SELECT model, count(*) AS n FROM vocab_p5 GROUP BY model) a ON a.model = m.model
+LEFT JOIN (SELECT model, count(*) AS n FROM vocab_h5 GROUP BY model) b ON b.model = m.model
+LEFT JOIN (SELECT model, count(*) AS n FROM knn_flist GROUP BY model) c ON c.model = m.model""",
+    ["train_s", "vocab_p5", "vocab_h5", "knn_flist"])
+
+
+def nb_pred_sql(tr: str, te: str, nf: str, alpha: float = 1.0) -> str:
+    """Relational multinomial NB over long feature CTEs (fit + argmax)."""
+    return f"""
+, cls AS (
+  SELECT c.model, c.label, ln(c.n_c / sum(c.n_c) OVER (PARTITION BY c.model)) AS log_prior,
+         ln({alpha} / (coalesce(n.tot, 0) + {alpha} * nf.n_features)) AS base
+  FROM (SELECT dataset AS model, label, count(*) AS n_c FROM train_s GROUP BY dataset, label) c
+  LEFT JOIN (SELECT model, label, sum(x) AS tot FROM {tr} GROUP BY model, label) n
+    ON n.model = c.model AND n.label = c.label
+  JOIN {nf} nf ON nf.model = c.model),
+fm AS (
+  SELECT model, f, sum(CASE WHEN label = 0 THEN d ELSE 0 END) AS d0, sum(CASE WHEN label = 1 THEN d ELSE 0 END) AS d1,
+         sum(CASE WHEN label = 2 THEN d ELSE 0 END) AS d2
+  FROM (SELECT model, label, f, ln(sum(x) + {alpha}) - ln({alpha}) AS d FROM {tr} GROUP BY model, label, f) t
+  GROUP BY model, f),
+cw AS (
+  SELECT model, max(CASE WHEN label = 0 THEN log_prior END) AS prior0, max(CASE WHEN label = 1 THEN log_prior END) AS prior1,
+         max(CASE WHEN label = 2 THEN log_prior END) AS prior2, max(CASE WHEN label = 0 THEN base END) AS base0,
+         max(CASE WHEN label = 1 THEN base END) AS base1, max(CASE WHEN label = 2 THEN base END) AS base2
+  FROM cls GROUP BY model)
+SELECT model, doc_id, dataset, y, CASE WHEN sc0 = best THEN 0 WHEN sc1 = best THEN 1 WHEN sc2 = best THEN 2 END AS pred
+FROM (SELECT *, greatest(sc0, sc1, sc2) AS best FROM (
+  SELECT d.model, d.doc_id, d.dataset, d.y,
+    c.prior0 + coalesce(s.S, 0) * c.base0 + coalesce(s.s0, 0) AS sc0,
+    c.prior1 + coalesce(s.S, 0) * c.base1 + coalesce(s.s1, 0) AS sc1,
+    c.prior2 + coalesce(s.S, 0) * c.base2 + coalesce(s.s2, 0) AS sc2
+  FROM (SELECT m.model, t.pair_id AS doc_id, t.dataset, t.label AS y
+        FROM test_s t CROSS JOIN (SELECT DISTINCT dataset AS model FROM train_s) m) d
+  LEFT JOIN (SELECT f.model, f.doc_id, sum(f.x) AS S, sum(f.x * coalesce(m.d0, 0)) AS s0,
+                    sum(f.x * coalesce(m.d1, 0)) AS s1, sum(f.x * coalesce(m.d2, 0)) AS s2
+             FROM {te} f LEFT JOIN fm m ON m.model = f.model AND m.f = f.f
+             GROUP BY f.model, f.doc_id) s ON s.model = d.model AND s.doc_id = d.doc_id
+  JOIN cw c ON c.model = d.model) a) b"""
