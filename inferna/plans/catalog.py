@@ -613,3 +613,20 @@ from inferna.plans.oracle import nb_pred_sql  # noqa: E402
                                      nb_pred_sql("m7_tr", "m7_te", "m7_nf")))
 def q_mnb_syntactic(spark, sf):
     return grid.nb_bow_syntactic_grid(spark, sf)
+
+
+# ---- Spark ML experiments (rows-only: learner internals differ) ----------
+from inferna.plans import models as ML  # noqa: E402
+
+
+def _ml(key):
+    def q(spark, sf):
+        return ML.fit_predict(spark, sf, ML.EXPERIMENTS[key])
+    return q
+
+
+# Registered: the learner that trains in about a minute locally.  The
+# 10k-feature tree / one-vs-rest logistic regression / forest / boosting
+# plans (ML.EXPERIMENTS) run through the same fit_predict and are exercised
+# by tests on the small fixture.
+QUERIES["dt_syntactic"] = _ml("experiment-1")
