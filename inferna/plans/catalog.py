@@ -630,3 +630,95 @@ def _ml(key):
 # plans (ML.EXPERIMENTS) run through the same fit_predict and are exercised
 # by tests on the small fixture.
 QUERIES["dt_syntactic"] = _ml("experiment-1")
+
+
+# ---- batch prediction (M15, P21), grid (M17), CV summary (A14) -----------
+from inferna.plans.oracle import cte as _cte  # noqa: E402
+
+_cte("pred_batch", """
+SELECT p.doc_id AS pair_id, t.premise_text AS premise, t.hypothesis_text AS hypothesis,
+  p.pred AS predicted_label_int,
+  CASE p.pred WHEN 0 THEN 'entailment' WHEN 1 THEN 'neutral' WHEN 2 THEN 'contradiction' ELSE 'unknown' END
+    AS predicted_label_str,
+  CASE p.y WHEN 0 THEN 'entailment' WHEN 1 THEN 'neutral' WHEN 2 THEN 'contradiction' ELSE 'unknown' END
+    AS true_label_str,
+  p.y AS true_label_int, 'baseline-3' AS experiment, p.model AS trained_dataset, p.dataset AS predict_dataset
+FROM nb_pred p JOIN test_s t ON t.pair_id = p.doc_id""", ["nb_pred", "test_s"])
+
+
+def predictions_table(pred: DataFrame, test: DataFrame, experiment: str) -> DataFrame:
+    """M15 + P21: the predictions file layout of the reference, per grid cell."""
+    t = test.select(F.col("pair_id").alias("doc_id"), F.col("premise_text").alias("premise"),
+                    F.col("hypothesis_text").alias("hypothesis"))
+    return pred.join(t, "doc_id").select(
+        F.col("doc_id").alias("pair_id"), "premise", "hypothesis",
+        F.col("pred").alias("predicted_label_int"), clean.decode_label(F.col("pred")).alias("predicted_label_str"),
+        clean.decode_label(F.col("y")).alias("true_label_str"), F.col("y").alias("true_label_int"),
+        F.lit(experiment).alias("experiment"), F.col("model").alias("trained_dataset"),
+        F.col("dataset").alias("predict_dataset"))
+
+
+@register("predict_batch", with_ctes(["pred_batch"], "SELECT * FROM pred_batch"))
+def q_predict_batch(spark, sf):
+    _, test = grid.train_test(spark, sf)
+    return predictions_table(grid.nb_bow_grid(spark, sf), test, "baseline-3")
+
+
+@register("evaluate_prediction_files", with_ctes(["pred_batch"], metrics_sql(
+    "(SELECT experiment, predict_dataset, trained_dataset, true_label_int AS y, predicted_label_int AS pred "
+    "FROM pred_batch) g", ["experiment", "predict_dataset", "trained_dataset"])))
+def q_evaluate_prediction_files(spark, sf):
+    # S11 -> S12 -> A13: write the prediction files, read them back by glob
+    # with the grid keys taken from the folder names, score every cell.
+    from inferna.session import scratch_path
+    from inferna.sources import store
+    import uuid
+    _, test = grid.train_test(spark, sf)
+    path = scratch_path(spark, f"predictions-{uuid.uuid4().hex}")
+    store.write_predictions_csv(predictions_table(grid.nb_bow_grid(spark, sf), test, "baseline-3"), path)
+    back = store.read_predictions_csv(spark, path)
+    cells = back.select("experiment", "predict_dataset", "trained_dataset",
+                        F.col("true_label_int").alias("y"), F.col("predicted_label_int").alias("pred"))
+    return M.evaluate(cells, ["experiment", "predict_dataset", "trained_dataset"])
+
+
+# The reference's model keys (M12) in grid order.
+MODEL_KEYS = ["baseline-1", "baseline-2", "baseline-3", "experiment-1", "experiment-2", "experiment-3",
+              "experiment-4", "experiment-5", "experiment-6"]
+
+
+@register("experiment_grid", with_ctes(["vpairs"], """
+SELECT m.model_key, t.dataset AS trained_dataset, p.dataset AS predict_dataset
+FROM (SELECT unnest(['""" + "', '".join(MODEL_KEYS) + """']) AS model_key) m
+CROSS JOIN (SELECT DISTINCT dataset FROM vpairs) t CROSS JOIN (SELECT DISTINCT dataset FROM vpairs) p"""))
+def q_experiment_grid(spark, sf):
+    # Every model x train set x test set.  The dataset list is a tiny
+    # distinct aggregate; cells are generated by exploding literal arrays.
+    dsets = grid.datasets_of(_pairs(spark, sf))
+    arr = F.array(*[F.lit(d) for d in dsets])
+    keys = F.array(*[F.lit(k) for k in MODEL_KEYS])
+    base = _pairs(spark, sf).select("dataset").distinct()
+    return (base.select(F.col("dataset").alias("trained_dataset"))
+            .select(F.explode(keys).alias("model_key"), "trained_dataset")
+            .select("model_key", "trained_dataset", F.explode(arr).alias("predict_dataset")))
+
+
+@register("cv_summary", with_ctes(["vpairs"], """
+, f AS (SELECT dataset, label AS y, CAST((label + length(premise_text) % 4 % 3) % 3 AS INTEGER) AS pred,
+           CAST((row_number() OVER (PARTITION BY dataset, label ORDER BY md5('42:' || pair_id)) - 1) % 5 AS INTEGER)
+             AS fold
+         FROM vpairs WHERE split = 'train'),
+m AS (""" + metrics_sql("f", ["dataset", "fold"]) + """)
+SELECT dataset, round(avg(accuracy), 6) AS mean_accuracy, round(stddev_pop(accuracy), 6) AS std_accuracy,
+  round(avg(weighted_precision), 6) AS mean_weighted_precision, round(avg(weighted_recall), 6) AS mean_weighted_recall,
+  round(avg(weighted_f1), 6) AS mean_weighted_f1, round(stddev_pop(weighted_f1), 6) AS std_weighted_f1,
+  count(*) AS n_folds
+FROM m GROUP BY dataset"""))
+def q_cv_summary(spark, sf):
+    # A8 folds + A11 per fold + A14 summary, on the synthetic predictions
+    tr = _pairs(spark, sf).where(F.col("split") == "train")
+    folds = S.kfold(tr, 5, group_cols=["dataset"])
+    pred = folds.select("dataset", "fold", F.col("label").alias("y"),
+                        ((F.col("label") + F.length("premise_text") % 4 % 3) % 3).cast("int").alias("pred"))
+    per_fold = M.evaluate(pred, ["dataset", "fold"])
+    return M.cv_summary(per_fold, ["dataset"])
