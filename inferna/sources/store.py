@@ -22,9 +22,11 @@ def _path(base: str, table: str) -> str:
 
 
 def exists(spark: SparkSession, base: str, table: str) -> bool:
-    """S7 probe: a completed write leaves a _SUCCESS marker."""
+    """S7 probe: the table folder exists.  Writes commit through Spark's
+    staging folder (dynamic partition overwrite), so a failed job leaves no
+    partial partitions behind in it."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(_path(base, table) + "/_SUCCESS")
+    p = jvm.org.apache.hadoop.fs.Path(_path(base, table))
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(p))
 

@@ -63,7 +63,13 @@ def nli_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     round = doc_id % 3 + 1, label from ``labels`` (toxic -> 2, quality 1 -> 0,
     quality 0 -> 1, unlabelled -> -1).  Purely narrow after the label join.
     """
-    d = labelled_documents(spark, sf_dir)
+    return pairs_from_documents(labelled_documents(spark, sf_dir))
+
+
+def pairs_from_documents(d: DataFrame) -> DataFrame:
+    """documents (doc_id, text, lang, quality, toxic) -> sentence pairs.
+
+    A projection + explode only, so it also runs on a streaming frame."""
     sents = F.split(F.col("text"), SENTENCE_SPLIT)
     # (s[i], s[i+1]) pairs built inside the row, so an exploded row carries
     # only its own two sentences (not the document's whole sentence array)
