@@ -57,22 +57,27 @@ def _block_topk(bc, k: int, metric: str, vec_col: str):
                 if len(ids) == 0:
                     continue
                 q = np.stack(grp[vec_col].to_numpy()).astype(np.float64)
-                out_doc, out_ds, out_y, out_id, out_lab, out_d = [], [], [], [], [], []
+                n = len(ids)
+                kk = min(k, n)
+                doc = grp["doc_id"].to_numpy()
+                ds = grp["dataset"].to_numpy()
+                yy = grp["y"].to_numpy()
+                sel_rows, sel_cols, sel_d = [], [], []
                 for s in range(0, len(q), 256):
                     d = _distances(q[s:s + 256], x, xn, metric)
-                    kk = min(k, d.shape[1])
-                    for r in range(d.shape[0]):
-                        row = d[r]
-                        kth = np.partition(row, kk - 1)[kk - 1]
-                        cand = np.nonzero(row <= kth)[0]          # all ties at the boundary
-                        order = np.lexsort((rank[cand], row[cand]))[:kk]
-                        sel = cand[order]
-                        out_doc += [grp["doc_id"].iat[s + r]] * len(sel)
-                        out_ds += [grp["dataset"].iat[s + r]] * len(sel)
-                        out_y += [grp["y"].iat[s + r]] * len(sel)
-                        out_id += list(ids[sel])
-                        out_lab += list(labels[sel])
-                        out_d += list(row[sel])
+                    # exact total order (rounded distance, training-id rank) as one int64 key
+                    key = np.rint(d * 1e9).astype(np.int64) * n + rank[None, :]
+                    part = np.argpartition(key, kk - 1, axis=1)[:, :kk]
+                    pk = np.take_along_axis(key, part, axis=1)
+                    part = np.take_along_axis(part, np.argsort(pk, axis=1), axis=1)
+                    r = np.repeat(np.arange(s, s + len(d)), kk)
+                    sel_rows.append(r)
+                    sel_cols.append(part.ravel())
+                    sel_d.append(np.take_along_axis(d, part, axis=1).ravel())
+                rr = np.concatenate(sel_rows)
+                cc = np.concatenate(sel_cols)
+                out_doc, out_ds, out_y = doc[rr], ds[rr], yy[rr]
+                out_id, out_lab, out_d = ids[cc], labels[cc], np.concatenate(sel_d)
                 yield pd.DataFrame({"model": model, "doc_id": out_doc, "dataset": out_ds,
                                     "y": np.asarray(out_y, dtype=np.int32), "train_id": out_id,
                                     "train_label": np.asarray(out_lab, dtype=np.int32), "dist": out_d})

@@ -300,7 +300,8 @@ FROM vpairs p CROSS JOIN (SELECT count(*) AS nf FROM flist) n
 LEFT JOIN (SELECT f.pair_id, count_if(f.value <> 0) AS nnz, sum(f.value * l.pos) AS cs
            FROM pfeat f JOIN flist l ON f.feature = l.feature GROUP BY f.pair_id) a ON p.pair_id = a.pair_id"""))
 def q_feature_align(spark, sf):
-    feats = _pair_features(spark, sf)
+    from inferna.session import materialize
+    feats = materialize(_pair_features(spark, sf))   # read twice: fit the list, then align
     names = features.collect_feature_list(feats.where(F.col("split") == "train"))
     arr = P.align(F.col("syn"), names)
     return feats.select(
