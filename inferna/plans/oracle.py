@@ -413,14 +413,17 @@ def knn_sql(metric: str, k: int = 5) -> str:
              "* sqrt(list_dot_product(r.vec, r.vec))) ELSE 1 END")
     else:
         d = "list_distance(q.vec, r.vec)"
+    # distances are projected to scalars first, so the ranking window never
+    # carries the vectors of the (query x training) rows
     return with_ctes(["knn_trv", "knn_tev"], f"""
+, dist AS (SELECT q.model, q.doc_id, q.dataset, q.y, r.label, r.train_id, round({d}, 9) AS d
+           FROM knn_tev q JOIN knn_trv r ON r.model = q.model)
 SELECT model, doc_id, dataset, y,
   CASE WHEN c0 >= c1 AND c0 >= c2 THEN 0 WHEN c1 >= c2 THEN 1 ELSE 2 END AS pred
 FROM (SELECT model, doc_id, dataset, y, count_if(label = 0) AS c0, count_if(label = 1) AS c1,
              count_if(label = 2) AS c2
-  FROM (SELECT q.model, q.doc_id, q.dataset, q.y, r.label,
-          row_number() OVER (PARTITION BY q.model, q.doc_id ORDER BY round({d}, 9), r.train_id) AS rk
-        FROM knn_tev q JOIN knn_trv r ON r.model = q.model) n
+  FROM (SELECT model, doc_id, dataset, y, label,
+          row_number() OVER (PARTITION BY model, doc_id ORDER BY d, train_id) AS rk FROM dist) n
   WHERE rk <= {k} GROUP BY model, doc_id, dataset, y) v""")
 
 
