@@ -627,9 +627,9 @@ def _ml(key):
 
 
 # Registered: the learner that trains in about a minute locally.  The
-# 10k-feature tree / one-vs-rest logistic regression / forest / boosting
-# plans (ML.EXPERIMENTS) run through the same fit_predict and are exercised
-# by tests on the small fixture.
+# 10k-feature text learners in ML.EXPERIMENTS (baseline-1/2, experiments
+# 3/5/6) did not finish within 10 minutes on sf0.001 and are not registered
+# until that is fixed.
 QUERIES["dt_syntactic"] = _ml("experiment-1")
 
 
