@@ -48,3 +48,36 @@ def test_union_pieces_by_name(spark):
     out = {r.id: r for r in src.union_pieces([a, b], "anli_round", ["r1", "r2"]).collect()}
     assert out[1].anli_round == "r1" and out[1].extra is None
     assert out[2].anli_round == "r2" and out[2].extra == 7
+
+
+def test_results_csv_sink_sorted(spark, tmp_path):
+    from inferna.sources import store
+    res = spark.createDataFrame([("e", "fr", "en", 0.5), ("e", "de", "en", 0.25)],
+                                "experiment string, predict_dataset string, trained_dataset string, accuracy double")
+    path = str(tmp_path / "results")
+    store.write_results_csv(res, path)
+    back = spark.read.option("header", True).csv(path).collect()
+    assert [r.predict_dataset for r in back] == ["de", "fr"]
+
+
+def test_model_persistence_roundtrip(spark, tmp_path):
+    # Fitted PipelineModels are saved per (experiment, training dataset)
+    # and reload to the same predictions
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    from conftest import SF001
+    from inferna.plans import grid
+    from inferna.plans import models as ML
+    exp = ML.EXPERIMENTS["experiment-1"]
+    save = str(tmp_path / "models")
+    pred = ML.fit_predict(spark, SF001, exp, save_dir=save)
+    got = {(r.model, r.doc_id): r.pred for r in pred.collect()}
+    train, test = grid.feature_train_test(spark, SF001)
+    _, te = grid.syntactic_vectors(train, test, grid.datasets_of(train), exp.syntactic)
+    for m in {k[0] for k in got}:
+        model = PipelineModel.load(f"{save}/{exp.key}/{m}")
+        rows = model.transform(te.where(F.col("model") == m).select("doc_id", array_to_vector("vec").alias("features")))
+        for r in rows.select("doc_id", "prediction").collect():
+            assert got[(m, r.doc_id)] == int(r.prediction)
