@@ -64,3 +64,36 @@ FROM d JOIN b ON d.hex = b.hex AND d.payload_bytes = b.payload_bytes"""
 def op2_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inferna.llm.warc_zip import round_trip
     return round_trip(table(spark, sf_dir, "pages"))
+
+
+_WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+OP6_SQL = f"""
+WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+bw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+bn AS (SELECT item_id, w, least(len(w), 10) AS n FROM bw WHERE len(w) > 0),
+bwin AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS win
+         FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM bn)),
+ns AS (SELECT DISTINCT n FROM bwin),
+dwin AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win
+         FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, ns)),
+hit AS (SELECT DISTINCT d.doc_id, d.n, d.i, b.item_id FROM dwin d JOIN bwin b ON d.n = b.n AND d.win = b.win),
+hw AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+hi AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS sha
+       FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
+SELECT dw.doc_id, len(dw.w) AS n_words, coalesce(hw.n_hit, 0) AS n_hit, coalesce(hi.n_items, 0) AS n_items,
+  coalesce(hi.sha, sha256('')) AS items_sha256, coalesce(hw.n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hw ON dw.doc_id = hw.doc_id LEFT JOIN hi ON dw.doc_id = hi.doc_id"""
+
+
+@register("op6_winnow_decontaminate", OP6_SQL)
+def op6_winnow_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inferna.llm.winnow import decontaminate
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op5_best_fit_packing")
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from inferna.llm.packing import pack_documents
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
