@@ -97,3 +97,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from inferna.llm.packing import pack_documents
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register("op3_hash_forest")
+def op3_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from inferna.llm.hash_forest import nearest
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)

@@ -28,26 +28,33 @@ def words_of(text: str) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(F.col(text), F.lit(""))), NOT_WORD, -1), lambda w: w != "")
 
 
-def grams(words: str, n: int) -> Column:
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once: the optimiser would copy it into each use and each lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def grams(words: Column, n: int) -> Column:
     """Hash of each run of ``n`` words, in order; empty for fewer words."""
     return F.when(F.size(words) >= n, F.transform(
         F.sequence(F.lit(1), F.size(words) - (n - 1)),
-        lambda i: F.xxhash64(F.slice(F.col(words), i, F.lit(n))))).otherwise(F.array().cast("array<bigint>"))
+        lambda i: F.xxhash64(F.slice(words, i, F.lit(n))))).otherwise(F.array().cast("array<bigint>"))
 
 
-def least(hashes: str, run: int) -> Column:
-    """Least of every ``run`` neighbouring hashes: the fingerprint of each window."""
-    return F.when(F.size(hashes) >= run, F.transform(
-        F.sequence(F.lit(1), F.size(hashes) - (run - 1)),
-        lambda i: F.array_min(F.slice(F.col(hashes), i, F.lit(run))))).otherwise(F.array().cast("array<bigint>"))
+def fingerprints(words: Column, n: int, window: int, k: int) -> Column:
+    """Fingerprint of each window of ``n`` words: the least of its k-grams, or for short windows its own hash."""
+    run = window - k + 1
+    if n < window:
+        return grams(words, n)
+    return let(grams(words, k), lambda kg: F.when(F.size(kg) >= run, F.transform(
+        F.sequence(F.lit(1), F.size(kg) - (run - 1)),
+        lambda i: F.array_min(F.slice(kg, i, F.lit(run))))).otherwise(F.array().cast("array<bigint>")))
 
 
 def item_windows(items: DataFrame, item: str, text: str, window: int, k: int) -> DataFrame:
     """(item, n, fp, win): each distinct window of each item, its words joined by blanks, and its fingerprint."""
     w = items.select(F.col(f"`{item}`").cast("string").alias("item"), words_of(f"`{text}`").alias("words")).where("size(words) > 0")
-    long = (w.where(F.size("words") >= window).withColumn("kg", grams("words", k))
-            .withColumn("fps", least("kg", window - k + 1))
-            .select("item", "words", F.posexplode("fps").alias("i", "fp"))
+    long = (w.where(F.size("words") >= window)
+            .select("item", "words", F.posexplode_outer(fingerprints(F.col("words"), window, window, k)).alias("i", "fp"))
             .select("item", F.lit(window).alias("n"), "fp", F.array_join(F.expr(f"slice(words, i + 1, {window})"), " ").alias("win")))
     short = w.where(F.size("words") < window).select(
         "item", F.size("words").alias("n"), F.xxhash64("words").alias("fp"), F.array_join("words", " ").alias("win"))
@@ -68,41 +75,29 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     wins = stage(item_windows(items, item, item_text, window, k), "winnow-items")
     n_wins = wins.count()
     lengths = [r["n"] for r in wins.select("n").distinct().orderBy("n").collect()]  # at most ``window`` numbers
-    tokens = rows.select("id", "_k1", "_k2", words_of("body").alias("words"))
-
-    def fingerprints(n: int) -> Column:
-        """Fingerprint of each window of n words, in order."""
-        return least("kg", window - k + 1) if n == window else F.col(f"g{n}")
-
-    def hashed(t: DataFrame) -> DataFrame:
-        """Adds the gram hashes that the items' lengths need."""
-        return t.withColumns({"kg" if n == window else f"g{n}": grams("words", k if n == window else n) for n in lengths})
+    none = F.array().cast("array<struct<n:int,fp:bigint>>")
 
     # Every document: its distinct fingerprints against those of the items.
-    if lengths:
-        per = F.concat(*[F.transform(F.array_distinct(fingerprints(n)), lambda x, n=n: F.struct(F.lit(n).alias("n"), x.alias("fp")))
-                         for n in lengths])
-    else:
-        per = F.array().cast("array<struct<n:int,fp:bigint>>")
-    base = hashed(tokens).select("id", "_k1", "_k2", F.size("words").cast("long").alias("n_words"), per.alias("fps"))
-    probe = base.select("_k1", "_k2", F.explode("fps").alias("x")).select("_k1", "_k2", "x.n", "x.fp")
+    per = let(words_of("body"), lambda w: F.concat(none, *[
+        F.transform(F.array_distinct(fingerprints(w, n, window, k)), lambda x, n=n: F.struct(F.lit(n).alias("n"), x.alias("fp")))
+        for n in lengths]))
+    probe = rows.select("_k1", "_k2", F.explode_outer(per).alias("x")).select("_k1", "_k2", "x.n", "x.fp")
     keys = bounded_broadcast(wins.select("n", "fp").distinct(), n_wins, 16)
     hits = probe.join(keys, ["n", "fp"], "left_semi").groupBy("_k1", "_k2").agg(F.collect_set(F.struct("n", "fp")).alias("hits"))
     hits = stage(hits, "winnow-hits")
 
     # Documents with a hit: the windows whose fingerprint was hit, compared word for word.
-    found = hashed(tokens.drop("id").join(hits, ["_k1", "_k2"]))
-    if lengths:
-        cand = F.concat(*[F.filter(
-            F.transform(fingerprints(n), lambda x, i, n=n: F.struct(
-                F.lit(n).alias("n"), x.alias("fp"), i.alias("at"))),
-            lambda s: F.array_contains("hits", F.struct(s["n"].alias("n"), s["fp"].alias("fp")))) for n in lengths])
-    else:
-        cand = F.array().cast("array<struct<n:int,fp:bigint,at:int>>")
-    spots = (found.withColumn("cand", cand).select("_k1", "_k2", F.explode(F.transform(
-                 "cand", lambda s: F.struct(s["n"].alias("n"), s["fp"].alias("fp"), s["at"].alias("at"), F.array_join(
-                     F.slice(F.col("words"), s["at"] + 1, s["n"]), " ").alias("win")))).alias("s"))
-             .select("_k1", "_k2", "s.*"))
+    def spots_of(w: Column, n: int) -> Column:
+        hit = F.transform(fingerprints(w, n, window, k), lambda x, i: F.struct(
+            F.lit(n).alias("n"), x.alias("fp"), i.alias("at")))
+        hit = F.filter(hit, lambda s: F.array_contains("hits", F.struct(s["n"].alias("n"), s["fp"].alias("fp"))))
+        return F.transform(hit, lambda s: F.struct(s["n"].alias("n"), s["fp"].alias("fp"), s["at"].alias("at"), F.array_join(
+            F.slice(w, s["at"] + 1, s["n"]), " ").alias("win")))
+
+    found = rows.drop("id").join(hits, ["_k1", "_k2"])
+    none = F.array().cast("array<struct<n:int,fp:bigint,at:int,win:string>>")
+    spots = (found.select("_k1", "_k2", F.explode_outer(let(words_of("body"), lambda w: F.concat(
+                 none, *[spots_of(w, n) for n in lengths]))).alias("s")).select("_k1", "_k2", "s.*"))
     known = bounded_broadcast(wins.select("n", "fp", "win").distinct(), n_wins, 400)
     true = stage(spots.join(known, ["n", "fp", "win"], "left_semi").distinct(), "winnow-true")
 
