@@ -105,3 +105,9 @@ def op3_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from inferna.llm.hash_forest import nearest
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@register("op9_bag_minhash")
+def op9_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inferna.llm.bag_minhash import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"))
