@@ -111,3 +111,13 @@ def op3_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inferna.llm.bag_minhash import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op8_line_templates")
+def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from inferna.llm.line_templates import drop_recurring
+    cut = drop_recurring(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
+                      F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -43,7 +43,7 @@ def components(ids: DataFrame, links: DataFrame) -> DataFrame:
     return labels.join(active.withColumnRenamed("label", "l"), "id", "left").select("id", F.coalesce("l", "label").alias("label"))
 
 
-def classes(buckets: DataFrame, features: DataFrame, test: Callable[[DataFrame], DataFrame], rounds: int = 3) -> DataFrame:
+def classes(buckets: DataFrame, features: DataFrame, test: Callable[[DataFrame], DataFrame], rounds: int = 2) -> DataFrame:
     """(id, label) for every id in ``buckets`` (id, bucket), label the least id of its class.
 
     ``test`` takes distinct pairs (a, b, fa, fb) with the features of both

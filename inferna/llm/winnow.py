@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inferna.llm.common import ascii_lower, bounded_broadcast, row_key, stage
+from inferna.llm.common import ascii_lower, bounded_broadcast, let, row_key, stage
 
 #: Fixed value: what parts words.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -28,11 +28,6 @@ def words_of(text: str) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(F.col(text), F.lit(""))), NOT_WORD, -1), lambda w: w != "")
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` worked out once: the optimiser would copy it into each use and each lambda."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def grams(words: Column, n: int) -> Column:
     """Hash of each run of ``n`` words, in order; empty for fewer words."""
     return F.when(F.size(words) >= n, F.transform(
