@@ -121,3 +121,13 @@ def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = drop_recurring(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@register("op7_cotraining_quality")
+def op7_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from inferna.llm.cotraining import classify
+    scored = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", F.col("_content").alias("content_score"), F.col("_meta").alias("meta_score"),
+                         F.col("_score").alias("score"), F.col("_keep").alias("keep"))

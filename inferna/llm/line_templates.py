@@ -68,7 +68,7 @@ def line_keys(texts: list[str], leading: int, fields: int, field_tokens: int, mi
         b = first[long] + leading + (n[long] - leading) * (f + 1) // fields
         left = constant[long] - (fixed[b] - fixed[a])
         ok = left >= min_tokens
-        key = mix(total[long] - (upto[b] - upto[a]) + count[long] + np.uint64(f + 1) * BYTE_FACTORS[f])
+        key = mix(total[long] - (upto[b] - upto[a]) + count[long] + mix(np.full(1, f + 1, np.uint64)))
         out.append((text[long][ok], number[long][ok], key[ok]))
     t, i, k = (np.concatenate(x) for x in zip(*out))
     return t, i, k.view(np.int64)
