@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inferna.llm.common import stage
+from inferna.llm.common import bounded_broadcast, stage
 from inferna.llm.near import classes
 from inferna.llm.shingles import counted, mix, overlap, parcels, shingles
 
@@ -112,10 +112,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     member = signed.where("bands is not null and id is not null").select("id", "entry", "bands")
     entries = member.groupBy("entry").agg(F.first("bands").alias("bands"))
     buckets = entries.select(F.col("entry").alias("id"), F.explode_outer("bands").alias("bucket"))
-    texts = rows.where("id is not null").select(F.xxhash64("body").alias("id"), F.col("body").alias("f"), F.col("id").alias("doc"))
-    firsts = member.groupBy("entry").agg(F.min("id").alias("doc"))
-    # the text of an entry comes from the row with its least key
-    texts = texts.join(firsts.select(F.col("entry").alias("id"), "doc"), ["id", "doc"]).dropDuplicates(["id"]).select("id", "f")
+    def texts(ids: DataFrame) -> DataFrame:
+        """The text of each wanted entry, from the row with its least key."""
+        first = stage(member.select("id", "entry").join(ids.withColumnRenamed("id", "entry"), "entry")
+                      .groupBy("entry").agg(F.min("id").alias("id")), "bag-first")
+        return (rows.withColumn("entry", F.xxhash64("body")).join(bounded_broadcast(first, first.count(), 16), ["id", "entry"])
+                .select(F.col("entry").alias("id"), F.col("body").alias("f")).dropDuplicates(["id"]))
+
     label = classes(buckets, texts, near_test(similarity, words))
     of = member.select("id", "entry").join(label.withColumnRenamed("id", "entry"), "entry", "left") \
         .select("id", "entry", F.coalesce("label", "entry").alias("label"))

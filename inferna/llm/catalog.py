@@ -131,3 +131,9 @@ def op7_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", F.col("_content").alias("content_score"), F.col("_meta").alias("meta_score"),
                          F.col("_score").alias("score"), F.col("_keep").alias("keep"))
+
+
+@register("op4_paragraph_bands")
+def op4_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inferna.llm.paragraph_bands import repeated_paragraphs
+    return repeated_paragraphs(table(spark, sf_dir, "documents"))

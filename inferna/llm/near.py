@@ -43,16 +43,17 @@ def components(ids: DataFrame, links: DataFrame) -> DataFrame:
     return labels.join(active.withColumnRenamed("label", "l"), "id", "left").select("id", F.coalesce("l", "label").alias("label"))
 
 
-def classes(buckets: DataFrame, features: DataFrame, test: Callable[[DataFrame], DataFrame], rounds: int = 2) -> DataFrame:
+def classes(buckets: DataFrame, features: Callable[[DataFrame], DataFrame], test: Callable[[DataFrame], DataFrame], rounds: int = 2) -> DataFrame:
     """(id, label) for every id in ``buckets`` (id, bucket), label the least id of its class.
 
-    ``test`` takes distinct pairs (a, b, fa, fb) with the features of both
-    (``features``: id, f) and returns those (a, b) that are near.
+    ``features`` takes the ids (id) that share a bucket and returns (id, f);
+    ``test`` takes distinct pairs (a, b, fa, fb) and returns those (a, b) that
+    are near.
     """
     shared = stage(buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"),
                                 "bucket").distinct(), "near-buckets")
     ids = stage(shared.select("id").distinct(), "near-ids")
-    feats = stage(features.join(ids, "id"), "near-features")
+    feats = stage(features(ids), "near-features")
     label, links, tested = ids.select("id", F.col("id").alias("label")), None, None
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
