@@ -137,3 +137,12 @@ def op7_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inferna.llm.paragraph_bands import repeated_paragraphs
     return repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
+@register("op1_prefix_free_dedup")
+def op1_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from inferna.llm.prefix_free import remove_repeats
+    cut = remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
