@@ -56,15 +56,9 @@ def item_windows(items: DataFrame, item: str, text: str, window: int, k: int) ->
     return long.unionByName(short).distinct()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
-                  item_text: str = "text", window: int = 10, k: int = 7) -> DataFrame:
-    """(key, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs``.
-
-    A word counts as hit if it lies in any window of ``window`` words that also
-    is a window of an item.  Equal rows are worked out once and all returned;
-    null and empty texts have no words and no hits; null keys are kept; null item
-    ids count as no item; no items: nothing is hit.
-    """
+def hit_results(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
+                item_text: str = "text", window: int = 10, k: int = 7) -> DataFrame:
+    """(_k1, _k2, n_hit, n_items, items_sha256) of the documents with hit words, by ``row_key(key, text)``."""
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("body"))
     rows = rows.select("id", "body", *row_key("id", "body"))
     wins = stage(item_windows(items, item, item_text, window, k), "winnow-items")
@@ -105,8 +99,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
                 .join(bounded_broadcast(wins, n_wins, 420), ["n", "fp", "win"]).where("item is not null")
                 .select("_k1", "_k2", "item").distinct().groupBy("_k1", "_k2")
                 .agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.sort_array(F.collect_list("item")), ","), 256).alias("items_sha256")))
-    result = stage(n_hit.join(of_items, ["_k1", "_k2"], "left"), "winnow-result")
-    n_words = rows.select("id", "_k1", "_k2", F.size(words_of("body")).cast("long").alias("n_words"))
+    return stage(n_hit.join(of_items, ["_k1", "_k2"], "left"), "winnow-result")
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
+                  item_text: str = "text", window: int = 10, k: int = 7) -> DataFrame:
+    """(key, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs``.
+
+    A word counts as hit if it lies in any window of ``window`` words that also
+    is a window of an item.  Equal rows are worked out once and all returned;
+    null and empty texts have no words and no hits; null keys are kept; null item
+    ids count as no item; no items: nothing is hit.
+    """
+    result = hit_results(docs, items, key, text, item, item_text, window, k)
+    rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("body"))
+    n_words = rows.select("id", *row_key("id", "body"), F.size(words_of("body")).cast("long").alias("n_words"))
     return n_words.join(result, ["_k1", "_k2"], "left").select(
         F.col("id").alias(key), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
