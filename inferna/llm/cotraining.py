@@ -158,7 +158,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
         pdf = pdf.sort_values("id", ignore_index=True)
         y = pdf["y"].to_numpy()
         if set(y[y >= 0]) != {0, 1}:
-            return pd.DataFrame({"part": [], "w": []})
+            return pd.DataFrame({"part": [], "w": []}, dtype=object)
         views = [np.stack([np.frombuffer(v, np.float32) for v in pdf[c]]) for c in ("content", "meta")]
         m = co_train(views, y, rounds, share)
         flat = {"content": m["models"][0], "meta": m["models"][1], "line0": m["lines"][0], "line1": m["lines"][1], "both": m["both"]}

@@ -67,9 +67,10 @@ def hit_results(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: st
     none = F.array().cast("array<struct<n:int,fp:bigint>>")
 
     # Every document: its distinct fingerprints against those of the items.
-    per = let(words_of("body"), lambda w: F.concat(none, *[
-        F.transform(F.array_distinct(fingerprints(w, n, window, k)), lambda x, n=n: F.struct(F.lit(n).alias("n"), x.alias("fp")))
-        for n in lengths]))
+    def chosen(w: Column, n: int) -> Column:
+        return F.transform(F.array_distinct(fingerprints(w, n, window, k)), lambda x: F.struct(F.lit(n).alias("n"), x.alias("fp")))
+
+    per = let(words_of("body"), lambda w: F.concat(none, *[chosen(w, n) for n in lengths]))
     probe = rows.select("_k1", "_k2", F.explode_outer(per).alias("x")).select("_k1", "_k2", "x.n", "x.fp")
     keys = bounded_broadcast(wins.select("n", "fp").distinct(), n_wins, 16)
     hits = probe.join(keys, ["n", "fp"], "left_semi").groupBy("_k1", "_k2").agg(F.collect_set(F.struct("n", "fp")).alias("hits"))
