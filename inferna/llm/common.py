@@ -32,11 +32,18 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a small table that one task writes.
+ROWS_PER_FILE = 200_000
+
+
+def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
     Cuts the lineage: later jobs reread the files and survive lost executors.
+    ``rows``, a bound known to the caller, keeps small tables in a few files.
     """
+    if rows is not None:
+        df = df.coalesce(4 + rows // ROWS_PER_FILE)
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

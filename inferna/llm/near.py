@@ -17,77 +17,78 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inferna.llm.common import stage
+from inferna.llm.common import bounded_broadcast, stage
 
 
-def components(ids: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, label): least id of the component of every row of ``ids`` under ``links`` (a, b).
+def components(ids: DataFrame, links: DataFrame, n_links: int) -> DataFrame:
+    """(id, label): least id of the component of every row of ``ids`` under ``n_links`` rows of ``links`` (a, b).
 
-    Labels pass along links and then jump to the label's label, so a chain
-    halves each round.  Every round is written in the shared folder.
+    Each round a label becomes the least of itself, its neighbours' labels and
+    its label's label, so chains shrink by halves; each is a table in the shared
+    folder.
     """
-    links = stage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-links")
-    labels = ids.select("id", F.col("id").alias("label"))
-    touched = links.select(F.col("a").alias("id")).distinct()
-    active = stage(touched.withColumn("label", F.col("id")), "near-labels")
+    n = 2 * n_links
+    both = stage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
+                 "near-links", n)
+    active = stage(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("l")).select("id", F.least("id", "l").alias("label")),
+                   "near-labels", n)
     while True:
-        told = (links.join(active.select(F.col("id").alias("b"), F.col("label").alias("l")), "b")
+        told = (both.join(bounded_broadcast(active.select(F.col("id").alias("b"), F.col("label").alias("l")), n, 16), "b")
                 .groupBy(F.col("a").alias("id")).agg(F.min("l").alias("l")))
-        step = active.join(told, "id").select("id", "label", F.least("label", "l").alias("new"))
-        step = stage(step, "near-step")
-        jump = step.select(F.col("id").alias("new"), F.col("new").alias("far"))
-        nxt = stage(step.join(jump, "new", "left").select("id", F.col("label").alias("was"), F.coalesce("far", "new").alias("label")), "near-labels")
-        active = nxt.select("id", "label")
-        if nxt.where("was <> label").isEmpty():
+        jump = active.select(F.col("id").alias("label"), F.col("label").alias("far"))
+        nxt = (active.join(bounded_broadcast(told, n, 16), "id").join(bounded_broadcast(jump, n, 16), "label", "left")
+               .select("id", F.col("label").alias("was"), F.least("label", "l", "far").alias("label")))
+        active = stage(nxt, "near-labels", n)
+        if active.where("was <> label").isEmpty():
             break
-    return labels.join(active.withColumnRenamed("label", "l"), "id", "left").select("id", F.coalesce("l", "label").alias("label"))
+        active = active.select("id", "label")
+    touched = active.select("id", F.col("label").alias("l"))
+    return ids.join(bounded_broadcast(touched, n, 16), "id", "left").select("id", F.coalesce("l", "id").alias("label"))
 
 
-def classes(buckets: DataFrame, features: Callable[[DataFrame], DataFrame], test: Callable[[DataFrame], DataFrame], rounds: int = 2) -> DataFrame:
-    """(id, label) for every id in ``buckets`` (id, bucket), label the least id of its class.
+def classes(buckets: DataFrame, features: Callable[[DataFrame], DataFrame], test: Callable[[DataFrame], DataFrame],
+            rounds: int = 2) -> DataFrame:
+    """(id, label) for every id that shares a bucket in ``buckets`` (distinct id, bucket); label is the class's least id.
 
     ``features`` takes the ids (id) that share a bucket and returns (id, f);
     ``test`` takes distinct pairs (a, b, fa, fb) and returns those (a, b) that
     are near.
     """
-    shared = stage(buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"),
-                                "bucket").distinct(), "near-buckets")
-    ids = stage(shared.select("id").distinct(), "near-ids")
+    several = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    shared = stage(buckets.join(several, "bucket"), "near-buckets")
+    n = shared.count()
+    ids = stage(shared.select("id").distinct(), "near-ids", n)
+    n_ids = ids.count()
     feats = stage(features(ids), "near-features")
-    label, links, tested = ids.select("id", F.col("id").alias("label")), None, None
-
-    def verify(pairs: DataFrame, name: str) -> DataFrame:
-        fa = feats.select(F.col("id").alias("a"), F.col("f").alias("fa"))
-        fb = feats.select(F.col("id").alias("b"), F.col("f").alias("fb"))
-        return stage(test(pairs.join(fa, "a").join(fb, "b")), name)
-
-    def ordered(x, y):
-        return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+    label, links, tested, n_links, n_pairs = ids.select("id", F.col("id").alias("label")), None, None, 0, 0
 
     for r in range(rounds + 1):
-        held = shared.join(label, "id")
+        held = shared.join(bounded_broadcast(label, n_ids, 16), "id")
         if r < rounds:
             turn = F.xxhash64("id", F.lit(r)) if r else F.col("id")
             lead = held.groupBy("bucket").agg(F.min_by(F.struct("id", "label"), turn).alias("lead"))
-            pairs = held.join(lead, "bucket").where(F.col("label") != F.col("lead.label")).select(
-                *ordered(F.col("id"), F.col("lead.id")))
+            pairs = (held.join(bounded_broadcast(lead, n, 32), "bucket").where(F.col("label") != F.col("lead.label"))
+                     .select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")))
         else:
-            # pairs of one bucket in different classes: buckets with one class alone give none
+            # pairs of one bucket in different classes: buckets of one class give none
             mixed = held.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-            left = held.join(mixed, "bucket")
+            left = stage(held.join(bounded_broadcast(mixed, n, 16), "bucket"), "near-left", n)
             right = left.select("bucket", F.col("id").alias("id2"), F.col("label").alias("label2"))
             pairs = left.join(right, "bucket").where((F.col("id") < F.col("id2")) & (F.col("label") != F.col("label2"))).select(
                 F.col("id").alias("a"), F.col("id2").alias("b"))
         pairs = pairs.distinct()
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stage(pairs, f"near-pairs-{r}")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = verify(pairs, f"near-found-{r}")
-        if found.isEmpty():
-            if r == rounds:
-                break
+            pairs = pairs.join(bounded_broadcast(tested, n_pairs, 16), ["a", "b"], "left_anti")
+        pairs = stage(pairs, f"near-pairs-{r}", n if r < rounds else None)
+        fresh = pairs.count()
+        if fresh == 0:
             continue
-        links = found if links is None else links.unionByName(found)
-        label = stage(components(ids, links), f"near-classes-{r}")
+        tested, n_pairs = pairs if tested is None else tested.unionByName(pairs), n_pairs + fresh
+        both = (pairs.join(feats.select(F.col("id").alias("a"), F.col("f").alias("fa")), "a")
+                .join(feats.select(F.col("id").alias("b"), F.col("f").alias("fb")), "b"))
+        found = stage(test(both), f"near-found-{r}")
+        more = found.count()
+        if more:
+            links, n_links = found if links is None else links.unionByName(found), n_links + more
+            label = stage(components(ids, links, n_links), f"near-classes-{r}", n_ids)
     return label
