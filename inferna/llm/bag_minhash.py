@@ -83,7 +83,7 @@ def near_test(similarity: float, words: int, weighted: bool = True):
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, words: int = 5,
-                    bands: int = 16, band_rows: int = 4) -> DataFrame:
+                    bands: int = 32, band_rows: int = 8) -> DataFrame:
     """(key, class_id, class_size, keep) for every row of ``docs``.
 
     Classes are the components of links between texts whose shingle multisets

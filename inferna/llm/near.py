@@ -1,13 +1,13 @@
 """Near-duplicate classes from banded signatures, shared by the two operators that band.
 
-Entries are distinct texts.  Entries with an equal band share a bucket.  All
-pairs of a bucket are never formed.  Instead, in each round every entry meets
-one leader of each of its buckets that lies in another class; pairs that pass
-the exact test join their classes (components of the links so far).  A member
-that joins its leader's class needs no further test against it: what remains in
-a bucket are pairs between different classes.  Leaders change with the round;
-when rounds bring no more links, pairs between classes that are left in buckets
-are tested one and all, so no link that a bucket holds is lost between classes.
+Entries are distinct texts.  Entries with an equal band share a bucket.  In each
+round every entry meets one leader of each of its buckets that lies in another
+class; pairs that pass the exact test join their classes (components of the
+links so far).  The first leader is the member that shares most buckets with
+others: in a group of edited copies that is the text nearest to all, and most
+copies join it at once.  Pairs within a class need no test any more; what is
+left in buckets between different classes is tested one and all at the end, so
+no link that a bucket holds between two classes is lost.
 """
 
 from __future__ import annotations
@@ -60,12 +60,18 @@ def classes(buckets: DataFrame, features: Callable[[DataFrame], DataFrame], test
     ids = stage(shared.select("id").distinct(), "near-ids", n)
     n_ids = ids.count()
     feats = stage(features(ids), "near-features")
+    # how many others an entry meets, over all its buckets
+    met = shared.join(bounded_broadcast(shared.groupBy("bucket").agg(F.count("*").alias("n")), n, 16), "bucket") \
+        .groupBy("id").agg(F.sum("n").alias("met"))
+    met = stage(met, "near-met", n_ids)
     label, links, tested, n_links, n_pairs = ids.select("id", F.col("id").alias("label")), None, None, 0, 0
 
     for r in range(rounds + 1):
         held = shared.join(bounded_broadcast(label, n_ids, 16), "id")
         if r < rounds:
-            turn = F.xxhash64("id", F.lit(r)) if r else F.col("id")
+            if r == 0:
+                held = held.join(bounded_broadcast(met, n_ids, 16), "id")
+            turn = F.xxhash64("id", F.lit(r)) if r else F.struct(-F.col("met"), "id")
             lead = held.groupBy("bucket").agg(F.min_by(F.struct("id", "label"), turn).alias("lead"))
             pairs = (held.join(bounded_broadcast(lead, n, 32), "bucket").where(F.col("label") != F.col("lead.label"))
                      .select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")))
