@@ -116,7 +116,8 @@ def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     dropped = stage(dropped, "line-dropped")
     body = F.col(f"`{text}`")
     t = docs.withColumn("_entry", F.xxhash64(body))
-    t = t.join(dropped.withColumnRenamed("entry", "_entry").withColumnRenamed("gone", "_gone"), "_entry", "left")
+    # sorted and merged at every size: the dropped places grow with the corpus
+    t = t.join(dropped.withColumnRenamed("entry", "_entry").withColumnRenamed("gone", "_gone").hint("merge"), "_entry", "left")
     left = let(F.split(body, "\n", -1), lambda x: F.array_join(F.transform(
         F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone")), lambda i: F.get(x, i)), "\n"))
     cols = [F.when(F.col("_gone").isNull() | body.isNull(), body).otherwise(left).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]

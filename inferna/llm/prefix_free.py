@@ -183,7 +183,7 @@ def entry_bytes(rows: DataFrame, entries: DataFrame, length: int) -> DataFrame:
                      pa.array([body[x["first"]:x["last"] + length] for x in p], pa.binary())],
                     names=["k", "first", "cls", "once", "large", "bytes"])
 
-    return rows.join(of, "k").select("k", "body", "places").mapInArrow(
+    return rows.join(of.hint("merge"), "k").select("k", "body", "places").mapInArrow(
         cut, "k long, first int, cls long, once boolean, large boolean, bytes binary")
 
 
@@ -287,5 +287,5 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(cols[0], pa.binary()), *(pa.array(c, pa.int64()) for c in cols[1:])],
                                              names=[key, "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return rows.join(spans, "k", "left").select("id", "body", "spans").mapInArrow(
+    return rows.join(spans.hint("merge"), "k", "left").select("id", "body", "spans").mapInArrow(
         cut, f"`{key}` {kind}, kept binary, n_bytes long, n_removed long, n_spans long")

@@ -84,7 +84,7 @@ def hit_results(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: st
         return F.transform(hit, lambda s: F.struct(s["n"].alias("n"), s["fp"].alias("fp"), s["at"].alias("at"), F.array_join(
             F.slice(w, s["at"] + 1, s["n"]), " ").alias("win")))
 
-    found = rows.drop("id").join(hits, ["_k1", "_k2"])
+    found = rows.drop("id").join(hits.hint("merge"), ["_k1", "_k2"])
     none = F.array().cast("array<struct<n:int,fp:bigint,at:int,win:string>>")
     spots = (found.select("_k1", "_k2", F.explode_outer(let(words_of("body"), lambda w: F.concat(
                  none, *[spots_of(w, n) for n in lengths]))).alias("s")).select("_k1", "_k2", "s.*"))
