@@ -5,15 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-N_DIMS = 10   # the reference keeps the first 10 dimensions of each side
+FIRST_DIMS = 10   # fixed value: the dimensions of each side that the published feature table holds
 
 
 def _d(a: Column) -> Column:
     return F.transform(a, lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
 
 
-def embedding_pair_cols(p: Column, h: Column, n: int = N_DIMS) -> list[Column]:
-    """premise_cls_bert_j, hypothesis_cls_bert_j, diff_bert_j = p - h,
+def embedding_pair_blocks(p: Column, h: Column) -> dict[str, Column]:
+    """The four blocks over the whole vectors, as arrays; missing / NaN -> 0."""
+    def clean(a):
+        return F.transform(_d(a), lambda x: F.when(F.isnan(x), F.lit(0.0)).otherwise(x))
+
+    def zero(x):
+        return F.coalesce(x, F.lit(0.0))
+    ps, hs = clean(p), clean(h)
+    return {"premise_cls_bert": ps, "hypothesis_cls_bert": hs,
+            "diff_bert": F.zip_with(ps, hs, lambda a, b: zero(a) - zero(b)),
+            "prod_bert": F.zip_with(ps, hs, lambda a, b: zero(a) * zero(b))}
+
+
+def embedding_pair_cols(p: Column, h: Column, n: int) -> list[Column]:
+    """One column for each of the first ``n`` dimensions: premise_cls_bert_j, hypothesis_cls_bert_j, diff_bert_j = p - h,
     prod_bert_j = p * h for j < n; missing / NaN -> 0 (P18)."""
     ps = F.slice(_d(p), 1, n)
     hs = F.slice(_d(h), 1, n)

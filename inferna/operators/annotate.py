@@ -89,16 +89,26 @@ def annotate_with(sentences: DataFrame,
     """Pluggable annotator over Arrow batches (mapInPandas).
 
     ``make_annotator()`` is called once per task (load a model there) and
-    returns f(texts) -> (constituency strings, edge lists).  Errors on a
-    batch yield empty trees for that batch, as the reference did."""
+    returns f(texts) -> (constituency strings, edge lists).  A batch that
+    fails is annotated row by row; a failing row gets empty trees and its
+    message in ``error`` (null elsewhere)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         annotate = make_annotator()
         for b in batches:
             texts = b[text_col].fillna("")
             try:
                 const, deps = annotate(texts)
-            except Exception:  # noqa: BLE001 - failed batch -> empty trees
-                const, deps = [""] * len(b), [[] for _ in range(len(b))]
+                error = [None] * len(b)
+            except Exception:  # noqa: BLE001 - one bad sentence must not empty its batch
+                const, deps, error = [], [], []
+                for i in range(len(texts)):
+                    try:
+                        c, d = annotate(texts.iloc[i:i + 1])
+                        row = (c[0], d[0], None)
+                    except Exception as e:  # noqa: BLE001
+                        row = ("", [], f"{type(e).__name__}: {e}")
+                    for out, v in zip((const, deps, error), row):
+                        out.append(v)
             yield pd.DataFrame({"sentence_id": b[id_col], "constituency": const,
-                                "dependency": deps})
-    return sentences.select(id_col, text_col).mapInPandas(run, PARSE_SCHEMA)
+                                "dependency": deps, "error": error})
+    return sentences.select(id_col, text_col).mapInPandas(run, PARSE_SCHEMA + ", error string")

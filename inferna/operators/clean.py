@@ -19,10 +19,14 @@ def _map_literal(d: dict) -> Column:
 
 
 def label_to_int(label: Column) -> Column:
-    """P5 then P1: map names first (fixes D3), then numeric coercion, else -1."""
+    """P5 then P1: map names first (fixes D3), then numeric coercion, else -1.
+
+    Whole numbers count in any numeric type ("1.0", 1.0 and 1 are class 1);
+    fractions, NaN and ids outside the label map are -1."""
     as_text = F.lower(F.trim(label.cast("string")))
     named = F.try_element_at(_map_literal(LABEL_IDS), as_text)
-    numeric = as_text.try_cast("int")
+    number = as_text.try_cast("double")
+    numeric = F.when(number.isin(*[float(v) for v in LABEL_IDS.values()]), number.cast("int"))
     return F.coalesce(named, numeric, F.lit(-1)).cast("int")
 
 

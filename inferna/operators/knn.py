@@ -1,30 +1,28 @@
 """Exact k-nearest-neighbour classification (M5, M10 KNN half, T5).
 
-The training side of every model is a bounded sample (the stratified
-training sample), cut into blocks of at most ``block_rows`` rows.  Each
-block is shipped once to the executors as a broadcast numpy matrix; the
-query side streams through ``mapInPandas`` (Arrow batches, BLAS matrix
-products) and emits only its k best candidates per block.  A window over
-those <= k x blocks candidates per query picks the final k, and a k-bounded
-vote decides.  No cross join, no all-pairs output, nothing unbounded on the
-driver: a block larger than the bound is split, not truncated.
-
-Order of neighbours: distance rounded to 9 decimals, then training id
-(so every engine breaks ties identically); vote ties -> smallest label.
+The training side of every model is cut by hash into blocks of about
+``block_rows`` rows and the query side into blocks of about ``query_rows``; each
+pair of blocks of a model meets in one task (cogroup, numpy matrix products),
+which emits only its k best candidates for each query.  A window over those
+<= k x blocks candidates picks the final k, and a k-bounded vote decides.  No
+vector passes through the driver, nothing is broadcast, nothing truncated; the
+work is queries x training rows, so keep the training sample bounded.
+
+Order of neighbours: distance (rounded to ``tie_decimals`` if given, so that
+engines which sum in another order break ties alike), then training id; vote
+ties -> smallest label.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 50_000          # training rows per broadcast block
-MAX_BLOCK_CELLS = 20_000_000  # rows x dims per block (~160 MB of float64)
+BLOCK_ROWS = 50_000          # training rows aimed at in one block
+BLOCK_CELLS = 4_000_000      # rows x dims aimed at in one block (32 MB of float64)
+TILE_CELLS = 2_000_000       # cells of one block of differences
 CAND_SCHEMA = ("model string, doc_id string, dataset string, y int, train_id string, train_label int, "
                "dist double")
 
@@ -35,88 +33,72 @@ def _distances(q: np.ndarray, x: np.ndarray, xnorm: np.ndarray, metric: str) ->
         dot = q @ x.T
         denom = qn[:, None] * xnorm[None, :]
         with np.errstate(divide="ignore", invalid="ignore"):
-            d = np.where(denom > 0, 1.0 - dot / denom, 1.0)
-    else:
-        # exact differences (the |q|^2 + |x|^2 - 2q.x expansion loses
-        # precision for near-identical vectors)
-        d = np.empty((len(q), len(x)))
-        for s in range(0, len(q), 8):
-            diff = q[s:s + 8, None, :] - x[None, :, :]
-            d[s:s + 8] = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
-    return np.round(d, 9)
-
-
-def _block_topk(bc, k: int, metric: str, vec_col: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        blocks = bc.value   # model -> (X, norms, ids, labels, id_rank)
-        for b in batches:
-            for model, grp in b.groupby("model", sort=False):
-                if model not in blocks:
-                    continue
-                x, xn, ids, labels, rank = blocks[model]
-                if len(ids) == 0:
-                    continue
-                q = np.stack(grp[vec_col].to_numpy()).astype(np.float64)
-                n = len(ids)
-                kk = min(k, n)
-                doc = grp["doc_id"].to_numpy()
-                ds = grp["dataset"].to_numpy()
-                yy = grp["y"].to_numpy()
-                sel_rows, sel_cols, sel_d = [], [], []
-                for s in range(0, len(q), 256):
-                    d = _distances(q[s:s + 256], x, xn, metric)
-                    # exact total order (rounded distance, training-id rank) as one int64 key
-                    key = np.rint(d * 1e9).astype(np.int64) * n + rank[None, :]
-                    part = np.argpartition(key, kk - 1, axis=1)[:, :kk]
-                    pk = np.take_along_axis(key, part, axis=1)
-                    part = np.take_along_axis(part, np.argsort(pk, axis=1), axis=1)
-                    r = np.repeat(np.arange(s, s + len(d)), kk)
-                    sel_rows.append(r)
-                    sel_cols.append(part.ravel())
-                    sel_d.append(np.take_along_axis(d, part, axis=1).ravel())
-                rr = np.concatenate(sel_rows)
-                cc = np.concatenate(sel_cols)
-                out_doc, out_ds, out_y = doc[rr], ds[rr], yy[rr]
-                out_id, out_lab, out_d = ids[cc], labels[cc], np.concatenate(sel_d)
-                yield pd.DataFrame({"model": model, "doc_id": out_doc, "dataset": out_ds,
-                                    "y": np.asarray(out_y, dtype=np.int32), "train_id": out_id,
-                                    "train_label": np.asarray(out_lab, dtype=np.int32), "dist": out_d})
-    return run
+            return np.where(denom > 0, 1.0 - dot / denom, 1.0)
+    # exact differences (the |q|^2 + |x|^2 - 2q.x expansion loses
+    # precision for near-identical vectors)
+    d = np.empty((len(q), len(x)))
+    step = max(1, TILE_CELLS // max(1, x.size))
+    for s in range(0, len(q), step):
+        diff = q[s:s + step, None, :] - x[None, :, :]
+        d[s:s + step] = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+    return d
+
+
+def nearest_rows(d: np.ndarray, rank: np.ndarray, k: int) -> np.ndarray:
+    """Per row of distances the ``k`` nearest columns, ties by ``rank``."""
+    kk = min(k, d.shape[1])
+    kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
+    out = np.empty((len(d), kk), dtype=np.int64)
+    for i, (row, most) in enumerate(zip(d, kth)):
+        near = np.flatnonzero(row <= most)
+        out[i] = near[np.lexsort((rank[near], row[near]))[:kk]]
+    return out
 
 
 def knn_predict(train: DataFrame, test: DataFrame, vec_col: str, k: int = 5, metric: str = "cosine",
-                block_rows: int = BLOCK_ROWS) -> DataFrame:
+                block_rows: int = BLOCK_ROWS, query_rows: int = 5_000, tie_decimals: int | None = None) -> DataFrame:
     """train: model, train_id, label, vec (array<double>);
-    test: model, doc_id, dataset, y, vec.  -> model, doc_id, dataset, y, pred.
-
-    Train rows are collected block by block (each block bounded by
-    ``block_rows`` and ``MAX_BLOCK_CELLS``) and broadcast."""
-    spark = train.sparkSession
-    sizes = {r["model"]: r["n"] for r in train.groupBy("model").agg(F.count(F.lit(1)).alias("n")).collect()}
+    test: model, doc_id, dataset, y, vec.  -> model, doc_id, dataset, y, pred."""
     dims = train.select(F.max(F.size(vec_col)).alias("d")).first()["d"] or 1
-    rows_cap = max(1, min(block_rows, MAX_BLOCK_CELLS // max(1, dims)))
-    n_blocks = max([1] + [math.ceil(n / rows_cap) for n in sizes.values()])
-    keyed = train.withColumn("_blk", F.pmod(F.xxhash64("train_id"), F.lit(n_blocks)))
-    biggest = keyed.groupBy("_blk").count().agg(F.max("count")).first()[0] or 0
-    if biggest > rows_cap * 2:    # hash blocks are balanced; this guards the bound
-        n_blocks *= 2
-        keyed = train.withColumn("_blk", F.pmod(F.xxhash64("train_id"), F.lit(n_blocks)))
-    cands = None
-    for blk in range(n_blocks):
-        part = keyed.where(F.col("_blk") == blk).select("model", "train_id", "label", vec_col)
-        rows = part.toPandas()
-        blocks = {}
-        for model, g in rows.groupby("model", sort=False):
-            x = np.stack(g[vec_col].to_numpy()).astype(np.float64) if len(g) else np.zeros((0, dims))
-            ids = g["train_id"].to_numpy().astype(object)
-            rank = np.argsort(np.argsort(ids.astype(str), kind="stable"), kind="stable")
-            blocks[model] = (x, np.sqrt(np.einsum("ij,ij->i", x, x)), ids,
-                             g["label"].to_numpy().astype(np.int32), rank)
-        bc = spark.sparkContext.broadcast(blocks)
-        c = test.select("model", "doc_id", "dataset", "y", vec_col) \
-                .mapInPandas(_block_topk(bc, k, metric, vec_col), CAND_SCHEMA)
-        cands = c if cands is None else cands.unionByName(c)
-    w = Window.partitionBy("model", "doc_id").orderBy("dist", "train_id")   # <= k * n_blocks rows
+    cap = max(1, min(block_rows, BLOCK_CELLS // max(1, dims)))
+
+    def blocks(df: DataFrame, rows: int, name: str) -> DataFrame:
+        return df.groupBy("model").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
+
+    cells = blocks(train, cap, "_nb").join(blocks(test, query_rows, "_nq"), "model")
+
+    def spread(n: str):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    left = (test.select("model", "doc_id", "dataset", "y", vec_col).join(cells, "model")
+            .withColumn("_q", F.pmod(F.xxhash64("doc_id"), F.col("_nq")).cast("int"))
+            .select("*", spread("_nb").alias("_b")).drop("_nb", "_nq"))
+    right = (train.select("model", "train_id", "label", vec_col).join(cells, "model")
+             .withColumn("_b", F.pmod(F.xxhash64("train_id"), F.col("_nb")).cast("int"))
+             .select("*", spread("_nq").alias("_q")).drop("_nb", "_nq"))
+
+    def match(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        cols = [c.split()[0] for c in CAND_SCHEMA.split(", ")]
+        if len(q) == 0 or len(t) == 0:
+            return pd.DataFrame({c: [] for c in cols}, dtype=object)
+        x = np.stack(t[vec_col].to_numpy()).astype(np.float64)
+        norms, ids = np.sqrt(np.einsum("ij,ij->i", x, x)), t["train_id"].to_numpy().astype(str)
+        rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+        out = []
+        for s in range(0, len(q), 256):
+            part = q.iloc[s:s + 256]
+            d = _distances(np.stack(part[vec_col].to_numpy()).astype(np.float64), x, norms, metric)
+            if tie_decimals is not None:
+                d = np.round(d, tie_decimals)
+            near = nearest_rows(d, rank, k)
+            kk = near.shape[1]
+            rows = part.loc[part.index.repeat(kk), ["model", "doc_id", "dataset", "y"]]
+            out.append(rows.assign(train_id=ids[near.ravel()], train_label=t["label"].to_numpy()[near.ravel()],
+                                   dist=np.take_along_axis(d, near, axis=1).ravel()))
+        return pd.concat(out)[cols]
+
+    cands = left.groupBy("model", "_b", "_q").cogroup(right.groupBy("model", "_b", "_q")).applyInPandas(match, CAND_SCHEMA)
+    w = Window.partitionBy("model", "doc_id").orderBy("dist", "train_id")   # <= k x blocks rows
     top = cands.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
     votes = top.groupBy("model", "doc_id", "dataset", "y").agg(F.collect_list("train_label").alias("labs"))
     def votes_for(c: int):

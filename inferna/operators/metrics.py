@@ -33,7 +33,7 @@ def _div(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
-def metrics_from_confusion(conf: DataFrame, cell_cols: list[str]) -> DataFrame:
+def metrics_from_confusion(conf: DataFrame, cell_cols: list[str], decimals: int | None = None) -> DataFrame:
     """A10-A12 per cell.
 
     Per class P/R/F1 with zero division -> 0; macro over the classes present
@@ -76,21 +76,31 @@ def metrics_from_confusion(conf: DataFrame, cell_cols: list[str]) -> DataFrame:
     auc = sum((R[c] + spec[c]) / 2 for c in CLASSES) / len(CLASSES)
     cols["roc_auc"] = F.when((n_true == 3) & (n_pred == 3), auc)
     return a.select(*cell_cols, F.col("n_total").alias("n"),
-                    *[F.round(cols[m], 6).alias(m) for m in METRIC_NAMES])
+                    *[_rounded(cols[m], decimals).alias(m) for m in METRIC_NAMES])
 
 
-def evaluate(pred: DataFrame, cell_cols: list[str], y_col: str = "y", pred_col: str = "pred") -> DataFrame:
+def _rounded(c: Column, decimals: int | None) -> Column:
+    return c if decimals is None else F.round(c, decimals)
+
+
+def evaluate(pred: DataFrame, cell_cols: list[str], y_col: str = "y", pred_col: str = "pred",
+             decimals: int | None = None) -> DataFrame:
     """Predictions -> one metrics row per cell."""
-    return metrics_from_confusion(confusion(pred, cell_cols, y_col, pred_col), cell_cols)
+    return metrics_from_confusion(confusion(pred, cell_cols, y_col, pred_col), cell_cols, decimals)
 
 
-def cv_summary(fold_metrics: DataFrame, group_cols: list[str]) -> DataFrame:
-    """Mean and population std over folds, plus the per-fold F1 list."""
+def cv_summary(fold_metrics: DataFrame, group_cols: list[str], fold_col: str = "fold",
+               decimals: int | None = None) -> DataFrame:
+    """Mean and population std over folds, plus the F1 of each fold in order."""
+    def r(c):
+        return _rounded(c, decimals)
+    per_fold = F.sort_array(F.collect_list(F.struct(fold_col, "weighted_f1")))   # one row per fold
     return fold_metrics.groupBy(*group_cols).agg(
-        F.round(F.avg("accuracy"), 6).alias("mean_accuracy"),
-        F.round(F.stddev_pop("accuracy"), 6).alias("std_accuracy"),
-        F.round(F.avg("weighted_precision"), 6).alias("mean_weighted_precision"),
-        F.round(F.avg("weighted_recall"), 6).alias("mean_weighted_recall"),
-        F.round(F.avg("weighted_f1"), 6).alias("mean_weighted_f1"),
-        F.round(F.stddev_pop("weighted_f1"), 6).alias("std_weighted_f1"),
+        r(F.avg("accuracy")).alias("mean_accuracy"),
+        r(F.stddev_pop("accuracy")).alias("std_accuracy"),
+        r(F.avg("weighted_precision")).alias("mean_weighted_precision"),
+        r(F.avg("weighted_recall")).alias("mean_weighted_recall"),
+        r(F.avg("weighted_f1")).alias("mean_weighted_f1"),
+        r(F.stddev_pop("weighted_f1")).alias("std_weighted_f1"),
+        F.transform(per_fold, lambda s: s["weighted_f1"]).alias("f1_per_fold"),
         F.count(F.lit(1)).alias("n_folds"))

@@ -19,6 +19,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 SEED = 42
 HASH_BITS = 60          # bits of the md5 prefix used for bucketing
@@ -82,14 +83,13 @@ def take_first_n(df: DataFrame, group_cols: list[str], quotas: DataFrame, ok_col
         counts = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_size"))
     rows = quotas.join(counts, group_cols).where(F.col("n") > 0).limit(MAX_GROUPS + 1).collect()
     _check_groups(len(rows))
-    schema = quotas.join(counts, group_cols).select(*group_cols).schema
+    keys = quotas.join(counts, group_cols).select(*group_cols).schema
+    schema = StructType([*keys.fields, StructField("n", LongType()), StructField("_tau", DoubleType())])
     table = {tuple(r[g] for g in group_cols): [int(r["n"]), int(r["_size"])] for r in rows}
     # hash-fraction threshold: expected n*slack rows plus 6 sigma
     tau = {k: min(1.0, (n * slack + 6 * math.sqrt(n) + 16) / N) for k, (n, N) in table.items()}
-    for _ in range(8):
-        qdf = spark.createDataFrame(
-            [(*k, n, tau[k]) for k, (n, N) in table.items()],
-            schema.add("n", "long").add("_tau", "double"))
+    while True:   # a threshold of 1.0 holds its whole group, so this ends
+        qdf = spark.createDataFrame([(*k, n, tau[k]) for k, (n, N) in table.items()], schema)
         cand = df.join(F.broadcast(qdf), group_cols).where(_frac(F.col(ok_col)) <= F.col("_tau"))
         got = {tuple(r[g] for g in group_cols): r["_c"]
                for r in cand.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_c")).collect()}

@@ -216,7 +216,7 @@ def q_const_counts(spark, sf):
 def _dep_counts(spark, sf, prefix, name):
     s = _sentence_feats(spark, sf).select("sentence_id", F.explode_outer("dep").alias("k", "v"))
     s = s.where(F.col("k").isNotNull() & F.col("k").startswith(prefix))
-    return s.select("sentence_id", F.substring("k", len(prefix) + 1, 1000).alias(name),
+    return s.select("sentence_id", F.expr(f"substring(k, {len(prefix) + 1})").alias(name),
                     F.col("v").cast("long").alias("n"))
 
 
@@ -475,21 +475,21 @@ def q_confusion(spark, sf):
 
 @register("full_metrics", with_ctes(["vpairs"], metrics_sql(_SYN_PRED_SQL, ["dataset"])))
 def q_full_metrics(spark, sf):
-    return M.evaluate(_syn_pred(spark, sf), ["dataset"])
+    return M.evaluate(_syn_pred(spark, sf), ["dataset"], decimals=6)
 
 
 @register("weighted_prf", with_ctes(["vpairs"],
           "SELECT dataset, n, accuracy, weighted_precision, weighted_recall, weighted_f1 FROM ("
           + metrics_sql(_SYN_PRED_SQL, ["dataset"]) + ") m"))
 def q_weighted_prf(spark, sf):
-    return M.evaluate(_syn_pred(spark, sf), ["dataset"]).select(
+    return M.evaluate(_syn_pred(spark, sf), ["dataset"], decimals=6).select(
         "dataset", "n", "accuracy", "weighted_precision", "weighted_recall", "weighted_f1")
 
 
 @register("auc_ovr_hard", with_ctes(["vpairs"],
           "SELECT dataset, roc_auc FROM (" + metrics_sql(_SYN_PRED_SQL, ["dataset"]) + ") m"))
 def q_auc_ovr_hard(spark, sf):
-    return M.evaluate(_syn_pred(spark, sf), ["dataset"]).select("dataset", "roc_auc")
+    return M.evaluate(_syn_pred(spark, sf), ["dataset"], decimals=6).select("dataset", "roc_auc")
 
 
 # ---- TF-IDF (V3-V5) -------------------------------------------------------
@@ -562,7 +562,7 @@ from inferna.plans.oracle import emb_sql, scaled_sql, checksum_sql  # noqa: E402
 @register("embedding_pair_features", emb_sql())
 def q_embedding_pair_features(spark, sf):
     ep = src.embedding_pairs(spark, sf)
-    cols = E.embedding_pair_cols(F.col("premise_emb"), F.col("hypothesis_emb"))
+    cols = E.embedding_pair_cols(F.col("premise_emb"), F.col("hypothesis_emb"), E.FIRST_DIMS)
     return ep.select("pair_id", "label", *[F.round(c, 6).alias(c._jc.toString().split(" AS ")[-1].strip("`"))
                                            for c in cols])
 
@@ -680,7 +680,7 @@ def q_evaluate_prediction_files(spark, sf):
     back = store.read_predictions_csv(spark, path)
     cells = back.select("experiment", "predict_dataset", "trained_dataset",
                         F.col("true_label_int").alias("y"), F.col("predicted_label_int").alias("pred"))
-    return M.evaluate(cells, ["experiment", "predict_dataset", "trained_dataset"])
+    return M.evaluate(cells, ["experiment", "predict_dataset", "trained_dataset"], decimals=6)
 
 
 # The reference's model keys (M12) in grid order.
@@ -713,7 +713,7 @@ m AS (""" + metrics_sql("f", ["dataset", "fold"]) + """)
 SELECT dataset, round(avg(accuracy), 6) AS mean_accuracy, round(stddev_pop(accuracy), 6) AS std_accuracy,
   round(avg(weighted_precision), 6) AS mean_weighted_precision, round(avg(weighted_recall), 6) AS mean_weighted_recall,
   round(avg(weighted_f1), 6) AS mean_weighted_f1, round(stddev_pop(weighted_f1), 6) AS std_weighted_f1,
-  count(*) AS n_folds
+  list(weighted_f1 ORDER BY fold) AS f1_per_fold, count(*) AS n_folds
 FROM m GROUP BY dataset"""))
 def q_cv_summary(spark, sf):
     # A8 folds + A11 per fold + A14 summary, on the synthetic predictions
@@ -721,5 +721,34 @@ def q_cv_summary(spark, sf):
     folds = S.kfold(tr, 5, group_cols=["dataset"])
     pred = folds.select("dataset", "fold", F.col("label").alias("y"),
                         ((F.col("label") + F.length("premise_text") % 4 % 3) % 3).cast("int").alias("pred"))
-    per_fold = M.evaluate(pred, ["dataset", "fold"])
-    return M.cv_summary(per_fold, ["dataset"])
+    per_fold = M.evaluate(pred, ["dataset", "fold"], decimals=6)
+    return M.cv_summary(per_fold, ["dataset"], decimals=6)
+
+
+# ---- label and embedding variants ----------------------------------------
+
+@register("float_labels", with_ctes(["nli_raw"], """
+SELECT id, CAST(label AS INTEGER) AS y FROM nli_raw WHERE label >= 0"""))
+def q_float_labels(spark, sf):
+    # P1/P7 on labels stored as doubles, as frames with missing labels hold them
+    raw = src.nli_raw(spark, sf).withColumn("label", F.col("label").cast("double"))
+    return clean.clean_labels(raw).select("id", "y")
+
+
+def _blocks_sql() -> str:
+    p = "list_transform(premise_emb, lambda x: coalesce(CAST(x AS DOUBLE), 0))"
+    h = "list_transform(hypothesis_emb, lambda x: coalesce(CAST(x AS DOUBLE), 0))"
+    pair = f"list_transform(list_zip({p}, {h}), lambda z: "
+    blocks = {"premise_cls_bert": p, "hypothesis_cls_bert": h, "diff_bert": pair + "coalesce(z[1], 0) - coalesce(z[2], 0))",
+              "prod_bert": pair + "coalesce(z[1], 0) * coalesce(z[2], 0))"}
+    return with_ctes(["emb_pairs"], "SELECT pair_id, label, " + ", ".join(
+        f"round({checksum_sql(b)}, 5) AS {n}" for n, b in blocks.items()) + " FROM emb_pairs")
+
+
+@register("embedding_pair_blocks", _blocks_sql())
+def q_embedding_pair_blocks(spark, sf):
+    # All four blocks over all dimensions, a checksum of each
+    ep = src.embedding_pairs(spark, sf)
+    blocks = E.embedding_pair_blocks(F.col("premise_emb"), F.col("hypothesis_emb"))
+    t = ep.select("pair_id", "label", *[b.alias(n) for n, b in blocks.items()])
+    return t.select("pair_id", "label", *[F.round(E.positional_checksum(F.col(n)), 5).alias(n) for n in blocks])

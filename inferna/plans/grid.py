@@ -92,7 +92,7 @@ def cross_dataset_matrix(pred: DataFrame, experiment: str) -> DataFrame:
     """Metrics per (experiment, predict_dataset, trained_dataset)."""
     cells = pred.select(F.lit(experiment).alias("experiment"), F.col("dataset").alias("predict_dataset"),
                         F.col("model").alias("trained_dataset"), "y", "pred")
-    return metrics.evaluate(cells, ["experiment", "predict_dataset", "trained_dataset"])
+    return metrics.evaluate(cells, ["experiment", "predict_dataset", "trained_dataset"], decimals=6)
 
 
 def fit_tfidf(train: DataFrame, dsets: list[str], spec: V.TermSpec, text) -> DataFrame:
@@ -214,7 +214,7 @@ def knn_syntactic_grid(spark: SparkSession, sf_dir: str, k: int = 5, metric: str
     train, test = feature_train_test(spark, sf_dir, total_sample)
     dsets = datasets_of(train)
     tr, te = syntactic_vectors(train, test, dsets, "standard", marks)
-    return knn_predict(tr, te, "vec", k, metric)
+    return knn_predict(tr, te, "vec", k, metric, tie_decimals=9)
 
 
 def _bow_block(df: DataFrame, vocabs: DataFrame, spec: V.TermSpec, text_col: str, offset: int,

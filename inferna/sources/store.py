@@ -9,6 +9,7 @@ dynamic partition overwrite: rewriting one (dataset, split) leaves the rest.
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,21 +22,34 @@ def _path(base: str, table: str) -> str:
     return f"{base.rstrip('/')}/{table}"
 
 
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def exists(spark: SparkSession, base: str, table: str) -> bool:
-    """S7 probe: the table folder exists.  Writes commit through Spark's
-    staging folder (dynamic partition overwrite), so a failed job leaves no
-    partial partitions behind in it."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(_path(base, table))
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(p))
+    """The table folder holds data: a file or partition of its own, not just markers."""
+    fs, p = _fs(spark, _path(base, table))
+    return bool(fs.exists(p)) and any(not f.getPath().getName().startswith(("_", ".")) for f in fs.listStatus(p))
+
+
+def _marker(base: str, table: str, dataset: str | None, split: str | None) -> str:
+    return f"{_path(base, table)}/_built/{quote(dataset or '*', safe='')},{quote(split or '*', safe='')}"
+
+
+def built(spark: SparkSession, base: str, table: str, dataset: str | None = None, split: str | None = None) -> bool:
+    """S7 probe: this (dataset, split), or what contains it, was written to its end."""
+    for d in {dataset, None}:
+        for s in {split, None}:
+            fs, p = _fs(spark, _marker(base, table, d, s))
+            if fs.exists(p):
+                return True
+    return False
 
 
 def store(df: DataFrame, base: str, table: str, partition_by: list[str] | None = PARTITIONS) -> None:
     """Overwrite the partitions present in ``df`` (dynamic overwrite)."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    w = df.write.mode("overwrite")
+    w = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     cols = [c for c in (partition_by or []) if c in df.columns]
     if cols:
         w = w.partitionBy(*cols)
@@ -59,11 +73,21 @@ def load(spark: SparkSession, base: str, table: str, schema: StructType | None =
 
 
 def stage(spark: SparkSession, base: str, table: str, build: Callable[[], DataFrame],
-          force: bool = False) -> DataFrame:
-    """Reuse a materialised stage unless ``force``; else build, write, re-read."""
-    if force or not exists(spark, base, table):
-        store(build(), base, table)
-    return spark.read.parquet(_path(base, table))
+          force: bool = False, dataset: str | None = None, split: str | None = None) -> DataFrame:
+    """Reuse a materialised stage unless ``force``; else build, write, re-read.
+
+    The unit is the (dataset, split) named, or the whole table.  Each unit is
+    marked once its write has ended, so a failed first write is built again
+    and asking for another unit builds that one.
+    """
+    if force or not built(spark, base, table, dataset, split):
+        df = build()
+        store(df, base, table)
+        fs, p = _fs(spark, _marker(base, table, dataset, split))
+        fs.create(p, True).close()
+        if not exists(spark, base, table):   # nothing was written: an empty unit
+            return spark.createDataFrame([], df.schema)
+    return load(spark, base, table, None, dataset, split)
 
 
 def write_predictions_csv(pred: DataFrame, path: str) -> None:
@@ -77,12 +101,10 @@ PRED_SCHEMA = ("pair_id string, premise string, hypothesis string, predicted_lab
 
 
 def read_predictions_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All prediction files, grid keys recovered from the folder names."""
+    """All prediction files; the grid keys are the folders' partition columns, so a filter on them prunes."""
+    keys = "experiment string, trained_dataset string, predict_dataset string"
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"') \
-        .schema(PRED_SCHEMA).csv(path) \
-        .withColumn("experiment", F.regexp_extract(F.input_file_name(), r"experiment=([^/]+)", 1)) \
-        .withColumn("trained_dataset", F.regexp_extract(F.input_file_name(), r"trained_dataset=([^/]+)", 1)) \
-        .withColumn("predict_dataset", F.regexp_extract(F.input_file_name(), r"predict_dataset=([^/]+)", 1))
+        .schema(f"{PRED_SCHEMA}, {keys}").csv(path)
 
 
 def write_results_csv(results: DataFrame, path: str) -> None:

@@ -20,9 +20,10 @@ from inferna.sources import tables as src
 DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
-def document_stream(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
-    """New parquet files of documents as a stream (explicit schema)."""
-    return spark.readStream.schema(DOC_SCHEMA).option("maxFilesPerTrigger", max_files).parquet(path)
+def document_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """New parquet files of documents as a stream (explicit schema); ``max_files`` bounds a trigger if given."""
+    r = spark.readStream.schema(DOC_SCHEMA)
+    return (r.option("maxFilesPerTrigger", max_files) if max_files else r).parquet(path)
 
 
 def pair_stats_stream(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
