@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from inferna.functions.text import pair_text
 from inferna.operators import vectorize as V
 from inferna.plans import grid
+from inferna.session import materialize
 
 
 @dataclass(frozen=True)
@@ -65,25 +66,39 @@ EXPERIMENTS = {
 }
 
 
-def learner(kind: str, n_train: int, label_col: str = "label", features_col: str = "features"):
-    """Spark ML equivalents with the reference's effective hyper-parameters.
+@dataclass(frozen=True)
+class Effort:
+    """How far the learners go.  Spark grows trees level by level over all
+    features, so depth and bins bound the cost on thousands of counts (which
+    take few distinct values); the largest depth Spark knows is 30."""
+    depth: int = 30
+    bins: int = 32
+    trees: int = 100
+    stages: int = 100
+    steps: int = 1000
+
+
+#: Settings of the registered text-vector queries.
+QUERY_EFFORT = Effort(depth=8, bins=4, trees=20, stages=5, steps=50)
+
+
+def learner(kind: str, n_train: int, label_col: str = "label", features_col: str = "features", effort: Effort = Effort()):
+    """Spark ML equivalents with the usual hyper-parameters.
 
-    Depth is capped at 30 (Spark's maximum) where the reference grew trees
-    without limit; logistic regression is L2 one-vs-rest with C = 1
-    (regParam = 1 / (C * n)); boosting is one-vs-rest of binary GBTs with
-    100 stages of depth 3 and step 0.1."""
+    Logistic regression is L2 one-vs-rest with C = 1 (regParam = 1 / (C * n));
+    boosting is one-vs-rest of binary GBTs of depth 3 and step 0.1."""
+    cols = dict(labelCol=label_col, featuresCol=features_col)
+    tree = dict(maxBins=effort.bins, maxMemoryInMB=1024, cacheNodeIds=True, seed=42)
     if kind == "dt":
-        return DecisionTreeClassifier(labelCol=label_col, featuresCol=features_col, maxDepth=30, seed=42)
+        return DecisionTreeClassifier(**cols, maxDepth=effort.depth, **tree)
     if kind == "rf":
-        return RandomForestClassifier(labelCol=label_col, featuresCol=features_col, numTrees=100, maxDepth=30,
-                                      featureSubsetStrategy="sqrt", seed=42)
+        return RandomForestClassifier(**cols, numTrees=effort.trees, maxDepth=effort.depth, featureSubsetStrategy="sqrt", **tree)
     if kind == "lr":
         base = LogisticRegression(regParam=1.0 / max(1, n_train), elasticNetParam=0.0, standardization=False,
-                                  maxIter=1000, family="binomial")
-        return OneVsRest(classifier=base, labelCol=label_col, featuresCol=features_col)
+                                  maxIter=effort.steps, family="binomial")
+        return OneVsRest(classifier=base, **cols)
     if kind == "gbt":
-        base = GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, seed=42)
-        return OneVsRest(classifier=base, labelCol=label_col, featuresCol=features_col)
+        return OneVsRest(classifier=GBTClassifier(maxIter=effort.stages, maxDepth=3, stepSize=0.1, **tree), **cols)
     raise ValueError(kind)
 
 
@@ -106,7 +121,7 @@ def _vectorize_text(df: DataFrame, block: TextBlock, vocab: list[str], idf: list
 
 
 def fit_predict(spark: SparkSession, sf_dir: str, exp: Experiment, total_sample: int = 10_000,
-                save_dir: str | None = None) -> DataFrame:
+                save_dir: str | None = None, effort: Effort = Effort()) -> DataFrame:
     """Fit ``exp`` per training dataset and score every test split.
     -> model, doc_id, dataset, y, pred.  ``save_dir``: persist each fitted
     PipelineModel (S14) under save_dir/<experiment>/<dataset>."""
@@ -143,8 +158,11 @@ def fit_predict(spark: SparkSession, sf_dir: str, exp: Experiment, total_sample:
             cols.append("syn_vec")
         asm = VectorAssembler(inputCols=cols, outputCol="features")
         tr_v = asm.transform(tr).select(F.col("label").cast("double").alias("label"), "features")
+        tr_v = materialize(tr_v)   # the bounded training sample, read once for each pass of the learner
         n_train = tr_v.count()
-        pipe = Pipeline(stages=[learner(exp.learner, n_train)])
+        if tr_v.select("label").distinct().count() < 2:   # nothing to separate: no model for this dataset
+            continue
+        pipe = Pipeline(stages=[learner(exp.learner, n_train, effort=effort)])
         model: PipelineModel = pipe.fit(tr_v)
         if save_dir:
             model.write().overwrite().save(f"{save_dir.rstrip('/')}/{exp.key}/{m}")
