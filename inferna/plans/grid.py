@@ -29,7 +29,7 @@ def datasets_of(df: DataFrame) -> list[str]:
 
 def train_test(spark: SparkSession, sf_dir: str, total_sample: int = 10_000):
     """Valid pairs -> (stratified train sample per dataset, full test split)."""
-    pairs = materialize(valid_pairs_with_ids(src.nli_raw(spark, sf_dir)))
+    pairs = materialize(valid_pairs_with_ids(src.nli_raw(spark, sf_dir)), ["split"])
     train = materialize(sample.stratified_sample(pairs.where(F.col("split") == "train"), total_sample))
     test = pairs.where(F.col("split") == "test")
     return train, test
@@ -131,7 +131,7 @@ def feature_train_test(spark: SparkSession, sf_dir: str, total_sample: int = 10_
     """Feature table (text stats + syntactic map) of the valid pairs, the
     stratified training sample of it, and the full test split."""
     from inferna.operators.features import pair_features
-    feats = materialize(pair_features(src.nli_raw(spark, sf_dir)))
+    feats = materialize(pair_features(src.nli_raw(spark, sf_dir)), ["split"])
     train = materialize(sample.stratified_sample(feats.where(F.col("split") == "train"), total_sample))
     test = feats.where(F.col("split") == "test")
     return train, test

@@ -125,7 +125,8 @@ def fit_predict(spark: SparkSession, sf_dir: str, exp: Experiment, total_sample:
     """Fit ``exp`` per training dataset and score every test split.
     -> model, doc_id, dataset, y, pred.  ``save_dir``: persist each fitted
     PipelineModel (S14) under save_dir/<experiment>/<dataset>."""
-    train, test = grid.feature_train_test(spark, sf_dir, total_sample)
+    prepare = grid.train_test if exp.syntactic is None else grid.feature_train_test
+    train, test = prepare(spark, sf_dir, total_sample)
     dsets = grid.datasets_of(train)
     syn_tr = syn_te = None
     if exp.syntactic is not None:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "inferna", cpus: int | None = None,
@@ -63,9 +65,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
-def materialize(df, eager: bool = True):
-    """Cut the lineage of a table that several jobs reuse: a reliable
-    checkpoint into the shared ``spark.checkpoint.dir`` (survives the loss
-    of executors, unlike a cache or a local checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def materialize(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write a table that several jobs reuse once, as Parquet in the shared
+    folder, and read it back: the lineage ends there (lost executors cost no
+    recomputation, unlike a cache or a local checkpoint), and each reader gets
+    only its columns and, by ``partition_by``, its partitions."""
+    path = scratch_path(df.sparkSession, f"table-{uuid.uuid4().hex}")
+    w = df.write
+    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
