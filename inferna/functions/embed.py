@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIRST_DIMS = 10   # fixed value: the dimensions of each side that the published feature table holds
@@ -45,3 +49,27 @@ def embedding_pair_cols(p: Column, h: Column, n: int) -> list[Column]:
 def positional_checksum(arr: Column) -> Column:
     """sum_i (i + 1) * x_i of an array<double> — compact check of a block."""
     return F.aggregate(F.transform(arr, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, b: a + b)
+
+
+def encode_with(sentences: DataFrame, make_encoder: Callable[[], Callable[[list[str]], np.ndarray]],
+                text_col: str = "text", id_col: str = "id", batch: int = 64) -> DataFrame:
+    """(id, text) -> (sentence_id, embedding array<float>) by a pluggable encoder.
+
+    ``make_encoder()`` runs once per task (load the model there) and returns
+    f(texts) -> matrix; texts reach it ``batch`` at a time, NULL as empty."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = make_encoder()
+        for b in batches:
+            for s in range(0, len(b), batch):
+                part = b.iloc[s:s + batch]
+                rows = encode(part[text_col].fillna("").tolist())
+                yield pd.DataFrame({"sentence_id": part[id_col].to_numpy(), "embedding": [np.asarray(r, np.float32) for r in rows]})
+
+    kind = sentences.schema[id_col].dataType.simpleString()
+    return sentences.select(id_col, text_col).mapInPandas(run, f"sentence_id {kind}, embedding array<float>")
+
+
+def letter_encoder() -> Callable[[list[str]], np.ndarray]:
+    """A plain encoder without a model file: how often each of a-z occurs."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return lambda texts: np.array([[t.count(c) for c in letters] for t in texts], dtype=np.float32)

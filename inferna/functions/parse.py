@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 # Phrase labels counted in constituency strings.
 PHRASES = ["NP", "VP", "PP", "ADJP", "ADVP", "S", "SBAR", "SBARQ", "SINV", "SQ"]
-DEP_STATS = ["dep_tree_depth_proxy", "avg_dep_dist", "max_dep_dist", "root_children_count"]
+
 
 def empty_map() -> Column:
     return F.create_map().cast("map<string,double>")
@@ -31,6 +31,16 @@ def const_features(tree: Column) -> Column:
     return F.when(tree.isNull() | (F.trim(tree) == ""), empty_map()).otherwise(F.create_map(*kv))
 
 
+def max_depth(tree: Column) -> Column:
+    """True nesting depth of a bracketed tree (D13): the largest number of open
+    brackets at any place; 0 for blank or NULL."""
+    steps = F.transform(F.regexp_extract_all(F.coalesce(tree, F.lit("")), F.lit("[()]"), 0),
+                        lambda b: F.when(b == "(", F.lit(1)).otherwise(F.lit(-1)))
+    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("most"))
+    return F.aggregate(steps, start, lambda s, d: F.struct(
+        (s["open"] + d).alias("open"), F.greatest(s["most"], s["open"] + d).alias("most")), lambda s: s["most"])
+
+
 def _count_map(values: Column, prefix: str) -> Column:
     return F.map_from_entries(F.transform(
         F.array_distinct(values),

@@ -25,7 +25,10 @@ def fit(feats: DataFrame, docs: DataFrame, n_features: DataFrame, model_cols: li
         alpha: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """-> (classes: model, label, n_c, log_prior, base; features: model, f, d0..d2).
 
-    ``n_features``: model_cols + n_features (F per model)."""
+    ``n_features``: model_cols + n_features (F per model).  A negative feature
+    value fails the job (V12): the model is not defined for it."""
+    negative = F.raise_error(F.lit("multinomial naive Bayes needs feature values of at least 0"))
+    feats = feats.withColumn("x", F.when(F.col("x") < 0, negative.cast("double")).otherwise(F.col("x")))
     cls = docs.groupBy(*model_cols, "label").agg(F.count(F.lit(1)).alias("n_c"))
     w = Window.partitionBy(*model_cols)     # <= 3 rows per model
     ncf = feats.groupBy(*model_cols, "label", "f").agg(F.sum("x").alias("ncf"))

@@ -752,3 +752,24 @@ def q_embedding_pair_blocks(spark, sf):
     blocks = E.embedding_pair_blocks(F.col("premise_emb"), F.col("hypothesis_emb"))
     t = ep.select("pair_id", "label", *[b.alias(n) for n, b in blocks.items()])
     return t.select("pair_id", "label", *[F.round(E.positional_checksum(F.col(n)), 5).alias(n) for n in blocks])
+
+
+@register("encode_sentences", with_ctes(["sentences_all"], "SELECT id AS sentence_id, "
+          + ", ".join(f"CAST(length(text) - length(replace(text, '{c}', '')) AS BIGINT) AS {c}" for c in "aeiou")
+          + " FROM (SELECT DISTINCT id, text FROM sentences_all)"))
+def q_encode_sentences(spark, sf):
+    # Every distinct sentence once through the pluggable encoder
+    s = dictionary.unique_sentences(src.nli_raw(spark, sf)).select("id", "text").distinct()
+    e = E.encode_with(s, E.letter_encoder)
+    return e.select("sentence_id", *[F.get("embedding", ord(c) - ord("a")).cast("long").alias(c) for c in "aeiou"])
+
+
+@register("const_max_depth", with_ctes(["const_str"], """
+, b AS (SELECT sid, unnest(list_transform(regexp_extract_all(constituency, '[()]'), lambda x: CASE WHEN x = '(' THEN 1 ELSE -1 END)) AS step,
+        unnest(range(len(regexp_extract_all(constituency, '[()]')))) AS place FROM const_str),
+r AS (SELECT sid, sum(step) OVER (PARTITION BY sid ORDER BY place) AS depth FROM b)
+SELECT c.sid AS sentence_id, CAST(coalesce(max(r.depth), 0) AS INTEGER) AS const_max_depth
+FROM const_str c LEFT JOIN r ON c.sid = r.sid GROUP BY c.sid"""))
+def q_const_max_depth(spark, sf):
+    # True nesting depth
+    return _parses(spark, sf).select("sentence_id", P.max_depth(F.col("constituency")).alias("const_max_depth"))

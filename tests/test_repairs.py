@@ -68,3 +68,33 @@ def test_one_bad_sentence_keeps_its_batch(spark):
     got = {r.sentence_id: r for r in annotate.annotate_with(t, make).collect()}
     assert got["1"].constituency == "(good)" and got["1"].error is None and got["3"].constituency == "()"
     assert got["2"].constituency == "" and "no parse" in got["2"].error
+
+
+def test_negative_features_fail(spark):
+    from inferna.operators import nb
+    feats = spark.createDataFrame([("m", "d", 0, 1, -1.0)], "model string, doc_id string, label int, f int, x double")
+    docs = spark.createDataFrame([("m", "d", 0)], "model string, doc_id string, label int")
+    n = spark.createDataFrame([("m", 1)], "model string, n_features int")
+    with pytest.raises(Exception, match="at least 0"):
+        nb.fit(feats, docs, n, ["model"])[1].collect()
+
+
+def test_encoder_loads_once_per_task(spark):
+    from inferna.functions import embed
+
+    def make():
+        calls = []
+
+        def f(texts):
+            calls.append(len(texts))
+            return np.array([[len(t), len(calls)] for t in texts], dtype=float)
+        return f
+    t = spark.createDataFrame([(i, "x" * i) for i in range(5)] + [(9, None)], "id long, text string").coalesce(1)
+    got = {r.sentence_id: r.embedding for r in embed.encode_with(t, make, batch=2).collect()}
+    assert [got[i][0] for i in (0, 4, 9)] == [0, 4, 0] and max(e[1] for e in got.values()) == 3
+
+
+def test_max_depth(spark):
+    from inferna.functions import parse
+    t = spark.createDataFrame([("(a (b c) (d (e f)))",), ("",), (None,)], "t string")
+    assert [r[0] for r in t.select(parse.max_depth(F.col("t"))).collect()] == [3, 0, 0]
