@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from inferna.llm.common import bounded_broadcast, stage
 from inferna.llm.near import classes
-from inferna.llm.shingles import counted, mix, overlap, parcels, shingles
+from inferna.llm.shingles import compare, counted, mix, parcels, shingles
 
 STEP, LEVEL, OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x2545F4914F6CDD1D)
 
@@ -68,18 +68,23 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def near_test(similarity: float, words: int, weighted: bool = True):
-    """Test for ``near.classes``: exact (multi)set Jaccard of the pair's texts."""
-    def test(pairs: DataFrame) -> DataFrame:
-        def check(batches):
-            for b in batches:
-                x, y = b.column("fa").to_pylist(), b.column("fb").to_pylist()
-                keep = [False] * len(x)
+def text_comparison(similarity: float, words: int, weighted: bool = True):
+    """Comparison for ``near.classes``: exact (multi)set Jaccard of the pair's texts, and b's shingles beyond a's."""
+    def compare_pairs(pairs: DataFrame) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                x, y = batch.column("fa").to_pylist(), batch.column("fb").to_pylist()
                 for s, e in parcels([p + q for p, q in zip(x, y)]):
-                    keep[s:e] = (overlap(x[s:e], y[s:e], words, weighted) >= similarity - 1e-12).tolist()
-                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-        return pairs.select("a", "b", "fa", "fb").mapInArrow(check, "a long, b long")
-    return test
+                    size_a, size_b, common, excess, pair = compare(x[s:e], y[s:e], words, weighted)
+                    near = (common >= similarity * (size_a + size_b - common) - 1e-9) & (common > 0)
+                    cut = np.searchsorted(pair, np.arange(e - s + 1)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("a").slice(s, e - s), batch.column("b").slice(s, e - s), pa.array(near), pa.array(size_a.astype(np.int64)),
+                         pa.array(size_b.astype(np.int64)), pa.array(common.astype(np.int64)), pa.ListArray.from_arrays(cut, excess.view(np.int64))],
+                        names=["a", "b", "near", "size_a", "size_b", "common", "excess"])
+        return pairs.select("a", "b", "fa", "fb").mapInArrow(
+            run, "a long, b long, near boolean, size_a long, size_b long, common long, excess array<long>")
+    return compare_pairs
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, words: int = 5,
@@ -119,7 +124,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         return (rows.withColumn("entry", F.xxhash64("body")).join(bounded_broadcast(first, first.count(), 16), ["id", "entry"])
                 .select(F.col("entry").alias("id"), F.col("body").alias("f")).dropDuplicates(["id"]))
 
-    label = classes(buckets, texts, near_test(similarity, words))
+    label = classes(buckets, texts, text_comparison(similarity, words), similarity)
     of = member.select("id", "entry").join(label.withColumnRenamed("id", "entry"), "entry", "left") \
         .select("id", "entry", F.coalesce("label", "entry").alias("label"))
     size = of.groupBy("label").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))

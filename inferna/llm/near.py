@@ -1,13 +1,17 @@
 """Near-duplicate classes from banded signatures, shared by the two operators that band.
 
-Entries are distinct texts.  Entries with an equal band share a bucket.  In each
-round every entry meets one leader of each of its buckets that lies in another
-class; pairs that pass the exact test join their classes (components of the
-links so far).  The first leader is the member that shares most buckets with
-others: in a group of edited copies that is the text nearest to all, and most
-copies join it at once.  Pairs within a class need no test any more; what is
-left in buckets between different classes is tested one and all at the end, so
-no link that a bucket holds between two classes is lost.
+Entries are distinct texts.  Entries with an equal band share a bucket.  Pairs
+of a bucket are not formed.  Every member meets its bucket's leader, the member
+that shares most buckets with others: in a group of edited copies that is the
+text nearest to all, and most copies join its class at once.  Members left
+outside choose a second leader among themselves.
+
+What is left are pairs of one leader's members in different classes.  Let I be
+what a member has in common with the leader l and E its shingles beyond l's.
+Two members u, v have at most min(Iu, Iv) + |Eu and Ev| in common, and must have
+s / (1 + s) x (|u| + |v|) to be near.  So only those pairs are formed, and then
+tested, that share excess shingles (an equi-join on them) or pass without any.
+That bound is exact: no link between two members of a bucket is lost.
 """
 
 from __future__ import annotations
@@ -46,55 +50,73 @@ def components(ids: DataFrame, links: DataFrame, n_links: int) -> DataFrame:
     return ids.join(bounded_broadcast(touched, n, 16), "id", "left").select("id", F.coalesce("l", "id").alias("label"))
 
 
-def classes(buckets: DataFrame, features: Callable[[DataFrame], DataFrame], test: Callable[[DataFrame], DataFrame],
-            rounds: int = 2) -> DataFrame:
+def classes(buckets: DataFrame, features: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame],
+            similarity: float) -> DataFrame:
     """(id, label) for every id that shares a bucket in ``buckets`` (distinct id, bucket); label is the class's least id.
 
     ``features`` takes the ids (id) that share a bucket and returns (id, f);
-    ``test`` takes distinct pairs (a, b, fa, fb) and returns those (a, b) that
-    are near.
+    ``compare`` takes distinct pairs (a, b, fa, fb) and returns (a, b, near,
+    size_a, size_b, common, excess) as ``shingles.compare`` defines them.
     """
-    several = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    several = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = stage(buckets.join(several, "bucket"), "near-buckets")
     n = shared.count()
-    ids = stage(shared.select("id").distinct(), "near-ids", n)
-    n_ids = ids.count()
-    feats = stage(features(ids), "near-features")
     # how many others an entry meets, over all its buckets
-    met = shared.join(bounded_broadcast(shared.groupBy("bucket").agg(F.count("*").alias("n")), n, 16), "bucket") \
-        .groupBy("id").agg(F.sum("n").alias("met"))
-    met = stage(met, "near-met", n_ids)
-    label, links, tested, n_links, n_pairs = ids.select("id", F.col("id").alias("label")), None, None, 0, 0
-
-    for r in range(rounds + 1):
-        held = shared.join(bounded_broadcast(label, n_ids, 16), "id")
-        if r < rounds:
-            if r == 0:
-                held = held.join(bounded_broadcast(met, n_ids, 16), "id")
-            turn = F.xxhash64("id", F.lit(r)) if r else F.struct(-F.col("met"), "id")
-            lead = held.groupBy("bucket").agg(F.min_by(F.struct("id", "label"), turn).alias("lead"))
-            pairs = (held.join(bounded_broadcast(lead, n, 32), "bucket").where(F.col("label") != F.col("lead.label"))
-                     .select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")))
-        else:
-            # pairs of one bucket in different classes: buckets of one class give none
-            mixed = held.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-            left = stage(held.join(bounded_broadcast(mixed, n, 16), "bucket"), "near-left", n)
-            right = left.select("bucket", F.col("id").alias("id2"), F.col("label").alias("label2"))
-            pairs = left.join(right, "bucket").where((F.col("id") < F.col("id2")) & (F.col("label") != F.col("label2"))).select(
-                F.col("id").alias("a"), F.col("id2").alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(bounded_broadcast(tested, n_pairs, 16), ["a", "b"], "left_anti")
-        pairs = stage(pairs, f"near-pairs-{r}", n if r < rounds else None)
-        fresh = pairs.count()
-        if fresh == 0:
-            continue
-        tested, n_pairs = pairs if tested is None else tested.unionByName(pairs), n_pairs + fresh
-        both = (pairs.join(feats.select(F.col("id").alias("a"), F.col("f").alias("fa")), "a")
-                .join(feats.select(F.col("id").alias("b"), F.col("f").alias("fb")), "b"))
-        found = stage(test(both), f"near-found-{r}")
-        more = found.count()
-        if more:
-            links, n_links = found if links is None else links.unionByName(found), n_links + more
-            label = stage(components(ids, links, n_links), f"near-classes-{r}", n_ids)
+    ids = stage(shared.groupBy("id").agg(F.sum("n").alias("met")), "near-ids", n)
+    n_ids = ids.count()
+    feats = stage(features(ids.select("id")), "near-features")
+    shared = stage(shared.select("id", "bucket").join(bounded_broadcast(ids, n_ids, 16), "id"), "near-met", n)
+
+    def compared(pairs: DataFrame, name: str) -> DataFrame:
+        return stage(compare(pairs.join(feats.select(F.col("id").alias("a"), F.col("f").alias("fa")), "a")
+                             .join(feats.select(F.col("id").alias("b"), F.col("f").alias("fb")), "b")), name)
+
+    def against_leaders(held: DataFrame, name: str) -> DataFrame:
+        """Each member of a bucket against its leader, the member that meets most."""
+        lead = held.groupBy("bucket").agg(F.min_by("id", F.struct(-F.col("met"), "id")).alias("a"))
+        return compared(held.join(bounded_broadcast(lead, n, 16), "bucket").where("id <> a")
+                        .select("a", F.col("id").alias("b")).distinct(), name)
+
+    first = against_leaders(shared, "near-first")
+    links = first.where("near").select("a", "b")
+    n_links = links.count()
+    if n_links:
+        label = stage(components(ids.select("id"), links, n_links), "near-classes", n_ids)
+    else:
+        label = stage(ids.select("id", F.col("id").alias("label")), "near-classes", n_ids)
+
+    # members outside their first leader's class choose leaders among themselves
+    held = shared.join(bounded_broadcast(label, n_ids, 16), "id")
+    most = held.groupBy("bucket").agg(F.min_by("label", F.struct(-F.col("met"), "id")).alias("top"))
+    outside = held.join(bounded_broadcast(most, n, 16), "bucket").where("label <> top").select("id", "bucket", "met")
+    second = against_leaders(outside, "near-second")
+    more = second.where("near").select("a", "b")
+    n_more = more.count()
+    if n_more:
+        links, n_links = links.unionByName(more), n_links + n_more
+        label = stage(components(ids.select("id"), links, n_links), "near-classes", n_ids)
+
+    # pairs of one leader's members in different classes that can still be near
+    share = similarity / (1 + similarity)
+    lab = bounded_broadcast(label, n_ids, 16)
+    group = (first.select("a", F.col("b").alias("id"), "near", F.col("size_b").alias("size"), "common", "excess")
+             .join(lab, "id"))
+    torn = group.where("not near").select("a").distinct()
+    group = stage(group.join(torn, "a", "left_semi"), "near-torn")
+    v = group.where("not near").select("a", F.col("id").alias("v"), F.col("size").alias("sv"), F.col("common").alias("cv"), F.col("label").alias("lv"), "excess")
+    u = group.select("a", F.col("id").alias("u"), F.col("size").alias("su"), F.col("common").alias("cu"), F.col("label").alias("lu"), "excess")
+    least = share * (F.col("sv") + F.col("su")) - 1e-6
+    other = F.col("lv") != F.col("lu")
+    plain = v.drop("excess").join(u.drop("excess"), ["a"]).where(other & (F.least("cv", "cu") >= least)).select("v", "u")
+    of = ["a", "x"]
+    sharing = (v.withColumn("x", F.explode_outer("excess")).drop("excess").where("x is not null")
+               .join(u.withColumn("x", F.explode_outer("excess")).drop("excess").where("x is not null"), of).where(other)
+               .groupBy("a", "v", "u", "sv", "su", "cv", "cu").agg(F.count("*").alias("both"))
+               .where(F.least("cv", "cu") + F.col("both") >= least).select("v", "u"))
+    pairs = plain.unionByName(sharing).select(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b")).distinct()
+    last = compared(pairs, "near-last").where("near").select("a", "b")
+    n_last = last.count()
+    if n_last:
+        label = stage(components(ids.select("id"), links.unionByName(last) if links is not None else last, n_links + n_last),
+                      "near-classes", n_ids)
     return label

@@ -62,8 +62,12 @@ def counted(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return h[at], t[at], np.diff(np.append(at, len(h)))
 
 
-def overlap(a: list[str], b: list[str], words: int = 5, weighted: bool = True) -> np.ndarray:
-    """Jaccard similarity of the shingle multisets (or sets) of each pair of texts; 0 if either has no words."""
+def compare(a: list[str], b: list[str], words: int = 5, weighted: bool = True):
+    """Shingle multisets (or sets) of each pair of texts: (size of a, size of b, common, excess, pair).
+
+    ``excess`` holds a number for each copy of a shingle that b has beyond a's
+    copies, ``pair`` the pair it belongs to.
+    """
     n = len(a)
     h, t, c = counted(*shingles(a + b, words))
     if not weighted:
@@ -71,11 +75,21 @@ def overlap(a: list[str], b: list[str], words: int = 5, weighted: bool = True) -
     total = np.bincount(t, weights=c, minlength=2 * n)
     pair, side = t % n, t // n
     order = np.lexsort((side, h, pair))
-    h, pair, c = h[order], pair[order], c[order]
+    h, pair, side, c = h[order], pair[order], side[order], c[order]
     both = np.flatnonzero((h[1:] == h[:-1]) & (pair[1:] == pair[:-1])) if len(h) else np.empty(0, int)
     common = np.bincount(pair[both], weights=np.minimum(c[both], c[both + 1]), minlength=n) if len(both) else np.zeros(n)
-    union = total[:n] + total[n:] - common
-    return np.where((total[:n] > 0) & (total[n:] > 0), common / np.maximum(union, 1), 0.0)
+    over = np.where(side == 1, c, 0)
+    over[both + 1] = np.maximum(0, c[both + 1] - c[both])
+    row = np.repeat(np.arange(len(h)), over)
+    copy = np.arange(len(row)) - np.repeat(np.cumsum(over) - over, over)
+    excess = mix(h[row] + (copy + 1).astype(np.uint64) * WORD_FACTORS[0])
+    return total[:n], total[n:], common, excess, pair[row]
+
+
+def overlap(a: list[str], b: list[str], words: int = 5, weighted: bool = True) -> np.ndarray:
+    """Jaccard similarity of the shingle multisets (or sets) of each pair of texts; 0 if either has no words."""
+    x, y, common, _, _ = compare(a, b, words, weighted)
+    return np.where((x > 0) & (y > 0), common / np.maximum(x + y - common, 1), 0.0)
 
 
 def parcels(texts: list, limit: int = 2 << 20):
