@@ -58,7 +58,8 @@ def classes(buckets: DataFrame, features: Callable[[DataFrame], DataFrame], comp
     ``compare`` takes distinct pairs (a, b, fa, fb) and returns (a, b, near,
     size_a, size_b, common, excess) as ``shingles.compare`` defines them.
     """
-    several = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    # a table of its own: a join straight from an aggregation would not be split for a hot bucket
+    several = stage(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "near-several")
     shared = stage(buckets.join(several, "bucket"), "near-buckets")
     n = shared.count()
     # how many others an entry meets, over all its buckets
