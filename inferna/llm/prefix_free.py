@@ -246,7 +246,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     kind = rows.schema["id"].dataType.simpleString()
     found = stage(phrases(rows.select("k", "body"), length, window), "pfp-phrases")
     classes = found.groupBy("cls").agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("n > 1")
-    shared = stage(found.join(classes.select("cls", (F.col("lo") != F.col("hi")).alias("mixed")), "cls"), "pfp-shared")
+    # a table of its own: a join straight from an aggregation would not be split for a hot class
+    classes = stage(classes.select("cls", (F.col("lo") != F.col("hi")).alias("mixed")), "pfp-classes")
+    shared = stage(found.join(classes, "cls"), "pfp-shared")
     entries = shared.where("mixed").groupBy("cls", "content").agg(
         F.count("*").alias("n"), F.min(F.struct("k", "first", "last")).alias("w"))
     entries = stage(entries.select("w.k", "w.first", "w.last", "cls", "content", (F.col("n") == 1).alias("once")), "pfp-entries")
