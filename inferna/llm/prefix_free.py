@@ -20,7 +20,7 @@ parse; equal phrases of a class are one entry of the dictionary.
 
 The corpus order is needed up to ties of ``length`` bytes only, so strings are
 ordered by class, then by a 64-bit hash of their bytes, and not by letters.  What
-travels is one row of numbers for about each 75 bytes, and the bytes of the
+travels is one row of numbers for about each 80 bytes, and the bytes of the
 entries left, never the strings of all places.
 """
 
@@ -233,7 +233,7 @@ def count_strings(cuts: DataFrame, length: int) -> DataFrame:
     return every.where("once").join(twice, "key", "left_semi").select("k", F.col("at").alias("first"), F.col("at").alias("last"))
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, window: int = 150) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, window: int = 160) -> DataFrame:
     """(key, kept binary, n_bytes, n_removed, n_spans) for every row of ``docs``.
 
     Removes each byte covered by a ``length``-byte string that also starts
