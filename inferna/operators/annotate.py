@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inferna.functions.text import WORD1
+from inferna.operators.clean import text_guard
 
 EDGE_TYPE = "struct<id:int,text:string,lemma:string,pos:string,head:int,deprel:string>"
 PARSE_SCHEMA = f"sentence_id string, constituency string, dependency array<{EDGE_TYPE}>"
@@ -40,7 +41,7 @@ def annotate_rules(sentences: DataFrame, text_col: str = "text", id_col: str = "
     the optimizer cannot inline a whole-array expression into a per-element
     body; the per-row scalars root / n are referenced several times and
     therefore stay computed once per row."""
-    toks = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD1), 0)
+    toks = F.regexp_extract_all(F.coalesce(text_guard(F.col(text_col)), F.lit("")), F.lit(WORD1), 0)
     a = sentences.select(F.col(id_col).alias("sentence_id"), toks.alias("toks"))
     a = a.select("sentence_id", F.arrays_zip(F.col("toks").alias("t"),
                                              F.transform("toks", _pos).alias("g")).alias("z"))

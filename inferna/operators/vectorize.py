@@ -64,11 +64,23 @@ def with_bigrams(toks: Column) -> Column:
     return F.concat(toks, bi)
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def term_counts(arr: Column) -> Column:
-    """term -> count map of a term-array *column* (narrow: no shuffle)."""
-    return F.map_from_entries(F.transform(
-        F.array_distinct(arr),
-        lambda t: F.struct(t.alias("term"), F.size(F.filter(arr, lambda x: x == t)).cast("long").alias("tf"))))
+    """term -> count map of a term-array *column* (narrow: no shuffle).
+
+    The terms are sorted once and each run of equal ones is counted by where
+    it and the next begin: n log n for a text of n terms."""
+    def runs(s):
+        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1),
+                          lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return _let(begins, lambda b: F.transform(b, lambda at, j: F.struct(
+            F.get(s, at).alias("term"), (F.coalesce(F.get(b, j + 1), F.size(s)) - at).cast("long").alias("tf"))))
+    none = F.array().cast("array<struct<term:string,tf:bigint>>")
+    return F.map_from_entries(_let(F.array_sort(arr), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(none)))
 
 
 def doc_terms(df: DataFrame, id_col: str, text: Column, spec: TermSpec,
@@ -99,12 +111,6 @@ def fit_vocab(dterms: DataFrame, k: int) -> DataFrame:
     return top.withColumn("idx", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
 
 
-def bow(dterms: DataFrame, vocab: DataFrame, id_col: str, offset: int = 0) -> DataFrame:
-    """V2: (doc, idx, count) for vocabulary terms (vocab broadcast: <= k rows)."""
-    v = F.broadcast(vocab.select("term", (F.col("idx") + offset).alias("idx")))
-    return dterms.join(v, "term").select(id_col, "idx", F.col("tf").cast("double").alias("x"))
-
-
 def fit_idf(dterms: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
     """V3 fit: idf = ln((1 + n) / (1 + df)) + 1 over the fitting corpus."""
     n = dterms.select(id_col).distinct().count()
@@ -116,14 +122,6 @@ def fit_idf(dterms: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
                     .alias("idf")))
 
 
-def tfidf(dterms: DataFrame, idf: DataFrame, id_col: str, offset: int = 0) -> DataFrame:
-    """V3 transform: tf * idf, L2-normalised per document."""
-    j = dterms.join(F.broadcast(idf.select("term", "idx", "idf")), "term")
-    w = F.col("tf") * F.col("idf")
-    norm = F.sqrt(F.sum(w * w).over(Window.partitionBy(id_col)))
-    return j.select(id_col, (F.col("idx") + offset).alias("idx"), (w / norm).alias("x"))
-
-
 def collect_vocab(vocab: DataFrame, k: int) -> list[str]:
     """Vocabulary in index order; bounded by k (checked)."""
     rows = vocab.orderBy("idx").select("term").limit(k + 1).collect()
@@ -170,8 +168,3 @@ def minmax_scale(arr: Column, st: dict[str, list[float]]) -> Column:
     rng = F.array(*[F.lit(h - l) for h, l in zip(st["max"], st["min"])])
     return F.transform(arr, lambda x, i: F.when(F.get(rng, i) > 0, (x - F.get(lo, i)) / F.get(rng, i))
                        .otherwise(F.lit(0.0)))
-
-
-def min_value(df: DataFrame, x_col: str) -> DataFrame:
-    """The smallest feature value (negative values break multinomial NB)."""
-    return df.agg(F.min(x_col).alias("min_value"))

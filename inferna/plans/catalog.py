@@ -773,3 +773,29 @@ FROM const_str c LEFT JOIN r ON c.sid = r.sid GROUP BY c.sid"""))
 def q_const_max_depth(spark, sf):
     # True nesting depth
     return _parses(spark, sf).select("sentence_id", P.max_depth(F.col("constituency")).alias("const_max_depth"))
+
+
+@register("nan_fill_raw", with_ctes(["nli_raw"], """
+SELECT id, CASE WHEN coalesce(length(hypothesis_text), 0) = 0 THEN 1.0
+  ELSE round(coalesce(length(premise_text), 0) / length(hypothesis_text), 6) END AS length_ratio,
+  CASE WHEN coalesce(length(hypothesis_text), 0) = 0 THEN 0.0
+  ELSE round(1.0 / length(hypothesis_text), 6) END AS per_char
+FROM nli_raw"""))
+def q_nan_fill_raw(spark, sf):
+    # P18 on raw divisions: 0/0 is NaN and x/0 infinite before the fill
+    def length(c):
+        return F.coalesce(F.length(c), F.lit(0)).cast("double")
+
+    def divide(a, b):
+        return F.when(b != 0, a / b).when(a == 0, F.lit(float("nan"))).otherwise(F.lit(float("inf")))
+    p, h = length("premise_text"), length("hypothesis_text")
+    raw = src.nli_raw(spark, sf).select("id", divide(p, h).alias("length_ratio"), divide(F.lit(1.0), h).alias("per_char"))
+    filled = clean.fill_feature_nans(raw, ["length_ratio", "per_char"])
+    return filled.select("id", F.round("length_ratio", 6).alias("length_ratio"), F.round("per_char", 6).alias("per_char"))
+
+
+@register("shuffle_head", with_ctes(["vpairs"], """
+SELECT pair_id FROM vpairs ORDER BY md5('42:' || pair_id), pair_id LIMIT 1000"""))
+def q_shuffle_head(spark, sf):
+    # The reproducible shuffled order, of which T2 reports the first rows
+    return S.shuffle_rows(_pairs(spark, sf)).limit(1000).select("pair_id")

@@ -148,12 +148,6 @@ def load_splits(raw: DataFrame, dataset: str | None = None,
     return out
 
 
-def split_alias_table(spark: SparkSession) -> DataFrame:
-    """S2 as a tiny constant table (logical -> stored split name)."""
-    return spark.createDataFrame(sorted(SPLIT_ALIASES.items()),
-                                 "logical string, physical string")
-
-
 def union_pieces(pieces: list[DataFrame], tag_col: str, tags: list[str]) -> DataFrame:
     """Union-all of separately stored pieces, tagging each with its name;
     columns are matched by name and missing ones become NULL."""
