@@ -127,7 +127,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     label = classes(buckets, texts, text_comparison(similarity, words), similarity)
     of = member.select("id", "entry").join(label.withColumnRenamed("id", "entry"), "entry", "left") \
         .select("id", "entry", F.coalesce("label", "entry").alias("label"))
-    size = of.groupBy("label").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
+    # a table of its own: a join straight from an aggregation would not be split for a hot class
+    size = stage(of.groupBy("label").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size")), "bag-classes")
     grouped = of.join(size, "label").select("id", "class_id", "class_size")
     alone = signed.where("bands is null or id is null").select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return grouped.unionByName(alone).select(F.col("id").alias(key), "class_id", "class_size",

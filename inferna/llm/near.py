@@ -10,7 +10,8 @@ What is left are pairs of one leader's members in different classes.  Let I be
 what a member has in common with the leader l and E its shingles beyond l's.
 Two members u, v have at most min(Iu, Iv) + |Eu and Ev| in common, and must have
 s / (1 + s) x (|u| + |v|) to be near.  So only those pairs are formed, and then
-tested, that share excess shingles (an equi-join on them) or pass without any.
+tested, that share excess shingles (an equi-join on them, with min(|Eu|, |Ev|) in
+place of the shared ones as its condition) or pass without any.
 That bound is exact: no link between two members of a bucket is lost.
 """
 
@@ -111,7 +112,8 @@ def classes(buckets: DataFrame, features: Callable[[DataFrame], DataFrame], comp
     plain = v.drop("excess").join(u.drop("excess"), ["a"]).where(other & (F.least("cv", "cu") >= least)).select("v", "u")
     of = ["a", "x"]
     sharing = (v.withColumn("x", F.explode_outer("excess")).drop("excess").where("x is not null")
-               .join(u.withColumn("x", F.explode_outer("excess")).drop("excess").where("x is not null"), of).where(other)
+               .join(u.withColumn("x", F.explode_outer("excess")).drop("excess").where("x is not null"), of)
+               .where(other & (F.least("cv", "cu") + F.least(F.col("sv") - F.col("cv"), F.col("su") - F.col("cu")) >= least))
                .groupBy("a", "v", "u", "sv", "su", "cv", "cu").agg(F.count("*").alias("both"))
                .where(F.least("cv", "cu") + F.col("both") >= least).select("v", "u"))
     pairs = plain.unionByName(sharing).select(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b")).distinct()
