@@ -11,7 +11,9 @@ what a member has in common with the leader l and E its shingles beyond l's.
 Two members u, v have at most min(Iu, Iv) + |Eu and Ev| in common, and must have
 s / (1 + s) x (|u| + |v|) to be near.  So only those pairs are formed, and then
 tested, that share excess shingles (an equi-join on them, with min(|Eu|, |Ev|) in
-place of the shared ones as its condition) or pass without any.
+place of the shared ones as its condition) or pass without any.  A member v must
+share at least s |v| - Iv of its excess, so all but one of that many are left out
+of the join on both sides, the commonest first (prefix filtering).
 That bound is exact: no link between two members of a bucket is lost.
 """
 
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inferna.llm.common import bounded_broadcast, stage
@@ -105,18 +107,27 @@ def classes(buckets: DataFrame, features: Callable[[DataFrame], DataFrame], comp
              .join(lab, "id"))
     torn = group.where("not near").select("a").distinct()
     group = stage(group.join(torn, "a", "left_semi"), "near-torn")
-    v = group.where("not near").select("a", F.col("id").alias("v"), F.col("size").alias("sv"), F.col("common").alias("cv"), F.col("label").alias("lv"), "excess")
-    u = group.select("a", F.col("id").alias("u"), F.col("size").alias("su"), F.col("common").alias("cu"), F.col("label").alias("lu"), "excess")
-    least = share * (F.col("sv") + F.col("su")) - 1e-6
-    other = F.col("lv") != F.col("lu")
-    plain = v.drop("excess").join(u.drop("excess"), ["a"]).where(other & (F.least("cv", "cu") >= least)).select("v", "u")
-    of = ["a", "x"]
-    sharing = (v.withColumn("x", F.explode_outer("excess")).drop("excess").where("x is not null")
-               .join(u.withColumn("x", F.explode_outer("excess")).drop("excess").where("x is not null"), of)
-               .where(other & (F.least("cv", "cu") + F.least(F.col("sv") - F.col("cv"), F.col("su") - F.col("cu")) >= least))
-               .groupBy("a", "v", "u", "sv", "su", "cv", "cu").agg(F.count("*").alias("both"))
-               .where(F.least("cv", "cu") + F.col("both") >= least).select("v", "u"))
-    pairs = plain.unionByName(sharing).select(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b")).distinct()
+    # each member's excess in one order, the commonest first, without as many as a near pair can spare
+    exploded = group.withColumn("x", F.explode_outer("excess")).drop("excess").where("x is not null")
+    often = exploded.groupBy("a", "x").agg(F.count("*").alias("often"))
+    turn = F.row_number().over(Window.partitionBy("a", "id").orderBy(F.desc("often"), "x"))
+    spare = F.greatest(F.lit(0), F.ceil(similarity * F.col("size") - F.col("common") - 1e-6) - 1)
+    kept = stage(exploded.join(often, ["a", "x"]).withColumn("turn", turn).withColumn("spare", spare)
+                 .where("turn > spare").drop("often", "turn"), "near-excess")
+
+    def named(t: DataFrame, side: str) -> DataFrame:
+        return t.select("a", *[F.col(c).alias(c + side) for c in t.columns if c not in ("a", "x", "excess", "near")],
+                        *[c for c in t.columns if c == "x"])
+
+    least = share * (F.col("size1") + F.col("size2")) - 1e-6
+    common, other = F.least("common1", "common2"), F.col("label1") != F.col("label2")
+    excess = F.least(F.col("size1") - F.col("common1"), F.col("size2") - F.col("common2"))
+    plain = (named(group.where("not near"), "1").join(named(group, "2"), "a").where(other & (common >= least)).select("id1", "id2"))
+    sharing = (named(kept.where("not near"), "1").join(named(kept, "2"), ["a", "x"]).where(other & (common + excess >= least))
+               .groupBy("a", "id1", "id2", "size1", "size2", "common1", "common2", "spare1", "spare2")
+               .agg(F.count("*").alias("both"))
+               .where(common + F.col("both") + F.col("spare1") + F.col("spare2") >= least).select("id1", "id2"))
+    pairs = plain.unionByName(sharing).select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
     last = compared(pairs, "near-last").where("near").select("a", "b")
     n_last = last.count()
     if n_last:
