@@ -89,7 +89,7 @@ def test_scalers(spark):
 
 def _metrics(spark, y, p):
     df = spark.createDataFrame(list(zip(["c"] * len(y), y, p)), "cell string, y int, pred int")
-    return M.evaluate(df, ["cell"]).first()
+    return M.evaluate(df, ["cell"], decimals=6).first()
 
 
 def test_metrics_report(spark):
