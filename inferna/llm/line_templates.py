@@ -9,7 +9,10 @@ in one place share a leaf.  Templates are 64-bit keys; the lines of documents
 never travel, only keys do.
 
 A template recurs if it lies in at least ``min_docs`` different texts (equal
-texts count once, so copies of a document do not condemn its lines).  Its lines
+texts count once, so copies of a document do not condemn its lines).  Lines of
+at least ``long_tokens`` tokens are passages, which nobody writes twice: two
+different texts are enough (``long_docs``) if the lines are equal or differ only
+in tokens with digits, ``@`` or ``/``, at most a tenth of the line.  Such lines
 are dropped from all texts but the one with the least key, which keeps them: the
 corpus loses repetition and no content.
 """
@@ -24,12 +27,12 @@ from pyspark.sql import functions as F
 from inferna.llm.common import bounded_broadcast, let, stage
 from inferna.llm.shingles import BYTE_FACTORS, mix, parcels
 
-FIELD = np.uint64(0x5851F42D4C957F2D)
+FIELD, OTHER = np.uint64(0x5851F42D4C957F2D), np.uint64(0x2545F4914F6CDD1D)
 
 
-def line_keys(texts: list[str], leading: int, fields: int, field_tokens: int, min_tokens: int):
+def line_keys(texts: list[str], leading: int, fields: int, field_tokens: int, min_tokens: int, long_tokens: int):
     """(text number, line number, template key) arrays: every template of every line with at least
-    ``min_tokens`` constant tokens."""
+    ``min_tokens`` constant tokens, and every whole line of ``long_tokens``.  Odd keys are passages."""
     raw = [t.encode() for t in texts]
     data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
     size = np.array([len(r) + 1 for r in raw])
@@ -45,6 +48,7 @@ def line_keys(texts: list[str], leading: int, fields: int, field_tokens: int, mi
     token = mix(np.add.reduceat(part, start) + (end - start).astype(np.uint64))
     odd = ((data >= 48) & (data <= 57)) | (data == 64) | (data == 47)
     masked = np.logical_or.reduceat(odd, start)
+    exact = token.copy()
     token[masked] = FIELD
     line = np.cumsum(data == 10)[start]  # number of the line among all lines of the texts
     first = np.flatnonzero(np.diff(line, prepend=-1))  # its first token
@@ -54,14 +58,21 @@ def line_keys(texts: list[str], leading: int, fields: int, field_tokens: int, mi
     before = np.concatenate([[0], np.cumsum(data == 10)[np.cumsum(size) - 1]])[:-1]  # lines ahead of each text
     number = lines - before[text]
     pos = np.arange(len(token)) - np.repeat(first, n)
-    term = token * (mix(pos.astype(np.uint64) + np.uint64(1)) | np.uint64(1))
+    factor = mix(pos.astype(np.uint64) + np.uint64(1)) | np.uint64(1)
+    term = token * factor
     upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(term)])
     fixed = np.concatenate([[0], np.cumsum(~masked)])
     total = upto[first + n] - upto[first]
     count = n.astype(np.uint64) * FIELD
     constant = fixed[first + n] - fixed[first]
     ok = constant >= min_tokens
-    out = [(text[ok], number[ok], mix(total + count)[ok])]
+    even, odd_bit = ~np.uint64(1), np.uint64(1)
+    out = [(text[ok], number[ok], mix(total + count)[ok] & even)]
+    passage = np.flatnonzero(n >= long_tokens)
+    whole = np.add.reduceat(exact * factor, first)[passage] + count[passage]
+    out.append((text[passage], number[passage], mix(whole + OTHER) | odd_bit))
+    few = passage[n[passage] - constant[passage] <= n[passage] // 10]
+    out.append((text[few], number[few], mix(total[few] + count[few]) | odd_bit))
     long = np.flatnonzero(n >= field_tokens)
     for f in range(fields):
         a = first[long] + leading + (n[long] - leading) * f // fields
@@ -69,13 +80,13 @@ def line_keys(texts: list[str], leading: int, fields: int, field_tokens: int, mi
         left = constant[long] - (fixed[b] - fixed[a])
         ok = left >= min_tokens
         key = mix(total[long] - (upto[b] - upto[a]) + count[long] + mix(np.full(1, f + 1, np.uint64)))
-        out.append((text[long][ok], number[long][ok], key[ok]))
+        out.append((text[long][ok], number[long][ok], key[ok] & even))
     t, i, k = (np.concatenate(x) for x in zip(*out))
     return t, i, k.view(np.int64)
 
 
 def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = 10, leading: int = 2,
-                   fields: int = 4, field_tokens: int = 12, min_tokens: int = 3) -> DataFrame:
+                   fields: int = 4, field_tokens: int = 12, min_tokens: int = 3, long_tokens: int = 50, long_docs: int = 2) -> DataFrame:
     """``docs`` with recurring lines cut from ``text`` and two new columns, _n_lines and _n_dropped.
 
     Lines part at line feeds; texts without a dropped line stay byte for byte.
@@ -93,7 +104,7 @@ def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", min
             at: list[list[int]] = [[] for _ in texts]
             of: list[list[int]] = [[] for _ in texts]
             for s, e in parcels(texts):
-                t, i, k = line_keys(texts[s:e], leading, fields, field_tokens, min_tokens)
+                t, i, k = line_keys(texts[s:e], leading, fields, field_tokens, min_tokens, long_tokens)
                 order = np.argsort(t, kind="stable")
                 cut = np.searchsorted(t[order], np.arange(e - s + 1))
                 i, k = i[order], k[order]
@@ -106,7 +117,8 @@ def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     # equal texts once, with the least key
     once = stage(parsed.groupBy("entry").agg(F.min("id").alias("id"), F.first("at").alias("at"), F.first("of").alias("of")), "line-keys")
     seen = once.select("id", "entry", F.explode_outer(F.array_distinct("of")).alias("k")).where("k is not null")
-    recurring = stage(seen.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("keeper")).where(F.col("n") >= min_docs)
+    recurring = stage(seen.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("keeper"))
+                      .where(F.col("n") >= F.when(F.col("k").bitwiseAND(F.lit(1)) == 1, long_docs).otherwise(min_docs))
                       .select("k", "keeper"), "line-recurring")
     many = recurring.count()
     spots = once.select("id", "entry", F.explode_outer(F.arrays_zip("at", "of")).alias("s")).select("id", "entry", "s.at", F.col("s.of").alias("k"))

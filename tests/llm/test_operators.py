@@ -304,6 +304,31 @@ def test_recurring_templates(spark):
     assert line_templates.drop_recurring(frame(spark, [])).count() == 0
 
 
+def test_shared_passages_of_few_texts(spark):
+    """Lines of 50 words or more that 2 to 9 unlike texts share, against a plain count of the texts."""
+    r = random.Random(9)
+    passages = [prose(7000 + p, n) for p, n in enumerate([50, 50, 51, 80, 200, 60, 70, 90])]
+    lines = {i: [prose(8000 + i, 60), prose(8100 + i, 20)] for i in range(40)}
+    for p, passage in enumerate(passages):
+        for i in r.sample(sorted(lines), p + 2):
+            lines[i].insert(r.randrange(len(lines[i]) + 1), passage)
+    for i in (0, 1, 2):
+        lines[i].append(prose(8500, 49))  # short of a passage, in three texts
+    for i in (3, 4):
+        lines[i].append(prose(8600, 55).replace("w1", f"{i}w1"))  # about a tenth and more differs
+        lines[i].append(f"On 2024-01-0{i} " + prose(8700, 60).replace("w", "word").replace("0", "o").translate(str.maketrans("123456789", "abcdefghi")))
+    docs = [(i, "\n".join(x)) for i, x in lines.items()]
+    copies = [(100 + i, docs[i][1]) for i in range(40)]
+    got = {x.doc_id: x.text for x in line_templates.drop_recurring(frame(spark, docs + copies)).collect()}
+    seen, want = set(), {}
+    for i, x in lines.items():
+        as_one = [re.sub(r"^On 2024-01-0\d ", "On 2024 ", t) for t in x]
+        want[i] = "\n".join(t for t, u in zip(x, as_one) if len(t.split()) < 50 or u not in seen)
+        seen |= set(as_one)
+    assert got == want | {100 + i: want[i] for i in lines}
+    assert sum(want[i] != t for i, t in docs) > 20
+
+
 # quality
 
 def test_cotraining_on_held_out_labels(spark):
