@@ -1,11 +1,14 @@
 """Quality classifier by co-training on two views of a document.
 
-The content view sees the text: frequencies of hashed byte trigrams and a few
-ratios (repetition, cases, digits, marks).  The metadata view sees source,
+The content view sees the text: frequencies of hashed byte trigrams, a few
+ratios (repetition, cases, digits, marks), and which of the words occur that tell
+rejected documents most in the labelled ones.  A document with a toxic label is a
+rejected one, whatever its quality.  The metadata view sees source,
 language, length and never the text.  Both are logistic regressions.  They start
 from labelled documents; in each round each view labels the pool's documents it
 is surest of, as many of either class as the labels' shares say, and hands them
-to the other view.  Held-out labels then calibrate each view (a line through its
+to the other view; a good one only if the other view calls it good too, a bad one
+unless the other is sure that it is good.  Held-out labels then calibrate each view (a line through its
 logit) and weigh both into one probability, with which all documents are scored.
 
 Fitting sees a bounded sample, ``max_labelled`` labelled and ``max_pool``
@@ -16,6 +19,7 @@ through the driver.  Scoring is a pass over the documents without a shuffle.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -24,13 +28,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inferna.llm.common import stage
+
 BUCKETS, META = 512, 96
 RATIOS = 8
+WORD = re.compile(r"[^\W\d_]+")
+
+
+def distinct_words(text: str) -> set[str]:
+    return set(WORD.findall(text.lower()))
 
 
-def content_features(text: str) -> np.ndarray:
-    """Root frequencies of hashed trigrams of the whole text's bytes, then ratios; zeros for an empty text."""
-    out = np.zeros(BUCKETS + RATIOS, np.float32)
+def content_features(text: str, telling: dict[str, tuple[int, float]]) -> np.ndarray:
+    """Root frequencies of hashed trigrams of the whole text's bytes, ratios, then the sum and the largest of the
+    odds of the words of ``telling`` (word: place, odds) that occur, and 1 for each of them; zeros for an empty text."""
+    out = np.zeros(BUCKETS + RATIOS + 2 + len(telling), np.float32)
     data = np.frombuffer(text.encode(), dtype=np.uint8)
     n = len(data)
     if n == 0:
@@ -42,9 +54,14 @@ def content_features(text: str) -> np.ndarray:
     kinds = np.bincount(data, minlength=256) / n
     words = text.split()
     # a long text repeats more; sizes are compared on a root scale
-    out[BUCKETS:] = (kinds[65:91].sum(), kinds[97:123].sum(), kinds[48:58].sum(), kinds[33:48].sum() + kinds[58:65].sum(),
+    out[BUCKETS:BUCKETS + RATIOS] = (kinds[65:91].sum(), kinds[97:123].sum(), kinds[48:58].sum(), kinds[33:48].sum() + kinds[58:65].sum(),
                      kinds[91:97].sum() + kinds[123:127].sum(), kinds[32] + kinds[10],
                      len(set(words)) / max(1.0, len(words) ** 0.8), n / max(1, len(words)) / 16)
+    found = sorted(telling[w] for w in telling.keys() & distinct_words(text))
+    for place, odds in found:
+        out[BUCKETS + RATIOS + 2 + place] = 1
+        out[BUCKETS + RATIOS] += odds
+    out[BUCKETS + RATIOS + 1] = max((odds for _, odds in found), default=0)
     return out
 
 
@@ -83,15 +100,34 @@ def logit(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.clip(x @ w[:-1] + w[-1], -30, 30)
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, rounds: int, share: float) -> dict:
+def telling_words(rows: DataFrame, many: int) -> dict[str, tuple[int, float]]:
+    """Word: (place, odds) of the ``many`` words that tell rejected rows of ``rows`` (y, body) most, by log odds times documents.
+
+    A word must occur in three rejected documents at least.
+    """
+    def words(batches):
+        for b in batches:
+            found = [(y, w) for y, t in zip(b.column("y").to_pylist(), b.column("body").to_pylist()) for w in distinct_words(t or "")]
+            yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in found], pa.int32()), pa.array([w for _, w in found], pa.string())],
+                                             names=["y", "word"])
+
+    n = {x["y"]: x["count"] for x in rows.groupBy("y").count().collect()}
+    bad, good = F.sum(1 - F.col("y")), F.sum("y")
+    odds = F.log((F.col("bad") + 0.5) / (n.get(0, 0) + 1) * (n.get(1, 0) + 1) / (F.col("good") + 0.5))
+    told = (rows.select("y", "body").mapInArrow(words, "y int, word string").groupBy("word").agg(bad.alias("bad"), good.alias("good"))
+            .where("bad >= 3").withColumn("odds", odds).where("odds > 0.7").orderBy(F.desc(F.col("bad") * F.col("odds")), "word").limit(many))
+    return {x["word"]: (i, x["odds"]) for i, x in enumerate(told.select("word", "odds").collect())}
+
+
+def co_train(views: list[np.ndarray], y: np.ndarray, held: np.ndarray, rounds: int, share: float) -> dict:
     """Coefficients of both views, of their calibrations, and of the combination.
 
-    ``y`` is 1, 0, or -1 for pool rows.  Every fifth labelled row calibrates and
-    takes no part in the fits.
+    ``y`` is 1, 0, or -1 for pool rows.  The rows of ``held`` calibrate and take
+    no part in the fits, unless there are few labels or it lacks a class.
     """
     labelled, pool = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
-    held = labelled[::5] if len(labelled) >= 50 else labelled
-    train = np.setdiff1d(labelled, held) if len(labelled) >= 50 else labelled
+    apart = len(labelled) >= 50 and set(y[labelled][held[labelled]]) == set(y[labelled][~held[labelled]]) == {0, 1}
+    train, held = (labelled[~held[labelled]], labelled[held[labelled]]) if apart else (labelled, labelled)
     rate = y[train].mean()
     given = [dict(zip(train, y[train])), dict(zip(train, y[train]))]
 
@@ -106,12 +142,13 @@ def co_train(views: list[np.ndarray], y: np.ndarray, rounds: int, share: float)
         if len(pool) == 0:
             break
         told = []
+        called = [logit(views[v][pool], models[v]) for v in (0, 1)]
         for v in (0, 1):
-            s = logit(views[v][pool], models[v])
+            s, other = called[v], called[1 - v]
             order = np.argsort(s, kind="stable")
             many = max(1, int(len(pool) * share))
             low, high = order[:max(1, int(many * (1 - rate)))], order[::-1][:max(1, int(many * rate))]
-            told.append([(i, 0) for i in pool[low[s[low] < -1.5]]] + [(i, 1) for i in pool[high[s[high] > 1.5]]])
+            told.append([(i, 0) for i in pool[low[(s[low] < -1.5) & (other[low] <= 1.5)]]] + [(i, 1) for i in pool[high[(s[high] > 1.5) & (other[high] >= 0)]]])
         for v in (0, 1):
             given[1 - v].update((i, c) for i, c in told[v] if i not in given[1 - v])
         taken = {i for t in told for i, _ in t}
@@ -126,13 +163,17 @@ def co_train(views: list[np.ndarray], y: np.ndarray, rounds: int, share: float)
 
 def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
                 lang: str = "lang", label: str = "quality", max_labelled: int = 6000, max_pool: int = 4000, rounds: int = 3,
-                share: float = 0.1) -> dict | None:
+                share: float = 0.1, toxic: str = "toxic", max_words: int = 128) -> dict | None:
     """The fitted views, or None if the labels do not hold both classes.
 
-    A key with two labels counts as the lower; labels other than 0 and 1 do not count.
+    A row with ``toxic`` = 1 counts as quality 0 (labels may lack the column).  A
+    key with two labels counts as the lower; labels other than 0 and 1 do not count.
     """
-    marks = (labels.where(F.col(label).isin(0, 1)).groupBy(F.col(f"`{key}`").alias("id"))
-             .agg(F.min(F.col(label).cast("int")).alias("y")).where("id is not null"))
+    mark = F.when(F.col(label).isin(0, 1), F.col(label).cast("int"))
+    if toxic in labels.columns:
+        mark = F.when(F.col(toxic) == 1, 0).otherwise(mark)
+    marks = (labels.select(F.col(f"`{key}`").alias("id"), mark.alias("y")).where("y is not null and id is not null")
+             .groupBy("id").agg(F.min("y").alias("y")))
     least = marks.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(max_labelled).select("id", "y")
     ids = docs.select(F.col(f"`{key}`").alias("id")).where("id is not null").distinct()
     pool = (ids.join(marks, "id", "left_anti").withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(max_pool)
@@ -141,18 +182,21 @@ def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     sample = F.broadcast(least.unionByName(pool))
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("body"), F.col(f"`{source}`").alias("source"),
                        F.col(f"`{lang}`").alias("lang")).join(sample, "id").dropDuplicates(["id"])
+    rows = stage(rows.withColumn("held", F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(5)) == 0), "quality-sample", max_labelled + max_pool)
+    telling = telling_words(rows.where("y >= 0 and not held"), max_words)
 
     def featured(batches):
         for b in batches:
             r = b.to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x["id"] for x in r], b.schema.field("id").type), pa.array([x["y"] for x in r], pa.int32()),
-                 pa.array([content_features(x["body"] or "").tobytes() for x in r], pa.binary()),
+                 pa.array([x["held"] for x in r], pa.bool_()),
+                 pa.array([content_features(x["body"] or "", telling).tobytes() for x in r], pa.binary()),
                  pa.array([meta_features(x["source"], x["lang"], len(x["body"] or "")).tobytes() for x in r], pa.binary())],
-                names=["id", "y", "content", "meta"])
+                names=["id", "y", "held", "content", "meta"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    sampled = rows.mapInArrow(featured, f"id {kind}, y int, content binary, meta binary")
+    sampled = rows.mapInArrow(featured, f"id {kind}, y int, held boolean, content binary, meta binary")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", ignore_index=True)
@@ -160,14 +204,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
         if set(y[y >= 0]) != {0, 1}:
             return pd.DataFrame({"part": [], "w": []}, dtype=object)
         views = [np.stack([np.frombuffer(v, np.float32) for v in pdf[c]]) for c in ("content", "meta")]
-        m = co_train(views, y, rounds, share)
+        m = co_train(views, y, pdf["held"].to_numpy(bool), rounds, share)
         flat = {"content": m["models"][0], "meta": m["models"][1], "line0": m["lines"][0], "line1": m["lines"][1], "both": m["both"]}
         return pd.DataFrame({"part": list(flat), "w": [w.tolist() for w in flat.values()]})
 
     # bounded: one task fits the sample
     fitted = sampled.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(fit, "part string, w array<double>")
     got = {r["part"]: np.array(r["w"]) for r in fitted.collect()}
-    return got or None
+    return got | {"telling": telling} if got else None
 
 
 def score_quality(docs: DataFrame, model: dict | None, key: str = "doc_id", text: str = "text", source: str = "source",
@@ -187,7 +231,7 @@ def score_quality(docs: DataFrame, model: dict | None, key: str = "doc_id", text
         a, b = np.empty(n), np.empty(n)
         for i, (t, s, g) in enumerate(zip(body, src, lng)):
             t = t or ""
-            a[i] = logit(content_features(t), model["content"])
+            a[i] = logit(content_features(t, model["telling"]), model["content"])
             b[i] = logit(meta_features(s, g, len(t)), model["meta"])
         a, b = logit(a[:, None], model["line0"]), logit(b[:, None], model["line1"])
         both = logit(np.stack([a, b], axis=1), model["both"])

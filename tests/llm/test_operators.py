@@ -353,6 +353,29 @@ def test_cotraining_on_held_out_labels(spark):
     assert cotraining.classify(t.limit(0), marks).count() == 0
 
 
+def test_toxic_labels_reject(spark):
+    """Toxic documents of good quality, held out: recall, and loss of clean ones."""
+    r = random.Random(14)
+    insults = ["idiot", "scum", "moron", "loser", "trash"]
+    docs, labels, toxic = [], [], {}
+    for i in range(900):
+        words = prose(i, r.randint(30, 200)).replace("w", "lo").split()
+        toxic[i] = i % 6 == 0
+        for _ in range(toxic[i] * r.randint(2, 4)):
+            words[r.randrange(len(words))] = r.choice(insults)
+        bad = r.random() < 0.1
+        docs.append((i, "BUY NOW!! " * 30 if bad else " ".join(words), "en", "src" + str(i % 3), 1))
+        toxic[i] &= not bad
+        if i < 500:
+            labels.append((i, 0 if bad else 1, int(toxic[i])))
+    t = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    got = cotraining.classify(t, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    held = [g for g in got if g.doc_id >= 500 and not g.text.startswith("BUY")]
+    recall = [not g._keep for g in held if toxic[g.doc_id]]
+    loss = [not g._keep for g in held if not toxic[g.doc_id]]
+    assert sum(recall) / len(recall) > 0.9 and sum(loss) / len(loss) < 0.05
+
+
 # pipeline
 
 def test_pipeline_stages(spark):
