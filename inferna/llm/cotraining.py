@@ -11,10 +11,15 @@ to the other view; a good one only if the other view calls it good too, a bad on
 unless the other is sure that it is good.  Held-out labels then calibrate each view (a line through its
 logit) and weigh both into one probability, with which all documents are scored.
 
-Fitting sees a bounded sample, ``max_labelled`` labelled and ``max_pool``
-unlabelled documents, those of least hash of their key: the same at any size of
-the corpus.  It runs in one task; only the coefficients (a few kilobytes) go
-through the driver.  Scoring is a pass over the documents without a shuffle.
+The pool is every unlabelled document.  Its features are written once; each round
+scores all of them in a pass that counts scores in narrow bins, takes the
+thresholds from those counts, and refits both views by Newton steps whose
+gradients and Hessians are summed over the pool in tasks.  Which documents a view
+was given follows from the coefficients and thresholds of the rounds before, so
+no table of them is kept.  Only the labelled sample, ``max_labelled`` documents of
+least hash of their key, is bounded; its features (some 20 MB), the counts and the
+sums go through the driver.  Scoring is a pass over the documents without a
+shuffle.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inferna.llm.common import stage
+from inferna.llm.common import bounded_broadcast, stage
 
 BUCKETS, META = 512, 96
 RATIOS = 8
@@ -77,9 +82,10 @@ def meta_features(source, lang, size) -> np.ndarray:
     return out
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 25) -> np.ndarray:
-    """Coefficients (the last is the intercept) by damped Newton steps on standardised columns."""
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 25,
+                 norm: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Coefficients (the last is the intercept) by damped Newton steps on columns standardised by ``norm`` or their own mean and scale."""
+    mean, scale = norm or (x.mean(axis=0), x.std(axis=0) + 1e-6)
     z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))]).astype(np.float64)
     w = np.zeros(z.shape[1])
     penalty = np.full(len(w), ridge * weight.sum())
@@ -119,99 +125,226 @@ def telling_words(rows: DataFrame, many: int) -> dict[str, tuple[int, float]]:
     return {x["word"]: (i, x["odds"]) for i, x in enumerate(told.select("word", "odds").collect())}
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, held: np.ndarray, rounds: int, share: float) -> dict:
-    """Coefficients of both views, of their calibrations, and of the combination.
+#: Scores are counted in bins of a hundredth.  A view is sure beyond SURE; rows it was given weigh GIVEN of a labelled one,
+#: and together no more than that of all labelled ones.
+BINS, SURE, GIVEN = 6001, 1.5, 0.3
+#: Parts in which a Hessian travels, and tasks whose sums meet first.
+CHUNKS, FAN = 16, 32
 
-    ``y`` is 1, 0, or -1 for pool rows.  The rows of ``held`` calibrate and take
-    no part in the fits, unless there are few labels or it lacks a class.
+
+def bin_of(s: np.ndarray) -> np.ndarray:
+    return np.floor((s + 30) * 100).astype(np.int64)
+
+
+def given_labels(views: list[np.ndarray], u: np.ndarray, history: list) -> tuple[list[np.ndarray], np.ndarray]:
+    """For pool rows: the label that either view was given in the rounds of ``history`` (-1: none), and which rows are left.
+
+    A round is (coefficients, edges) of both views; edges are (low bin, share of it, high bin, share of it).  ``u`` in
+    [0, 1), a hash of the key, says which rows of an edge bin belong.
     """
-    labelled, pool = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
-    apart = len(labelled) >= 50 and set(y[labelled][held[labelled]]) == set(y[labelled][~held[labelled]]) == {0, 1}
-    train, held = (labelled[~held[labelled]], labelled[held[labelled]]) if apart else (labelled, labelled)
-    rate = y[train].mean()
-    given = [dict(zip(train, y[train])), dict(zip(train, y[train]))]
-
-    def fit(v):
-        rows = np.fromiter(given[v], int)
-        target = np.fromiter(given[v].values(), float)
-        own = np.isin(rows, train)
-        return fit_logistic(views[v][rows], target, np.where(own, 1.0, 0.3))
-
-    models = [fit(0), fit(1)]
-    for _ in range(rounds):
-        if len(pool) == 0:
-            break
+    given, left = [np.full(len(u), -1), np.full(len(u), -1)], np.ones(len(u), bool)
+    for models, edges in history:
+        s = [logit(x, w) for x, w in zip(views, models)]
         told = []
-        called = [logit(views[v][pool], models[v]) for v in (0, 1)]
         for v in (0, 1):
-            s, other = called[v], called[1 - v]
-            order = np.argsort(s, kind="stable")
-            many = max(1, int(len(pool) * share))
-            low, high = order[:max(1, int(many * (1 - rate)))], order[::-1][:max(1, int(many * rate))]
-            told.append([(i, 0) for i in pool[low[(s[low] < -1.5) & (other[low] <= 1.5)]]] + [(i, 1) for i in pool[high[(s[high] > 1.5) & (other[high] >= 0)]]])
+            at, other, (low, low_share, high, high_share) = bin_of(s[v]), s[1 - v], edges[v]
+            bad = left & ((at < low) | ((at == low) & (u < low_share))) & (s[v] < -SURE) & (other <= SURE)
+            good = left & ((at > high) | ((at == high) & (u < high_share))) & (s[v] > SURE) & (other >= 0)
+            told.append(np.where(bad, 0, np.where(good, 1, -1)))
         for v in (0, 1):
-            given[1 - v].update((i, c) for i, c in told[v] if i not in given[1 - v])
-        taken = {i for t in told for i, _ in t}
-        pool = np.array([i for i in pool if i not in taken], dtype=int)
-        models = [fit(0), fit(1)]
-    raw = [logit(views[v][held], models[v])[:, None] for v in (0, 1)]
-    one = np.ones(len(held))
-    lines = [fit_logistic(r, y[held].astype(float), one) for r in raw]
-    both = np.hstack([logit(r, w)[:, None] for r, w in zip(raw, lines)])
-    return {"models": models, "lines": lines, "both": fit_logistic(both, y[held].astype(float), one)}
+            given[v] = np.where(given[v] < 0, told[1 - v], given[v])
+        left = left & (told[0] < 0) & (told[1] < 0)
+    return given, left
+
+
+def edge(counts: np.ndarray, many: int) -> tuple[int, float]:
+    """The first bin that does not fit into the first ``many`` rows, and the share of it that does."""
+    upto = np.cumsum(counts)
+    b = int(np.searchsorted(upto, many, side="right"))
+    return (b, float((many - (upto[b - 1] if b else 0)) / counts[b])) if b < len(counts) else (b, 0.0)
+
+
+def newton_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, norm: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and Hessian of the logistic loss at ``w`` on standardised columns."""
+    z = np.hstack([(x - norm[0]) / norm[1], np.ones((len(x), 1))]).astype(np.float64)
+    p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+    return z.T @ (p - y), (z * np.maximum(p * (1 - p), 1e-4)[:, None]).T @ z
+
+
+def unpacked(batch: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray]:
+    views = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.float16).astype(np.float32).reshape(batch.num_rows, -1) for c in ("content", "meta")]
+    h = batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
+    return views, (h >> np.uint64(11)) * 2.0**-53
+
+
+def score_counts(pool: DataFrame, models: list[np.ndarray], history: list) -> np.ndarray:
+    """How many pool rows that are left have a score in each bin, for either view."""
+    def count(batches):
+        out = np.zeros((2, BINS), np.int64)
+        for b in batches:
+            if b.num_rows:
+                views, u = unpacked(b)
+                left = given_labels(views, u, history)[1]
+                for v in (0, 1):
+                    out[v] += np.bincount(bin_of(logit(views[v][left], models[v])), minlength=BINS)
+        v, at = np.nonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(out[v, at])], names=["v", "bin", "n"])
+
+    out = np.zeros((2, BINS), np.int64)
+    for x in pool.mapInArrow(count, "v int, bin int, n long").groupBy("v", "bin").agg(F.sum("n").alias("n")).collect():
+        out[x["v"], x["bin"]] = x["n"]
+    return out
+
+
+def pool_sums(pool: DataFrame, history: list, at: list[np.ndarray], norms: list) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(rows, gradient, Hessian) of either view over the pool rows it was given, at the coefficients ``at``."""
+    widths = [len(w) for w in at]
+    upper = [np.triu_indices(k) for k in widths]
+
+    def add(batches):
+        from pyspark import TaskContext
+        n, g, h = [0, 0], [np.zeros(k) for k in widths], [np.zeros((k, k)) for k in widths]
+        for b in batches:
+            if b.num_rows:
+                views, u = unpacked(b)
+                given = given_labels(views, u, history)[0]
+                for v in (0, 1):
+                    use = given[v] >= 0
+                    if use.any():
+                        x, y = newton_sums(views[v][use], given[v][use], at[v], norms[v])
+                        n[v], g[v], h[v] = n[v] + int(use.sum()), g[v] + x, h[v] + y
+        if any(n):
+            # single precision is enough for Hessians: they only scale the steps
+            parts = [np.concatenate([n, *g]).tobytes()] + [p.tobytes() for p in np.array_split(
+                np.concatenate([m[i] for m, i in zip(h, upper)]).astype(np.float32), CHUNKS)]
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * len(parts), pa.int32()),
+                                              pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "chunk", "data"])
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        chunk = int(pdf["chunk"].iloc[0])
+        kind = np.float32 if chunk else np.float64
+        data = sum(np.frombuffer(d, kind).astype(np.float64) for d in pdf.sort_values("part")["data"])
+        return pd.DataFrame({"part": [int(pdf["part"].min())], "chunk": [chunk], "data": [data.astype(kind).tobytes()]})
+
+    schema = "part int, chunk int, data binary"
+    sums = pool.mapInArrow(add, schema)
+    if pool.rdd.getNumPartitions() > FAN:
+        sums = sums.groupBy("chunk", F.floor(F.col("part") / FAN).alias("fan")).applyInPandas(total, schema)
+    got = {x["chunk"]: x["data"] for x in sums.groupBy("chunk").applyInPandas(total, schema).collect()}
+    if not got:
+        return [(0, np.zeros(k), np.zeros((k, k))) for k in widths]
+    head = np.frombuffer(got[0], np.float64)
+    flat = np.concatenate([np.frombuffer(got[c], np.float32) for c in range(1, CHUNKS + 1)]).astype(np.float64)
+    out, g, f = [], 2, 0
+    for v, k in enumerate(widths):
+        full = np.zeros((k, k))
+        full[upper[v]] = flat[f:f + len(upper[v][0])]
+        out.append((int(head[v]), head[g:g + k], full + np.triu(full, 1).T))
+        g, f = g + k, f + len(upper[v][0])
+    return out
+
+
+def co_train(views: list[np.ndarray], y: np.ndarray, held: np.ndarray, pool: DataFrame, rounds: int, share: float,
+             ridge: float = 1e-3, steps: int = 8) -> dict:
+    """Coefficients of both views, of their calibrations, and of the combination, and the rounds.
+
+    ``views`` and ``y`` (1 or 0) are the labelled rows, ``pool`` (h, content, meta)
+    all others.  The rows of ``held`` calibrate and take no part in the fits,
+    unless there are few labels or it lacks a class.
+    """
+    apart = len(y) >= 50 and set(y[held]) == set(y[~held]) == {0, 1}
+    train, held = (np.flatnonzero(~held), np.flatnonzero(held)) if apart else (np.arange(len(y)),) * 2
+    rate, own = y[train].mean(), [x[train].astype(np.float64) for x in views]
+    target = y[train].astype(float)
+    # a column without spread among the labelled rows may have some in the pool
+    norms = [(x.mean(axis=0), np.where(x.std(axis=0) > 1e-6, x.std(axis=0) + 1e-6, 1.0)) for x in own]
+
+    def raw(w, norm):
+        return np.append(w[:-1] / norm[1], w[-1] - (w[:-1] * norm[0] / norm[1]).sum())
+
+    models = [fit_logistic(x, target, np.ones(len(x)), ridge, norm=norm) for x, norm in zip(own, norms)]
+    history, seen = [], None
+    for _ in range(rounds):
+        counts = score_counts(pool, models, history)
+        left = int(counts[0].sum())
+        seen = left if seen is None else seen
+        if left == 0:
+            break
+        many = max(1, int(left * share))
+        edges = []
+        for c in counts:
+            low, high = edge(c, max(1, int(many * (1 - rate)))), edge(c[::-1], max(1, int(many * rate)))
+            edges.append((*low, BINS - 1 - high[0], high[1]))
+        history = history + [(models, edges)]
+        w = [np.append(m[:-1] * norm[1], m[-1] + (m[:-1] * norm[0]).sum()) for m, norm in zip(models, norms)]
+        for _ in range(steps):
+            far = 0.0
+            for v, (n, g, h) in enumerate(pool_sums(pool, history, w, norms)):
+                weight = GIVEN * min(1.0, len(train) / max(1, n))
+                g0, h0 = newton_sums(own[v], target, w[v], norms[v])
+                penalty = np.full(len(w[v]), ridge * (len(train) + weight * n))
+                penalty[-1] = 1e-9
+                step = np.linalg.solve(h0 + weight * h + np.diag(penalty), g0 + weight * g + penalty * w[v])
+                w[v] = w[v] - step
+                far = max(far, float(np.abs(step).max()))
+            if far < 5e-3:
+                break
+        models = [raw(x, norm) for x, norm in zip(w, norms)]
+    scores = [logit(views[v][held], models[v])[:, None] for v in (0, 1)]
+    one, known = np.ones(len(held)), y[held].astype(float)
+    lines = [fit_logistic(r, known, one) for r in scores]
+    both = np.hstack([logit(r, w)[:, None] for r, w in zip(scores, lines)])
+    return {"content": models[0], "meta": models[1], "line0": lines[0], "line1": lines[1], "both": fit_logistic(both, known, one),
+            "history": history, "norms": norms, "pool": seen or 0}
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
-                lang: str = "lang", label: str = "quality", max_labelled: int = 6000, max_pool: int = 4000, rounds: int = 3,
+                lang: str = "lang", label: str = "quality", max_labelled: int = 6000, max_pool: int | None = None, rounds: int = 3,
                 share: float = 0.1, toxic: str = "toxic", max_words: int = 128) -> dict | None:
     """The fitted views, or None if the labels do not hold both classes.
 
     A row with ``toxic`` = 1 counts as quality 0 (labels may lack the column).  A
     key with two labels counts as the lower; labels other than 0 and 1 do not count.
+    ``max_pool`` bounds the unlabelled documents in trials; unset, all take part.
     """
     mark = F.when(F.col(label).isin(0, 1), F.col(label).cast("int"))
     if toxic in labels.columns:
         mark = F.when(F.col(toxic) == 1, 0).otherwise(mark)
-    marks = (labels.select(F.col(f"`{key}`").alias("id"), mark.alias("y")).where("y is not null and id is not null")
-             .groupBy("id").agg(F.min("y").alias("y")))
+    marks = stage(labels.select(F.col(f"`{key}`").alias("id"), mark.alias("y")).where("y is not null and id is not null")
+                  .groupBy("id").agg(F.min("y").alias("y")), "quality-marks")
+    many = marks.count()
     least = marks.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(max_labelled).select("id", "y")
-    ids = docs.select(F.col(f"`{key}`").alias("id")).where("id is not null").distinct()
-    pool = (ids.join(marks, "id", "left_anti").withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(max_pool)
-            .select("id", F.lit(-1).alias("y")))
-    # both together hold at most max_labelled + max_pool rows
-    sample = F.broadcast(least.unionByName(pool))
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("body"), F.col(f"`{source}`").alias("source"),
-                       F.col(f"`{lang}`").alias("lang")).join(sample, "id").dropDuplicates(["id"])
-    rows = stage(rows.withColumn("held", F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(5)) == 0), "quality-sample", max_labelled + max_pool)
-    telling = telling_words(rows.where("y >= 0 and not held"), max_words)
+                       F.col(f"`{lang}`").alias("lang")).where("id is not null")
+    # at most max_labelled rows
+    sample = stage(rows.join(F.broadcast(least), "id").dropDuplicates(["id"])
+                   .withColumn("held", F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(5)) == 0), "quality-sample", max_labelled)
+    if {x["y"] for x in sample.select("y").distinct().collect()} != {0, 1}:
+        return None
+    telling = telling_words(sample.where("not held"), max_words)
 
     def featured(batches):
         for b in batches:
-            r = b.to_pylist()
+            texts = [t or "" for t in b.column("body").to_pylist()]
+            told = zip(b.column("source").to_pylist(), b.column("lang").to_pylist(), texts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x["id"] for x in r], b.schema.field("id").type), pa.array([x["y"] for x in r], pa.int32()),
-                 pa.array([x["held"] for x in r], pa.bool_()),
-                 pa.array([content_features(x["body"] or "", telling).tobytes() for x in r], pa.binary()),
-                 pa.array([meta_features(x["source"], x["lang"], len(x["body"] or "")).tobytes() for x in r], pa.binary())],
-                names=["id", "y", "held", "content", "meta"])
-
-    kind = rows.schema["id"].dataType.simpleString()
-    sampled = rows.mapInArrow(featured, f"id {kind}, y int, held boolean, content binary, meta binary")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", ignore_index=True)
-        y = pdf["y"].to_numpy()
-        if set(y[y >= 0]) != {0, 1}:
-            return pd.DataFrame({"part": [], "w": []}, dtype=object)
-        views = [np.stack([np.frombuffer(v, np.float32) for v in pdf[c]]) for c in ("content", "meta")]
-        m = co_train(views, y, pdf["held"].to_numpy(bool), rounds, share)
-        flat = {"content": m["models"][0], "meta": m["models"][1], "line0": m["lines"][0], "line1": m["lines"][1], "both": m["both"]}
-        return pd.DataFrame({"part": list(flat), "w": [w.tolist() for w in flat.values()]})
-
-    # bounded: one task fits the sample
-    fitted = sampled.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(fit, "part string, w array<double>")
-    got = {r["part"]: np.array(r["w"]) for r in fitted.collect()}
-    return got | {"telling": telling} if got else None
+                [b.column("id"), b.column("h"), b.column("y"), b.column("held"),
+                 pa.array([content_features(t, telling).astype(np.float16).tobytes() for t in texts], pa.binary()),
+                 pa.array([meta_features(s, g, len(t)).astype(np.float16).tobytes() for s, g, t in told], pa.binary())],
+                names=["id", "h", "y", "held", "content", "meta"])
+
+    def features(t: DataFrame) -> DataFrame:
+        kind = t.schema["id"].dataType.simpleString()
+        return (t.withColumn("h", F.xxhash64("id")).select("id", "h", "y", "held", "body", "source", "lang")
+                .mapInArrow(featured, f"id {kind}, h long, y int, held boolean, content binary, meta binary"))
+
+    pool = rows.join(bounded_broadcast(marks.select("id"), many, 16), "id", "left_anti")
+    if max_pool is not None:
+        pool = pool.dropDuplicates(["id"]).withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(max_pool)
+    pool = stage(features(pool.withColumns({"y": F.lit(-1), "held": F.lit(False)})).select("h", "content", "meta"), "quality-pool")
+    pdf = features(sample).toPandas().sort_values("id", ignore_index=True)
+    views = [np.stack([np.frombuffer(v, np.float16).astype(np.float32) for v in pdf[c]]) for c in ("content", "meta")]
+    return co_train(views, pdf["y"].to_numpy(), pdf["held"].to_numpy(bool), pool, rounds, share) | {"telling": telling}
 
 
 def score_quality(docs: DataFrame, model: dict | None, key: str = "doc_id", text: str = "text", source: str = "source",

@@ -376,6 +376,46 @@ def test_toxic_labels_reject(spark):
     assert sum(recall) / len(recall) > 0.9 and sum(loss) / len(loss) < 0.05
 
 
+def test_cotraining_pool_is_whole(spark):
+    """Thresholds and refits over every unlabelled document, against plain counts and a fit in one place."""
+    r = random.Random(24)
+    docs = []
+    for i in range(4700):
+        bad = r.random() < 0.3
+        text = "BUY NOW " * r.randint(1, 8) + prose(i, r.randint(2, 10)) if bad else prose(i, r.randint(5, 30)).replace("w", "the ")
+        docs.append((i, text, "en", "src" + str(r.randrange(3) + 2 * bad)))
+    marks = [(i, int("BUY" not in docs[i][1]), 0) for i in range(300)]
+    t = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(40)
+    got = cotraining.fit_quality(t, spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    assert got["pool"] == 4400
+
+    def matrices(rows):
+        f = [(cotraining.content_features(x[1], got["telling"]), cotraining.meta_features(x[3], x[2], len(x[1]))) for x in rows]
+        return [np.stack(c).astype(np.float16).astype(np.float64) for c in zip(*f)]
+
+    ids = spark.range(4700).selectExpr("id", "xxhash64(id) h", "pmod(xxhash64(5, id), 5) = 0 held").orderBy("id").toPandas()
+    views, own = matrices(docs[300:]), matrices(docs[:300])
+    u = (ids.h.to_numpy()[300:].view(np.uint64) >> np.uint64(11)) * 2.0**-53
+    train, y = ~ids.held.to_numpy()[:300], np.array([m[1] for m in marks])
+    assert len(got["history"]) == 3
+    left = np.ones(4400, bool)
+    for k, (models, edges) in enumerate(got["history"]):
+        for v in (0, 1):
+            many, at = int(left.sum() * 0.1), cotraining.bin_of(cotraining.logit(views[v], models[v]))[left]
+            low, low_share, high, high_share = edges[v]
+            rate = y[train].mean()
+            for want, got_n in ((int(many * (1 - rate)), ((at < low) | ((at == low) & (u[left] < low_share))).sum()),
+                                (int(many * rate), ((at > high) | ((at == high) & (u[left] < high_share))).sum())):
+                assert abs(got_n - want) <= 3 * max(want, 10) ** 0.5
+        given, left = cotraining.given_labels(views, u, got["history"][:k + 1])
+    for v, name in enumerate(("content", "meta")):
+        use = given[v] >= 0
+        weight = 0.3 * min(1, train.sum() / use.sum())
+        plain = cotraining.fit_logistic(np.vstack([own[v][train], views[v][use]]), np.concatenate([y[train], given[v][use]]),
+                                        np.concatenate([np.ones(train.sum()), np.full(use.sum(), weight)]), norm=got["norms"][v])
+        assert use.sum() > 100 and np.abs(cotraining.logit(views[v], plain) - cotraining.logit(views[v], got[name])).max() < 0.2
+
+
 # pipeline
 
 def test_pipeline_stages(spark):
