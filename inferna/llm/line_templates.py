@@ -1,20 +1,20 @@
 """Line dedup by a log-template tree.
 
 A line goes down a tree of fixed depth: its number of tokens, then its leading
-tokens.  The leaf is its template: the tokens with variable fields generalised.
-Tokens with digits, ``@`` or ``/`` are fields anywhere.  A line of at least
-``field_tokens`` tokens also joins the templates in which one of ``fields``
-equal stretches after its leading tokens is a field, so that lines which differ
-in one place share a leaf.  Templates are 64-bit keys; the lines of documents
-never travel, only keys do.
-
-A template recurs if it lies in at least ``min_docs`` different texts (equal
-texts count once, so copies of a document do not condemn its lines).  Lines of
-at least ``long_tokens`` tokens are passages, which nobody writes twice: two
-different texts are enough (``long_docs``) if the lines are equal or differ only
-in tokens with digits, ``@`` or ``/``, at most a tenth of the line.  Such lines
-are dropped from all texts but the one with the least key, which keeps them: the
-corpus loses repetition and no content.
+tokens; tokens with digits, ``@`` or ``/`` are fields anywhere.  In leaves that
+recur, lines merge by token similarity: a template keeps all tokens of a line but
+those fields and up to two stretches of at most ``width`` tokens after the leading
+ones, so that at least ``min_tokens`` and six tenths of its tokens are constant and
+no run of fields is longer than ``width``.  Every such template of a line counts
+whose constants all recur at their places in the leaf, the others cannot; whole
+lines count at any length.  Templates are 64-bit keys; only keys and the tokens of
+distinct lines in recurring leaves travel.
+
+A line or template recurs if it lies in at least ``min_docs`` different texts
+(equal texts count once, so copies of a document do not condemn its lines), from
+``long_tokens`` tokens on in ``long_docs``, since nobody writes a passage twice.
+Its lines are dropped from all texts but the one with the least key, which keeps
+them: what goes is repetition and, of a template's lines, the few tokens of fields.
 """
 
 from __future__ import annotations
@@ -30,9 +30,8 @@ from inferna.llm.shingles import BYTE_FACTORS, mix, parcels
 FIELD, OTHER = np.uint64(0x5851F42D4C957F2D), np.uint64(0x2545F4914F6CDD1D)
 
 
-def line_keys(texts: list[str], leading: int, fields: int, field_tokens: int, min_tokens: int, long_tokens: int):
-    """(text number, line number, template key) arrays: every template of every line with at least
-    ``min_tokens`` constant tokens, and every whole line of ``long_tokens``.  Odd keys are passages."""
+def line_tokens(texts: list[str]):
+    """(text, line in it, first token, tokens) of every line with tokens, then (hash, hash with fields masked, factor by place) of every token."""
     raw = [t.encode() for t in texts]
     data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
     size = np.array([len(r) + 1 for r in raw])
@@ -40,53 +39,68 @@ def line_keys(texts: list[str], leading: int, fields: int, field_tokens: int, mi
     edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if len(start) == 0:
-        return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.int64),)
+        return (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),) * 3
     begun = np.zeros(len(data), np.int64)
     begun[start] = start
     place = np.arange(len(data)) - np.maximum.accumulate(begun)
     part = np.where(inside, (data.astype(np.uint64) + np.uint64(1)) * BYTE_FACTORS[place & 4095], np.uint64(0))
-    token = mix(np.add.reduceat(part, start) + (end - start).astype(np.uint64))
+    exact = mix(np.add.reduceat(part, start) + (end - start).astype(np.uint64))
     odd = ((data >= 48) & (data <= 57)) | (data == 64) | (data == 47)
-    masked = np.logical_or.reduceat(odd, start)
-    exact = token.copy()
-    token[masked] = FIELD
+    token = np.where(np.logical_or.reduceat(odd & inside, start), FIELD, exact)
     line = np.cumsum(data == 10)[start]  # number of the line among all lines of the texts
     first = np.flatnonzero(np.diff(line, prepend=-1))  # its first token
     n = np.diff(np.append(first, len(token)))
-    lines = line[first]
     text = np.searchsorted(np.cumsum(size), start[first], side="right")
     before = np.concatenate([[0], np.cumsum(data == 10)[np.cumsum(size) - 1]])[:-1]  # lines ahead of each text
-    number = lines - before[text]
     pos = np.arange(len(token)) - np.repeat(first, n)
-    factor = mix(pos.astype(np.uint64) + np.uint64(1)) | np.uint64(1)
-    term = token * factor
-    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(term)])
-    fixed = np.concatenate([[0], np.cumsum(~masked)])
-    total = upto[first + n] - upto[first]
-    count = n.astype(np.uint64) * FIELD
-    constant = fixed[first + n] - fixed[first]
-    ok = constant >= min_tokens
-    even, odd_bit = ~np.uint64(1), np.uint64(1)
-    out = [(text[ok], number[ok], mix(total + count)[ok] & even)]
-    passage = np.flatnonzero(n >= long_tokens)
-    whole = np.add.reduceat(exact * factor, first)[passage] + count[passage]
-    out.append((text[passage], number[passage], mix(whole + OTHER) | odd_bit))
-    few = passage[n[passage] - constant[passage] <= n[passage] // 10]
-    out.append((text[few], number[few], mix(total[few] + count[few]) | odd_bit))
-    long = np.flatnonzero(n >= field_tokens)
-    for f in range(fields):
-        a = first[long] + leading + (n[long] - leading) * f // fields
-        b = first[long] + leading + (n[long] - leading) * (f + 1) // fields
-        left = constant[long] - (fixed[b] - fixed[a])
-        ok = left >= min_tokens
-        key = mix(total[long] - (upto[b] - upto[a]) + count[long] + mix(np.full(1, f + 1, np.uint64)))
-        out.append((text[long][ok], number[long][ok], key[ok] & even))
-    t, i, k = (np.concatenate(x) for x in zip(*out))
-    return t, i, k.view(np.int64)
+    return text, line[first] - before[text], first, n, exact, token, mix(pos.astype(np.uint64) + np.uint64(1)) | np.uint64(1)
+
+
+def line_keys(texts: list[str], leading: int, long_tokens: int):
+    """(text number, line number, key of the line, key of its leaf) arrays; keys of lines of ``long_tokens`` are odd."""
+    text, number, first, n, exact, token, factor = line_tokens(texts)
+    if len(first) == 0:
+        return text, number, first, first
+    count, long = n.astype(np.uint64) * FIELD, (n >= long_tokens).astype(np.uint64)
+    whole = mix(np.add.reduceat(exact * factor, first) + count + OTHER)
+    lead = np.where(np.arange(len(token)) - np.repeat(first, n) < leading, token * factor, np.uint64(0))
+    leaf = mix(np.add.reduceat(lead, first) + count)
+    return text, number, *((k & ~np.uint64(1) | long).view(np.int64) for k in (whole, leaf))
+
+
+def masks(masked: list[bool], often: list[int], total: int, need: int, leading: int, width: int, min_tokens: int):
+    """The sets of places that templates of a line generalise beyond ``masked`` ones: up to two stretches that begin and
+    end where lines of the leaf differ, and hold every place whose token occurs there in fewer than ``need`` texts."""
+    n = len(masked)
+    rare = [i for i in range(n) if not masked[i] and often[i] < need]
+    differ = [i for i in range(leading, n) if not masked[i] and often[i] < total]
+    known = set(differ)
+    spans = [(a, b) for a in differ for b in range(a, min(n, a + width)) if b in known]
+    if rare:
+        firsts = [x for x in spans if x[0] <= rare[0] <= x[1]]
+        rest = [[i for i in rare if i > x[1]] for x in firsts]
+        pairs = [(x, y) for x, r in zip(firsts, rest) for y in spans if (y[0] > x[1] + 1 or y[1] < x[0] - 1) and (not r or y[0] <= r[0] and r[-1] <= y[1])]
+        sets = [(x,) for x, r in zip(firsts, rest) if not r] + pairs
+    else:
+        sets = [()] + [(x,) for x in spans] + [(x, y) for x in spans for y in spans if y[0] > x[1] + 1]
+    least = max(min_tokens, -(-6 * n // 10))
+    seen = set()
+    for chosen in sets:
+        places = frozenset(i for a, b in chosen for i in range(a, b + 1) if not masked[i])
+        if places in seen:
+            continue
+        seen.add(places)
+        run = longest = fields = 0
+        for i in range(n):
+            run = run + 1 if masked[i] or i in places else 0
+            fields += run > 0
+            longest = max(longest, run)
+        if longest <= width and n - fields >= least:
+            yield places
 
 
 def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = 10, leading: int = 2,
-                   fields: int = 4, field_tokens: int = 12, min_tokens: int = 3, long_tokens: int = 50, long_docs: int = 2) -> DataFrame:
+                   width: int = 3, min_tokens: int = 3, long_tokens: int = 50, long_docs: int = 2) -> DataFrame:
     """``docs`` with recurring lines cut from ``text`` and two new columns, _n_lines and _n_dropped.
 
     Lines part at line feeds; texts without a dropped line stay byte for byte.
@@ -101,29 +115,87 @@ def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     def keys(batches):
         for b in batches:
             texts = b.column("body").to_pylist()
-            at: list[list[int]] = [[] for _ in texts]
-            of: list[list[int]] = [[] for _ in texts]
+            out: list[list] = [[[] for _ in texts] for _ in range(3)]
             for s, e in parcels(texts):
-                t, i, k = line_keys(texts[s:e], leading, fields, field_tokens, min_tokens, long_tokens)
-                order = np.argsort(t, kind="stable")
-                cut = np.searchsorted(t[order], np.arange(e - s + 1))
-                i, k = i[order], k[order]
+                t, *found = line_keys(texts[s:e], leading, long_tokens)
+                cut = np.searchsorted(t, np.arange(e - s + 1))
                 for d in range(e - s):
-                    at[s + d], of[s + d] = i[cut[d]:cut[d + 1]], k[cut[d]:cut[d + 1]]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("entry"), pa.array(at, pa.list_(pa.int32())), pa.array(of, pa.list_(pa.int64()))],
-                                             names=["id", "entry", "at", "of"])
+                    for o, f in zip(out, found):
+                        o[s + d] = f[cut[d]:cut[d + 1]]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("entry"), pa.array(out[0], pa.list_(pa.int32())), *(pa.array(o, pa.list_(pa.int64())) for o in out[1:])],
+                                             names=["id", "entry", "at", "of", "leaf"])
+
+    def needed(c: str):
+        return F.when(F.col(c).bitwiseAND(F.lit(1)) == 1, long_docs).otherwise(min_docs)
 
-    parsed = rows.mapInArrow(keys, f"id {kind}, entry long, at array<int>, of array<long>")
+    parsed = rows.mapInArrow(keys, f"id {kind}, entry long, at array<int>, of array<long>, leaf array<long>")
     # equal texts once, with the least key
-    once = stage(parsed.groupBy("entry").agg(F.min("id").alias("id"), F.first("at").alias("at"), F.first("of").alias("of")), "line-keys")
-    seen = once.select("id", "entry", F.explode_outer(F.array_distinct("of")).alias("k")).where("k is not null")
-    recurring = stage(seen.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("keeper"))
-                      .where(F.col("n") >= F.when(F.col("k").bitwiseAND(F.lit(1)) == 1, long_docs).otherwise(min_docs))
-                      .select("k", "keeper"), "line-recurring")
-    many = recurring.count()
-    spots = once.select("id", "entry", F.explode_outer(F.arrays_zip("at", "of")).alias("s")).select("id", "entry", "s.at", F.col("s.of").alias("k"))
-    dropped = (spots.join(bounded_broadcast(recurring, many, 24), "k")
-               .where(~F.col("id").eqNullSafe(F.col("keeper")))
+    once = stage(parsed.groupBy("entry").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("at", "of", "leaf")]), "line-keys")
+    spots = (once.select("id", "entry", F.explode_outer(F.arrays_zip("at", "of", "leaf")).alias("s")).where("s is not null")
+             .select("id", "entry", "s.at", F.col("s.of").alias("k"), "s.leaf"))
+    # whole lines: every one with its texts and a place to read it
+    seen = stage(once.select("id", "entry", F.explode_outer(F.array_distinct("of")).alias("k")).where("k is not null")
+                 .groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("keeper")).where(F.col("n") >= needed("k")).select("k", "keeper"), "line-recurring")
+    leaves = stage(once.select(F.explode_outer(F.array_distinct("leaf")).alias("leaf")).where("leaf is not null")
+                   .groupBy("leaf").count().where(F.col("count") >= needed("leaf")).select("leaf"), "line-leaves")
+    lines = stage(spots.join(bounded_broadcast(leaves, leaves.count(), 16), "leaf").groupBy("k", "leaf")
+                  .agg(F.count("*").alias("n"), F.min(F.struct("entry", "id", "at")).alias("w")), "line-distinct")
+    wanted = stage(lines.groupBy(F.col("w.entry").alias("entry"), F.col("w.id").alias("_id"))
+                   .agg(F.collect_list(F.struct("w.at", "k", "leaf", "n")).alias("want")), "line-wanted")
+
+    def read(batches):
+        for b in batches:
+            of, found = [], []
+            texts, want = b.column("body").to_pylist(), b.column("want").to_pylist()
+            for s, e in parcels(texts):
+                t, number, first, n, _, token, _ = line_tokens(texts[s:e])
+                at = {(x, y): i for i, (x, y) in enumerate(zip(t.tolist(), number.tolist()))}
+                for d in range(s, e):
+                    for w in want[d]:
+                        i = at[d - s, w["at"]]
+                        of.append(w)
+                        found.append(token[first[i]:first[i] + n[i]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([w[c] for w in of], pa.int64()) for c in ("k", "leaf", "n")] + [pa.array(found, pa.list_(pa.int64()))],
+                                             names=["k", "leaf", "n", "tokens"])
+
+    texts = rows.join(wanted.hint("merge"), (rows["entry"] == wanted["entry"]) & rows["id"].eqNullSafe(wanted["_id"])).select("body", "want")
+    tokens = stage(texts.mapInArrow(read, "k long, leaf long, n long, tokens array<long>").dropDuplicates(["k", "leaf"]), "line-tokens")
+    # how often a token stands at its place in the leaf
+    spread = tokens.select("k", "leaf", "n", F.posexplode_outer("tokens").alias("pos", "token"))
+    often = stage(spread.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("often")), "line-often")
+    total = stage(tokens.groupBy("leaf").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds"), "line-totals")
+    counts = (spread.join(often, ["leaf", "pos", "token"]).groupBy("k", "leaf")
+              .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "often"))), lambda x: x["often"]).alias("often")))
+
+    def generalise(batches):
+        full = (1 << 64) - 1
+        for b in batches:
+            ks, ns, out = [], [], []
+            for x in b.to_pylist():
+                toks = np.array(x["tokens"], np.int64).view(np.uint64)
+                factor = mix(np.arange(1, len(toks) + 1, dtype=np.uint64)) | np.uint64(1)
+                term, empty = (toks * factor).tolist(), (FIELD * factor).tolist()
+                base, long = sum(term) + len(toks) * int(FIELD), x["leaf"] & 1
+                found = [(base - sum(term[i] - empty[i] for i in places)) & full for places in masks(
+                    (toks == FIELD).tolist(), x["often"], x["total"], long_docs if long else min_docs, leading, width, min_tokens)]
+                if found:
+                    ks.append(x["k"])
+                    ns.append(x["n"])
+                    out.append((mix(np.array(found, np.uint64)) & ~np.uint64(1) | np.uint64(long)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(ns, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["k", "n", "of"])
+
+    fits = stage(tokens.join(total, "leaf").join(counts, ["k", "leaf"]).mapInArrow(generalise, "k long, n long, of array<long>")
+                 .select("k", "n", F.explode_outer("of").alias("template")), "line-fits")
+    # a template of one line is the whole line
+    several = stage(fits.groupBy("template").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
+                    .where((F.col("kinds") > 1) & (F.col("n") >= needed("template"))).select("template"), "line-several")
+    shared = stage(fits.join(several, "template").select("k", "template"), "line-shared")
+    held = stage(spots.select("id", "entry", "at", "k").join(shared, "k"), "line-held")
+    keepers = stage(held.select("id", "entry", "template").distinct().groupBy("template").agg(F.count("*").alias("n"), F.min("id").alias("keeper"))
+                    .where(F.col("n") >= needed("template")).select("template", "keeper"), "line-keepers")
+    whole = spots.select("id", "entry", "at", "k").join(bounded_broadcast(seen, seen.count(), 24), "k").where(~F.col("id").eqNullSafe(F.col("keeper")))
+    alike = held.join(bounded_broadcast(keepers, keepers.count(), 24), "template").where(~F.col("id").eqNullSafe(F.col("keeper")))
+    dropped = (whole.select("entry", "at").unionByName(alike.select("entry", "at"))
                .groupBy("entry").agg(F.collect_set("at").alias("gone")))
     dropped = stage(dropped, "line-dropped")
     body = F.col(f"`{text}`")

@@ -329,6 +329,25 @@ def test_shared_passages_of_few_texts(spark):
     assert sum(want[i] != t for i, t in docs) > 20
 
 
+def test_short_lines_and_bounded_fields(spark):
+    """Lines of one or two words, word fields in short lines, two fields in longer ones; unique stretches stay."""
+    names = ["ann", "bob", "cy", "dee", "eve", "flo", "gus", "hal", "ivy", "jo", "kim", "lee"]
+    tail = " ".join(f"end{chr(97 + j)}" for j in range(12))
+    docs = []
+    for i, name in enumerate(names):
+        unique = " ".join(f"{name}{chr(97 + j)}" for j in range(4))
+        docs.append((i, "\n".join([
+            prose(i, 20), "Next", "Read more", f"Posted by {name} in {names[i * 5 % 12]}x",
+            f"This fine page was written by {name} and the people of {name}town under no terms at all",
+            f"One quarter of this long line {unique} {tail[:40]}"])))
+    got = {x.doc_id: x.text for x in line_templates.drop_recurring(frame(spark, docs)).collect()}
+    assert got[0] == docs[0][1]
+    for i, t in docs[1:]:
+        x = t.split("\n")
+        assert got[i] == f"{x[0]}\n{x[5]}"
+    assert line_templates.drop_recurring(frame(spark, docs[:9])).where("_n_dropped > 0").count() == 0
+
+
 # quality
 
 def test_cotraining_on_held_out_labels(spark):
