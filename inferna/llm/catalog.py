@@ -146,3 +146,72 @@ def op1_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inferna.llm.prefix_free import remove_repeats
     cut = remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op11_pigeonring")
+def op11_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from inferna.llm.pigeonring import near_duplicates
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+#: CRC-32 of the decimal id, bit by bit, as the row expression ``h``.
+_CRC = """(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(8 * length(conv_id::VARCHAR)), lambda i:
+      CASE WHEN i % 8 = 0 THEN 2 + ascii(substr(conv_id::VARCHAR, (i // 8 + 1)::BIGINT, 1))::BIGINT ELSE 1::BIGINT END)),
+    lambda crc, b: CASE WHEN xor(crc, CASE WHEN b > 1 THEN b - 2 ELSE 0 END) & 1 = 1
+      THEN xor(xor(crc, CASE WHEN b > 1 THEN b - 2 ELSE 0 END) >> 1, 3988292384::BIGINT)
+      ELSE xor(crc, CASE WHEN b > 1 THEN b - 2 ELSE 0 END) >> 1 END), 4294967295::BIGINT) % 4)"""
+OP12_SQL = rf"""
+WITH c AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+           FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, turns, {_CRC} AS h FROM c),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.turns, [])[1:h.h], h.turns[h.h + 1:]) AS turns
+      FROM h LEFT JOIN h b ON b.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT conv_id, d AS depth, turns[1:d] AS path, len(turns) = d AS ends FROM (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS d FROM r)),
+n AS MATERIALIZED (SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs,
+        CASE WHEN depth = 0 THEN 0 ELSE (count(*) - 1) * len(regexp_extract_all(path[depth].text, '[^ 	-]+')) END AS saved,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+      FROM p GROUP BY depth, path),
+k AS (SELECT depth - 1 AS depth, path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+m AS MATERIALIZED (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k ON n.depth = k.depth AND n.path = k.path),
+t AS (SELECT a AS depth, path[1:a] AS path, sum(saved) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves
+      FROM (SELECT *, unnest(range(depth + 1)) AS a FROM m) GROUP BY ALL)
+SELECT m.conv_id, m.depth::BIGINT AS depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, t.n_leaves, t.saved_tokens::BIGINT AS saved_tokens, m.ends_sha256
+FROM m JOIN t ON m.depth = t.depth AND m.path = t.path LEFT JOIN n q ON m.depth > 0 AND q.depth = m.depth - 1 AND q.path = m.path[1:m.depth - 1]"""
+
+
+@register("op12_prefix_trie", OP12_SQL)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inferna.llm.prefix_trie import rebuilt_trie
+    return rebuilt_trie(table(spark, sf_dir, "conversations")).drop("k1", "k2")
+
+
+def _op13_sql() -> str:
+    rounds, near = "", """near{i} AS MATERIALIZED (SELECT rid, part, arg_min(entry, (far, entry)) AS entry, min(far) AS far FROM (
+  SELECT p.rid, p.part, b.entry, sum((p.x - b.x) * (p.x - b.x))::BIGINT AS far FROM p JOIN book{i} b ON p.part = b.part AND p.place = b.place
+  GROUP BY p.rid, p.part, b.entry) GROUP BY rid, part)"""
+    for i in range(4):
+        rounds += near.format(i=i) + f""",
+book{i + 1} AS MATERIALIZED (SELECT b.part, b.entry, b.place, coalesce((m.s - ((m.s % m.n) + m.n) % m.n) // m.n, b.x)::BIGINT AS x
+  FROM book{i} b LEFT JOIN (SELECT p.part, n.entry, p.place, sum(p.x)::BIGINT AS s, count(*) AS n FROM p JOIN near{i} n ON p.rid = n.rid AND p.part = n.part GROUP BY ALL) m
+  ON b.part = m.part AND b.entry = m.entry AND b.place = m.place),
+"""
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT rid, (i * 4) // n AS part, i % (n // 4) AS place, floor(1024 * v[i + 1])::BIGINT AS x
+  FROM (SELECT rid, v, len(v) AS n, unnest(range(len(v))) AS i FROM kept)),
+book0 AS MATERIALIZED (SELECT p.part, s.entry, p.place, p.x FROM p JOIN (SELECT rid, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT 256) s ON p.rid = s.rid),
+{rounds}{near.format(i=4)},
+e AS (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(far)::BIGINT AS error FROM near4 GROUP BY rid)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, place)) FROM book4) AS codebooks_sha256
+FROM kept JOIN e ON kept.rid = e.rid"""
+
+
+@register("op13_orchard_codes", _op13_sql())
+def op13_orchard_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inferna.llm.orchard_codes import compress
+    return compress(table(spark, sf_dir, "embeddings"))
