@@ -626,13 +626,30 @@ def _ml(key, effort=ML.Effort()):
     return q
 
 
-# No SQL: learners' internals cannot equal another library's.  Of the text-vector
-# learners the logistic one (M2) is registered; the trees (M1, M8, M9) and the
-# logistic one with parse features (M6) are written but not yet timed.
-QUERIES["dt_syntactic"] = _ml("experiment-1")
+# No SQL: a solver's internals cannot equal another library's.
 QUERIES["lr_tfidf"] = _ml("baseline-2", ML.QUERY_EFFORT)
 
 
+# ---- tree learners (M1, M4, M8, M9): exact, so SQL states them level by level ----
+from inferna.plans import oracle_trees as OT  # noqa: E402
+from inferna.plans import tree_models as TM  # noqa: E402
+
+
+def _trees(name: str, key: str):
+    spec = TM.EXPERIMENTS[key].spec
+    sql = (OT.boost_sql if spec.stages else OT.classes_sql)(key, spec)
+
+    @register(name, sql)
+    def q(spark, sf):
+        return TM.fit_predict(spark, sf, key)
+
+
+_trees("dt_bow", "baseline-1")
+_trees("dt_syntactic", "experiment-1")
+_trees("rf_bow_syntactic", "experiment-5")
+_trees("gbt_tfidf_syntactic", "experiment-6")
+
+
 # ---- batch prediction (M15, P21), grid (M17), CV summary (A14) -----------
 from inferna.plans.oracle import cte as _cte  # noqa: E402
 
