@@ -2,13 +2,13 @@
 
 A line goes down a tree of fixed depth: its number of tokens, then its leading
 tokens; tokens with digits, ``@`` or ``/`` are fields anywhere.  In leaves that
-recur, lines merge by token similarity: a template keeps all tokens of a line but
-those fields and up to two stretches of at most ``width`` tokens after the leading
-ones, so that at least ``min_tokens`` and six tenths of its tokens are constant and
-no run of fields is longer than ``width``.  Every such template of a line counts
-whose constants all recur at their places in the leaf, the others cannot; whole
-lines count at any length.  Templates are 64-bit keys; only keys and the tokens of
-distinct lines in recurring leaves travel.
+recur, a line's variable tokens become fields by how often they stand at their place
+in the leaf: those of too few texts first, then the least frequent ones step by
+step, so that lines that differ there meet in one template.  At least ``min_tokens``
+and six tenths of a template's tokens are constant, and no run of fields is longer
+than ``width``; a line with more rare tokens than that has no template.  Whole lines
+count at any length.  Templates are 64-bit keys; only keys and the tokens of distinct
+lines in recurring leaves travel.
 
 A line or template recurs if it lies in at least ``min_docs`` different texts
 (equal texts count once, so copies of a document do not condemn its lines), from
@@ -68,35 +68,27 @@ def line_keys(texts: list[str], leading: int, long_tokens: int):
     return text, number, *((k & ~np.uint64(1) | long).view(np.int64) for k in (whole, leaf))
 
 
-def masks(masked: list[bool], often: list[int], total: int, need: int, leading: int, width: int, min_tokens: int):
-    """The sets of places that templates of a line generalise beyond ``masked`` ones: up to two stretches that begin and
-    end where lines of the leaf differ, and hold every place whose token occurs there in fewer than ``need`` texts."""
-    n = len(masked)
-    rare = [i for i in range(n) if not masked[i] and often[i] < need]
-    differ = [i for i in range(leading, n) if not masked[i] and often[i] < total]
-    known = set(differ)
-    spans = [(a, b) for a in differ for b in range(a, min(n, a + width)) if b in known]
-    if rare:
-        firsts = [x for x in spans if x[0] <= rare[0] <= x[1]]
-        rest = [[i for i in rare if i > x[1]] for x in firsts]
-        pairs = [(x, y) for x, r in zip(firsts, rest) for y in spans if (y[0] > x[1] + 1 or y[1] < x[0] - 1) and (not r or y[0] <= r[0] and r[-1] <= y[1])]
-        sets = [(x,) for x, r in zip(firsts, rest) if not r] + pairs
-    else:
-        sets = [()] + [(x,) for x in spans] + [(x, y) for x in spans for y in spans if y[0] > x[1] + 1]
-    least = max(min_tokens, -(-6 * n // 10))
-    seen = set()
-    for chosen in sets:
-        places = frozenset(i for a, b in chosen for i in range(a, b + 1) if not masked[i])
-        if places in seen:
-            continue
-        seen.add(places)
-        run = longest = fields = 0
-        for i in range(n):
-            run = run + 1 if masked[i] or i in places else 0
-            fields += run > 0
-            longest = max(longest, run)
-        if longest <= width and n - fields >= least:
-            yield places
+def fields(often: list[int], masked: list[bool], total: int, need: int, width: int, most: int):
+    """The sets of places that templates of a line generalise beyond ``masked`` ones, each within the next: first the places whose
+    token occurs there in fewer than ``need`` texts of the leaf, then the least frequent tokens that are left, while some other
+    line of the leaf differs there, at most ``most`` places are fields and no run of fields is longer than ``width``."""
+    n = len(often)
+    order = sorted((i for i in range(n) if not masked[i] and often[i] < total), key=often.__getitem__)
+    field, count, at = list(masked), sum(masked), 0
+    bar = need
+    while True:
+        added = []
+        while at < len(order) and often[order[at]] < bar:
+            field[order[at]] = True
+            added.append(order[at])
+            at += 1
+        count += len(added)
+        if count > most or any(all(field[i - width:i + 1]) for a in (added or range(n)) for i in range(max(width, a), min(n, a + width + 1))):
+            return
+        yield added
+        if at == len(order):
+            return
+        bar = often[order[at]] + 1
 
 
 def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = 10, leading: int = 2,
@@ -171,17 +163,28 @@ def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", min
         full = (1 << 64) - 1
         for b in batches:
             ks, ns, out = [], [], []
-            for x in b.to_pylist():
-                toks = np.array(x["tokens"], np.int64).view(np.uint64)
-                factor = mix(np.arange(1, len(toks) + 1, dtype=np.uint64)) | np.uint64(1)
-                term, empty = (toks * factor).tolist(), (FIELD * factor).tolist()
-                base, long = sum(term) + len(toks) * int(FIELD), x["leaf"] & 1
-                found = [(base - sum(term[i] - empty[i] for i in places)) & full for places in masks(
-                    (toks == FIELD).tolist(), x["often"], x["total"], long_docs if long else min_docs, leading, width, min_tokens)]
+            size = np.diff(b.column("tokens").offsets.to_numpy())
+            toks = b.column("tokens").flatten().to_numpy().view(np.uint64)
+            often = b.column("often").flatten().to_numpy()
+            leaf, total = b.column("leaf").to_numpy(), b.column("total").to_numpy()
+            need = np.where(leaf & 1 == 1, long_docs, min_docs)
+            begin = np.cumsum(size) - size
+            masked = toks == FIELD
+            most = size - np.maximum(min_tokens, -(-6 * size // 10))
+            # lines with too many rare tokens have no template; the rest are few
+            rare = np.add.reduceat(masked | (often < np.repeat(need, size)), begin, dtype=np.int64) if len(size) else size
+            for i in np.flatnonzero(rare <= most).tolist():
+                c = slice(begin[i], begin[i] + size[i])
+                factor = mix(np.arange(1, size[i] + 1, dtype=np.uint64)) | np.uint64(1)
+                gap = ((toks[c] - FIELD) * factor).tolist()
+                key, found = int((toks[c] * factor).sum()) + int(size[i]) * int(FIELD), []
+                for places in fields(often[c].tolist(), masked[c].tolist(), int(total[i]), int(need[i]), width, int(most[i])):
+                    key -= sum(gap[j] for j in places)
+                    found.append(key & full)
                 if found:
-                    ks.append(x["k"])
-                    ns.append(x["n"])
-                    out.append((mix(np.array(found, np.uint64)) & ~np.uint64(1) | np.uint64(long)).view(np.int64))
+                    ks.append(b.column("k")[i].as_py())
+                    ns.append(b.column("n")[i].as_py())
+                    out.append((mix(np.array(found, np.uint64)) & ~np.uint64(1) | np.uint64(leaf[i] & 1)).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(ns, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["k", "n", "of"])
 
     fits = stage(tokens.join(total, "leaf").join(counts, ["k", "leaf"]).mapInArrow(generalise, "k long, n long, of array<long>")
