@@ -192,8 +192,8 @@ def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     # a template of one line is the whole line
     several = stage(fits.groupBy("template").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
                     .where((F.col("kinds") > 1) & (F.col("n") >= needed("template"))).select("template"), "line-several")
-    shared = stage(fits.join(several, "template").select("k", "template"), "line-shared")
-    held = stage(spots.select("id", "entry", "at", "k").join(shared, "k"), "line-held")
+    shared = stage(fits.join(several.hint("merge"), "template").select("k", "template"), "line-shared")
+    held = stage(spots.select("id", "entry", "at", "k").join(shared.hint("merge"), "k"), "line-held")
     keepers = stage(held.select("id", "entry", "template").distinct().groupBy("template").agg(F.count("*").alias("n"), F.min("id").alias("keeper"))
                     .where(F.col("n") >= needed("template")).select("template", "keeper"), "line-keepers")
     whole = spots.select("id", "entry", "at", "k").join(bounded_broadcast(seen, seen.count(), 24), "k").where(~F.col("id").eqNullSafe(F.col("keeper")))
