@@ -650,6 +650,12 @@ _trees("rf_bow_syntactic", "experiment-5")
 _trees("gbt_tfidf_syntactic", "experiment-6")
 
 
+@register("feature_ablation", OT.ablation_sql(TM.EXPERIMENTS["experiment-1"].spec))
+def q_feature_ablation(spark, sf):
+    # {tree, nearest neighbours} x {dependency, constituency} on the validation split
+    return TM.ablation(spark, sf, TM.EXPERIMENTS["experiment-1"].spec)
+
+
 # ---- batch prediction (M15, P21), grid (M17), CV summary (A14) -----------
 from inferna.plans.oracle import cte as _cte  # noqa: E402
 

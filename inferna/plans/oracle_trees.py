@@ -25,10 +25,10 @@ def tfidf_cells(src: str, idf: str, text: str, offset: int, own: bool) -> str:
   FROM {_terms(src, text, True, True)} s JOIN {idf} v ON {on}) a) b WHERE x > 0"""
 
 
-def syntactic_cells(src: str, offset: int, own: bool) -> str:
+def syntactic_cells(src: str, offset: int, own: bool, names: str = "knn_flist") -> str:
     on = "l.feature = p.feature" + " AND l.model = t.dataset" * own
     return f"""SELECT l.model, t.pair_id AS doc_id, CAST(l.pos - 1 + {offset} AS INTEGER) AS f, round(CAST(p.value AS DOUBLE), 6) AS x
-FROM {src} t JOIN pfeat p ON p.pair_id = t.pair_id JOIN knn_flist l ON {on} WHERE p.value > 0 AND round(CAST(p.value AS DOUBLE), 6) > 0"""
+FROM {src} t JOIN pfeat p ON p.pair_id = t.pair_id JOIN {names} l ON {on} WHERE p.value > 0 AND round(CAST(p.value AS DOUBLE), 6) > 0"""
 
 
 cte("vocab_r5p", vocab_sql("train_s", "premise_text", 2500, True, False), ["train_s"])
@@ -90,18 +90,18 @@ def _draws(trees: int) -> str:
     return f"SELECT dataset AS model, tree, pair_id AS doc_id, label, {times} AS w FROM (SELECT *, {u} AS u FROM (SELECT *, unnest(range({trees})) AS tree FROM train_s))"
 
 
-def _start(key: str, spec: Spec) -> tuple[list[str], str]:
+def _start(key: str, spec: Spec, train: str = "train_s", test: str = "test_s") -> tuple[list[str], str]:
     parts, deps = CELLS[key]
     body = f"""
-, tr AS MATERIALIZED ({' UNION ALL '.join(p('train_s', True) for p in parts)}),
-te AS MATERIALIZED ({' UNION ALL '.join(p('test_s', False) for p in parts)}),{binned(spec.bins)}"""
-    return ["train_s", "test_s", *deps], body
+, tr AS MATERIALIZED ({' UNION ALL '.join(p(train, True) for p in parts)}),
+te AS MATERIALIZED ({' UNION ALL '.join(p(test, False) for p in parts)}),{binned(spec.bins)}"""
+    return [train, test, *deps], body
 
 
-def classes_sql(key: str, spec: Spec) -> str:
+def classes_sql(key: str, spec: Spec, train: str = "train_s", test: str = "test_s") -> str:
     """One tree or a forest: predictions (model, doc_id, dataset, y, pred)."""
-    deps, body = _start(key, spec)
-    rows = _draws(spec.trees) if spec.forest else "SELECT dataset AS model, 0 AS tree, pair_id AS doc_id, label, 1 AS w FROM train_s"
+    deps, body = _start(key, spec, train, test)
+    rows = _draws(spec.trees) if spec.forest else "SELECT dataset AS model, 0 AS tree, pair_id AS doc_id, label, 1 AS w FROM {train}".format(train=train)
     look = ""
     if spec.forest:
         body += f"""
@@ -112,7 +112,7 @@ wd AS MATERIALIZED (SELECT m.model, coalesce(max(f), -1) + 1 AS width, CAST(floo
     body += f"""
 a0 AS MATERIALIZED (SELECT model, tree, doc_id, CASE WHEN label = 0 THEN w ELSE 0 END AS v0, CASE WHEN label = 1 THEN w ELSE 0 END AS v1, CASE WHEN label = 2 THEN w ELSE 0 END AS v2, 1::BIGINT AS node
   FROM ({rows}) WHERE w > 0),
-e0 AS MATERIALIZED (SELECT m.model, tree, t.pair_id AS doc_id, t.dataset, t.label AS y, 1::BIGINT AS node FROM test_s t CROSS JOIN (SELECT DISTINCT model, tree FROM a0) m),"""
+e0 AS MATERIALIZED (SELECT m.model, tree, t.pair_id AS doc_id, t.dataset, t.label AS y, 1::BIGINT AS node FROM {test} t CROSS JOIN (SELECT DISTINCT model, tree FROM a0) m),"""
     for d in range(spec.depth):
         body += level("c", d, "a", "e", GINI, "({0}0 + {0}1 + {0}2)", "1e-9", "(CASE WHEN t0 > 0 THEN 1 ELSE 0 END) + (CASE WHEN t1 > 0 THEN 1 ELSE 0 END) + (CASE WHEN t2 > 0 THEN 1 ELSE 0 END) > 1", look)
     return with_ctes(deps, body + f"""
@@ -146,3 +146,42 @@ u_{g + 1} AS MATERIALIZED (SELECT r.model, r.tree AS cls, r.doc_id, r.dataset, r
     return with_ctes(deps, body + f"""
 z AS (SELECT model, doc_id, dataset, y, {', '.join(f'max(CASE WHEN cls = {i} THEN s END) AS s{i}' for i in range(3))} FROM u_{spec.stages} GROUP BY ALL)
 SELECT model, doc_id, dataset, y, CASE WHEN s0 >= s1 AND s0 >= s2 THEN 0 WHEN s1 >= s2 THEN 1 ELSE 2 END AS pred FROM z""")
+
+
+# ---- ablation (M10): the model is a dataset and a feature group ------------------
+GROUPS = {"dependency": "contains(f.feature, '_dep_') OR contains(f.feature, 'deprel_')", "constituency": "contains(f.feature, '_const_')"}
+cte("abl_tr", " UNION ALL ".join(f"SELECT pair_id, dataset || '|{g}' AS dataset, label FROM train_s" for g in GROUPS), ["train_s"])
+cte("abl_te", "SELECT pair_id, dataset, label FROM vpairs WHERE split = 'validation'", ["vpairs"])
+cte("abl_flist", "SELECT model, feature, row_number() OVER (PARTITION BY model ORDER BY feature) AS pos FROM ("
+    + " UNION ".join(f"SELECT t.dataset || '|{g}' AS model, f.feature FROM train_s t JOIN pfeat f ON f.pair_id = t.pair_id WHERE {on}" for g, on in GROUPS.items()) + ")", ["train_s", "pfeat"])
+CELLS["experiment-7"] = ([lambda s, own: syntactic_cells(s, 0, own, "abl_flist")], ["abl_flist", "pfeat"])
+cte("abl_trd", """
+SELECT l.model, t.pair_id, t.label, l.feature, l.pos, coalesce(f.value, 0) AS v
+FROM abl_tr t JOIN abl_flist l ON l.model = t.dataset LEFT JOIN pfeat f ON f.pair_id = t.pair_id AND f.feature = l.feature""", ["abl_tr", "abl_flist", "pfeat"])
+cte("abl_st", "SELECT model, feature, avg(v) AS mu, stddev_pop(v) AS sd FROM abl_trd GROUP BY model, feature", ["abl_trd"])
+cte("abl_trv", """
+SELECT d.model, d.pair_id AS train_id, d.label, list((d.v - s.mu) / CASE WHEN s.sd > 0 THEN s.sd ELSE 1 END ORDER BY d.pos) AS vec
+FROM abl_trd d JOIN abl_st s ON s.model = d.model AND s.feature = d.feature GROUP BY d.model, d.pair_id, d.label""", ["abl_trd", "abl_st"])
+cte("abl_tev", """
+SELECT l.model, t.pair_id AS doc_id, t.dataset, t.label AS y, list((coalesce(f.value, 0) - s.mu) / CASE WHEN s.sd > 0 THEN s.sd ELSE 1 END ORDER BY l.pos) AS vec
+FROM abl_te t JOIN abl_flist l ON starts_with(l.model, t.dataset || '|') JOIN abl_st s ON s.model = l.model AND s.feature = l.feature
+LEFT JOIN pfeat f ON f.pair_id = t.pair_id AND f.feature = l.feature GROUP BY l.model, t.pair_id, t.dataset, t.label""", ["abl_te", "abl_flist", "abl_st", "pfeat"])
+
+
+def ablation_sql(spec: Spec, k: int = 5) -> str:
+    """Metrics of tree and nearest neighbours by dataset and feature group on the validation split."""
+    from inferna.plans.oracle import metrics_sql
+    tree = classes_sql("experiment-7", spec, "abl_tr", "abl_te")
+    head, tail = tree[:tree.rindex("\nSELECT model, doc_id")], tree[tree.rindex("\nSELECT model, doc_id"):]
+    knn = with_ctes(["abl_trv", "abl_tev"], "").removeprefix("WITH ").rstrip()
+    return head + f""",
+tree_pred AS ({tail}),
+knn_pred AS (WITH {knn},
+dist AS (SELECT q.model, q.doc_id, q.dataset, q.y, r.label, r.train_id, round(list_distance(q.vec, r.vec), 9) AS d FROM abl_tev q JOIN abl_trv r ON r.model = q.model)
+SELECT model, doc_id, dataset, y, CASE WHEN c0 >= c1 AND c0 >= c2 THEN 0 WHEN c1 >= c2 THEN 1 ELSE 2 END AS pred
+FROM (SELECT model, doc_id, dataset, y, count_if(label = 0) AS c0, count_if(label = 1) AS c1, count_if(label = 2) AS c2
+  FROM (SELECT model, doc_id, dataset, y, label, row_number() OVER (PARTITION BY model, doc_id ORDER BY d, train_id) AS rk FROM dist) n
+  WHERE rk <= {k} GROUP BY model, doc_id, dataset, y) v),
+both_pred AS (SELECT 'decision_tree' AS learner, dataset, split_part(model, '|', 2) AS feature_group, y, pred FROM tree_pred WHERE starts_with(model, dataset || '|')
+  UNION ALL SELECT 'knn', dataset, split_part(model, '|', 2), y, pred FROM knn_pred)
+""" + metrics_sql("both_pred", ["learner", "dataset", "feature_group"])

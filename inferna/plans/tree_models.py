@@ -147,3 +147,35 @@ def fit_predict(spark: SparkSession, sf_dir: str, key: str, spec: trees.Spec | N
     data = prepare(train, test, experiment)
     table, _ = fit(spark, data, spec or experiment.spec)
     return trees.predict(table, data.test, data.test_cells)
+
+
+def ablation(spark: SparkSession, sf_dir: str, spec: trees.Spec, k: int = 5, total_sample: int = 10_000) -> DataFrame:
+    """Tree and exact nearest neighbours on each feature group alone, scored on the validation split.
+
+    The model key is dataset|group, so all trees grow together and all neighbour
+    searches are one job.  -> metrics by (learner, dataset, feature_group)."""
+    from inferna.operators import metrics, sample
+    from inferna.operators.features import pair_features
+    from inferna.operators.knn import knn_predict
+    from inferna.sources import tables as src
+    feats = pair_features(src.nli_raw(spark, sf_dir)).select("pair_id", "dataset", "split", "label", "syn").where("split <> 'test'")
+    feats = materialize(feats, ["split"])
+    sampled = materialize(sample.stratified_sample(feats.where("split = 'train'"), total_sample).select("pair_id", "dataset", "label", "syn"))
+    valid = feats.where("split = 'validation'")
+    groups = {"dependency": P.DEPENDENCY_MARKS, "constituency": P.CONSTITUENCY_MARKS}
+    train, tr, te = None, None, None
+    for name, marks in groups.items():
+        part = sampled.select(F.concat("dataset", F.lit(f"|{name}")).alias("model"), F.col("pair_id").alias("doc_id"), "label",
+                              F.map_filter("syn", lambda key, _: P.in_group(key, marks)).alias("syn"))
+        train = part if train is None else train.unionByName(part)
+        x, q = grid.syntactic_vectors(sampled, valid, grid.datasets_of(sampled), "standard", marks)
+        x, q = (t.withColumn("model", F.concat("model", F.lit(f"|{name}"))) for t in (x, q.where("model = dataset")))
+        tr, te = (x, q) if tr is None else (tr.unionByName(x), te.unionByName(q))
+    data = prepare(train, valid.select(F.col("pair_id").alias("doc_id"), "dataset", F.col("label").alias("y"), "syn"), TreeExperiment((), 0, spec))
+    own = F.startswith("model", F.concat("dataset", F.lit("|")))
+    table, _ = fit(spark, data, spec)
+    tree = trees.predict(table, data.test.where(own), data.test_cells)
+    near = knn_predict(tr, te, "vec", k, "euclidean", tie_decimals=9)
+    both = tree.withColumn("learner", F.lit("decision_tree")).unionByName(near.withColumn("learner", F.lit("knn")))
+    cells = both.select("learner", "dataset", F.split_part("model", F.lit("|"), F.lit(2)).alias("feature_group"), "y", "pred")
+    return metrics.evaluate(cells, ["learner", "dataset", "feature_group"], decimals=6)
