@@ -656,6 +656,12 @@ def q_feature_ablation(spark, sf):
     return TM.ablation(spark, sf, TM.EXPERIMENTS["experiment-1"].spec)
 
 
+@register("cross_validate", OT.cross_validate_sql(TM.EXPERIMENTS["experiment-1"].spec))
+def q_cross_validate(spark, sf):
+    # Five folds; tree and nearest neighbours, whose results SQL can state
+    return TM.cross_validate(spark, sf)
+
+
 # ---- batch prediction (M15, P21), grid (M17), CV summary (A14) -----------
 from inferna.plans.oracle import cte as _cte  # noqa: E402
 
@@ -817,8 +823,25 @@ def q_nan_fill_raw(spark, sf):
     return filled.select("id", F.round("length_ratio", 6).alias("length_ratio"), F.round("per_char", 6).alias("per_char"))
 
 
-@register("shuffle_head", with_ctes(["vpairs"], """
-SELECT pair_id FROM vpairs ORDER BY md5('42:' || pair_id), pair_id LIMIT 1000"""))
+@register("shuffle_head", with_ctes(["vpairs"], "SELECT pair_id, md5('42:' || pair_id) AS order_key FROM vpairs"))
 def q_shuffle_head(spark, sf):
-    # The reproducible shuffled order, of which T2 reports the first rows
-    return S.shuffle_rows(_pairs(spark, sf)).limit(1000).select("pair_id")
+    # Every row in the reproducible shuffled order, with the key that orders it
+    return S.shuffle_rows(_pairs(spark, sf)).select("pair_id", S.order_key(F.col("pair_id")).alias("order_key"))
+
+
+@register("label_realign", with_ctes(["train_s", "pfeat"], """
+SELECT t.pair_id, t.dataset, t.label, length(t.premise_text) AS premise_chars, f.n_features
+FROM train_s t JOIN (SELECT pair_id, count(*) AS n_features FROM pfeat WHERE contains(feature, '_dep_') GROUP BY pair_id) f ON f.pair_id = t.pair_id"""))
+def q_label_realign(spark, sf):
+    # J4 + J7: texts and parse features that were cleaned apart, kept where both sides are left; the label travels with its row
+    train, _ = grid.train_test(spark, sf)
+    feats = src_features(spark, sf)
+    sides = feats.select("pair_id", F.size(F.map_filter("syn", lambda k, _: F.contains(k, F.lit("_dep_")))).cast("long").alias("n_features")).where("n_features > 0")
+    labels = train.select("pair_id", "dataset", "label").join(sides, "pair_id", "left_semi")
+    texts = train.select("pair_id", F.length("premise_text").cast("long").alias("premise_chars"))
+    return labels.join(texts, "pair_id").join(sides, "pair_id").select("pair_id", "dataset", "label", "premise_chars", "n_features")
+
+
+def src_features(spark, sf) -> DataFrame:
+    from inferna.operators.features import pair_features
+    return pair_features(src.nli_raw(spark, sf).where("split = 'train'"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from inferna.operators.trees import MUL_A, MUL_B, POISSON, PRIME, UNIT, Spec
-from inferna.plans.oracle import JOINED, W2, cte, grams_sql, idf_sql, tok_sql, vocab_sql, with_ctes  # noqa: F401
+from inferna.plans.oracle import CTE, DEPS, JOINED, cte, grams_sql, idf_sql, tok_sql, vocab_sql, with_ctes
 
 
 def _terms(src: str, text: str, stop: bool, bigrams: bool) -> str:
@@ -185,3 +185,36 @@ FROM (SELECT model, doc_id, dataset, y, count_if(label = 0) AS c0, count_if(labe
 both_pred AS (SELECT 'decision_tree' AS learner, dataset, split_part(model, '|', 2) AS feature_group, y, pred FROM tree_pred WHERE starts_with(model, dataset || '|')
   UNION ALL SELECT 'knn', dataset, split_part(model, '|', 2), y, pred FROM knn_pred)
 """ + metrics_sql("both_pred", ["learner", "dataset", "feature_group"])
+
+
+# ---- cross-validation (M11): the model is a dataset and a fold --------------------
+cte("cv_folds", """
+SELECT pair_id, dataset, label, CAST((row_number() OVER (PARTITION BY dataset, label ORDER BY md5('42:' || pair_id)) - 1) % 5 AS INTEGER) AS fold FROM train_s""", ["train_s"])
+cte("cv_tr", "SELECT pair_id, dataset || '|' || m AS dataset, label FROM (SELECT *, unnest(range(5)) AS m FROM cv_folds) WHERE m <> fold", ["cv_folds"])
+cte("cv_te", "SELECT pair_id, dataset || '|' || fold AS dataset, label FROM cv_folds", ["cv_folds"])
+cte("cv_flist", """SELECT model, feature, row_number() OVER (PARTITION BY model ORDER BY feature) AS pos FROM (
+  SELECT DISTINCT t.dataset AS model, f.feature FROM cv_tr t JOIN pfeat f ON f.pair_id = t.pair_id)""", ["cv_tr", "pfeat"])
+CELLS["experiment-8"] = ([lambda s, own: syntactic_cells(s, 0, True, "cv_flist")], ["cv_flist", "pfeat"])
+for _name in ("trd", "st", "trv"):
+    cte(f"cv_{_name}", CTE[f"abl_{_name}"].replace("abl_", "cv_"), [d.replace("abl_", "cv_") for d in DEPS[f"abl_{_name}"]])
+cte("cv_tev", CTE["abl_tev"].replace("abl_", "cv_").replace("starts_with(l.model, t.dataset || '|')", "l.model = t.dataset"), ["cv_te", "cv_flist", "cv_st", "pfeat"])
+
+
+def cross_validate_sql(spec: Spec) -> str:
+    """Summary over folds of tree and nearest neighbours by dataset."""
+    from inferna.plans.oracle import metrics_sql
+    tree = classes_sql("experiment-8", spec, "cv_tr", "cv_te").replace("FROM cv_te t CROSS JOIN (SELECT DISTINCT model, tree FROM a0) m", "FROM cv_te t JOIN (SELECT DISTINCT model, tree FROM a0) m ON m.model = t.dataset")
+    both = ablation_sql(spec)
+    body = both[both.index("knn_pred AS ("):both.index("both_pred AS (")]
+    knn = "knn_pred AS (WITH " + with_ctes(["cv_trv", "cv_tev"], "").removeprefix("WITH ").rstrip() + body[body.index(",\ndist AS"):].replace("abl_", "cv_")
+    cut = tree.rindex("\nSELECT model, doc_id")
+    part = lambda t, n: f"SELECT '{n}' AS learner, split_part(dataset, '|', 1) AS dataset, CAST(split_part(dataset, '|', 2) AS INTEGER) AS fold, y, pred FROM {t}"
+    return tree[:cut] + f""",
+tree_pred AS ({tree[cut:]}),
+{knn}both_pred AS ({part('tree_pred', 'decision_tree')} UNION ALL {part('knn_pred', 'knn')}),
+m AS ({metrics_sql('both_pred', ['learner', 'dataset', 'fold'])})
+SELECT learner, dataset, round(avg(accuracy), 6) AS mean_accuracy, round(stddev_pop(accuracy), 6) AS std_accuracy,
+  round(avg(weighted_precision), 6) AS mean_weighted_precision, round(avg(weighted_recall), 6) AS mean_weighted_recall,
+  round(avg(weighted_f1), 6) AS mean_weighted_f1, round(stddev_pop(weighted_f1), 6) AS std_weighted_f1,
+  list(weighted_f1 ORDER BY fold) AS f1_per_fold, count(*) AS n_folds
+FROM m GROUP BY learner, dataset"""

@@ -102,21 +102,24 @@ class Prepared:
 
 
 def prepare(train: DataFrame, test: DataFrame, experiment: TreeExperiment) -> Prepared:
-    """``train`` (model, doc_id, label, texts, syn) and ``test`` (doc_id, dataset, y, texts, syn), which meets every model."""
+    """``train`` (model, doc_id, label, texts, syn) and ``test`` (doc_id, dataset, y, texts, syn), which meets every model, or its own if it has a column model."""
+    own = "model" in test.columns
     parts, test_parts = [], []
     for block in experiment.blocks:
         vocabulary = fit_vocabulary(train, block)
         parts.append(text_cells(train, vocabulary, block, True))
-        test_parts.append(text_cells(test, vocabulary, block, False))
+        test_parts.append(text_cells(test, vocabulary, block, own))
     if experiment.syntactic is not None:
         names = materialize(syntactic_list(train))
         parts.append(syntactic_cells(train, names, experiment.syntactic, True))
-        test_parts.append(syntactic_cells(test, names, experiment.syntactic, False))
+        test_parts.append(syntactic_cells(test, names, experiment.syntactic, own))
     union = lambda x: x[0] if len(x) == 1 else union([x[0].unionByName(x[1]), *x[2:]])
     cells = materialize(union(parts))
     width = {r.model: r.w for r in cells.groupBy("model").agg((F.max("f") + 1).alias("w")).collect()}
     models = train.select("model").distinct()
     width = {r.model: width.get(r.model, 0) for r in models.collect()}
+    if own:
+        return Prepared(train.select("model", "doc_id", "label"), cells, test.select("model", "doc_id", "dataset", "y"), union(test_parts), width)
     every = F.explode(F.array(*[F.lit(m) for m in sorted(width)])) if width else F.lit(None).cast("string")
     scored = test.select(every.alias("model"), "doc_id", "dataset", "y").where("model is not null")
     return Prepared(train.select("model", "doc_id", "label"), cells, scored, union(test_parts), width)
@@ -179,3 +182,67 @@ def ablation(spark: SparkSession, sf_dir: str, spec: trees.Spec, k: int = 5, tot
     both = tree.withColumn("learner", F.lit("decision_tree")).unionByName(near.withColumn("learner", F.lit("knn")))
     cells = both.select("learner", "dataset", F.split_part("model", F.lit("|"), F.lit(2)).alias("feature_group"), "y", "pred")
     return metrics.evaluate(cells, ["learner", "dataset", "feature_group"], decimals=6)
+
+
+#: Learners of the cross-validation that are tree learners, with the effort of the registered queries.
+CV_TREES = {"decision_tree": EXPERIMENTS["experiment-1"].spec, "random_forest": EXPERIMENTS["experiment-5"].spec, "gradient_boosting": EXPERIMENTS["experiment-6"].spec}
+
+
+def cross_validate(spark: SparkSession, sf_dir: str, learners: tuple[str, ...] = ("decision_tree", "knn"), folds: int = 5, k: int = 5,
+                   total_sample: int = 10_000) -> DataFrame:
+    """Stratified folds of each training sample on parse features; learners are knn and the keys of CV_TREES.
+
+    The model key is dataset|fold: every row trains the models of the other folds and
+    is scored by its own fold's, so a learner fits and scores all folds in one go.
+    -> A14 summary by (learner, dataset)."""
+    from inferna.operators import metrics, sample
+    from inferna.operators.features import pair_features
+    from inferna.operators.knn import knn_predict
+    from inferna.sources import tables as src
+    feats = pair_features(src.nli_raw(spark, sf_dir).where("split = 'train'")).select("pair_id", "dataset", "split", "label", "syn")
+    sampled = sample.kfold(sample.stratified_sample(feats, total_sample), folds, group_cols=["dataset"])
+    sampled = materialize(sampled.select("pair_id", "dataset", "label", "syn", "fold"))
+    model = F.concat("dataset", F.lit("|"), F.col("m").cast("string"))
+    others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda i: i != F.col("fold")))
+    train = sampled.select("*", others.alias("m")).select(model.alias("model"), F.col("pair_id").alias("doc_id"), "label", "syn")
+    test = sampled.withColumn("m", F.col("fold")).select(model.alias("model"), F.col("pair_id").alias("doc_id"), model.alias("dataset"), F.col("label").alias("y"), "syn")
+    pred = []
+    for name in learners:
+        if name == "knn":
+            # the vectors of each fold model, scaled with its own training rows
+            as_train = train.select("doc_id", F.col("model").alias("dataset"), "label", "syn").withColumnRenamed("doc_id", "pair_id")
+            as_test = test.select("doc_id", "dataset", F.col("y").alias("label"), "syn").withColumnRenamed("doc_id", "pair_id")
+            tr, te = fold_vectors(as_train, as_test)
+            found = knn_predict(tr, te, "vec", k, "euclidean", tie_decimals=9)
+        else:
+            spec = CV_TREES[name]
+            data = prepare(train, test, TreeExperiment((), 0, spec))
+            found = trees.predict(fit(spark, data, spec)[0], data.test, data.test_cells)
+        pred.append(found.select(F.lit(name).alias("learner"), F.split_part("dataset", F.lit("|"), F.lit(1)).alias("dataset"),
+                                 F.split_part("dataset", F.lit("|"), F.lit(2)).cast("int").alias("fold"), "y", "pred"))
+    every = pred[0]
+    for p in pred[1:]:
+        every = every.unionByName(p)
+    per_fold = metrics.evaluate(every, ["learner", "dataset", "fold"], decimals=6)
+    return metrics.cv_summary(per_fold, ["learner", "dataset"], decimals=6)
+
+
+def fold_vectors(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Z-scored aligned vectors of rows (pair_id, dataset, label, syn) whose dataset names their model; each test row under its own."""
+    lists = syntactic_list(train.withColumnRenamed("dataset", "model"))
+    dense = lists.groupBy("model").agg(F.sort_array(F.collect_list("feature")).alias("names"))  # bounded by the tag vocabulary
+
+    def aligned(df: DataFrame) -> DataFrame:
+        value = F.transform("names", lambda n: F.coalesce(F.try_element_at("syn", n), F.lit(0.0)))
+        return df.join(dense, df["dataset"] == dense["model"]).select("model", "pair_id", "dataset", "label", value.alias("a"))
+
+    a = materialize(aligned(train))
+    stats = a.select("model", F.posexplode_outer("a").alias("pos", "v")).groupBy("model", "pos").agg(F.avg("v").alias("mu"), F.stddev_pop("v").alias("sd")) \
+        .groupBy("model").agg(F.sort_array(F.collect_list(F.struct("pos", "mu", "sd"))).alias("st"))
+
+    def scaled(df: DataFrame) -> DataFrame:
+        z = F.zip_with("a", "st", lambda x, s: (x - s["mu"]) / F.when(s["sd"] > 0, s["sd"]).otherwise(1.0))
+        return df.join(stats, "model").withColumn("vec", z)
+
+    return (scaled(a).select("model", F.col("pair_id").alias("train_id"), "label", "vec"),
+            scaled(aligned(test)).select("model", F.col("pair_id").alias("doc_id"), "dataset", F.col("label").alias("y"), "vec"))
