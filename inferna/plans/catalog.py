@@ -201,6 +201,16 @@ def q_dep_edges(spark, sf):
                     F.col("e.head").cast("long").alias("head"), "e.deprel")
 
 
+@register("import_trees", SQL["dep_edges"])
+def q_import_trees(spark, sf):
+    # Trees stored as text, read back into typed edges
+    from inferna.sources.trees_text import export_edges, import_edges
+    stored = _parses(spark, sf).select("sentence_id", export_edges(F.col("dependency")).alias("tree"))
+    e = stored.select("sentence_id", F.explode_outer(import_edges(F.col("tree"))).alias("e")).where(F.col("e").isNotNull())
+    return e.select("sentence_id", F.col("e.id").cast("long").alias("id"), "e.text", "e.lemma", "e.pos",
+                    F.col("e.head").cast("long").alias("head"), "e.deprel")
+
+
 _CONST_KEYS = ["tree_depth"] + [f"count_{p}" for p in P.PHRASES]
 
 
