@@ -179,28 +179,63 @@ def test_near_documents_against_all_pairs(spark):
     assert bag_minhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def plain_paragraphs(text, span, window):
+    """Paragraphs by the docstring, from plain lists: (first word, words)."""
+    every, out, at = text.split(), set(), 0
+    for line in text.split("\n"):
+        n = len(line.split())
+        if n >= span + window - 1:
+            out.add((at, n))
+        at += n
+    if every:
+        h, first = shingles.word_hashes([text])
+        v = paragraph_bands.grams(h, len(every) - np.arange(len(every)), 3).tolist()
+        v = [2**64 - 1 if i and every[i - 1:i + 2] == every[i:i + 3] else x for i, x in enumerate(v)][:max(1, len(every) - span + 1)]
+        for s in range(max(1, len(v) - window + 1)):
+            w = v[s:s + window]
+            if len(v) <= window or min(w) < 2**64 - 1:
+                out.add((s + w.index(min(w)), min(span, len(every))))
+    return out
+
+
 def test_near_paragraphs_against_all_pairs(spark):
-    lines = [t for t in corpus() if len(t.split()) >= 10]
-    docs = [(i, f"intro {i}\n{t}\n\n{lines[(7 * i) % len(lines)]}") for i, t in enumerate(lines)]
-    every = [(i, at, p) for i, t in docs for at, p in enumerate(t.split("\n")) if len(p.split()) >= 10]
+    body = corpus()
+    docs = [(i, f"intro {i}\n{t}\n\n{prose(500 + i, 7)} {body[(7 * i) % len(body)]}") for i, t in enumerate(body)]
+    docs += [(500, "same same " * 200), (501, "x " + "same " * 90), (502, prose(3, 120) + "\n" + prose(3, 120))]
+    every = [(i, at, n, " ".join(t.split()[at:at + n])) for i, t in docs for at, n in sorted(plain_paragraphs(t, 16, 35))]
     group = links([p for *_, p in every], 0.8, False)
-    many = {g for g in group if group.count(g) > 1}
-    t = frame(spark, docs + [(901, None), (902, ""), (None, lines[0])])
+    many = {g for g in group if len({e[0] for e, h in zip(every, group) if h == g}) > 1}
+    t = frame(spark, docs + [(901, None), (902, ""), (903, " \n "), (None, body[0]), docs[0]])
     found = paragraph_bands.repeated_paragraphs(t)
-    got = {(g.doc_id, g.paragraph): g for g in found.collect()}
-    want = {(i, at): g for (i, at, _), g in zip(every, group) if g in many}
-    assert set(got) == set(want)
+    got = {(g.doc_id, g.first_word, g.n_words): g for g in found.collect()}
+    want = {e[:3]: g for e, g in zip(every, group) if g in many}
+    assert set(got) == set(want) and len(got) == found.count()
     order = sorted(want)
     assert partition([got[o].class_id for o in order]) == partition([want[o] for o in order])
     first = {g: min(o for o in order if want[o] == g) for g in many}
-    assert all(got[o].removed == (o != first[want[o]]) and got[o].class_doc == first[want[o]][0] for o in order)
-    kept = {r.doc_id: r.text for r in paragraph_bands.remove_paragraphs(t, found).collect()}
+    assert all(got[o].removed == (o[0] != first[want[o]][0]) and got[o].class_doc == first[want[o]][0] for o in order)
+    rows = paragraph_bands.remove_paragraphs(t, found)
+    assert rows.columns == t.columns
+    kept = {r.doc_id: r.text for r in rows.collect()}
     for i, text in docs:
-        assert kept[i] == "\n".join(p for at, p in enumerate(text.split("\n")) if not ((i, at) in got and got[i, at].removed))
-    assert kept[901] is None and kept[902] == "" and kept[None] == lines[0]
+        gone = {w for o in order if o[0] == i and got[o].removed for w in range(o[1], o[1] + o[2])}
+        assert kept[i].split() == [w for n, w in enumerate(text.split()) if n not in gone]
+        assert gone or kept[i] == text
+    assert kept[901] is None and kept[902] == "" and kept[None] == body[0]
     assert paragraph_bands.repeated_paragraphs(frame(spark, [])).count() == 0
 
 
+def test_shared_passages_meet_whatever_surrounds_them(spark):
+    passage = [prose(9000 + i, 50) for i in range(12)]
+    docs = [(100 * i + j, f"{prose(100 * i + j, 11 + 9 * j)}{' ' if j else chr(10)}{p} {prose(777 * i + j, 23)}")
+            for i, p in enumerate(passage) for j in range(3)]
+    docs += [(5000, "long " + prose(1, 170000) + " " + passage[0]), (5001, prose(2, 300))]
+    clash = frame(spark, docs).withColumnsRenamed({"id": "spans", "k": "_id", "entry": "_gone", "body": "row"})
+    found = paragraph_bands.repeated_paragraphs(clash)
+    assert {r.doc_id for r in found.collect()} == {i for i, _ in docs} - {5001}
+    assert paragraph_bands.remove_paragraphs(clash, found).columns == clash.columns
+
+
 def test_weighted_signature_is_unbiased():
     r = np.random.default_rng(1)
     a, b = {i: int(r.integers(1, 9)) for i in range(60)}, {i: int(r.integers(1, 9)) for i in range(20, 90)}
