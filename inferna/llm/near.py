@@ -54,16 +54,17 @@ def components(ids: DataFrame, links: DataFrame, n_links: int) -> DataFrame:
 
 
 def classes(buckets: DataFrame, features: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame],
-            similarity: float) -> DataFrame:
+            similarity: float, merge: bool = False) -> DataFrame:
     """(id, label) for every id that shares a bucket in ``buckets`` (distinct id, bucket); label is the class's least id.
 
     ``features`` takes the ids (id) that share a bucket and returns (id, f);
     ``compare`` takes distinct pairs (a, b, fa, fb) and returns (a, b, near,
-    size_a, size_b, common, excess) as ``shingles.compare`` defines them.
+    size_a, size_b, common, excess) as ``shingles.compare`` defines them.  With
+    ``merge`` the buckets meet their counts in a merge join at every size.
     """
     # a table of its own: a join straight from an aggregation would not be split for a hot bucket
     several = stage(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "near-several")
-    shared = stage(buckets.join(several, "bucket"), "near-buckets")
+    shared = stage(buckets.join(several.hint("merge") if merge else several, "bucket"), "near-buckets")
     n = shared.count()
     # how many others an entry meets, over all its buckets
     ids = stage(shared.groupBy("id").agg(F.sum("n").alias("met")), "near-ids", n)

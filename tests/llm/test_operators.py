@@ -202,7 +202,7 @@ def test_near_paragraphs_against_all_pairs(spark):
     body = corpus()
     docs = [(i, f"intro {i}\n{t}\n\n{prose(500 + i, 7)} {body[(7 * i) % len(body)]}") for i, t in enumerate(body)]
     docs += [(500, "same same " * 200), (501, "x " + "same " * 90), (502, prose(3, 120) + "\n" + prose(3, 120))]
-    every = [(i, at, n, " ".join(t.split()[at:at + n])) for i, t in docs for at, n in sorted(plain_paragraphs(t, 16, 35))]
+    every = [(i, at, n, " ".join(t.split()[at:at + n])) for i, t in docs for at, n in sorted(plain_paragraphs(t, 12, 39))]
     group = links([p for *_, p in every], 0.8, False)
     many = {g for g in group if len({e[0] for e, h in zip(every, group) if h == g}) > 1}
     t = frame(spark, docs + [(901, None), (902, ""), (903, " \n "), (None, body[0]), docs[0]])
