@@ -76,6 +76,28 @@ def narrowed(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 
+def apart(df: DataFrame, own: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns named as one of ``own`` (in any case) set aside under fresh names, and the way back.
+
+    Without such columns ``df`` itself is returned; ``restored`` undoes it.
+    """
+    own = {c.lower() for c in own}
+    taken, names = {c.lower() for c in df.columns}, {}
+    for c in df.columns:
+        if c.lower() in own:
+            fresh = c
+            while fresh.lower() in taken | own:
+                fresh += "_"
+            taken.add(fresh.lower())
+            names[c] = fresh
+    return df.withColumnsRenamed(names) if names else df, {new: c for c, new in names.items()}
+
+
+def restored(df: DataFrame, back: dict[str, str]) -> DataFrame:
+    """Undoes ``apart``."""
+    return df.withColumnsRenamed(back) if back else df
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` worked out once: the optimiser would copy it into each use and each lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inferna.llm.common import bounded_broadcast, stage
+from inferna.llm.common import apart, bounded_broadcast, restored, stage
 
 BUCKETS, META = 512, 96
 RATIOS = 8
@@ -352,8 +352,10 @@ def score_quality(docs: DataFrame, model: dict | None, key: str = "doc_id", text
     """``docs`` with _content, _meta (calibrated probabilities of either view), _score and _keep for every row.
 
     Null texts count as empty.  Without a model nothing is known: scores are
-    null and every row is kept.
+    null and every row is kept.  A column of ``docs`` named as one of these
+    four gives way to it; other columns stay, whatever their names.
     """
+    docs = docs.drop("_content", "_meta", "_score", "_keep")
     if model is None:
         none = F.lit(None).cast("double")
         return docs.withColumns({"_content": none, "_meta": none, "_score": none, "_keep": F.lit(True)})
@@ -371,9 +373,10 @@ def score_quality(docs: DataFrame, model: dict | None, key: str = "doc_id", text
         prob = lambda z: 1 / (1 + np.exp(-z))
         return pd.DataFrame({"content": prob(a), "meta": prob(b), "score": prob(both)})
 
+    docs, back = apart(docs, ("_q",))
     t = docs.withColumn("_q", score(F.col(f"`{text}`"), F.col(f"`{source}`"), F.col(f"`{lang}`")))
-    return t.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_q.content").alias("_content"), F.col("_q.meta").alias("_meta"),
-                    F.col("_q.score").alias("_score"), (F.col("_q.score") >= threshold).alias("_keep"))
+    return restored(t.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_q.content").alias("_content"), F.col("_q.meta").alias("_meta"),
+                             F.col("_q.score").alias("_score"), (F.col("_q.score") >= threshold).alias("_keep")), back)
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inferna.llm.common import bounded_broadcast, let, stage
+from inferna.llm.common import apart, bounded_broadcast, let, restored, stage
 from inferna.llm.shingles import BYTE_FACTORS, mix, parcels
 
 FIELD, OTHER = np.uint64(0x5851F42D4C957F2D), np.uint64(0x2545F4914F6CDD1D)
@@ -98,7 +98,9 @@ def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     Lines part at line feeds; texts without a dropped line stay byte for byte.
     Every row stays, even if no line is left (its text is then empty); equal rows
     are treated alike; null texts stay null with 0 lines, empty ones have one
-    line; rows with a null key count as texts but are never the first.
+    line; rows with a null key count as texts but are never the first.  A column
+    of ``docs`` named as a new one gives way to it; other columns stay, whatever
+    their names.
     """
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("body")).where("body is not null") \
         .select("id", F.xxhash64("body").alias("entry"), "body")
@@ -202,12 +204,13 @@ def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", min
                .groupBy("entry").agg(F.collect_set("at").alias("gone")))
     dropped = stage(dropped, "line-dropped")
     body = F.col(f"`{text}`")
+    docs, back = apart(docs.drop("_n_lines", "_n_dropped"), ("_entry", "_gone"))
     t = docs.withColumn("_entry", F.xxhash64(body))
     # sorted and merged at every size: the dropped places grow with the corpus
     t = t.join(dropped.withColumnRenamed("entry", "_entry").withColumnRenamed("gone", "_gone").hint("merge"), "_entry", "left")
     left = let(F.split(body, "\n", -1), lambda x: F.array_join(F.transform(
         F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone")), lambda i: F.get(x, i)), "\n"))
     cols = [F.when(F.col("_gone").isNull() | body.isNull(), body).otherwise(left).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return t.select(*cols,
-                    F.when(body.isNull(), 0).otherwise(F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("_n_lines"),
-                    F.when(F.col("_gone").isNull() | body.isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("_n_dropped"))
+    return restored(t.select(
+        *cols, F.when(body.isNull(), 0).otherwise(F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("_n_lines"),
+        F.when(F.col("_gone").isNull() | body.isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("_n_dropped")), back)

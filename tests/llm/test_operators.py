@@ -486,6 +486,21 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).select("doc_id").distinct().count() == docs.count()
 
 
+def test_pipeline_stages_beside_their_own_names(spark):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    names = ["_entry", "_gone", "_id", "_K1", "_k2", "_keep", "_q", "_n_dropped", "_score"]
+    clash = docs.select("*", *[F.col("doc_id").alias(c) for c in names])
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        out = function(spark, clash, sf)
+        assert out.columns == clash.columns, name
+        assert out.where(" or ".join(f"{c} is null or {c} <> doc_id" for c in names)).count() == 0, name
+        plain = function(spark, docs, sf)
+        assert sorted(map(tuple, out.select(docs.columns).collect())) == sorted(map(tuple, plain.collect())), name
+
+
 @pytest.mark.parametrize("name", ["op2_warc_zip", "op6_winnow_decontaminate", "op10_url_filter"])
 def test_queries_have_sql(name):
     from inferna.llm import catalog
