@@ -86,12 +86,13 @@ def join_pair_text(pairs: DataFrame, sentences: DataFrame) -> DataFrame:
                     "premise_id", "hypothesis_id"))
 
 
-def join_pair_parses(pairs: DataFrame, parses: DataFrame, cols: list[str]) -> DataFrame:
+def join_pair_parses(pairs: DataFrame, parses: DataFrame, cols: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
     """Pairs ⟕ per-sentence table (premise) ⟕ (hypothesis) on sentence id.
 
-    ``cols`` of ``parses`` are brought in prefixed premise_ / hypothesis_."""
-    p = parses.select(F.col("sentence_id").alias("premise_id"),
+    ``cols`` of ``parses`` are brought in prefixed premise_ / hypothesis_;
+    ``keys``: columns of both that a sentence id belongs to."""
+    p = parses.select(*keys, F.col("sentence_id").alias("premise_id"),
                       *[F.col(c).alias(f"premise_{c}") for c in cols])
-    h = parses.select(F.col("sentence_id").alias("hypothesis_id"),
+    h = parses.select(*keys, F.col("sentence_id").alias("hypothesis_id"),
                       *[F.col(c).alias(f"hypothesis_{c}") for c in cols])
-    return pairs.join(p, "premise_id", "left").join(h, "hypothesis_id", "left")
+    return pairs.join(p, [*keys, "premise_id"], "left").join(h, [*keys, "hypothesis_id"], "left")

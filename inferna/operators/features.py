@@ -54,7 +54,11 @@ def pair_features(raw: DataFrame, parses: DataFrame | None = None) -> DataFrame:
     if parses is None:
         parses = annotate.annotate_rules(pair_sentences(pairs))
     sf = sentence_features(parses)
-    joined = dictionary.join_pair_parses(pairs, sf, ["const", "dep"])
+    return feature_columns(dictionary.join_pair_parses(pairs, sf, ["const", "dep"]))
+
+
+def feature_columns(joined: DataFrame) -> DataFrame:
+    """The columns of the feature table from pairs joined with the sentence maps of both sides."""
     return joined.select(
         "pair_id", "dataset", "split", "label", "premise_text", "hypothesis_text",
         *T.text_stats_cols(F.col("premise_text"), F.col("hypothesis_text")),

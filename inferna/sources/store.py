@@ -9,7 +9,7 @@ dynamic partition overwrite: rewriting one (dataset, split) leaves the rest.
 from __future__ import annotations
 
 from collections.abc import Callable
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,6 +90,35 @@ def stage(spark: SparkSession, base: str, table: str, build: Callable[[], DataFr
     return load(spark, base, table, None, dataset, split)
 
 
+def built_units(spark: SparkSession, base: str, table: str) -> set[tuple[str, str]]:
+    """The (dataset, split) units of a table that are marked as written to their end (one listing)."""
+    fs, p = _fs(spark, f"{_path(base, table)}/_built")
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    return {(unquote(d), unquote(s)) for d, s in (n.split(",") for n in names)}
+
+
+def stage_units(spark: SparkSession, base: str, table: str, units: list[tuple[str, str]],
+                build: Callable[[list[tuple[str, str]]], DataFrame], force: set[tuple[str, str]] = frozenset()) -> list[tuple[str, str]]:
+    """S7 for many units: build those of ``units`` that have no mark, or are in ``force``, in one job; -> the units built.
+
+    A unit loses its mark and rows before the job and is marked after it, so
+    a job that dies leaves its units to be built again and all others as they
+    are.  A unit without rows is marked too."""
+    done = built_units(spark, base, table)
+    todo = [u for u in units if u not in done or u in force]
+    if todo:
+        folder = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+        for d, s in todo:
+            for path in (_marker(base, table, d, s), f"{_path(base, table)}/{folder('dataset', d)}/{folder('split', s)}"):
+                fs, p = _fs(spark, path)
+                fs.delete(p, True)
+        store(build(todo), base, table)
+        for d, s in todo:
+            fs, p = _fs(spark, _marker(base, table, d, s))
+            fs.create(p, True).close()
+    return todo
+
+
 def write_predictions_csv(pred: DataFrame, path: str) -> None:
     """Prediction files with a header, one folder per grid cell."""
     (pred.write.mode("overwrite").option("header", True).option("escape", '"')
