@@ -855,3 +855,111 @@ def q_label_realign(spark, sf):
 def src_features(spark, sf) -> DataFrame:
     from inferna.operators.features import pair_features
     return pair_features(src.nli_raw(spark, sf).where("split = 'train'"))
+
+
+# ---- preprocess job (U6), feature types (U8), extractors and blocks (P13, P9, P20) ----
+
+@register("preprocess_stages", with_ctes(["nli_raw", "vpairs"], """
+, units AS (SELECT DISTINCT dataset, split FROM nli_raw),
+sides AS (SELECT dataset, split, premise_id AS id FROM vpairs UNION SELECT dataset, split, hypothesis_id FROM vpairs),
+counts AS (
+  SELECT 'raw_input' AS stage, dataset, split, count(*) AS n FROM nli_raw GROUP BY dataset, split
+  UNION ALL SELECT unnest(['pairs', 'features']), dataset, split, count(*) FROM vpairs GROUP BY dataset, split
+  UNION ALL SELECT unnest(['sentences', 'parses']), dataset, split, count(*) FROM sides GROUP BY dataset, split),
+stages AS (SELECT unnest(['raw_input', 'pairs', 'sentences', 'parses', 'features']) AS stage)
+SELECT s.stage, u.dataset, u.split, CAST(coalesce(c.n, 0) AS BIGINT) AS n_rows,
+  CAST(CASE WHEN s.stage IN ('parses', 'features') THEN 2 ELSE 1 END AS BIGINT) AS n_built
+FROM units u CROSS JOIN stages s
+LEFT JOIN counts c ON c.stage = s.stage AND c.dataset = u.dataset AND c.split = u.split"""))
+def q_preprocess_stages(spark, sf):
+    # All stages built, then reused, then forced from the parses on
+    import uuid
+    from inferna.plans import preprocess as PP
+    from inferna.session import scratch_path
+    raw, base = src.nli_raw(spark, sf), scratch_path(spark, f"preprocess-{uuid.uuid4().hex}")
+    runs = [PP.preprocess(spark, raw, base, force=force) for force in (None, None, "parses")]
+    return PP.stage_counts(spark, runs)
+
+
+from inferna.operators import feature_sets as FS  # noqa: E402
+from inferna.plans.oracle import cte as _feature_cte  # noqa: E402
+
+_feature_cte("vstats", text_stats_select("vpairs", "pair_id", "split, label,"), ["vpairs"])
+_STATS = ", ".join(f"s.{n}" for n in T.TEXT_STAT_NAMES)
+
+
+@register("feature_types", with_ctes(["vstats", "pfeat"], f"""
+SELECT s.pair_id, s.label, {_STATS}, CAST(coalesce(f.n, 0) AS BIGINT) AS n_syn, round(coalesce(f.v, 0), 6) AS sum_syn
+FROM vstats s LEFT JOIN (SELECT pair_id, count(*) AS n, sum(value) AS v FROM pfeat WHERE contains(feature, '_const_') GROUP BY pair_id) f
+ON f.pair_id = s.pair_id"""))
+def q_feature_types(spark, sf):
+    # U8: text statistics and constituency features; the dependency family is not in the plan
+    t = FS.typed_features(src.nli_raw(spark, sf), ("lexical", "constituency"))
+    total = F.aggregate(F.map_values("syn"), F.lit(0.0), lambda a, x: a + x)
+    return t.select("pair_id", "label", *[r6(n).alias(n) for n in T.TEXT_STAT_NAMES], F.size("syn").cast("long").alias("n_syn"), r6(total).alias("sum_syn"))
+
+
+def _stored_wide(spark, sf, splits: list[str]) -> list[DataFrame]:
+    """The stored wide tables of the named splits, each with the features that its own rows have."""
+    from inferna.session import materialize
+    feats = materialize(_pair_features(spark, sf).select("pair_id", "split", "label", *T.TEXT_STAT_NAMES, "syn"), ["split"])
+    parts = [feats if s == "all" else feats.where(F.col("split") == s) for s in splits]
+    return [materialize(FS.wide_table(p, features.collect_feature_list(p))) for p in parts]
+
+
+def _extracted(spark, sf, kind: str) -> tuple[DataFrame, list[str]]:
+    """The test split's table by the manifest that was fitted on the training split's and stored."""
+    import uuid
+    from inferna.session import scratch_path
+    train, test = _stored_wide(spark, sf, ["train", "test"])
+    path = scratch_path(spark, f"manifest-{uuid.uuid4().hex}")
+    FS.save_manifest(spark, FS.manifest(train, kind), path)
+    names = FS.load_manifest(spark, path)
+    return FS.extract(test, names), names
+
+
+@register("lexical_features", with_ctes(["vstats"], f"SELECT pair_id, label, {_STATS} FROM vstats s WHERE split = 'test'"))
+def q_lexical_features(spark, sf):
+    t, names = _extracted(spark, sf, "lexical")
+    return t.select("pair_id", "label", *[r6(n).alias(n) for n in names])
+
+
+@register("combined_features", with_ctes(["vpairs", "vstats", "pfeat"], """
+, long AS (SELECT p.split, f.pair_id, f.feature, f.value FROM pfeat f JOIN vpairs p ON p.pair_id = f.pair_id
+  UNION ALL SELECT split, pair_id, feature, value FROM (
+    SELECT * EXCLUDE (label) FROM vstats) UNPIVOT (value FOR feature IN (""" + ", ".join(T.TEXT_STAT_NAMES) + """))),
+names AS (SELECT feature, row_number() OVER (ORDER BY feature) AS pos FROM (
+  SELECT DISTINCT feature FROM long WHERE split = 'train' UNION SELECT unnest(['""" + "', '".join(T.TEXT_STAT_NAMES) + """'])) t)
+SELECT l.pair_id, any_value(p.label) AS label, (SELECT count(*) FROM names) AS n_columns,
+  CAST(count_if(n.pos IS NOT NULL AND l.value <> 0) AS BIGINT) AS n_nonzero, round(coalesce(sum(l.value * n.pos), 0), 4) AS checksum
+FROM long l JOIN vpairs p ON p.pair_id = l.pair_id LEFT JOIN names n ON n.feature = l.feature
+WHERE l.split = 'test' GROUP BY l.pair_id"""))
+def q_combined_features(spark, sf):
+    t, names = _extracted(spark, sf, "combined")
+    # the two ratios at the six decimals of the stored statistics
+    value = [r6(n) if n in T.TEXT_STAT_NAMES else F.col(n) for n in names]
+    a = t.select("pair_id", "label", F.array(*value).alias("a"))
+    return a.select("pair_id", "label", F.lit(len(names)).cast("long").alias("n_columns"),
+                    F.size(F.filter("a", lambda x: x != 0)).cast("long").alias("n_nonzero"), F.round(E.positional_checksum(F.col("a")), 4).alias("checksum"))
+
+
+def _parse_block_sql(side: str) -> str:
+    return f"""{side}n AS (SELECT feature, row_number() OVER (ORDER BY first, feature) AS pos FROM (
+  SELECT DISTINCT feature, 1 AS first FROM pfeat WHERE starts_with(feature, '{side}_') UNION ALL SELECT '{side}_length', 0) t),
+{side}b AS (SELECT l.pair_id, sum(CAST(CAST(l.value AS FLOAT) AS DOUBLE) * n.pos) AS c FROM (
+  SELECT pair_id, feature, value FROM pfeat UNION ALL SELECT pair_id, '{side}_length', {side}_length FROM vstats) l JOIN {side}n n ON n.feature = l.feature GROUP BY l.pair_id)"""
+
+
+@register("parse_feature_blocks", with_ctes(["vstats", "pfeat"], f"""
+, {_parse_block_sql('premise')}, {_parse_block_sql('hypothesis')}
+SELECT s.pair_id, s.label, (SELECT count(*) FROM premisen) AS n_premise, (SELECT count(*) FROM hypothesisn) AS n_hypothesis,
+  round(p.c, 4) AS premise_checksum, round(h.c, 4) AS hypothesis_checksum
+FROM vstats s JOIN premiseb p ON p.pair_id = s.pair_id JOIN hypothesisb h ON h.pair_id = s.pair_id"""))
+def q_parse_feature_blocks(spark, sf):
+    # The two parse blocks of the stored wide table as float arrays (the embedding blocks: feature_blocks)
+    b = FS.pack_blocks(_stored_wide(spark, sf, ["all"])[0])
+    total = lambda c: F.round(E.positional_checksum(F.transform(c, lambda x: x.cast("double"))), 4)
+    return b.select("pair_id", "label", F.size("premise_parse").cast("long").alias("n_premise"), F.size("hypothesis_parse").cast("long").alias("n_hypothesis"),
+                    total(F.col("premise_parse")).alias("premise_checksum"), total(F.col("hypothesis_parse")).alias("hypothesis_checksum"))
+
+
