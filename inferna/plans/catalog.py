@@ -963,3 +963,41 @@ def q_parse_feature_blocks(spark, sf):
                     total(F.col("premise_parse")).alias("premise_checksum"), total(F.col("hypothesis_parse")).alias("hypothesis_checksum"))
 
 
+# ---- models trained, saved, loaded and evaluated apart (M2, M6, M12-M14, S14) ----
+
+def _stored(spark, sf, keys):
+    import uuid
+    from inferna.plans import model_store as MS
+    from inferna.session import scratch_path
+    return MS.train_save_evaluate(spark, sf, keys, scratch_path(spark, f"models-{uuid.uuid4().hex}"))
+
+
+_STORED_SQL = " UNION ALL ".join(
+    f"SELECT '{key}' AS experiment, dataset AS predict_dataset, model AS trained_dataset, y, pred FROM ({sql}) m" for key, sql in {
+        "baseline-3": SQL["mnb_predict"], "experiment-2": SQL["knn_cosine"], "experiment-4": SQL["mnb_syntactic"]}.items())
+
+
+@register("saved_models", metrics_sql(f"({_STORED_SQL}) g", ["experiment", "predict_dataset", "trained_dataset"]))
+def q_saved_models(spark, sf):
+    return _stored(spark, sf, ("baseline-3", "experiment-2", "experiment-4"))
+
+
+def _logistic(name: str, key: str):
+    # a solver's scores have no SQL; the cells, the pairs in them and the label domain do
+    @register(name, with_ctes(["train_s", "test_s"], f"""
+SELECT '{key}' AS experiment, m.model AS trained_dataset, t.dataset AS predict_dataset, count(*) AS n_pairs, count(*) AS n_in_domain
+FROM test_s t CROSS JOIN (SELECT DISTINCT dataset AS model FROM train_s) m GROUP BY m.model, t.dataset"""))
+    def q(spark, sf):
+        import uuid
+        from inferna.plans import model_store as MS
+        from inferna.session import scratch_path
+        base = scratch_path(spark, f"models-{uuid.uuid4().hex}")
+        train, test = TM.train_test(spark, sf, MS.MODELS[key].syntactic is not None)
+        MS.train(spark, key, train, base)
+        pred = MS.load(spark, key, base).predict(test)
+        return pred.groupBy(F.lit(key).alias("experiment"), F.col("model").alias("trained_dataset"), F.col("dataset").alias("predict_dataset")).agg(
+            F.count("*").alias("n_pairs"), F.count_if(F.col("pred").isin(list(M.CLASSES)) & F.col("y").isNotNull()).alias("n_in_domain"))
+
+
+_logistic("lr_tfidf_cells", "baseline-2")
+_logistic("lr_tfidf_syntactic_cells", "experiment-3")
