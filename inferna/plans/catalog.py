@@ -406,26 +406,26 @@ from inferna.operators import metrics as M  # noqa: E402
 from inferna.operators import nb as NB  # noqa: E402
 from inferna.operators import vectorize as V  # noqa: E402
 from inferna.plans import grid  # noqa: E402
-from inferna.plans.oracle import metrics_sql  # noqa: E402
+from inferna.plans.oracle import WHOLE_TRAIN, metrics_sql  # noqa: E402
 
 _BOW = V.TermSpec(max_features=10_000)
 
 
-def _train_vocabs(spark, sf):
-    train, test = grid.train_test(spark, sf)
+def _train_vocabs(spark, sf, splits=grid.train_test):
+    train, test = splits(spark, sf)
     dsets = grid.datasets_of(train)
     vocabs = grid.fit_vocabs(train, dsets, _BOW, T.pair_text(F.col("premise_text"), F.col("hypothesis_text")))
     return train, test, dsets, vocabs
 
 
-@register("vocab_topk", with_ctes(["vocab_bow"], "SELECT model, term, idx FROM vocab_bow"))
+@register("vocab_topk", with_ctes(["vocab_bow"], "SELECT model, term, idx FROM vocab_bow", WHOLE_TRAIN))
 def q_vocab_topk(spark, sf):
-    return _train_vocabs(spark, sf)[3]
+    return _train_vocabs(spark, sf, grid.whole_splits)[3]
 
 
-@register("bow_counts", with_ctes(["te_feat"], "SELECT model, doc_id, CAST(f AS INTEGER) AS f, x FROM te_feat"))
+@register("bow_counts", with_ctes(["te_feat"], "SELECT model, doc_id, CAST(f AS INTEGER) AS f, x FROM te_feat", WHOLE_TRAIN))
 def q_bow_counts(spark, sf):
-    _, test, _, vocabs = _train_vocabs(spark, sf)
+    _, test, _, vocabs = _train_vocabs(spark, sf, grid.whole_splits)
     return grid.side_features(test, vocabs, _BOW, own_model=False).select(
         "model", "doc_id", F.col("f").cast("int").alias("f"), "x")
 
@@ -510,18 +510,18 @@ _TFIDF_SHARED = V.TermSpec(max_features=10_000, bigrams=True, stop_words=True)
 
 
 def _tt(spark, sf):
-    train, test = grid.train_test(spark, sf)
+    train, test = grid.whole_splits(spark, sf)
     return train, test, grid.datasets_of(train)
 
 
-@register("bigram_vocab", with_ctes(["vocab_prem"], "SELECT model, term, idx FROM vocab_prem"))
+@register("bigram_vocab", with_ctes(["vocab_prem"], "SELECT model, term, idx FROM vocab_prem", WHOLE_TRAIN))
 def q_bigram_vocab(spark, sf):
     train, _, dsets = _tt(spark, sf)
     return grid.fit_vocabs(train, dsets, _TFIDF_SIDE, F.col("premise_text"))
 
 
 @register("tfidf_idf", with_ctes(["idf_prem"],
-          "SELECT model, term, idx, df, round(idf, 6) AS idf FROM idf_prem"))
+          "SELECT model, term, idx, df, round(idf, 6) AS idf FROM idf_prem", WHOLE_TRAIN))
 def q_tfidf_idf(spark, sf):
     train, _, dsets = _tt(spark, sf)
     idf = grid.fit_tfidf(train, dsets, _TFIDF_SIDE, F.col("premise_text"))
@@ -530,7 +530,7 @@ def q_tfidf_idf(spark, sf):
 
 @register("tfidf_l2", with_ctes(["idf_prem", "test_s"],
           "SELECT model, doc_id, f, round(x, 6) AS x FROM ("
-          + tfidf_sql("idf_prem", "test_s", "premise_text", True, True, None) + ") q"))
+          + tfidf_sql("idf_prem", "test_s", "premise_text", True, True, None) + ") q", WHOLE_TRAIN))
 def q_tfidf_l2(spark, sf):
     train, test, dsets = _tt(spark, sf)
     idf = grid.fit_tfidf(train, dsets, _TFIDF_SIDE, F.col("premise_text"))
@@ -541,7 +541,7 @@ def q_tfidf_l2(spark, sf):
 @register("shared_vocab_sides", with_ctes(["idf_shared", "test_s"],
           "SELECT model, doc_id, f, round(x, 6) AS x FROM ("
           + tfidf_sql("idf_shared", "test_s", "premise_text", True, True, 0) + " UNION ALL "
-          + tfidf_sql("idf_shared", "test_s", "hypothesis_text", True, True, 1) + ") q"))
+          + tfidf_sql("idf_shared", "test_s", "hypothesis_text", True, True, 1) + ") q", WHOLE_TRAIN))
 def q_shared_vocab_sides(spark, sf):
     train, test, dsets = _tt(spark, sf)
     idf = grid.fit_tfidf(train, dsets, _TFIDF_SHARED, T.pair_text(F.col("premise_text"), F.col("hypothesis_text")))
@@ -595,7 +595,7 @@ def q_feature_blocks(spark, sf):
 
 
 def _scaled(spark, sf, kind):
-    train, test = grid.feature_train_test(spark, sf)
+    train, test = grid.whole_feature_splits(spark, sf)
     _, te = grid.syntactic_vectors(train, test, grid.datasets_of(train), kind)
     return te.select("model", "doc_id", F.round(E.positional_checksum(F.col("vec")), 5).alias("checksum"),
                      F.size("vec").cast("long").alias("n_features"))

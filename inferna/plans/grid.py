@@ -35,6 +35,21 @@ def train_test(spark: SparkSession, sf_dir: str, total_sample: int = 10_000):
     return train, test
 
 
+def whole_splits(spark: SparkSession, sf_dir: str):
+    """The whole training and test splits of the valid pairs, for vectorisers: their fits are aggregations, of any size."""
+    kept = valid_pairs_with_ids(src.nli_raw(spark, sf_dir)).where(F.col("split").isin("train", "test"))
+    pairs = materialize(kept.select("pair_id", "dataset", "split", "label", "premise_text", "hypothesis_text"), ["split"])
+    return pairs.where(F.col("split") == "train"), pairs.where(F.col("split") == "test")
+
+
+def whole_feature_splits(spark: SparkSession, sf_dir: str):
+    """The same with the syntactic map alone, for scalers; only the two splits and the columns in use are written."""
+    from inferna.operators.feature_sets import typed_features
+    feats = typed_features(src.nli_raw(spark, sf_dir).where(F.col("split").isin("train", "test")), ("syntactic",))
+    feats = materialize(feats, ["split"])
+    return feats.where(F.col("split") == "train"), feats.where(F.col("split") == "test")
+
+
 def fit_vocabs(train: DataFrame, datasets: list[str], spec: V.TermSpec, text) -> DataFrame:
     """One vocabulary per training dataset: (model, term, idx)."""
     out = None

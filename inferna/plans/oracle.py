@@ -16,7 +16,9 @@ def cte(name: str, body: str, deps: list[str] | None = None) -> None:
     DEPS[name] = deps or []
 
 
-def with_ctes(names: list[str], select: str) -> str:
+def with_ctes(names: list[str], select: str, bodies: dict[str, str] | None = None) -> str:
+    """``bodies``: other definitions of some tables, for this query alone."""
+    bodies = {**CTE, **(bodies or {})}
     order: list[str] = []
 
     def visit(n: str) -> None:
@@ -27,7 +29,7 @@ def with_ctes(names: list[str], select: str) -> str:
 
     for n in names:
         visit(n)
-    parts = ",\n".join(f"{n} AS (\n{CTE[n]}\n)" for n in order)
+    parts = ",\n".join(f"{n} AS (\n{bodies[n]}\n)" for n in order)
     return f"WITH {parts}\n{select}"
 
 
@@ -209,6 +211,9 @@ JOIN strata z ON z.dataset = p.dataset AND z.split = p.split AND z.label = p.lab
 WHERE p.rk <= z.n""", ["vpairs", "strata"])
 cte("test_s", "SELECT * FROM vpairs WHERE split = 'test'", ["vpairs"])
 
+#: Vectorisers and scalers are fitted on the whole training split; only learners take the sample.
+WHOLE_TRAIN = {"train_s": "SELECT * FROM vpairs WHERE split = 'train'"}
+
 
 def stop_list_sql() -> str:
     from inferna.operators.vectorize import STOP_WORDS
@@ -448,7 +453,7 @@ def checksum_sql(vec: str) -> str:
 
 def scaled_sql(kind: str) -> str:
     """V6 (standard), V7 (no mean), V8 (min-max) of the test split with the
-    training sample's per-model statistics; one checksum per (model, doc)."""
+    whole training split's per-model statistics; one checksum per (model, doc)."""
     if kind == "standard":
         z = "(coalesce(f.value, 0) - s.mu) / CASE WHEN s.sd > 0 THEN s.sd ELSE 1 END"
     elif kind == "nomean":
@@ -463,7 +468,7 @@ SELECT model, doc_id, round({checksum_sql('vec')}, 5) AS checksum, CAST(len(vec)
   FROM test_s t CROSS JOIN knn_flist l
   JOIN st s ON s.model = l.model AND s.feature = l.feature
   LEFT JOIN pfeat f ON f.pair_id = t.pair_id AND f.feature = l.feature
-  GROUP BY l.model, t.pair_id) q""")
+  GROUP BY l.model, t.pair_id) q""", WHOLE_TRAIN)
 
 
 # ---- experiment-4: BoW per side + min-max syntactic -> NB -----------------------
