@@ -135,8 +135,8 @@ def op7_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op4_paragraph_bands")
 def op4_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from inferna.llm.paragraph_bands import repeated_paragraphs
-    return repeated_paragraphs(table(spark, sf_dir, "documents"))
+    from inferna.llm.paragraph_bands import repeated_passages
+    return repeated_passages(table(spark, sf_dir, "documents"))
 
 
 @register("op1_prefix_free_dedup")
@@ -171,7 +171,8 @@ r AS (SELECT h.conv_id, list_concat(coalesce(b.turns, [])[1:h.h], h.turns[h.h +
       FROM h LEFT JOIN h b ON b.conv_id = h.conv_id - h.conv_id % 20),
 p AS (SELECT conv_id, d AS depth, turns[1:d] AS path, len(turns) = d AS ends FROM (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS d FROM r)),
 n AS MATERIALIZED (SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs,
-        CASE WHEN depth = 0 THEN 0 ELSE (count(*) - 1) * len(regexp_extract_all(path[depth].text, '[^ 	-]+')) END AS saved,
+        CASE WHEN depth = 0 THEN 0 ELSE (count(*) - 1) * len(regexp_extract_all(path[depth].text, '[^ 	-
+]+')) END AS saved,
         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
       FROM p GROUP BY depth, path),
 k AS (SELECT depth - 1 AS depth, path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),

@@ -8,6 +8,12 @@ passages therefore give equal runs whatever surrounds them, inside a line or ove
 its end, and two texts that share ``span + window - 1`` words in a row always
 share a run.
 
+Beside them every place of every text is looked at (``repeated_runs``): the run of
+``span`` words from each place meets all others by the least of its shingle hashes,
+a MinHash of one row, which runs with equal shingle sets surely share.  Only places
+whose least hash lies in several documents go on.  ``repeated_passages`` puts both
+together, with near lines and short texts from the bands and runs from every place.
+
 The set of five-word shingles of a paragraph gets a MinHash signature.  Lines, and
 texts shorter than a run, are cut into bands chosen for high recall: twelve of
 four rows find a pair of similarity 0.8 with probability 0.998.  A run of twelve
@@ -25,11 +31,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inferna.llm.bag_minhash import OTHER, STEP, text_comparison
-from inferna.llm.common import stage
+from inferna.llm.common import bounded_broadcast, stage
 from inferna.llm.near import classes
 from inferna.llm.shingles import WORD_FACTORS, mix, parcels, word_hashes
 
@@ -99,12 +106,15 @@ def band_signatures(shingle: np.ndarray, start: np.ndarray, n: np.ndarray, words
     return keys.view(np.int64)
 
 
-def stretches(texts: list[str], span: int, window: int):
-    """(word hashes, first word of each text, (start, length) of every run, (start, length) of every long line)."""
+def stretches(texts: list[str], span: int, window: int, chosen: bool = True):
+    """(word hashes, first word of each text, (start, length) of every run, (start, length) of every long line).
+
+    Without ``chosen`` the only runs are whole texts shorter than one."""
     lines = [t.split("\n") for t in texts]
     h, line_first = word_hashes([x for t in lines for x in t])
     first = line_first[np.concatenate([[0], np.cumsum([len(t) for t in lines])])]
-    start = run_starts(h, first, span, window)
+    brief = first[:-1][(np.diff(first) > 0) & (np.diff(first) < span)]
+    start = run_starts(h, first, span, window) if chosen else brief
     n = np.minimum(span, first[np.searchsorted(first, start, "right")] - start)
     size = np.diff(line_first)
     long = size >= span + window - 1
@@ -112,7 +122,7 @@ def stretches(texts: list[str], span: int, window: int):
 
 
 def paragraphs(docs: DataFrame, key: str, text: str, words: int, span: int, window: int,
-               bands: int, band_rows: int, run_rows: int) -> DataFrame:
+               bands: int, band_rows: int, run_rows: int, chosen: bool = True) -> DataFrame:
     """(id, at, n, entry, bands) for every paragraph of every row; ``at`` is its first word's number."""
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("body")).where("body is not null and id is not null")
     kind = rows.schema["id"].dataType.simpleString()
@@ -121,7 +131,7 @@ def paragraphs(docs: DataFrame, key: str, text: str, words: int, span: int, wind
         for b in batches:
             texts = b.column("body").to_pylist()
             for s, e in parcels(texts):
-                h, first, runs, lines = stretches(texts[s:e], span, window)
+                h, first, runs, lines = stretches(texts[s:e], span, window, chosen)
                 left = np.repeat(first[1:], np.diff(first)) - np.arange(len(h))
                 shingle = grams(h, left, words)
                 short = runs[1] < span
@@ -145,7 +155,7 @@ def paragraphs(docs: DataFrame, key: str, text: str, words: int, span: int, wind
 
 def repeated_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, words: int = 5,
                         span: int = 12, window: int = 39, bands: int = 12, band_rows: int = 4,
-                        run_rows: int = 8) -> DataFrame:
+                        run_rows: int = 8, chosen: bool = True) -> DataFrame:
     """(key, first_word, n_words, class_id, class_doc, class_size, removed): every paragraph whose class lies in several documents.
 
     ``first_word`` is the number of its first word in the text, from 0;
@@ -155,9 +165,10 @@ def repeated_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text"
     meet only if their shingle sets are equal.  Null and empty texts, texts without
     words and null keys have no paragraphs; rows of one key are one document, so
     repeated rows alone repeat nothing; empty tables give no rows; other columns
-    are not read, whatever their names; very long texts are read whole.
+    are not read, whatever their names; very long texts are read whole.  Without
+    ``chosen`` there are no runs, for ``repeated_runs`` looks at every place.
     """
-    paras = stage(paragraphs(docs, key, text, words, span, window, bands, band_rows, run_rows), "para-signatures")
+    paras = stage(paragraphs(docs, key, text, words, span, window, bands, band_rows, run_rows, chosen), "para-signatures")
     entries = paras.groupBy("entry").agg(F.first("bands").alias("bands"))
     buckets = entries.select(F.col("entry").alias("id"), F.explode_outer("bands").alias("bucket"))
     label = classes(buckets, lambda ids: _texts(docs, key, text, paras, ids), text_comparison(similarity, words, weighted=False), similarity,
@@ -206,6 +217,184 @@ def _members(paras: DataFrame, label: DataFrame, key: str) -> DataFrame:
         F.col("first").alias("class_doc"), "class_size", (F.col("id") != F.col("first")).alias("removed"))
 
 
+def run_sets(texts: list[str], words: int, span: int):
+    """(place of every run of ``span`` words, its text, its place there, least hash of its shingles, key of its shingle set)."""
+    h, first = word_hashes(texts)
+    of = np.repeat(np.arange(len(texts)), np.diff(first))
+    left = first[1:][of] - np.arange(len(h))
+    many = span - words + 1   # shingles of a run
+    value = np.concatenate([grams(h, left, words), np.full(many, NEVER)])
+    low, part = value[:len(h)], mix(value + OTHER)
+    total = part[:len(h)].copy()
+    again = np.zeros(len(value), np.int64)   # how far back the shingle stood last
+    for d in range(many - 1, 0, -1):
+        low = np.minimum(low, value[d:d + len(h)])
+        total += part[d:d + len(h)]
+        again[d:][value[d:] == value[:-d]] = d
+    # a shingle that stands in its run before counts once
+    twice = np.flatnonzero(again[:len(h)])
+    extra = np.zeros(len(h) + 1, np.uint64)
+    np.add.at(extra, np.maximum(twice - many + 1, 0), part[twice])
+    np.subtract.at(extra, twice - again[twice] + 1, part[twice])
+    place = np.flatnonzero(left >= span)
+    return of[place], place - first[:-1][of[place]], low[place], mix(total - np.cumsum(extra)[:-1])[place]
+
+
+def dense(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(rank of each key among the different ones, a row of each rank)."""
+    rank = pc.rank(ids, tiebreaker="dense").to_numpy().astype(np.int64) - 1
+    return rank, np.unique(rank, return_index=True)[1]
+
+
+def blobs(bucket: np.ndarray, ids: pa.Array, **columns: np.ndarray) -> pa.RecordBatch:
+    """One row a bucket, with the entries of the bucket as lists."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    cut = np.flatnonzero(np.diff(bucket, prepend=-1 if len(bucket) == 0 else bucket[0] - 1))
+    ends = pa.array(np.append(cut, len(bucket)).astype(np.int32))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[cut], pa.int64()), pa.ListArray.from_arrays(ends, ids.take(pa.array(order)))]
+        + [pa.ListArray.from_arrays(ends, pa.array(c[order])) for c in columns.values()], names=["bucket", "ids", *columns])
+
+
+def flat(column) -> pa.Array:
+    """The entries of a column of lists, in one array."""
+    return pa.chunked_array(column.chunks, column.type).combine_chunks().flatten()
+
+
+def heads(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before in any of the columns."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+def recurring_least(rows: DataFrame, kind: str, words: int, span: int, buckets: int) -> DataFrame:
+    """(id, least): the least shingle hashes of each document's runs that several documents share."""
+    def least(batches):
+        for b in batches:
+            texts = b.column("body").to_pylist()
+            for s, e in parcels(texts, 8 << 20):
+                of, _, low, _ = run_sets(texts[s:e], words, span)
+                if len(of) == 0:
+                    continue
+                ids = b.column("id").slice(s, e - s)
+                rank, row = dense(ids)
+                new = heads(of, low)
+                of, low = rank[of[new]], low[new]
+                order = np.lexsort((of, low))
+                of, low = of[order], low[order]
+                new = heads(of, low)
+                of, low = of[new], low[new]
+                # of many documents here the first and the last are told the others; those between already recur
+                new = heads(low)
+                known = ~new & ~np.append(new[1:], True)
+                bucket = (mix(low) % np.uint64(buckets)).astype(np.int64)
+                yield blobs(np.where(known, -1 - bucket, bucket), ids.take(pa.array(row[of])), least=low.view(np.int64))
+
+    def share(table):
+        ids, low = flat(table.column("ids")), flat(table.column("least")).to_numpy()
+        if table.column("bucket")[0].as_py() < 0:
+            return pa.table([ids, pa.array(low)], names=["id", "least"])
+        rank, row = dense(ids)
+        order = np.lexsort((rank, low))
+        rank, low = rank[order], low[order]
+        new = heads(rank, low)
+        rank, low = rank[new], low[new]
+        start = np.flatnonzero(heads(low))
+        n = np.diff(np.append(start, len(low)))
+        several = np.repeat(n > 1, n)
+        return pa.table([ids.take(pa.array(row[rank[several]])), pa.array(low[several])], names=["id", "least"])
+
+    return rows.mapInArrow(least, f"bucket long, ids array<{kind}>, least array<long>").groupBy("bucket").applyInArrow(share, f"id {kind}, least long")
+
+
+def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, span: int = 12, most: int = 200_000) -> DataFrame:
+    """Rows as of ``repeated_paragraphs`` for the runs of ``span`` words at every place of every text.
+
+    A class are the runs of equal shingle sets (64-bit keys) and counts if it lies
+    in several documents.  Neighbouring runs of a document become one row while
+    their classes' first occurrences are neighbours too, in one document, and their
+    sizes are equal: ``class_id`` is then the class of the first run, ``n_words``
+    the whole stretch.  Runs meet in buckets by their least shingle hash; those of
+    hashes that more than ``most`` documents share meet row by row instead.
+    """
+    rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("body")).where("body is not null and id is not null")
+    kind = rows.schema["id"].dataType.simpleString()
+    buckets = max(256, (rows.agg(F.sum(F.length("body"))).first()[0] or 0) >> 25)
+    shared = stage(recurring_least(rows, kind, words, span, buckets), "run-least")
+    hot = stage(shared.groupBy("least").agg(F.count("*").alias("n")).where(F.col("n") > most).select("least"), "run-hot")
+    n_hot = hot.count()
+    marked = shared.withColumn("hot", F.lit(False))
+    if n_hot:
+        marked = shared.join(bounded_broadcast(hot.withColumn("hot", F.lit(True)), n_hot, 16), "least", "left").select("id", "least", F.coalesce("hot", F.lit(False)).alias("hot"))
+    wanted = stage(marked.groupBy("id").agg(F.collect_set(F.when(~F.col("hot"), F.col("least"))).alias("few"),
+                                            F.collect_set(F.when(F.col("hot"), F.col("least"))).alias("many")), "run-wanted")
+
+    def places(column: str):
+        def read(batches):
+            for b in batches:
+                texts, want = b.column("body").to_pylist(), b.column(column)
+                for s, e in parcels(texts, 8 << 20):
+                    of, at, low, entry = run_sets(texts[s:e], words, span)
+                    # a shared hash is shared by every document that has it
+                    use = np.isin(low.view(np.int64), want.slice(s, e - s).flatten().to_numpy())
+                    of, at, low, entry = of[use], at[use].astype(np.int32), low[use], entry[use].view(np.int64)
+                    ids = b.column("id").take(pa.array(s + of))
+                    if column == "many":
+                        yield pa.RecordBatch.from_arrays([ids, pa.array(at), pa.array(entry)], names=["id", "at", "entry"])
+                    elif len(of):
+                        yield blobs((mix(low) % np.uint64(buckets)).astype(np.int64), ids, at=at, entry=entry)
+        return read
+
+    def meet(table):
+        ids, at, entry = flat(table.column("ids")), flat(table.column("at")).to_numpy(), flat(table.column("entry")).to_numpy()
+        rank, row = dense(ids)
+        order = np.lexsort((at, rank, entry))
+        rank, at, entry = rank[order], at[order], entry[order]
+        new = heads(entry, rank, at)   # rows of one key are one document
+        rank, at, entry = rank[new], at[new], entry[new]
+        start = np.flatnonzero(heads(entry))
+        size = np.diff(np.append(start, len(entry)))
+        several = np.repeat(rank[start] != rank[start + size - 1], size)
+        source, there, size = (np.repeat(x, size)[several] for x in (rank[start], at[start], size))
+        rank, at, entry = rank[several], at[several], entry[several]
+        order = np.lexsort((there, at, rank))
+        rank, at, entry, source, there, size = (x[order] for x in (rank, at, entry, source, there, size))
+        step = np.arange(len(rank))
+        begin = np.flatnonzero(heads(rank, at - step, source, there - step, size)) if len(rank) else step
+        runs = np.diff(np.append(begin, len(rank)))
+        return pa.table([ids.take(pa.array(row[rank[begin]])), pa.array(at[begin]), pa.array(runs, pa.int32()), pa.array(entry[begin]),
+                         ids.take(pa.array(row[source[begin]])), pa.array(there[begin]), pa.array(size[begin], pa.int64())],
+                        names=["id", "at", "runs", "entry", "source", "there", "size"])
+
+    found = rows.join(wanted.where(F.size("few") > 0).select("id", "few"), "id").select("id", "body", "few") \
+        .mapInArrow(places("few"), f"bucket long, ids array<{kind}>, at array<int>, entry array<long>") \
+        .groupBy("bucket").applyInArrow(meet, f"id {kind}, at int, runs int, entry long, source {kind}, there int, size long")
+    if n_hot:
+        each = stage(rows.join(wanted.where(F.size("many") > 0).select("id", "many"), "id").select("id", "body", "many")
+                     .mapInArrow(places("many"), f"id {kind}, at int, entry long").distinct(), "run-places")
+        classes_ = stage(each.groupBy("entry").agg(F.min(F.struct("id", "at")).alias("w"), F.max("id").alias("last"), F.count("*").alias("size"))
+                         .where("w.id <> last").select("entry", F.col("w.id").alias("source"), F.col("w.at").alias("there"), "size"), "run-classes")
+        found = found.unionByName(each.join(classes_, "entry").withColumn("runs", F.lit(1)))
+    # neighbouring runs whose first occurrences are neighbours become one row
+    side = ["id", "source", "size", "shift"]
+    order = Window.partitionBy(*side).orderBy("at")
+    begun = found.withColumn("shift", F.col("there") - F.col("at")) \
+        .withColumn("begins", F.coalesce(F.lag(F.col("at") + F.col("runs")).over(order) < F.col("at"), F.lit(True))) \
+        .withColumn("part", F.sum(F.col("begins").cast("int")).over(order))
+    return begun.groupBy(*side, "part").agg(F.min("at").alias("at"), F.max(F.col("at") + F.col("runs")).alias("end"), F.min_by("entry", "at").alias("entry")).select(
+        F.col("id").alias(key), F.col("at").alias("first_word"), (F.col("end") - F.col("at") + span - 1).cast("int").alias("n_words"), F.col("entry").alias("class_id"),
+        F.col("source").alias("class_doc"), F.col("size").alias("class_size"), (F.col("id") != F.col("source")).alias("removed"))
+
+
+def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, words: int = 5,
+                      span: int = 12, window: int = 39, bands: int = 12, band_rows: int = 4) -> DataFrame:
+    """Near lines and short texts (``repeated_paragraphs`` without its runs), and equal runs of ``span`` words at every place (``repeated_runs``)."""
+    near = repeated_paragraphs(docs, key, text, similarity, words, span, window, bands, band_rows, chosen=False)
+    return near.unionByName(repeated_runs(docs, key, text, words, span))
+
+
 def without_words(body: str, spans: list[tuple[int, int]]) -> str:
     """``body`` without the words of the spans (first word, number of words); maximal runs go with the space between their words."""
     found = list(WORD.finditer(body))

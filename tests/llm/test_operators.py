@@ -236,6 +236,35 @@ def test_shared_passages_meet_whatever_surrounds_them(spark):
     assert paragraph_bands.remove_paragraphs(clash, found).columns == clash.columns
 
 
+def test_runs_of_every_place_against_all_windows(spark):
+    """Each run of 12 words that several documents share, wherever it begins, by plain sets of shingles; the hot way gives the same."""
+    body = corpus()
+    docs = [(i, f"{prose(100 + i, 9)} {t}") for i, t in enumerate(body)]
+    docs += [(300 + 10 * j + i, f"{prose(3000 + 10 * j + i, 15)} {prose(700 + j, n)}\n{prose(4000 + 10 * j + i, 20)}")
+             for j, n in enumerate([11, 12, 13, 20, 49]) for i in range(3)]
+    docs += [(500, "same " * 40), (501, "x " + "same " * 14), (502, "a b c d e f g " * 4), (503, "b c d e f g a " * 3), (504, "short one"), (505, "short one")]
+    docs += [(901, None), (902, ""), (903, " \n "), (None, docs[0][1]), docs[0], (1, "another row of key one " + prose(703, 20))]
+    at = {}
+    for i, t in docs:
+        w = (t or "").split()
+        for a in range(len(w) - 11) if i is not None else ():
+            at.setdefault(frozenset(tuple(w[a + b:a + b + 5]) for b in range(8)), set()).add((i, a))
+    shared = [x for x in at.values() if len({i for i, _ in x}) > 1]
+    want = {(*o, min(x)[0], len(x)) for x in shared for o in x}
+    assert len(want) > 100 and {o[0] for o in want} >= {310, 322, 341, 500, 501, 502, 503}
+    t = frame(spark, docs)
+    for most in (200_000, 2, 0):
+        got = paragraph_bands.repeated_runs(t, most=most).collect()
+        assert {(g.doc_id, a, g.class_doc, g.class_size) for g in got for a in range(g.first_word, g.first_word + g.n_words - 11)} == want
+        assert all(g.removed == (g.doc_id != g.class_doc) for g in got)
+        assert [(g.first_word, g.n_words, g.class_doc, g.class_size) for g in got if g.doc_id == 342] == [(15, 49, 340, 3)]
+    found = paragraph_bands.repeated_passages(t)
+    kept = {r.doc_id: r.text for r in paragraph_bands.remove_paragraphs(t, found).collect()}
+    assert kept[311].split() == (prose(3011, 15) + " " + prose(4011, 20)).split() and kept[301] == dict(docs)[301]  # 12 words go, 11 stay
+    assert kept[310] == dict(docs)[310] and kept[505] == "" and kept[None] == docs[0][1]
+    assert paragraph_bands.repeated_passages(frame(spark, [])).count() == 0
+
+
 def test_weighted_signature_is_unbiased():
     r = np.random.default_rng(1)
     a, b = {i: int(r.integers(1, 9)) for i in range(60)}, {i: int(r.integers(1, 9)) for i in range(20, 90)}
