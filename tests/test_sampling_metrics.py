@@ -105,3 +105,33 @@ def test_metrics_report(spark):
 def test_auc_ovr_hard(spark):
     r = _metrics(spark, [0, 0, 1, 1, 2], [0, 1, 1, 1, 2])
     assert r.roc_auc == pytest.approx(0.861111, abs=1e-6)
+
+
+def test_tfidf_fit_is_written_once(spark):
+    """Against plain counts; readers of the fit must not tokenise the training texts again."""
+    import math
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from inferna.operators import vectorize as V
+    from inferna.plans import grid
+    rows = [(1, "a", "red red fox and the fox"), (2, "a", "blue fox"), (3, "a", None), (3, "a", "fox blue fox"), (4, "b", "green tea tea"), (None, "b", "tea"), (5, "c", "x y")]
+    train = spark.createDataFrame(rows, "pair_id long, dataset string, t string")
+    spec = V.TermSpec(max_features=4, bigrams=True, stop_words=True)
+    idf = grid.fit_tfidf(train, ["a", "b", "c"], spec, F.col("t"))
+    want = set()
+    for ds in ("a", "b"):
+        docs = []
+        for _, d, t in rows:
+            if d == ds:
+                w = [x for x in (t or "").split() if x not in V.STOP_WORDS and len(x) > 1]
+                docs.append(Counter(w + [f"{x} {y}" for x, y in zip(w, w[1:])]))
+        tf = sum(docs, Counter())
+        top = sorted(sorted(tf, key=lambda x: (-tf[x], x))[:4])
+        for i, x in enumerate(top):
+            df = sum(x in d for d in docs)
+            want.add((ds, x, i, df, round(math.log((len(docs) + 1) / (df + 1)) + 1, 9)))
+    assert {(r.model, r.term, r.idx, r.df, round(r.idf, 9)) for r in idf.collect()} == want
+    for fit in (idf, grid.fit_vocabs(train, ["a", "b"], spec, F.col("t"))):
+        assert "regexp_extract_all" not in fit._jdf.queryExecution().analyzed().toString()
