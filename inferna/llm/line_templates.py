@@ -154,12 +154,14 @@ def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", min
 
     texts = rows.join(wanted.hint("merge"), (rows["entry"] == wanted["entry"]) & rows["id"].eqNullSafe(wanted["_id"])).select("body", "want")
     tokens = stage(texts.mapInArrow(read, "k long, leaf long, n long, tokens array<long>").dropDuplicates(["k", "leaf"]), "line-tokens")
-    # how often a token stands at its place in the leaf
-    spread = tokens.select("k", "leaf", "n", F.posexplode_outer("tokens").alias("pos", "token"))
-    often = stage(spread.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("often")), "line-often")
+    # how often a token stands at its place in the leaf; the rare ones are alike, whatever their count, so only the others are kept
+    named = F.xxhash64("leaf", "pos", "token").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("leaf").bitwiseAND(F.lit(1)))
+    spread = (tokens.select("k", "leaf", "n", F.posexplode_outer("tokens").alias("pos", "token"))
+              .where(F.col("token") != int(FIELD.view(np.int64))).select("k", "n", "pos", named.alias("spot")))
+    often = stage(spread.groupBy("spot").agg(F.sum("n").alias("often")).where(F.col("often") >= needed("spot")), "line-often")
     total = stage(tokens.groupBy("leaf").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds"), "line-totals")
-    counts = (spread.join(often, ["leaf", "pos", "token"]).groupBy("k", "leaf")
-              .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "often"))), lambda x: x["often"]).alias("often")))
+    counts = (spread.select("k", "pos", "spot").join(often, "spot").groupBy("k").agg(F.collect_list(F.struct("pos", "often")).alias("s"))
+              .where(F.size("s") >= min_tokens).select("k", F.col("s.pos").alias("place"), F.col("s.often").alias("often")))
 
     def generalise(batches):
         full = (1 << 64) - 1
@@ -167,10 +169,11 @@ def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", min
             ks, ns, out = [], [], []
             size = np.diff(b.column("tokens").offsets.to_numpy())
             toks = b.column("tokens").flatten().to_numpy().view(np.uint64)
-            often = b.column("often").flatten().to_numpy()
             leaf, total = b.column("leaf").to_numpy(), b.column("total").to_numpy()
             need = np.where(leaf & 1 == 1, long_docs, min_docs)
             begin = np.cumsum(size) - size
+            often = np.zeros(len(toks), np.int64)
+            often[np.repeat(begin, np.diff(b.column("place").offsets.to_numpy())) + b.column("place").flatten().to_numpy()] = b.column("often").flatten().to_numpy()
             masked = toks == FIELD
             most = size - np.maximum(min_tokens, -(-6 * size // 10))
             # lines with too many rare tokens have no template; the rest are few
@@ -189,7 +192,7 @@ def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", min
                     out.append((mix(np.array(found, np.uint64)) & ~np.uint64(1) | np.uint64(leaf[i] & 1)).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(ns, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["k", "n", "of"])
 
-    fits = stage(tokens.join(total, "leaf").join(counts, ["k", "leaf"]).mapInArrow(generalise, "k long, n long, of array<long>")
+    fits = stage(tokens.join(total, "leaf").join(counts, "k").mapInArrow(generalise, "k long, n long, of array<long>")
                  .select("k", "n", F.explode_outer("of").alias("template")), "line-fits")
     # a template of one line is the whole line
     several = stage(fits.groupBy("template").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))

@@ -412,6 +412,17 @@ def test_short_lines_and_bounded_fields(spark):
     assert line_templates.drop_recurring(frame(spark, docs[:9])).where("_n_dropped > 0").count() == 0
 
 
+def test_only_frequent_tokens_are_counted_on(spark, monkeypatch):
+    """Of the tokens of a leaf those of too few texts are alike: their counts are not kept, and lines of such tokens do not travel."""
+    written, stage = {}, line_templates.stage
+    monkeypatch.setattr(line_templates, "stage", lambda df, name, *a: written.setdefault(name, stage(df, name, *a)))
+    docs = [(i, f"Read more about {prose(i, 12)}\nThis page was made by name{chr(97 + i)} for all of you") for i in range(12)]
+    got = {x.doc_id: x for x in line_templates.drop_recurring(frame(spark, docs)).collect()}
+    assert [got[i].text for i in range(12)] == [docs[0][1]] + [t.split("\n")[0] for _, t in docs[1:]]
+    often = [r.often for r in written["line-often"].collect()]
+    assert often and min(often) >= 10 and len(often) == 9 + 3  # of the second line all but the name; "Read more about"
+
+
 # quality
 
 def test_cotraining_on_held_out_labels(spark):
