@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from inferna.llm.bag_minhash import OTHER, STEP, text_comparison
 from inferna.llm.common import bounded_broadcast, stage
 from inferna.llm.near import classes
-from inferna.llm.shingles import WORD_FACTORS, mix, parcels, word_hashes
+from inferna.llm.shingles import WORD_FACTORS, mix, parcels, ranges, word_hashes
 
 #: Words as ``word_hashes`` parts them.
 WORD = re.compile(r"[^\x00-\x20]+")
@@ -129,9 +129,8 @@ def paragraphs(docs: DataFrame, key: str, text: str, words: int, span: int, wind
 
     def sign(batches):
         for b in batches:
-            texts = b.column("body").to_pylist()
-            for s, e in parcels(texts):
-                h, first, runs, lines = stretches(texts[s:e], span, window, chosen)
+            for s, texts in portions(b.column("body"), 2 << 20):
+                h, first, runs, lines = stretches(texts, span, window, chosen)
                 left = np.repeat(first[1:], np.diff(first)) - np.arange(len(h))
                 shingle = grams(h, left, words)
                 short = runs[1] < span
@@ -186,22 +185,21 @@ def _texts(docs: DataFrame, key: str, text: str, paras: DataFrame, ids: DataFram
 
     def cut(batches):
         for b in batches:
-            ids, out = [], []
-            for body, want in zip(b.column("body").to_pylist(), b.column("wanted").to_pylist()):
-                found = WORD.findall(body)
-                for w in want:
-                    ids.append(w["entry"])
-                    out.append(" ".join(found[w["at"]:w["at"] + w["n"]]))
-            if not out:
-                continue
-            for s, e in parcels(out):   # rows that share a key may differ in text: only equal words count
-                h, at = word_hashes(out[s:e])
-                n = np.diff(at)
-                some = np.flatnonzero(n)
-                same = np.zeros(e - s, bool)
-                if len(some):
-                    same[some] = entry_hashes(h, at[:-1][some], n[some]).view(np.int64) == np.array(ids[s:e], np.int64)[some]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[s:e], pa.int64()), pa.array(out[s:e], pa.string())], names=["id", "f"]).filter(pa.array(same))
+            for first, texts in portions(b.column("body")):
+                ids, out = [], []
+                for body, want in zip(texts, b.column("wanted").slice(first, len(texts)).to_pylist()):
+                    found = WORD.findall(body)
+                    for w in want:
+                        ids.append(w["entry"])
+                        out.append(" ".join(found[w["at"]:w["at"] + w["n"]]))
+                for s, e in parcels(out):   # rows that share a key may differ in text: only equal words count
+                    h, at = word_hashes(out[s:e])
+                    n = np.diff(at)
+                    some = np.flatnonzero(n)
+                    same = np.zeros(e - s, bool)
+                    if len(some):
+                        same[some] = entry_hashes(h, at[:-1][some], n[some]).view(np.int64) == np.array(ids[s:e], np.int64)[some]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[s:e], pa.int64()), pa.array(out[s:e], pa.string())], names=["id", "f"]).filter(pa.array(same))
 
     return rows.select("body", "wanted").mapInArrow(cut, "id long, f string").dropDuplicates(["id"])
 
@@ -240,6 +238,25 @@ def run_sets(texts: list[str], words: int, span: int):
     return of[place], place - first[:-1][of[place]], low[place], mix(total - np.cumsum(extra)[:-1])[place]
 
 
+def portions(column: pa.Array, limit: int = 1 << 20):
+    """(first row, texts) of neighbouring rows of about ``limit`` bytes: only they are Python strings at a time."""
+    for s, e in ranges(pc.binary_length(column).to_pylist(), limit):
+        yield s, column.slice(s, e - s).to_pylist()
+
+
+def gathered(parts, least: int = 1 << 20):
+    """The parts (equally many arrays each) joined end to end, by ``least`` rows or somewhat more."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n >= least:
+            yield [np.concatenate(x) for x in zip(*held)]
+            held, n = [], 0
+    if n:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
 def dense(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(rank of each key among the different ones, a row of each rank)."""
     rank = pc.rank(ids, tiebreaker="dense").to_numpy().astype(np.int64) - 1
@@ -271,17 +288,18 @@ def heads(*columns: np.ndarray) -> np.ndarray:
 
 def recurring_least(rows: DataFrame, kind: str, words: int, span: int, buckets: int) -> DataFrame:
     """(id, least): the least shingle hashes of each document's runs that several documents share."""
+    def lows(body):
+        for s, texts in portions(body):
+            of, _, low, _ = run_sets(texts, words, span)
+            new = heads(of, low)
+            yield s + of[new], low[new]
+
     def least(batches):
         for b in batches:
-            texts = b.column("body").to_pylist()
-            for s, e in parcels(texts, 8 << 20):
-                of, _, low, _ = run_sets(texts[s:e], words, span)
-                if len(of) == 0:
-                    continue
-                ids = b.column("id").slice(s, e - s)
-                rank, row = dense(ids)
-                new = heads(of, low)
-                of, low = rank[of[new]], low[new]
+            ids = b.column("id")
+            rank, row = dense(ids)
+            for of, low in gathered(lows(b.column("body"))):
+                of = rank[of]
                 order = np.lexsort((of, low))
                 of, low = of[order], low[order]
                 new = heads(of, low)
@@ -321,7 +339,8 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", word
     """
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("body")).where("body is not null and id is not null")
     kind = rows.schema["id"].dataType.simpleString()
-    buckets = max(256, (rows.agg(F.sum(F.length("body"))).first()[0] or 0) >> 25)
+    # about 4 MB of text a bucket, which one task takes whole
+    buckets = max(256, (rows.agg(F.sum(F.length("body"))).first()[0] or 0) >> 22)
     shared = stage(recurring_least(rows, kind, words, span, buckets), "run-least")
     hot = stage(shared.groupBy("least").agg(F.count("*").alias("n")).where(F.col("n") > most).select("least"), "run-hot")
     n_hot = hot.count()
@@ -331,19 +350,21 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", word
     wanted = stage(marked.groupBy("id").agg(F.collect_set(F.when(~F.col("hot"), F.col("least"))).alias("few"),
                                             F.collect_set(F.when(F.col("hot"), F.col("least"))).alias("many")), "run-wanted")
 
+    def shared_places(body, want):
+        for s, texts in portions(body):
+            of, at, low, entry = run_sets(texts, words, span)
+            # a shared hash is shared by every document that has it
+            use = np.isin(low.view(np.int64), want.slice(s, len(texts)).flatten().to_numpy())
+            yield s + of[use], at[use].astype(np.int32), low[use], entry[use].view(np.int64)
+
     def places(column: str):
         def read(batches):
             for b in batches:
-                texts, want = b.column("body").to_pylist(), b.column(column)
-                for s, e in parcels(texts, 8 << 20):
-                    of, at, low, entry = run_sets(texts[s:e], words, span)
-                    # a shared hash is shared by every document that has it
-                    use = np.isin(low.view(np.int64), want.slice(s, e - s).flatten().to_numpy())
-                    of, at, low, entry = of[use], at[use].astype(np.int32), low[use], entry[use].view(np.int64)
-                    ids = b.column("id").take(pa.array(s + of))
+                for of, at, low, entry in gathered(shared_places(b.column("body"), b.column(column))):
+                    ids = b.column("id").take(pa.array(of))
                     if column == "many":
                         yield pa.RecordBatch.from_arrays([ids, pa.array(at), pa.array(entry)], names=["id", "at", "entry"])
-                    elif len(of):
+                    else:
                         yield blobs((mix(low) % np.uint64(buckets)).astype(np.int64), ids, at=at, entry=entry)
         return read
 

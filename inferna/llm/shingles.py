@@ -8,6 +8,8 @@ _R = np.random.default_rng(20240229)
 #: Factors for the bytes of a word by place (longer words wrap round) and for the words of a shingle.
 BYTE_FACTORS = _R.integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 WORD_FACTORS = _R.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Words hashed at once.
+BLOCK = 1 << 14
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -23,16 +25,19 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(r) + 1 for r in raw])
     data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
     inside = data > 32
-    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
+    edge = np.diff(inside.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     first = np.searchsorted(start, np.concatenate([[0], np.cumsum(sizes)]))
     if len(start) == 0:
         return np.empty(0, np.uint64), first
-    begun = np.zeros(len(data), np.int64)
-    begun[start] = start
-    place = np.arange(len(data)) - np.maximum.accumulate(begun)
-    part = np.where(inside, (data.astype(np.uint64) + np.uint64(1)) * BYTE_FACTORS[place & 4095], np.uint64(0))
-    return mix(np.add.reduceat(part, start) + (end - start).astype(np.uint64)), first
+    out = np.empty(len(start), np.uint64)
+    for at in range(0, len(start), BLOCK):   # by blocks: the numbers for each byte take many times the text
+        s, e = start[at:at + BLOCK], end[at:at + BLOCK]
+        here = slice(s[0], e[-1])
+        place = np.arange(s[0], e[-1]) - np.repeat(s, np.diff(np.append(s, e[-1])))
+        part = np.where(inside[here], (data[here].astype(np.uint64) + np.uint64(1)) * BYTE_FACTORS[place & 4095], np.uint64(0))
+        out[at:at + BLOCK] = mix(np.add.reduceat(part, s - s[0]) + (e - s).astype(np.uint64))
+    return out, first
 
 
 def shingles(texts: list[str], words: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -94,11 +99,16 @@ def overlap(a: list[str], b: list[str], words: int = 5, weighted: bool = True) -
 
 def parcels(texts: list, limit: int = 2 << 20):
     """Ranges of neighbouring texts of about ``limit`` characters; a longer text is alone."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
+    return ranges([len(t) for t in texts], limit)
+
+
+def ranges(sizes: list[int], limit: int):
+    """Ranges of neighbouring rows whose sizes add up to about ``limit``; a larger row is alone."""
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if total and total + n > limit:
             yield start, i
-            start, size = i, 0
-        size += len(t)
-    if len(texts):
-        yield start, len(texts)
+            start, total = i, 0
+        total += n
+    if len(sizes):
+        yield start, len(sizes)

@@ -5,10 +5,12 @@ import hashlib
 import io
 import random
 import re
+import tracemalloc
 import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from inferna.llm import (bag_minhash, cotraining, hash_forest, line_templates, packing, paragraph_bands, shingles,
@@ -265,6 +267,45 @@ def test_runs_of_every_place_against_all_windows(spark):
     assert paragraph_bands.repeated_passages(frame(spark, [])).count() == 0
 
 
+def test_runs_take_memory_for_a_portion_of_a_batch_only():
+    """A task's texts arrive as one batch; the steps that look at every place hold the numbers of a small part of them."""
+    text = [prose(i, 400) for i in range(40)] * 80
+    body, ids = pa.array(text), pa.array(range(len(text)))
+    size = sum(map(len, text))
+    assert size > 6 << 20
+
+    class Step:
+        def mapInArrow(self, read, schema):
+            self.read = read
+            return self
+
+        groupBy = applyInArrow = lambda self, *_: self
+
+    step = Step()
+    paragraph_bands.recurring_least(step, "bigint", 5, 12, 256)
+    tracemalloc.start()
+    try:
+        shingles.word_hashes(text)
+        assert tracemalloc.get_traced_memory()[1] < 15 * size
+        tracemalloc.reset_peak()
+        rows = sum(b.num_rows for b in step.read([pa.RecordBatch.from_arrays([ids, body], names=["id", "body"])]))
+        assert rows > 0 and tracemalloc.get_traced_memory()[1] < 10 * size
+    finally:
+        tracemalloc.stop()
+
+
+def test_portions_and_gathered_lose_no_row():
+    body = pa.array(["é" * 30, "", "b" * 90, "c", "", "d" * 200, "e"]).slice(1)
+    parts = list(paragraph_bands.portions(body, 100))
+    assert [s for s, _ in parts] == [0, 4, 5] and [t for _, x in parts for t in x] == body.to_pylist()
+    assert list(paragraph_bands.portions(body.slice(0, 0))) == []
+    pieces = [(np.arange(n), np.arange(n) * 2) for n in (0, 3, 0, 4, 2, 1)]
+    for least in (1, 5, 100):
+        a, b = (np.concatenate(x) for x in zip(*paragraph_bands.gathered(pieces, least)))
+        assert list(a) == [0, 1, 2, 0, 1, 2, 3, 0, 1, 0] and np.array_equal(b, 2 * a)
+    assert list(paragraph_bands.gathered([(np.arange(0),)])) == []
+
+
 def test_weighted_signature_is_unbiased():
     r = np.random.default_rng(1)
     a, b = {i: int(r.integers(1, 9)) for i in range(60)}, {i: int(r.integers(1, 9)) for i in range(20, 90)}
