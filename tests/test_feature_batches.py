@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inferna.functions import arrow_maps
 from inferna.functions import parse as P
+from inferna.operators import annotate
 from inferna.operators import feature_sets as FS
 
 MAP = pa.map_(pa.string(), pa.float64())
@@ -62,3 +63,16 @@ def test_texts_do_not_travel_with_the_stored_features(spark):
     raw = spark.createDataFrame([("1", "en", "train", 0, "A cat sat", "A dog ran")], "id string, dataset string, split string, label int, premise_text string, hypothesis_text string")
     joined = plan(FS.typed_features(raw))
     assert "premise_text" not in joined[:joined.index("Join")]   # above the joins
+
+
+def test_trees_of_the_rules_by_batches(spark):
+    df = spark.createDataFrame([(1, "9lives a bc def ghijkl"), (2, None), (3, " !"), (4, "ÉÉ"), (5, "to a")], "id int, text string")
+    out = annotate.annotate_rules(df)
+    assert plan(out).count("lambdafunction") == 1   # the lemmas
+    got = {r.sentence_id: (r.constituency, [tuple(e) for e in r.dependency]) for r in out.collect()}
+    assert got[1][0] == "(ROOT (S (NP (NUM 9lives) (PP (ADP a)) (PP (ADP bc)) (DET def)) (VP (VERB ghijkl))))"
+    assert got[1][1] == [(1, "9lives", "9lives", "NUM", 5, "nummod"), (2, "a", "a", "ADP", 3, "case"), (3, "bc", "bc", "ADP", 4, "case"),
+                         (4, "def", "def", "DET", 5, "det"), (5, "ghijkl", "ghijkl", "VERB", 0, "root")]
+    assert got[2] == got[3] == ("", [])
+    assert got[4] == ("(ROOT (S (VP (PP (ADP ÉÉ)))))", [(1, "ÉÉ", "éé", "ADP", 0, "root")])
+    assert got[5] == ("(ROOT (S (VP (PP (ADP to)) (PP (ADP a)))))", [(1, "to", "to", "ADP", 0, "root"), (2, "a", "a", "ADP", 1, "case")])
